@@ -1,6 +1,12 @@
 """Named queries over the driver tables, each with its SQL counterpart where one exists."""
 
 from .registry import ORACLES, QUERIES
-from . import channels as _channels, events as _events  # noqa: F401  (importing registers the queries)
+from . import (  # noqa: F401  (importing registers the queries)
+    channels,
+    epochs,
+    events,
+    signals,
+    stats,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

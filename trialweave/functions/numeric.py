@@ -10,8 +10,7 @@ from .text import literal_map
 
 def seconds_between(stamp: Column | str, epoch: str) -> Column:
     """Seconds from ``epoch`` (text, no zone) to a zone-less timestamp, as DOUBLE."""
-    name = stamp if isinstance(stamp, str) else stamp
-    column = F.col(name) if isinstance(name, str) else name
+    column = F.col(stamp) if isinstance(stamp, str) else stamp
     span = column - F.lit(epoch).cast("timestamp_ntz")
     return span.cast("interval second").cast("decimal(20,6)").cast("double")
 
@@ -52,7 +51,7 @@ def scale_analog(raw: Column, kind: Column, board_mode: Column) -> Column:
 
 def digital_bit(word: Column, bit: Column) -> Column:
     """Whether bit ``bit`` of a 16-bit word is set."""
-    return F.shiftright(word.cast("int"), bit.cast("int")).bitwiseAND(F.lit(1)) != 0
+    return F.getbit(word.cast("int"), bit.cast("int")) == 1
 
 
 def window_time(index: Column, n: Column | int, start: float, stop: float) -> Column:
@@ -96,3 +95,13 @@ def check_band(low: float, high: float, fs: float) -> tuple[float, float]:
 def rounded(value: Column, digits: int = 6) -> Column:
     """Rounded, with negative zero made zero (for reports and comparisons)."""
     return F.round(value, digits) + F.lit(0.0)
+
+
+def hashed_normal(seed: int, *keys: Column | str) -> Column:
+    """Standard normal noise as a function of ``keys`` (same value whenever a task re-runs)."""
+
+    def uniform(part: int) -> Column:
+        bits = F.pmod(F.xxhash64(F.lit(seed), F.lit(part), *keys), F.lit(1 << 52))
+        return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
+
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(0))) * F.cos(F.lit(2.0) * F.pi() * uniform(1))

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions import text
+from ..plans import neighbours
+from ..plans.ordering import null_safe_join
 
 
 def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "value") -> DataFrame:
@@ -22,3 +28,178 @@ def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "va
             F.transform("__s", lambda s: s[value]).alias("values"),
         )
     )
+
+
+def to_long(chunks: DataFrame) -> DataFrame:
+    """Chunk form back to one row per sample."""
+    others = [c for c in chunks.columns if c not in ("values", "chunk", "start_sample")]
+    return chunks.select(*others, "start_sample", F.posexplode("values").alias("__i", "value")).select(
+        *others, (F.col("start_sample") + F.col("__i")).alias("sample"), "value"
+    )
+
+
+def load_microvolts(samples: DataFrame, subjects: Sequence | None = None, value: str = "value") -> DataFrame:
+    """Volts to microvolts, trigger channel left out; ``subjects`` prunes the scan."""
+    rows = samples if subjects is None else samples.filter(F.col("subject").isin(list(subjects)))
+    scaled = (
+        F.transform(value, lambda v: v * F.lit(1e6))
+        if dict(rows.dtypes)[value].startswith("array")
+        else F.col(value) * F.lit(1e6)
+    )
+    return rows.filter(F.col("channel") != "Trigger").withColumn(value, scaled)
+
+
+def _subtract_reference(chunks: DataFrame, reference: DataFrame, target) -> DataFrame:
+    """Subtract the element-wise mean of the ``reference`` rows of each (subject, chunk).
+
+    The mean is one JVM aggregate over vectors with map-side combine, so a row is one
+    chunk and not one sample.
+    """
+    mean = Summarizer.mean(array_to_vector("values"))
+    means = reference.groupBy("subject", "chunk").agg(vector_to_array(mean).alias("__mean"))
+    joined = null_safe_join(chunks, means, ["subject", "chunk"], "left")
+    changed = F.zip_with("values", "__mean", lambda v, m: v - m)
+    return joined.withColumn(
+        "values", F.when(target & F.col("__mean").isNotNull(), changed).otherwise(F.col("values"))
+    ).drop("__mean")
+
+
+def reference_average(chunks: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """Common average reference. Bad channels (subject, channel) are left out and left alone."""
+    if bad is None:
+        return _subtract_reference(chunks, chunks, F.lit(True))
+    flags = bad.select("subject", "channel").distinct().withColumn("__bad", F.lit(True))
+    flagged = null_safe_join(chunks, flags, ["subject", "channel"], "left").withColumn(
+        "__bad", F.coalesce("__bad", F.lit(False))
+    )
+    return _subtract_reference(flagged, flagged.filter(~F.col("__bad")), ~F.col("__bad")).drop("__bad")
+
+
+def reference_white_matter(chunks: DataFrame, channels: DataFrame) -> DataFrame:
+    """Mean of the ``pure_white_matter`` channels present, else of ``white_matter`` ones.
+
+    ``channels`` has subject, channel and ``status_description``. The choice is made per
+    subject; every channel is referenced.
+    """
+    present = chunks.select("subject", "channel").distinct()
+    grade = (
+        F.when(F.col("status_description") == "pure_white_matter", 0)
+        .when(F.col("status_description") == "white_matter", 1)
+    )
+    graded = (
+        channels.withColumn("__grade", grade)
+        .filter(F.col("__grade").isNotNull())
+        .join(present, ["subject", "channel"], "left_semi")
+    )
+    best = graded.groupBy("subject").agg(F.min("__grade").alias("__grade"))
+    chosen = graded.join(best, ["subject", "__grade"], "left_semi").select("subject", "channel").distinct()
+    return _subtract_reference(chunks, chunks.join(chosen, ["subject", "channel"], "left_semi"), F.lit(True))
+
+
+def reference_laplacian(chunks: DataFrame) -> DataFrame:
+    """Re-reference along each shaft: ends bipolar, inner contacts minus half their neighbours.
+
+    The window holds the contacts of one shaft in one chunk. Shafts with one contact and
+    channels without a shaft name stay as they are.
+    """
+    shaft, contact = text.shaft_contact(F.col("channel"))
+    tagged = chunks.withColumn("__shaft", shaft).withColumn("__contact", contact)
+    # channels without a shaft name get a window of their own
+    window = Window.partitionBy(
+        "subject", "chunk", F.coalesce("__shaft", F.concat(F.lit("\u0000"), "channel"))
+    ).orderBy("__contact")
+    near = tagged.withColumn("__prev", F.lag("values").over(window)).withColumn(
+        "__next", F.lead("values").over(window)
+    )
+    halves = F.transform(
+        F.arrays_zip("values", "__prev", "__next"),
+        lambda s: s["values"] - F.lit(0.5) * (s["__prev"] + s["__next"]),
+    )
+    minus_prev = F.zip_with("values", "__prev", lambda v, p: v - p)
+    minus_next = F.zip_with("values", "__next", lambda v, n: v - n)
+    has_prev, has_next = F.col("__prev").isNotNull(), F.col("__next").isNotNull()
+    return near.withColumn(
+        "values",
+        F.when(has_prev & has_next, halves)
+        .when(has_next, minus_next)
+        .when(has_prev, minus_prev)
+        .otherwise(F.col("values")),
+    ).drop("__shaft", "__contact", "__prev", "__next")
+
+
+def set_reference(chunks: DataFrame, scheme: str, bad: DataFrame | None = None, channels: DataFrame | None = None):
+    """Re-reference by scheme name: average (CAR), white matter (WM) or Laplacian (LAP)."""
+    name = scheme.lower().replace("_", " ")
+    if name in ("car", "average", "common average"):
+        return reference_average(chunks, bad)
+    if name in ("wm", "white matter"):
+        return reference_white_matter(chunks, channels)
+    if name in ("lap", "laplacian"):
+        return reference_laplacian(chunks)
+    raise ValueError(f"unknown reference: {scheme}")
+
+
+def detrend(rows: DataFrame, keys: Sequence[str], index: str = "sample", value: str = "value") -> DataFrame:
+    """Least-squares line of ``value`` over ``index`` removed per ``keys``."""
+    line = rows.groupBy(*keys).agg(
+        F.regr_slope(value, index).alias("__slope"), F.regr_intercept(value, index).alias("__icpt")
+    )
+    joined = null_safe_join(rows, line, list(keys))
+    return joined.withColumn(
+        value, F.col(value) - (F.col("__slope") * F.col(index) + F.col("__icpt"))
+    ).drop("__slope", "__icpt")
+
+
+def channel_outliers(
+    rows: DataFrame,
+    index: str = "sample",
+    subject: Sequence[str] = ("subject",),
+    threshold: float = 3.0,
+) -> DataFrame:
+    """Channels whose spread of squared detrended signal stands out, in two passes.
+
+    Pass one compares all channels of a subject with ``mean + threshold * std``; pass two
+    repeats the test among the channels left. Both work on one row per channel.
+    """
+    keys = [*subject, "channel"]
+    square = F.col("value") * F.col("value")
+    spread = (
+        detrend(rows, keys, index)
+        .withColumn("value", F.when(square == 0, F.lit(1e-9)).otherwise(square))
+        .groupBy(*keys)
+        .agg(F.stddev_pop("value").alias("spread"))
+    )
+
+    def limit(of: DataFrame) -> DataFrame:
+        return of.groupBy(*subject).agg(
+            (F.stddev_pop("spread") * F.lit(threshold) + F.avg("spread")).alias("__limit")
+        )
+
+    first = null_safe_join(spread, limit(spread), list(subject)).select(
+        *keys, "spread", (F.col("spread") > F.col("__limit")).alias("__out")
+    )
+    rest = first.filter(~F.col("__out"))
+    second = null_safe_join(first, limit(rest), list(subject), "left")
+    return second.filter(F.col("__out") | (F.col("spread") > F.col("__limit"))).select(*keys, "spread")
+
+
+def timestamp_gaps(rows: DataFrame, keys: Sequence[str], fs: float, block: int = 128) -> DataFrame:
+    """Per recording: number of timestamp steps other than 1, and its time axes.
+
+    ``rows`` holds ``idx`` (0-based sample position) and ``timestamp``. The auxiliary axis
+    takes every 4th sample, the supply axis the first sample of every block.
+    """
+    seen = neighbours(rows, keys, "idx", {"__before": ("timestamp", -1)})
+    return seen.groupBy(*keys).agg(
+        F.count_if(F.col("timestamp") - F.col("__before") != 1).alias("n_gaps"),
+        (F.min("timestamp") / F.lit(float(fs))).alias("t_first"),
+        (F.max("timestamp") / F.lit(float(fs))).alias("t_last"),
+        F.count_if(F.pmod("idx", F.lit(4)) == 0).alias("n_aux"),
+        F.count_if(F.pmod("idx", F.lit(block)) == 0).alias("n_supply"),
+    )
+
+
+def resolve_rate(recordings: DataFrame, sources: Sequence[str], name: str = "fs") -> DataFrame:
+    """First known sampling rate among ``sources``; none known is an error."""
+    missing = F.raise_error(F.lit("no sampling rate known for a recording")).cast("double")
+    return recordings.withColumn(name, F.coalesce(*sources, missing))

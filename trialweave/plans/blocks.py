@@ -79,10 +79,10 @@ def apply_model(
     row_id: str,
     rows_per_block: int = 20_000,
 ) -> DataFrame:
-    """Run ``fn(block_of_rows, one_model_row)`` over blocks of bounded size.
+    """Run ``fn(block_of_rows, models_of_the_key)`` over blocks of bounded size.
 
-    ``models`` holds one row per key. The rows of a key are spread by a hash of
-    ``row_id`` over ``ceil(rows / rows_per_block)`` blocks, and the key's model is
+    ``models`` holds one or a few rows per key. The rows of a key are spread by a hash of
+    ``row_id`` over ``ceil(rows / rows_per_block)`` blocks, and the key's models are
     copied once per block rather than once per row. Keys without a model are dropped,
     like in an inner join.
     """
@@ -103,7 +103,7 @@ def apply_model(
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({name: [] for name in names})
-        return fn(left, right.iloc[0])
+        return fn(left, right)
 
     by = [*key_list, "__block"]
     return tagged.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(run, schema)

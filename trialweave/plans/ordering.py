@@ -108,16 +108,17 @@ def hashed_rank(
     seed: Column,
     tie: Sequence[str],
     name: str = "rn",
+    digits: int = 3,
 ) -> DataFrame:
     """``row_number() over (partition by group order by md5(seed), tie)``.
 
-    The first three hex digits of the hash are a bucket number. Bucket counts give
-    the rank of a bucket's first row; the window then runs within (group, bucket),
-    that is over about 1/4096 of a group. A pure function of the rows, so a re-run
+    The first ``digits`` hex digits of the hash are a bucket number. Bucket counts
+    give the rank of a bucket's first row; the window then runs within (group,
+    bucket), with three digits over about 1/4096 of a group. A pure function of the rows, so a re-run
     task gives the same ranks.
     """
     hashed = df.withColumn("__h", F.md5(seed.cast("binary"))).withColumn(
-        "__b", F.substring("__h", 1, 3)
+        "__b", F.substring("__h", 1, digits)
     )
     buckets = [*group, "__b"]
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
