@@ -68,7 +68,7 @@ def phonemes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGNAL_SQL = """sig AS (
   SELECT o_orderkey % 3 AS subject, (o_orderkey // 3) % 8 + 1 AS contact,
          'E' || ((o_orderkey // 3) % 8 + 1) AS channel, o_orderkey // 24 AS sample,
-         floor(o_totalprice) / 1024 AS value
+         floor(o_totalprice) AS value
   FROM orders)"""
 
 
@@ -81,7 +81,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
         contact.alias("contact"),
         F.concat(F.lit("E"), contact.cast("string")).alias("channel"),
         F.floor(key / 24).alias("sample"),
-        (F.floor("o_totalprice") / F.lit(1024.0)).alias("value"),
+        F.floor("o_totalprice").cast("double").alias("value"),
     )
 
 

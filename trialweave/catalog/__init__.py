@@ -2,10 +2,13 @@
 
 from .registry import ORACLES, QUERIES
 from . import (  # noqa: F401  (importing registers the queries)
+    arrays,
     channels,
     epochs,
     events,
+    learning,
     signals,
+    sources,
     stats,
 )
 

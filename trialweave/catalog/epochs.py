@@ -71,14 +71,14 @@ def good_trials_m1(spark, sf):
     "good_trials_m2",
     f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, d AS (SELECT subject, channel, trial,
       value - lag(value) OVER (PARTITION BY subject, channel, trial ORDER BY t) AS step FROM dep)
-    SELECT subject, channel, trial, max(abs(step)) < 410 AS is_good, max(step) < 410 AS is_good_signed
+    SELECT subject, channel, trial, max(abs(step)) < 420000 AS is_good, max(step) < 420000 AS is_good_signed
     FROM d GROUP BY ALL""",
 )
 def good_trials_m2(spark, sf):
     rows = b.dense_epochs(spark, sf)
     keys = ["subject", "channel"]
-    signed = qc.good_trials_step(rows, 410.0, keys, signed=True).withColumnRenamed("is_good", "is_good_signed")
-    return qc.good_trials_step(rows, 410.0, keys).join(signed, [*keys, "trial"])
+    signed = qc.good_trials_step(rows, 420000.0, keys, signed=True).withColumnRenamed("is_good", "is_good_signed")
+    return qc.good_trials_step(rows, 420000.0, keys).join(signed, [*keys, "trial"])
 
 
 @query(
@@ -109,7 +109,7 @@ def good_trials_common(spark, sf):
 
 @query(
     "apply_mask",
-    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, m AS (SELECT subject, channel, trial, max(abs(value)) < 480 AS g
+    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, m AS (SELECT subject, channel, trial, max(abs(value)) < 490000 AS g
       FROM dep GROUP BY ALL)
     SELECT subject, channel, trial, t, CASE WHEN g THEN value END AS value
     FROM dep JOIN m USING (subject, channel, trial)""",
@@ -117,7 +117,7 @@ def good_trials_common(spark, sf):
 def apply_mask(spark, sf):
     rows = b.dense_epochs(spark, sf).select("subject", "channel", "trial", "t", "value")
     mask = rows.groupBy("subject", "channel", "trial").agg(
-        (F.max(F.abs("value")) < 480).alias("is_good")
+        (F.max(F.abs("value")) < 490000).alias("is_good")
     )
     return ep.apply_mask(rows, mask, ["subject", "channel", "trial"])
 

@@ -154,7 +154,7 @@ def rectify(spark, sf):
 _BAD = "(subject = 0 AND contact IN (2, 5)) OR (subject = 1 AND contact = 8)"
 
 
-def _long(chunks, digits=6):
+def _long(chunks, digits=4):
     return sg.to_long(chunks).select("subject", "channel", "sample", R(F.col("value"), digits).alias("value"))
 
 
@@ -162,7 +162,7 @@ def _long(chunks, digits=6):
     "ref_car",
     f"""WITH {b.SIGNAL_SQL}, m AS (SELECT subject, sample, avg(value) AS m FROM sig WHERE NOT ({_BAD})
       GROUP BY ALL)
-    SELECT subject, channel, sample, round(CASE WHEN {_BAD} THEN value ELSE value - m END, 6) + 0.0 AS value
+    SELECT subject, channel, sample, round(CASE WHEN {_BAD} THEN value ELSE value - m END, 4) + 0.0 AS value
     FROM sig JOIN m USING (subject, sample)""",
 )
 def ref_car(spark, sf):
@@ -174,7 +174,7 @@ def ref_car(spark, sf):
     "ref_wm",
     f"""WITH {b.SIGNAL_SQL}, m AS (SELECT subject, sample, avg(value) AS m FROM sig
       WHERE CASE WHEN subject = 0 THEN contact IN (1, 4) ELSE contact IN (3, 6, 7) END GROUP BY ALL)
-    SELECT subject, channel, sample, round(value - m, 6) + 0.0 AS value FROM sig JOIN m USING (subject, sample)""",
+    SELECT subject, channel, sample, round(value - m, 4) + 0.0 AS value FROM sig JOIN m USING (subject, sample)""",
 )
 def ref_wm(spark, sf):
     status = (
@@ -192,7 +192,7 @@ def ref_wm(spark, sf):
       WINDOW w AS (PARTITION BY subject, sample ORDER BY contact))
     SELECT subject, channel, sample, round(CASE WHEN p IS NULL AND x IS NULL THEN value
       WHEN p IS NULL THEN value - x WHEN x IS NULL THEN value - p
-      ELSE value - 0.5::DOUBLE * (p + x) END, 6) + 0.0 AS value FROM n""",
+      ELSE value - 0.5::DOUBLE * (p + x) END, 4) + 0.0 AS value FROM n""",
 )
 def ref_laplacian(spark, sf):
     return _long(sg.reference_laplacian(b.samples(spark, sf)))
@@ -233,7 +233,7 @@ _OUTLIER_TAIL = """sp AS (SELECT subject, channel, stddev_pop(CASE WHEN r * r =
     o1 AS (SELECT *, spread > {k} * stddev_pop(spread) OVER (PARTITION BY subject)
       + avg(spread) OVER (PARTITION BY subject) AS out1 FROM sp),
     l2 AS (SELECT subject, {k} * stddev_pop(spread) + avg(spread) AS lim FROM o1 WHERE NOT out1 GROUP BY subject)
-    SELECT subject, channel, round(spread, 3) AS spread FROM o1 LEFT JOIN l2 USING (subject)
+    SELECT subject, channel, round(spread / 1e9, 6) AS spread FROM o1 LEFT JOIN l2 USING (subject)
     WHERE out1 OR spread > lim"""
 
 
@@ -246,7 +246,7 @@ _OUTLIER_TAIL = """sp AS (SELECT subject, channel, stddev_pop(CASE WHEN r * r =
 )
 def channel_outliers(spark, sf):
     out = sg.channel_outliers(b.signal(spark, sf), threshold=1.0)
-    return out.withColumn("spread", R(F.col("spread"), 3))
+    return out.withColumn("spread", R(F.col("spread") / 1e9))
 
 
 @query(
@@ -261,7 +261,7 @@ def epoch_channel_outliers(spark, sf):
     rows = b.dense_epochs(spark, sf).filter("t between 5 and 20")
     rows = rows.withColumn("n", F.col("trial") * b.TRIAL_SAMPLES + F.col("t"))
     out = sg.channel_outliers(rows, index="n", threshold=1.2)
-    return out.withColumn("spread", R(F.col("spread"), 3))
+    return out.withColumn("spread", R(F.col("spread") / 1e9))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 
 NEIGHBOUR_STEPS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
@@ -30,7 +30,7 @@ def reflag_impedance(
         *keys, (F.col("impedance") > F.lit(float(threshold))).alias("__bad")
     )
     return (
-        null_safe_join(channels, flags, list(keys), "left")
+        join_keys(channels, flags, list(keys), "left")
         .withColumn("is_bad", F.coalesce("__bad", F.lit(False)))
         .drop("__bad")
     )
@@ -62,7 +62,7 @@ def electrode_types(
     channels: DataFrame, types: DataFrame, keys: Sequence[str] = ("name",), default: str = "micro"
 ) -> DataFrame:
     """Type of each channel by name, with a default for names not in the map."""
-    return null_safe_join(
+    return join_keys(
         channels, types.select(*keys, "electrode_type"), list(keys), "left"
     ).withColumn("electrode_type", F.coalesce("electrode_type", F.lit(default)))
 
@@ -71,7 +71,7 @@ def rename_channels(channels: DataFrame, names: DataFrame, on: Sequence[str]) ->
     """Replace ``name`` where ``names`` has an entry for the row's position or number."""
     renamed = names.select(*on, F.col("name").alias("__new"))
     return (
-        null_safe_join(channels, renamed, list(on), "left")
+        join_keys(channels, renamed, list(on), "left")
         .withColumn("name", F.coalesce("__new", "name"))
         .drop("__new")
     )
@@ -88,8 +88,8 @@ def chanmap_table(
         *keys, "row", "col", "channel_number"
     )
     by = [*keys, "channel_number"]
-    named = null_safe_join(cells, names.select(*by, "name"), by, "left")
-    typed = null_safe_join(named, types.select(*by, "electrode_type"), by, "left")
+    named = join_keys(cells, names.select(*by, "name"), by, "left")
+    typed = join_keys(named, types.select(*by, "electrode_type"), by, "left")
     missing = F.raise_error(
         F.concat(F.lit("channel out of range: "), F.col("channel_number").cast("string"))
     )
@@ -124,7 +124,7 @@ def composite_map(base: DataFrame, copies: int, keys: Sequence[str] = ("subject"
         (F.max("col") + 1).alias("__cols"),
         (F.max("channel_number") + 1).alias("__n"),
     )
-    cells = null_safe_join(base, size.drop("__cols"), list(keys)).withColumn(
+    cells = join_keys(base, size.drop("__cols"), list(keys)).withColumn(
         "__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     )
     stacked = cells.select(
@@ -168,7 +168,7 @@ def dense_contacts(rows: DataFrame, keys: Sequence[str], number: str) -> DataFra
     """
     distinct = rows.select(*keys, number).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(number)) - 1
-    return null_safe_join(rows, distinct.withColumn("contact_index", rank), [*keys, number])
+    return join_keys(rows, distinct.withColumn("contact_index", rank), [*keys, number])
 
 
 def grid_neighbors(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
@@ -186,7 +186,7 @@ def grid_neighbors(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> Da
         (F.col("from_row") + F.col("s.dr")).alias("row"),
         (F.col("from_col") + F.col("s.dc")).alias("col"),
     )
-    found = null_safe_join(looks, cells.select(*keys, "row", "col", "channel_number"), [*keys, "row", "col"])
+    found = join_keys(looks, cells.select(*keys, "row", "col", "channel_number"), [*keys, "row", "col"])
     return found.select(
         *keys, F.col("from_row").alias("row"), F.col("from_col").alias("col"),
         F.col("row").alias("neighbor_row"), F.col("col").alias("neighbor_col"),
@@ -220,7 +220,7 @@ def spatial_average(values: DataFrame, chanmap: DataFrame, n: int, keys: Sequenc
     """Mean of a per-channel value over n x n blocks of grid cells."""
     by = [*keys, "channel_number"]
     cells = chanmap.filter(F.col("channel_number").isNotNull())
-    joined = null_safe_join(cells, values.select(*by, "value"), by)
+    joined = join_keys(cells, values.select(*by, "value"), by)
     return joined.groupBy(
         *keys,
         F.floor(F.col("row") / F.lit(n)).alias("block_row"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric, text
 from ..plans import neighbours, number_rows
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 
 EVENT_COLUMNS = ["subject", "trial", "onset", "duration", "value", "trial_type", "sample"]
 
@@ -167,7 +167,7 @@ def complete_trials(
         return flagged.filter("__in").drop("__in")
     found = flagged.filter("__in").select("subject").distinct().withColumn("__any", F.lit(True))
     return (
-        null_safe_join(flagged, found, ["subject"], "left")
+        join_keys(flagged, found, ["subject"], "left")
         .filter(F.col("__in") | F.col("__any").isNull())
         .drop("__in", "__any")
     )
@@ -183,7 +183,7 @@ def recode_events(events: DataFrame, name: str, by: Sequence[str] = ()) -> DataF
     labelled = events.withColumn("label", text.strip_stress(text.last_component(F.col(name))))
     labels = labelled.select(*by, "label").distinct()
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("label"))
-    return null_safe_join(labelled, labels.withColumn("code", rank), [*by, "label"])
+    return join_keys(labelled, labels.withColumn("code", rank), [*by, "label"])
 
 
 def event_balance(events: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import check_band
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 
 
 # --- array UDFs ----------------------------------------------------------------
@@ -250,7 +250,7 @@ def spectrogram(
 
     base = long(baseline).groupBy(*keys, "freq").agg(F.avg("power").alias("__base"))
     averaged = long(epochs).groupBy(*keys, "freq", "t").agg(F.avg("power").alias("power"))
-    joined = null_safe_join(averaged, base, [*keys, "freq"])
+    joined = join_keys(averaged, base, [*keys, "freq"])
     return joined.withColumn("power", F.col("power") / F.nullif(F.col("__base"), F.lit(0.0))).drop("__base")
 
 

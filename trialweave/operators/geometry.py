@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import is_close
 from ..plans import cut_lineage
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 from .channels import NEIGHBOUR_STEPS
 
 
@@ -21,7 +21,7 @@ def grid_positions(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> Da
     size = chanmap.groupBy(*keys).agg(
         (F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols")
     )
-    cells = null_safe_join(chanmap.filter(F.col("channel_number").isNotNull()), size, list(keys))
+    cells = join_keys(chanmap.filter(F.col("channel_number").isNotNull()), size, list(keys))
     return cells.select(
         *keys,
         F.concat(F.lit("R"), F.col("row").cast("string"), F.lit("-C"), F.col("col").cast("string")).alias(
@@ -57,7 +57,7 @@ def split_hemispheres(electrodes: DataFrame) -> DataFrame:
 def _scaled(rows: DataFrame, keys: Sequence[str], column, flat, low, high, name: str) -> DataFrame:
     source = rows.withColumn("__v", column)
     ends = source.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    joined = null_safe_join(source, ends, list(keys))
+    joined = join_keys(source, ends, list(keys))
     unit = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     scaled = F.when(is_close(F.col("__lo"), F.col("__hi")), F.lit(flat)).otherwise(
         F.lit(low) + unit * F.lit(high - low)
@@ -80,7 +80,7 @@ def minmax_sizes(
 
 def region_report(values: DataFrame, regions: DataFrame, keys: Sequence[str] = ("channel",)) -> DataFrame:
     """``channel, region, feature_value`` with six decimals as text; missing region = unknown."""
-    joined = null_safe_join(values, regions.select(*keys, "region"), list(keys), "left")
+    joined = join_keys(values, regions.select(*keys, "region"), list(keys), "left")
     return joined.select(
         *keys,
         F.coalesce("region", F.lit("unknown")).alias("region"),
@@ -124,7 +124,7 @@ def flood_fill(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFr
     while True:
         better = F.col("__new") < F.coalesce("channel_number", F.lit(2**31 - 1))
         labels = cut_lineage(
-            null_safe_join(labels, spread(frontier), cells, "left").select(
+            join_keys(labels, spread(frontier), cells, "left").select(
                 *cells,
                 F.least("channel_number", "__new").alias("channel_number"),
                 F.coalesce(better, F.lit(False)).alias("__changed"),

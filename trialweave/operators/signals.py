@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
 from ..plans import neighbours
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 
 
 def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "value") -> DataFrame:
@@ -57,7 +57,7 @@ def _subtract_reference(chunks: DataFrame, reference: DataFrame, target) -> Data
     """
     mean = Summarizer.mean(array_to_vector("values"))
     means = reference.groupBy("subject", "chunk").agg(vector_to_array(mean).alias("__mean"))
-    joined = null_safe_join(chunks, means, ["subject", "chunk"], "left")
+    joined = join_keys(chunks, means, ["subject", "chunk"], "left")
     changed = F.zip_with("values", "__mean", lambda v, m: v - m)
     return joined.withColumn(
         "values", F.when(target & F.col("__mean").isNotNull(), changed).otherwise(F.col("values"))
@@ -69,7 +69,7 @@ def reference_average(chunks: DataFrame, bad: DataFrame | None = None) -> DataFr
     if bad is None:
         return _subtract_reference(chunks, chunks, F.lit(True))
     flags = bad.select("subject", "channel").distinct().withColumn("__bad", F.lit(True))
-    flagged = null_safe_join(chunks, flags, ["subject", "channel"], "left").withColumn(
+    flagged = join_keys(chunks, flags, ["subject", "channel"], "left").withColumn(
         "__bad", F.coalesce("__bad", F.lit(False))
     )
     return _subtract_reference(flagged, flagged.filter(~F.col("__bad")), ~F.col("__bad")).drop("__bad")
@@ -144,7 +144,7 @@ def detrend(rows: DataFrame, keys: Sequence[str], index: str = "sample", value:
     line = rows.groupBy(*keys).agg(
         F.regr_slope(value, index).alias("__slope"), F.regr_intercept(value, index).alias("__icpt")
     )
-    joined = null_safe_join(rows, line, list(keys))
+    joined = join_keys(rows, line, list(keys))
     return joined.withColumn(
         value, F.col(value) - (F.col("__slope") * F.col(index) + F.col("__icpt"))
     ).drop("__slope", "__icpt")
@@ -175,11 +175,11 @@ def channel_outliers(
             (F.stddev_pop("spread") * F.lit(threshold) + F.avg("spread")).alias("__limit")
         )
 
-    first = null_safe_join(spread, limit(spread), list(subject)).select(
+    first = join_keys(spread, limit(spread), list(subject)).select(
         *keys, "spread", (F.col("spread") > F.col("__limit")).alias("__out")
     )
     rest = first.filter(~F.col("__out"))
-    second = null_safe_join(first, limit(rest), list(subject), "left")
+    second = join_keys(first, limit(rest), list(subject), "left")
     return second.filter(F.col("__out") | (F.col("spread") > F.col("__limit"))).select(*keys, "spread")
 
 

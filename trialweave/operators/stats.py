@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import hashed_rank
-from ..plans.ordering import null_safe_join
+from ..plans.ordering import join_keys
 
 
 def _seed_text(*parts) -> F.Column:
@@ -37,7 +37,7 @@ def permutation_test(
         (F.avg(F.when(inside, F.col("value"))) - F.avg(F.when(outside, F.col("value")))).alias("difference"),
     )
     testable = observed.filter((F.col("n_interest") >= 2) & (F.col("n_baseline") >= 2))
-    dealt = null_safe_join(valid, testable.select(*key_list, "n_interest"), key_list).withColumn(
+    dealt = join_keys(valid, testable.select(*key_list, "n_interest"), key_list).withColumn(
         "perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
     )
     ranked = hashed_rank(
@@ -48,10 +48,10 @@ def permutation_test(
     null = ranked.groupBy(*key_list, "perm").agg(
         (F.avg(F.when(chosen, F.col("value"))) - F.avg(F.when(~chosen, F.col("value")))).alias("__d")
     )
-    extreme = null_safe_join(null, testable.select(*key_list, "difference"), key_list).groupBy(*key_list).agg(
+    extreme = join_keys(null, testable.select(*key_list, "difference"), key_list).groupBy(*key_list).agg(
         F.count_if(F.col("__d") >= F.col("difference") - F.lit(1e-9)).alias("__extreme")
     )
-    joined = null_safe_join(observed, extreme, key_list, "left")
+    joined = join_keys(observed, extreme, key_list, "left")
     p = (F.col("__extreme") + 1) / F.lit(float(n_perm + 1))
     return joined.select(
         *key_list, "n_interest", "n_baseline", "difference", F.coalesce(p, F.lit(1.0)).alias("p")
@@ -90,8 +90,9 @@ def stratified_folds(
     sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).agg(
         F.max("__n").alias("__largest")
     )
-    tagged = null_safe_join(rows, sizes, by).withColumn(
-        "__stratum", F.when(F.col("__largest") >= k, F.col(label))
+    tagged = join_keys(rows, sizes, by).withColumn(
+        "__stratum",
+        F.when(F.col("__largest") >= k, F.concat(F.lit("="), F.col(label).cast("string"))).otherwise(""),
     )
     ranked = hashed_rank(
         tagged, [*by, "__stratum"], _seed_text(F.lit(str(seed)), *salt, row_id), [row_id], "__rn"
@@ -105,7 +106,7 @@ def class_weights(rows: DataFrame, keys: Sequence[str] = (), label: str = "label
     """Balanced weight ``n / (classes * n_class)`` per class."""
     counts = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_class"))
     totals = counts.groupBy(*keys).agg(F.sum("n_class").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    return null_safe_join(counts, totals, list(keys)).select(
+    return join_keys(counts, totals, list(keys)).select(
         *keys, label, "n_class", (F.col("__n") / (F.col("__k") * F.col("n_class"))).alias("weight")
     )
 
@@ -132,7 +133,7 @@ def chance_labels(
 
     takers = ranked("a").drop(label)
     givers = ranked("b").drop(row_id)
-    return null_safe_join(takers, givers, [*group, "__rn"]).drop("__rn")
+    return join_keys(takers, givers, [*group, "__rn"]).drop("__rn")
 
 
 def balanced_accuracy(predictions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -207,4 +208,4 @@ def trial_subselect(rows: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
     ranked = hashed_rank(
         shared, ["subject", "label"], _seed_text(F.lit(str(seed)), row_id), [row_id], "pick"
     )
-    return null_safe_join(ranked, least, ["label"]).filter(F.col("pick") <= F.col("__least")).drop("__least")
+    return join_keys(ranked, least, ["label"]).filter(F.col("pick") <= F.col("__least")).drop("__least")

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans import exact_quantiles, neighbours, number_rows
-from ..plans.ordering import null_safe_join
+from ..plans import cut_lineage, exact_quantiles, neighbours, number_rows
+from ..plans.ordering import join_keys
 
 # --- fixed values -------------------------------------------------------------
 BASELINE_QUANTILE = 0.1
@@ -19,15 +17,16 @@ MAD_TO_STD = 1.482602218505602  # 1 / normal quantile of 0.75
 
 def robust_level(trace: DataFrame, keys: Sequence[str], factor: float) -> DataFrame:
     """Per trace: ``baseline`` (10th percentile) and ``threshold`` = baseline + factor * scaled MAD."""
-    q = exact_quantiles(trace, keys, "value", {"baseline": BASELINE_QUANTILE, "__median": 0.5})
-    spread = null_safe_join(trace.select(*keys, "value"), q.select(*keys, "__median"), list(keys)).select(
+    q = cut_lineage(exact_quantiles(trace, keys, "value", {"baseline": BASELINE_QUANTILE, "__median": 0.5}))
+    spread = join_keys(trace.select(*keys, "value"), q.select(*keys, "__median"), list(keys)).select(
         *keys, F.abs(F.col("value") - F.col("__median")).alias("value")
     )
     mad = exact_quantiles(spread, keys, "value", {"__mad": 0.5})
-    return null_safe_join(q, mad, list(keys)).select(
+    level = join_keys(q, mad, list(keys)).select(
         *keys, "baseline",
         (F.col("baseline") + F.lit(factor * MAD_TO_STD) * F.col("__mad")).alias("threshold"),
     )
+    return cut_lineage(level)  # one row per trace, read by every later step
 
 
 def local_maxima(trace: DataFrame, keys: Sequence[str], level: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def local_maxima(trace: DataFrame, keys: Sequence[str], level: DataFrame) -> Dat
     the middle of the run (rounded down). ``sample`` numbers the trace without gaps.
     Values below the baseline count as the baseline.
     """
-    clipped = null_safe_join(trace, level, list(keys)).withColumn(
+    clipped = join_keys(trace, level, list(keys)).withColumn(
         "value", F.greatest("value", "baseline")
     )
     seen = neighbours(clipped, keys, "sample", {"__prev": ("value", -1), "__next": ("value", 1)})
@@ -71,59 +70,72 @@ def trigger_candidates(trace: DataFrame, keys: Sequence[str], factor: float = 5.
     return local_maxima(trace, keys, robust_level(trace, keys, factor))
 
 
+def _islands(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Number the runs of consecutive samples in ``rows`` (sample minus row number)."""
+    numbered = number_rows(rows, keys, ["sample"], "__n")
+    return numbered.withColumn(name, F.col("sample") - F.col("__n")).drop("__n")
+
+
 def wide_pulses(trace: DataFrame, keys: Sequence[str], level: DataFrame, min_width: int) -> DataFrame:
-    """Runs of at least ``min_width`` samples at or above half the rise over the baseline.
+    """Pulses above the threshold that are at least ``min_width`` samples wide at half height.
 
-    Gaps and islands: a row number over the samples above the half-way level is constant
-    relative to the sample index within one run. A run counts when its top reaches the
-    threshold. Result: keys, ``first``, ``last`` and the first sample of the top.
+    Runs above the threshold are pulses; half height lies midway between a pulse's top and
+    the baseline; the width counts the samples of the run around the top that stay above it.
+    Result: keys, ``first``, ``last``, ``peak`` (sample of the top).
     """
-    raised = null_safe_join(trace, level, list(keys)).filter(F.col("value") >= F.col("threshold"))
-    tops = raised.groupBy(*keys).agg(F.max("value").alias("__top"))
-    half = (F.col("__top") + F.col("baseline")) / 2
-    above = null_safe_join(raised, tops, list(keys)).filter(F.col("value") >= half)
-    numbered = number_rows(above.select(*keys, "sample", "value"), keys, ["sample"], "__n")
+    raised = join_keys(trace, level, list(keys)).filter(F.col("value") >= F.col("threshold"))
+    pulses = _islands(raised.select(*keys, "sample", "value", "baseline"), keys, "__pulse")
+    by = [*keys, "__pulse"]
+    tops = pulses.groupBy(*by).agg(F.max("value").alias("__top"))
+    upper = join_keys(pulses, tops, by).filter(
+        F.col("value") >= (F.col("__top") + F.col("baseline")) / 2
+    )
+    runs = _islands(upper.select(*by, "sample", "value", "__top"), keys, "__run")
     return (
-        numbered.groupBy(*keys, (F.col("sample") - F.col("__n")).alias("__island"))
+        runs.groupBy(*by, "__top", "__run")
         .agg(
             F.min("sample").alias("first"), F.max("sample").alias("last"),
-            F.min(F.struct((-F.col("value")).alias("v"), F.col("sample").alias("s"))).alias("__peak"),
+            F.min(F.when(F.col("value") == F.col("__top"), F.col("sample"))).alias("peak"),
         )
-        .filter(F.col("last") - F.col("first") + 1 >= min_width)
-        .select(*keys, "first", "last", F.col("__peak.s").alias("peak"))
+        .filter(F.col("peak").isNotNull() & (F.col("last") - F.col("first") + 1 >= min_width))
+        .select(*keys, "first", "last", "peak")
     )
 
 
 def keep_distant(peaks: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:
     """Greedy by height: a peak removes lower peaks less than ``distance`` samples away.
 
-    Peaks further apart than that from both neighbours never meet, so the trace splits
-    into clusters of close peaks which are thinned independently; equal heights favour
-    the later peak.
+    Equal heights favour the later peak. Done in rounds: a peak that is the highest of all
+    undecided peaks within the distance stays and removes the others around it, which is
+    what going through the peaks by falling height does. A round looks at stretches of
+    ``distance`` samples with two neighbour stretches on each side, so a window holds at
+    most ``5 * distance`` samples of a trace.
     """
-    numbered = number_rows(peaks, keys, ["sample"], "__n")
-    seen = neighbours(numbered, keys, "__n", {"__prev": ("sample", -1)})
-    starts = seen.withColumn(
-        "__start", F.when(F.coalesce(F.col("sample") - F.col("__prev") < distance, F.lit(False)), 0).otherwise(1)
-    )
-    from ..plans import running_sum
-
-    clustered = running_sum(starts, keys, ["sample"], "__start", "__cluster").select(
-        *peaks.columns, "__cluster"
-    )
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        at = pdf["sample"].to_numpy()
-        keep = np.ones(len(at), dtype=bool)
-        for i in np.argsort(pdf["height"].to_numpy(), kind="stable")[::-1]:
-            if keep[i]:
-                close = np.abs(at - at[i]) < distance
-                close[i] = False
-                keep &= ~close
-        return pdf.loc[keep, peaks.columns]
-
-    return clustered.groupBy(*keys, "__cluster").applyInPandas(thin, peaks.schema)
+    undecided, kept = cut_lineage(peaks.select(*keys, "sample", "height")), []
+    while not undecided.isEmpty():
+        home = F.floor(F.col("sample") / F.lit(distance))
+        spread = undecided.withColumn(
+            "__bin", F.explode(F.array(*[home + F.lit(k) for k in (-2, -1, 0, 1, 2)]))
+        )
+        around = (
+            Window.partitionBy(*keys, "__bin").orderBy("sample").rangeBetween(-(distance - 1), distance - 1)
+        )
+        rank = F.struct("height", "sample")
+        flagged = (
+            spread.withColumn("__wins", F.max(rank).over(around) == rank)
+            .withColumn("__near_winner", F.max("__wins").over(around))
+            .filter(F.col("__bin") == home)
+            .drop("__bin")
+        )
+        flagged = cut_lineage(flagged)
+        kept.append(flagged.filter("__wins").select(*keys, "sample", "height"))
+        undecided = flagged.filter(~F.col("__near_winner")).select(*keys, "sample", "height")
+    if not kept:
+        return peaks.select(*keys, "sample", "height")
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def trigger_onsets(
@@ -144,11 +156,11 @@ def trigger_onsets(
     """
     level = robust_level(trace, keys, factor)
     pulses = wide_pulses(trace, keys, level, int(min_width_s * fs))
-    begin = pulses.groupBy(*keys).agg(
-        (F.max("peak") + F.lit(int(start_buffer_s * fs))).alias("__begin")
+    begin = cut_lineage(
+        pulses.groupBy(*keys).agg((F.max("peak") + F.lit(int(start_buffer_s * fs))).alias("__begin"))
     )
     rest = (
-        null_safe_join(trace, begin, list(keys), "left")
+        join_keys(trace, begin, list(keys), "left")
         .filter(F.col("sample") >= F.coalesce("__begin", F.lit(0)))
         .drop("__begin")
     )
@@ -156,7 +168,7 @@ def trigger_onsets(
     stats = peaks.groupBy(*keys).agg(
         F.avg("height").alias("__mean"), F.stddev_pop("height").alias("__std")
     )
-    kept = null_safe_join(peaks, stats, list(keys)).filter(
+    kept = join_keys(peaks, stats, list(keys)).filter(
         F.abs(F.col("height") - F.col("__mean")) <= F.lit(rejection) * F.col("__std")
     )
     return kept.select(*keys, (F.col("sample") / F.lit(float(fs))).alias("onset"), "height")

@@ -4,19 +4,23 @@ from .checkpoints import cut_lineage
 from .ordering import (
     exact_quantiles,
     hashed_rank,
+    join_keys,
     neighbours,
     number_rows,
     running_sum,
 )
-from .blocks import apply_model, moments
+from .blocks import apply_model, moments, run_blocks, split_blocks
 
 __all__ = [
     "apply_model",
     "cut_lineage",
     "exact_quantiles",
     "hashed_rank",
+    "join_keys",
     "moments",
     "neighbours",
     "number_rows",
+    "run_blocks",
     "running_sum",
+    "split_blocks",
 ]

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .ordering import null_safe_join
+from .ordering import join_keys
 
 _FLUSH_DOUBLES = 8_000_000  # partial sums held by one task before they are emitted
 
@@ -70,34 +70,37 @@ def moments(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     )
 
 
-def apply_model(
-    rows: DataFrame,
+def split_blocks(
+    rows: DataFrame, keys: Sequence[str], row_id: str, rows_per_block: int = 20_000
+) -> DataFrame:
+    """Add ``__block``: rows of a key spread by a hash of ``row_id`` over bounded blocks."""
+    blocks = rows.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("int").alias("__blocks")
+    )
+    return join_keys(rows, blocks, keys).withColumn(
+        "__block", F.pmod(F.xxhash64(row_id), F.col("__blocks")).cast("int")
+    )
+
+
+def run_blocks(
+    tagged: DataFrame,
     models: DataFrame,
     keys: Sequence[str],
     fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
-    row_id: str,
-    rows_per_block: int = 20_000,
 ) -> DataFrame:
-    """Run ``fn(block_of_rows, models_of_the_key)`` over blocks of bounded size.
+    """Run ``fn(block_of_rows, models_of_the_key)`` on the output of ``split_blocks``.
 
-    ``models`` holds one or a few rows per key. The rows of a key are spread by a hash of
-    ``row_id`` over ``ceil(rows / rows_per_block)`` blocks, and the key's models are
-    copied once per block rather than once per row. Keys without a model are dropped,
-    like in an inner join.
+    ``models`` holds one or a few rows per key; they are copied once per block rather than
+    once per row. Keys without a model are dropped, like in an inner join.
     """
-    key_list = list(keys)
-    blocks = rows.groupBy(*key_list).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("int").alias("__blocks")
-    )
-    tagged = null_safe_join(rows, blocks, key_list)
-    tagged = tagged.withColumn("__block", F.pmod(F.xxhash64(row_id), F.col("__blocks")).cast("int")).drop(
-        "__blocks"
-    )
-    copies = null_safe_join(models, blocks, key_list)
+    sizes = tagged.select(*keys, "__blocks").distinct()
+    copies = join_keys(models, sizes, keys)
     copies = copies.withColumn(
         "__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
     ).drop("__blocks")
+    # columns of their own, in case rows and models come from one table
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
     names = [field.name for field in T.StructType.fromDDL(schema).fields]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -105,5 +108,18 @@ def apply_model(
             return pd.DataFrame({name: [] for name in names})
         return fn(left, right)
 
-    by = [*key_list, "__block"]
-    return tagged.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(run, schema)
+    by = [*keys, "__block"]
+    return tagged.drop("__blocks").groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(run, schema)
+
+
+def apply_model(
+    rows: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str],
+    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    row_id: str,
+    rows_per_block: int = 20_000,
+) -> DataFrame:
+    """``split_blocks`` and ``run_blocks`` in one step."""
+    return run_blocks(split_blocks(rows, keys, row_id, rows_per_block), models, keys, fn, schema)

@@ -24,16 +24,17 @@ from .checkpoints import cut_lineage
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` with NULL equal to NULL; the key columns come from ``left``."""
-    right = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"__r_{key}"])
-    return left.join(right, condition, how).drop(*[f"__r_{k}" for k in keys])
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``, which the data model never leaves NULL.
+
+    Plain equality keeps the partitioning of an aggregate or window on the same keys, so
+    its result is joined without another shuffle. Without keys, ``right`` is a one-row
+    table of totals and every row gets it.
+    """
+    if keys:
+        return left.join(right, list(keys), how)
+    one = F.lit(1)
+    return left.withColumn("__all", one).join(right.withColumn("__all", one), "__all", how).drop("__all")
 
 
 def _place(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -72,7 +73,7 @@ def number_rows(
         "__first",
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
     )
-    numbered = null_safe_join(placed, pieces, tasks)
+    numbered = join_keys(placed, pieces, tasks)
     return numbered.withColumn(
         name, F.col("__mid") - F.col("__first") + F.col("__before") + F.lit(1)
     ).drop("__mid", "__task", "__first", "__before")
@@ -96,7 +97,7 @@ def running_sum(
     inside = Window.partitionBy(*tasks).orderBy("__mid").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("__inside", F.sum(value).over(inside))
     return (
-        null_safe_join(placed, pieces, tasks)
+        join_keys(placed, pieces, tasks)
         .withColumn(name, F.col("__before") + F.coalesce("__inside", F.lit(0)))
         .drop("__mid", "__task", "__inside", "__before")
     )
@@ -129,7 +130,7 @@ def hashed_rank(
     inside = Window.partitionBy(*buckets).orderBy("__h", *tie)
     ranked = hashed.withColumn("__inside", F.row_number().over(inside))
     return (
-        null_safe_join(ranked, counts, buckets)
+        join_keys(ranked, counts, buckets)
         .withColumn(name, F.col("__before") + F.col("__inside"))
         .drop("__h", "__b", "__before", "__inside")
     )
@@ -169,31 +170,50 @@ def neighbours(
 
 
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float], bins: int = 4096
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of ``value`` per group.
 
-    Equal values are counted first, so that a value held by many rows is one row
-    afterwards; a running count then locates the two order statistics of each
-    quantile. Result: group columns plus one column per entry of ``probs``.
+    A histogram with map-side combine locates the few bins that hold the wanted order
+    statistics; only the rows of those bins are counted by value and ranked with a running
+    count. Result: group columns plus one column per entry of ``probs``.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("__n")
+    keys = list(group)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__x"))
+    ends = rows.groupBy(*keys).agg(
+        F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__total")
+    )
+    width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+    place = F.floor((F.col("__x") - F.col("__lo")) / width * F.lit(bins))
+    binned = join_keys(rows, ends, keys).withColumn(
+        "__bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0))
     )
-    ranked = running_sum(counted, group, [value], "__n", "__upto")
-    totals = counted.groupBy(*group).agg(F.sum("__n").alias("__total"))
-    ranked = null_safe_join(ranked, totals, list(group))
+    order = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    counts = binned.groupBy(*keys, "__bin", "__total").agg(F.count(F.lit(1)).alias("__rows_at"))
+    counts = counts.withColumn("__lower", F.coalesce(F.sum("__rows_at").over(order), F.lit(0)))
+
+    def position(prob: float) -> Column:
+        return F.lit(float(prob)) * (F.col("__total") - 1)
+
+    ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for rank in ranks:
+        wanted = wanted | ((F.col("__lower") <= rank) & (rank < F.col("__lower") + F.col("__rows_at")))
+    chosen = counts.filter(wanted).select(*keys, "__bin", "__lower")
+    picked = join_keys(binned, chosen, [*keys, "__bin"])
+    by_value = picked.groupBy(*keys, "__bin", "__lower", "__total", "__x").agg(
+        F.count(F.lit(1)).alias("__rows_at")
+    )
+    ranked = running_sum(by_value, [*keys, "__bin"], ["__x"], "__rows_at", "__upto")
+    first = F.col("__lower") + F.col("__upto") - F.col("__rows_at")
+    after = F.col("__lower") + F.col("__upto")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < after), F.col("__x")))
+
     aggregates = []
     for name, prob in probs.items():
-        at = F.lit(float(prob)) * (F.col("__total") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        first = F.col("__upto") - F.col("__n")
-
-        def holds(rank):
-            return (first <= rank) & (rank < F.col("__upto"))
-
-        low_value = F.max(F.when(holds(low), F.col(value)))
-        high_value = F.max(F.when(holds(high), F.col(value)))
-        weight = F.max(at - low)
-        aggregates.append((low_value + (high_value - low_value) * weight).alias(name))
-    return ranked.groupBy(*group).agg(*aggregates)
+        where = position(prob)
+        low, high = at(F.floor(where)), at(F.ceil(where))
+        aggregates.append((low + (high - low) * F.max(where - F.floor(where))).alias(name))
+    return ranked.groupBy(*keys).agg(*aggregates)
