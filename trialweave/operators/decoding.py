@@ -150,8 +150,8 @@ def _latent(x: np.ndarray, model) -> np.ndarray:
         return x
     mean = np.asarray(model.lin_mean)
     matrix = np.asarray(model.lin_matrix).reshape(len(mean), -1)
-    steps = x.reshape(len(x), -1, len(mean))[:, model.t_first : model.t_stop]
-    return ((steps - mean) @ matrix).reshape(len(x), -1)
+    steps = x.reshape(len(x), x.shape[1] // len(mean), len(mean))[:, model.t_first : model.t_stop]
+    return ((steps - mean) @ matrix).reshape(len(x), steps.shape[1] * matrix.shape[1])
 
 
 def _training(block: pd.DataFrame, model, k: int):
