@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
-from ..plans.ordering import join_keys
+from ..plans import join_keys, join_measured
 
 NEIGHBOUR_STEPS = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dr, dc) != (0, 0)]
 
@@ -124,7 +124,7 @@ def composite_map(base: DataFrame, copies: int, keys: Sequence[str] = ("subject"
         (F.max("col") + 1).alias("__cols"),
         (F.max("channel_number") + 1).alias("__n"),
     )
-    cells = join_keys(base, size.drop("__cols"), list(keys)).withColumn(
+    cells = join_measured(base, size.drop("__cols"), list(keys)).withColumn(
         "__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
     )
     stacked = cells.select(
@@ -168,7 +168,7 @@ def dense_contacts(rows: DataFrame, keys: Sequence[str], number: str) -> DataFra
     """
     distinct = rows.select(*keys, number).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(number)) - 1
-    return join_keys(rows, distinct.withColumn("contact_index", rank), [*keys, number])
+    return join_measured(rows, distinct.withColumn("contact_index", rank), [*keys, number])
 
 
 def grid_neighbors(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:

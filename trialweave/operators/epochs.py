@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import hashed_normal
-from ..plans.ordering import join_keys
+from ..plans import join_measured
 
 
 def cut_windows(windows: DataFrame, chunks: DataFrame, chunk: int, low: str, high: str) -> DataFrame:
@@ -72,7 +72,7 @@ def crop_arrays(epochs: DataFrame, t0: float, fs: float, tmin: float, tmax: floa
 
 def apply_mask(epochs: DataFrame, mask: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Set the values of trial x channel slices that are not good to NULL."""
-    joined = join_keys(epochs, mask.select(*keys, "is_good"), list(keys), "left")
+    joined = join_measured(epochs, mask.select(*keys, "is_good"), list(keys), "left")
     return joined.withColumn(
         value, F.when(F.coalesce("is_good", F.lit(True)), F.col(value))
     ).drop("is_good")
@@ -82,7 +82,7 @@ def expand_mask(phonemes: DataFrame, mask: DataFrame, n_phons: int, keys: Sequen
     """Trial mask repeated for each of its phonemes (``phoneme`` is a 0-based row index)."""
     by = [*keys, "trial"]
     tagged = phonemes.withColumn("trial", F.floor(F.col("phoneme") / F.lit(n_phons)))
-    return join_keys(tagged, mask.select(*by, "is_good"), by)
+    return join_measured(tagged, mask.select(*by, "is_good"), by)
 
 
 def rescale(
@@ -97,7 +97,7 @@ def rescale(
     stats = baseline.groupBy(*keys).agg(
         F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__std")
     )
-    joined = join_keys(rows, stats, list(keys))
+    joined = join_measured(rows, stats, list(keys))
     centred = F.col(value) - F.col("__mean")
     if mode == "zscore":
         centred = centred / F.nullif(F.col("__std"), F.lit(0.0))
@@ -176,8 +176,8 @@ def impute_by_class(
             F.max("n").alias(f"__{prefix}_n"),
         )
 
-    joined = join_keys(flagged, profile([*key_list, "label"], "class"), [*key_list, "label"], "left")
-    joined = join_keys(joined, profile(key_list, "all"), key_list, "left")
+    joined = join_measured(flagged, profile([*key_list, "label"], "class"), [*key_list, "label"], "left")
+    joined = join_measured(joined, profile(key_list, "all"), key_list, "left")
     chosen = F.when(F.col("__class_n") >= min_trials, F.col("__class")).otherwise(F.col("__all"))
 
     def fill(p):
@@ -196,7 +196,7 @@ def impute_by_mean(
 ) -> DataFrame:
     """Fill missing values with the training mean of the same channel and time."""
     fitted = train.groupBy(*keys).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s"))
-    joined = join_keys(rows, fitted, list(keys), "left")
+    joined = join_measured(rows, fitted, list(keys), "left")
     fill = F.col("__m")
     if noise > 0:
         fill = fill + hashed_normal(seed, *keys, trial) * F.lit(noise) * F.col("__s")
@@ -206,7 +206,7 @@ def impute_by_mean(
 def load_subjects(rows: DataFrame, subjects: Sequence, roots: DataFrame, default_root: str) -> DataFrame:
     """Rows of several subjects in one pruned read; the data root depends on the cohort."""
     picked = rows.filter(F.col("subject").isin(list(subjects)))
-    joined = join_keys(picked, roots.select("subject", "root"), ["subject"], "left")
+    joined = join_measured(picked, roots.select("subject", "root"), ["subject"], "left")
     return joined.withColumn("root", F.coalesce("root", F.lit(default_root)))
 
 

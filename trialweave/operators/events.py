@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import numeric, text
-from ..plans import neighbours, number_rows
-from ..plans.ordering import join_keys
+from ..plans import join_measured, measured, neighbours, number_rows
 
 EVENT_COLUMNS = ["subject", "trial", "onset", "duration", "value", "trial_type", "sample"]
 
@@ -113,7 +112,7 @@ def phoneme_events(
 def prefer_corrected(rows: DataFrame, keys: Sequence[str], priority: str) -> DataFrame:
     """Keep, per key, only the rows of the best source (lowest ``priority``)."""
     best = rows.groupBy(*keys).agg(F.min(priority).alias(priority))
-    return rows.join(best, [*keys, priority], "left_semi")
+    return rows.join(measured(best), [*keys, priority], "left_semi")
 
 
 def select_events(events: DataFrame, name: str, part: str) -> DataFrame:
@@ -167,7 +166,7 @@ def complete_trials(
         return flagged.filter("__in").drop("__in")
     found = flagged.filter("__in").select("subject").distinct().withColumn("__any", F.lit(True))
     return (
-        join_keys(flagged, found, ["subject"], "left")
+        join_measured(flagged, found, ["subject"], "left")
         .filter(F.col("__in") | F.col("__any").isNull())
         .drop("__in", "__any")
     )
@@ -183,7 +182,7 @@ def recode_events(events: DataFrame, name: str, by: Sequence[str] = ()) -> DataF
     labelled = events.withColumn("label", text.strip_stress(text.last_component(F.col(name))))
     labels = labelled.select(*by, "label").distinct()
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("label"))
-    return join_keys(labelled, labels.withColumn("code", rank), [*by, "label"])
+    return join_measured(labelled, labels.withColumn("code", rank), [*by, "label"])
 
 
 def event_balance(events: DataFrame) -> DataFrame:
@@ -199,7 +198,7 @@ def event_balance(events: DataFrame) -> DataFrame:
 def replace_events(events: DataFrame, supplied: DataFrame) -> DataFrame:
     """Replace the event types present in ``supplied`` (per subject), keep the others."""
     given = supplied.select("subject", "trial_type").distinct()
-    kept = events.join(given, ["subject", "trial_type"], "left_anti")
+    kept = events.join(measured(given), ["subject", "trial_type"], "left_anti")
     return kept.unionByName(supplied.select(*events.columns))
 
 

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import is_close
-from ..plans import cut_lineage
-from ..plans.ordering import join_keys
+from ..plans import cut_lineage, join_keys, join_measured
 from .channels import NEIGHBOUR_STEPS
 
 
@@ -21,7 +20,7 @@ def grid_positions(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> Da
     size = chanmap.groupBy(*keys).agg(
         (F.max("row") + 1).alias("__rows"), (F.max("col") + 1).alias("__cols")
     )
-    cells = join_keys(chanmap.filter(F.col("channel_number").isNotNull()), size, list(keys))
+    cells = join_measured(chanmap.filter(F.col("channel_number").isNotNull()), size, list(keys))
     return cells.select(
         *keys,
         F.concat(F.lit("R"), F.col("row").cast("string"), F.lit("-C"), F.col("col").cast("string")).alias(
@@ -57,7 +56,7 @@ def split_hemispheres(electrodes: DataFrame) -> DataFrame:
 def _scaled(rows: DataFrame, keys: Sequence[str], column, flat, low, high, name: str) -> DataFrame:
     source = rows.withColumn("__v", column)
     ends = source.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    joined = join_keys(source, ends, list(keys))
+    joined = join_measured(source, ends, list(keys))
     unit = (F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     scaled = F.when(is_close(F.col("__lo"), F.col("__hi")), F.lit(flat)).otherwise(
         F.lit(low) + unit * F.lit(high - low)

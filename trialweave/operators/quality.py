@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.ordering import join_keys
+from ..plans import join_measured
 
 
 def good_trials_amplitude(
@@ -22,7 +22,7 @@ def good_trials_amplitude(
     limits = rows.groupBy(*keys).agg(
         (F.lit(threshold) * F.stddev_pop(magnitude) + F.avg(magnitude)).alias("__limit")
     )
-    joined = join_keys(per_trial, limits, list(keys))
+    joined = join_measured(per_trial, limits, list(keys))
     return joined.select(
         *keys, "trial", ((F.col("__peak") < F.col("__limit")) & (F.col("__peak") != 0)).alias("is_good")
     )
@@ -62,7 +62,7 @@ def good_trials_common(
         F.count(F.lit(1)).alias("__channels")
     )
     counts = mask.groupBy(*subject, "trial").agg(F.count_if("is_good").alias("n_good"))
-    joined = join_keys(counts, channels, list(subject))
+    joined = join_measured(counts, channels, list(subject))
     return joined.select(
         *subject, "trial", (F.col("n_good") >= F.lit(float(fraction)) * F.col("__channels")).alias("is_good")
     )

@@ -9,8 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
-from ..plans import neighbours
-from ..plans.ordering import join_keys
+from ..plans import join_keys, join_measured, measured, neighbours
 
 
 def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "value") -> DataFrame:
@@ -69,7 +68,7 @@ def reference_average(chunks: DataFrame, bad: DataFrame | None = None) -> DataFr
     if bad is None:
         return _subtract_reference(chunks, chunks, F.lit(True))
     flags = bad.select("subject", "channel").distinct().withColumn("__bad", F.lit(True))
-    flagged = join_keys(chunks, flags, ["subject", "channel"], "left").withColumn(
+    flagged = join_measured(chunks, flags, ["subject", "channel"], "left").withColumn(
         "__bad", F.coalesce("__bad", F.lit(False))
     )
     return _subtract_reference(flagged, flagged.filter(~F.col("__bad")), ~F.col("__bad")).drop("__bad")
@@ -92,7 +91,7 @@ def reference_white_matter(chunks: DataFrame, channels: DataFrame) -> DataFrame:
         .join(present, ["subject", "channel"], "left_semi")
     )
     best = graded.groupBy("subject").agg(F.min("__grade").alias("__grade"))
-    chosen = graded.join(best, ["subject", "__grade"], "left_semi").select("subject", "channel").distinct()
+    chosen = measured(graded.join(best, ["subject", "__grade"], "left_semi").select("subject", "channel").distinct())
     return _subtract_reference(chunks, chunks.join(chosen, ["subject", "channel"], "left_semi"), F.lit(True))
 
 
@@ -144,7 +143,7 @@ def detrend(rows: DataFrame, keys: Sequence[str], index: str = "sample", value:
     line = rows.groupBy(*keys).agg(
         F.regr_slope(value, index).alias("__slope"), F.regr_intercept(value, index).alias("__icpt")
     )
-    joined = join_keys(rows, line, list(keys))
+    joined = join_measured(rows, line, list(keys))
     return joined.withColumn(
         value, F.col(value) - (F.col("__slope") * F.col(index) + F.col("__icpt"))
     ).drop("__slope", "__icpt")

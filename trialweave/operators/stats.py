@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..plans import hashed_rank
-from ..plans.ordering import join_keys
+from ..plans import hashed_rank, join_keys, join_measured, measured, number_and_least
 
 
 def _seed_text(*parts) -> F.Column:
@@ -36,6 +35,7 @@ def permutation_test(
         F.count_if(outside).alias("n_baseline"),
         (F.avg(F.when(inside, F.col("value"))) - F.avg(F.when(outside, F.col("value")))).alias("difference"),
     )
+    observed = measured(observed)  # one row per channel
     testable = observed.filter((F.col("n_interest") >= 2) & (F.col("n_baseline") >= 2))
     dealt = join_keys(valid, testable.select(*key_list, "n_interest"), key_list).withColumn(
         "perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
@@ -61,15 +61,18 @@ def permutation_test(
 def false_discovery(pvalues: DataFrame, family: Sequence[str] = (), p: str = "p") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values ``q`` within ``family``.
 
-    The window holds one row per test of a family (the channels of a subject).
+    From the largest p-value down, ``q`` is the running minimum of ``p * n / rank``. A
+    family may span many tasks.
     """
-    order = Window.partitionBy(*family).orderBy(p)
-    ranked = pvalues.withColumn("__r", F.row_number().over(order)).withColumn(
-        "__n", F.count(F.lit(1)).over(Window.partitionBy(*family))
-    )
-    raw = F.col(p) * F.col("__n") / F.col("__r")
-    above = Window.partitionBy(*family).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(raw).over(above))).drop("__r", "__n")
+    keys = list(family)
+    sizes = pvalues.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sized = join_measured(pvalues, sizes, keys)
+
+    def raw():  # the row number counts from the largest p-value
+        return F.col(p) * F.col("__n") / (F.col("__n") - F.col("__r") + 1)
+
+    scanned = number_and_least(sized, keys, [F.desc(p)], "__r", raw, "q")
+    return scanned.withColumn("q", F.least(F.lit(1.0), F.col("q"))).drop("__r", "__n")
 
 
 def significant_channels(pvalues: DataFrame, family: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
@@ -90,7 +93,7 @@ def stratified_folds(
     sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).agg(
         F.max("__n").alias("__largest")
     )
-    tagged = join_keys(rows, sizes, by).withColumn(
+    tagged = join_measured(rows, sizes, by).withColumn(
         "__stratum",
         F.when(F.col("__largest") >= k, F.concat(F.lit("="), F.col(label).cast("string"))).otherwise(""),
     )
@@ -162,7 +165,7 @@ def score_summary(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def shared_labels(pooled: DataFrame, target: DataFrame, label: str = "label") -> DataFrame:
     """Pooled rows whose label occurs in the target."""
-    return pooled.join(target.select(label).distinct(), [label], "left_semi")
+    return pooled.join(measured(target.select(label).distinct()), [label], "left_semi")
 
 
 def shared_classes(rows: DataFrame, label: str = "label", subject: str = "subject") -> DataFrame:
@@ -200,7 +203,7 @@ def trial_subselect(rows: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
     Labels that a subject lacks are dropped. Trials are taken in hash order; ``pick``
     numbers them.
     """
-    shared = rows.join(shared_classes(rows), ["label"], "left_semi")
+    shared = rows.join(measured(shared_classes(rows)), ["label"], "left_semi")
     least = (
         shared.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("label").agg(F.min("n").alias("__least"))
@@ -208,4 +211,4 @@ def trial_subselect(rows: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
     ranked = hashed_rank(
         shared, ["subject", "label"], _seed_text(F.lit(str(seed)), row_id), [row_id], "pick"
     )
-    return join_keys(ranked, least, ["label"]).filter(F.col("pick") <= F.col("__least")).drop("__least")
+    return join_measured(ranked, least, ["label"]).filter(F.col("pick") <= F.col("__least")).drop("__least")

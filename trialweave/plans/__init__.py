@@ -1,11 +1,13 @@
 """Physical-plan helpers shared by the operators."""
 
 from .checkpoints import cut_lineage
+from .sizing import join_measured, measured
 from .ordering import (
     exact_quantiles,
     hashed_rank,
     join_keys,
     neighbours,
+    number_and_least,
     number_rows,
     running_sum,
 )
@@ -17,8 +19,11 @@ __all__ = [
     "exact_quantiles",
     "hashed_rank",
     "join_keys",
+    "join_measured",
+    "measured",
     "moments",
     "neighbours",
+    "number_and_least",
     "number_rows",
     "run_blocks",
     "running_sum",

@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .ordering import join_keys
+from .sizing import join_measured
 
 _FLUSH_DOUBLES = 8_000_000  # partial sums held by one task before they are emitted
 
@@ -77,7 +78,7 @@ def split_blocks(
     blocks = rows.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_block)).cast("int").alias("__blocks")
     )
-    return join_keys(rows, blocks, keys).withColumn(
+    return join_measured(rows, blocks, keys).withColumn(
         "__block", F.pmod(F.xxhash64(row_id), F.col("__blocks")).cast("int")
     )
 

@@ -14,12 +14,13 @@ rows. The helpers here split groups instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from .checkpoints import cut_lineage
+from .sizing import join_measured
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
@@ -53,15 +54,8 @@ def _place(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -
     return cut_lineage(placed)
 
 
-def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rn"
-) -> DataFrame:
-    """``row_number() over (partition by group order by order)`` as BIGINT.
-
-    ``order`` should be unique within a group; rows that tie are numbered in one
-    arbitrary but fixed order.
-    """
-    placed = _place(df, group, order)
+def _with_ranks(placed: DataFrame, group: Sequence[str], name: str) -> DataFrame:
+    """Row numbers of placed rows: position in the task plus the group's rows in earlier tasks."""
     tasks = [*group, "__task"]
     pieces = placed.groupBy(*tasks).agg(
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__rows")
@@ -71,12 +65,37 @@ def number_rows(
     pieces = pieces.select(
         *tasks,
         "__first",
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__earlier"),
     )
-    numbered = join_keys(placed, pieces, tasks)
-    return numbered.withColumn(
-        name, F.col("__mid") - F.col("__first") + F.col("__before") + F.lit(1)
-    ).drop("__mid", "__task", "__first", "__before")
+    return join_measured(placed, pieces, tasks).withColumn(
+        name, F.col("__mid") - F.col("__first") + F.col("__earlier") + F.lit(1)
+    ).drop("__first", "__earlier")
+
+
+def _running(placed: DataFrame, group: Sequence[str], value: str, name: str, fn, merge) -> DataFrame:
+    """Running aggregate of placed rows: inside the task, merged with the earlier tasks."""
+    tasks = [*group, "__task"]
+    before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = placed.groupBy(*tasks).agg(fn(value).alias("__piece"))
+    pieces = pieces.select(*tasks, fn("__piece").over(before).alias("__earlier"))
+    inside = Window.partitionBy(*tasks).orderBy("__mid").rowsBetween(Window.unboundedPreceding, 0)
+    scanned = placed.withColumn("__inside", fn(value).over(inside))
+    return (
+        join_measured(scanned, pieces, tasks)
+        .withColumn(name, merge(F.col("__inside"), F.col("__earlier")))
+        .drop("__inside", "__earlier")
+    )
+
+
+def number_rows(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rn"
+) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` as BIGINT.
+
+    ``order`` should be unique within a group; rows that tie are numbered in one
+    arbitrary but fixed order.
+    """
+    return _with_ranks(_place(df, group, order), group, name).drop("__mid", "__task")
 
 
 def running_sum(
@@ -87,20 +106,22 @@ def running_sum(
     name: str = "running",
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within ``group`` in ``order``."""
+    zero = F.lit(0)
+
+    def merge(inside: Column, earlier: Column) -> Column:
+        return F.coalesce(inside, zero) + F.coalesce(earlier, zero)
+
     placed = _place(df, group, order)
-    tasks = [*group, "__task"]
-    pieces = placed.groupBy(*tasks).agg(F.sum(value).alias("__total"))
-    before = Window.partitionBy(*group).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
-        *tasks, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before")
-    )
-    inside = Window.partitionBy(*tasks).orderBy("__mid").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("__inside", F.sum(value).over(inside))
-    return (
-        join_keys(placed, pieces, tasks)
-        .withColumn(name, F.col("__before") + F.coalesce("__inside", F.lit(0)))
-        .drop("__mid", "__task", "__inside", "__before")
-    )
+    return _running(placed, group, value, name, F.sum, merge).drop("__mid", "__task")
+
+
+def number_and_least(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], rank: str, value: Callable[[], Column], name: str
+) -> DataFrame:
+    """Row number ``rank`` plus the running minimum ``name`` of an expression that may use it."""
+    placed = _with_ranks(_place(df, group, order), group, rank).withColumn("__value", value())
+    least = _running(placed, group, "__value", name, F.min, lambda a, e: F.least(a, e))
+    return least.drop("__value", "__mid", "__task")
 
 
 def hashed_rank(
@@ -185,7 +206,7 @@ def exact_quantiles(
     )
     width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     place = F.floor((F.col("__x") - F.col("__lo")) / width * F.lit(bins))
-    binned = join_keys(rows, ends, keys).withColumn(
+    binned = join_measured(rows, ends, keys).withColumn(
         "__bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0))
     )
     order = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -200,7 +221,7 @@ def exact_quantiles(
     for rank in ranks:
         wanted = wanted | ((F.col("__lower") <= rank) & (rank < F.col("__lower") + F.col("__rows_at")))
     chosen = counts.filter(wanted).select(*keys, "__bin", "__lower")
-    picked = join_keys(binned, chosen, [*keys, "__bin"])
+    picked = join_measured(binned, chosen, [*keys, "__bin"])
     by_value = picked.groupBy(*keys, "__bin", "__lower", "__total", "__x").agg(
         F.count(F.lit(1)).alias("__rows_at")
     )
