@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -56,9 +57,39 @@ def iir_notch(spark, sf):
     return _long(fl.iir_notch(b.samples(spark, sf), FS, 12.0, b.CHUNK))
 
 
-@query("resample_poly")
+_UP, _DOWN = 2, 5
+_POLY = fl.poly_taps(_UP, _DOWN)
+
+
+@query(
+    "resample_poly",
+    f"""WITH {b.SIGNAL_SQL}, {_N}, h AS (SELECT i - {len(_POLY) // 2} AS k, w FROM (VALUES {_values(_POLY)}) AS v(i, w))
+    SELECT subject, channel, (k + {_UP} * sig.sample) // {_DOWN} AS sample, round(sum(w * value), 4) + 0.0 AS value
+    FROM sig JOIN n USING (subject, channel), h
+    WHERE (k + {_UP} * sig.sample) % {_DOWN} = 0 AND k + {_UP} * sig.sample >= 0
+      AND (k + {_UP} * sig.sample) // {_DOWN} < (n * {_UP} + {_DOWN} - 1) // {_DOWN} GROUP BY ALL""",
+)
 def resample_poly(spark, sf):
-    return _long(fl.resample_poly(b.samples(spark, sf), 2, 5))
+    return _long(fl.resample_poly(b.samples(spark, sf), _UP, _DOWN))
+
+
+# Linear kernels are written out as matrices (response to each single sample) for SQL.
+
+
+def _matrix(m) -> str:
+    return ", ".join(
+        f"({i}, {j}, {float(x)!r}::DOUBLE)" for i, row in enumerate(m) for j, x in enumerate(row)
+    )
+
+
+_UNITS = np.eye(b.TRIAL_SAMPLES)
+_FULL_SQL = """fe AS (SELECT subject, channel, trial, t, value FROM dep JOIN (SELECT subject, channel, trial
+      FROM dep GROUP BY ALL HAVING count(*) = 25) USING (subject, channel, trial))"""
+
+
+def _full_epochs(spark, sf):
+    """Complete trials; one cut off by the end of the recording is dropped."""
+    return b.epoch_arrays(spark, sf).filter(F.size("values") == b.TRIAL_SAMPLES)
 
 
 def _array_rows(df):
@@ -67,25 +98,48 @@ def _array_rows(df):
     )
 
 
-@query("resample")
+@query(
+    "resample",
+    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
+    m AS (SELECT * FROM (VALUES {_matrix(fl.fft_resample_kernel(FS, 40.0)(_UNITS))}) AS v(i, j, w))
+    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM fe JOIN m ON t = i GROUP BY ALL""",
+)
 def resample(spark, sf):
-    rows = b.epoch_arrays(spark, sf)
+    rows = _full_epochs(spark, sf)
     return _array_rows(rows.withColumn("values", fl.resample(F.col("values"), FS, 40.0)))
 
 
-@query("extract_band")
+_BAND, _SMOOTH_MS = (10.0, 30.0), 20.0
+
+
+@query(
+    "extract_band",
+    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
+    m AS (SELECT * FROM (VALUES {_matrix(fl.band_kernel(*_BAND, FS)(_UNITS))}) AS v(i, j, w)),
+    g AS (SELECT * FROM (VALUES {_matrix(fl.smooth_kernel(_SMOOTH_MS / 1000 * FS)(_UNITS))}) AS v(i, j, w)),
+    p AS (SELECT subject, trial, channel, j AS t, abs(sum(w * value)) AS value FROM fe JOIN m ON t = i GROUP BY ALL)
+    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM p JOIN g ON t = i GROUP BY ALL""",
+)
 def extract_band(spark, sf):
-    return _array_rows(fl.extract_band(b.epoch_arrays(spark, sf), FS, (10.0, 30.0), "abs", 20.0))
+    return _array_rows(fl.extract_band(_full_epochs(spark, sf), FS, _BAND, "abs", _SMOOTH_MS))
 
 
-@query("band_envelope")
+@query(
+    "band_envelope",
+    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
+    re AS (SELECT * FROM (VALUES {_matrix(fl.analytic_band(_UNITS, *_BAND, FS).real)}) AS v(i, j, w)),
+    im AS (SELECT * FROM (VALUES {_matrix(fl.analytic_band(_UNITS, *_BAND, FS).imag)}) AS v(i, j, w)),
+    a AS (SELECT subject, trial, channel, re.j AS t, sum(re.w * value) AS x, sum(im.w * value) AS y
+      FROM fe JOIN re ON t = re.i JOIN im ON im.i = re.i AND im.j = re.j GROUP BY ALL)
+    SELECT subject, trial, channel, t, round(sqrt(x * x + y * y), 4) + 0.0 AS value FROM a""",
+)
 def band_envelope(spark, sf):
-    return _array_rows(fl.extract_envelope(b.epoch_arrays(spark, sf), FS, (10.0, 30.0)))
+    return _array_rows(fl.extract_envelope(_full_epochs(spark, sf), FS, _BAND))
 
 
 @query("spectrogram")
 def spectrogram(spark, sf):
-    rows = b.epoch_arrays(spark, sf)
+    rows = _full_epochs(spark, sf)
     out = fl.spectrogram(rows, rows.filter("label = 0"), FS, range(5, 45, 4), pad_s=0.1)
     return out.withColumn("power", R(F.col("power")))
 
@@ -104,7 +158,7 @@ _GAUSS = fl.gaussian_weights(_SIGMA)
       AND x.trial = s.trial AND x.t = {_MIRROR} GROUP BY ALL HAVING max(n) = 25""",
 )
 def gauss_smooth(spark, sf):
-    rows = b.epoch_arrays(spark, sf).filter(F.size("values") == b.TRIAL_SAMPLES)
+    rows = _full_epochs(spark, sf)
     return _array_rows(rows.withColumn("values", fl.smooth(F.col("values"), _SIGMA)))
 
 

@@ -116,17 +116,18 @@ def band_kernel(low: float, high: float, fs: float, order: int = 4) -> Callable:
     return run
 
 
-def envelope_kernel(low: float, high: float, fs: float) -> Callable:
-    """Magnitude of the analytic signal restricted to a band."""
+def analytic_band(x: np.ndarray, low: float, high: float, fs: float) -> np.ndarray:
+    """Complex analytic signal of mirrored rows, restricted to a band."""
+    n = x.shape[1]
+    padded = mirror(x, n, n)
+    freqs = np.fft.fftfreq(padded.shape[1], 1 / fs)
+    keep = (freqs >= low) & (freqs <= high)
+    return np.fft.ifft(np.fft.fft(padded) * keep * 2.0)[:, n : 2 * n]
 
-    def run(x: np.ndarray) -> np.ndarray:
-        n = x.shape[1]
-        padded = mirror(x, n, n)
-        freqs = np.fft.fftfreq(padded.shape[1], 1 / fs)
-        keep = (freqs >= low) & (freqs <= high)
-        return np.abs(np.fft.ifft(np.fft.fft(padded) * keep * 2.0))[:, n : 2 * n]
 
-    return run
+def envelope_kernel(low: float, high: float, fs: float) -> Callable:
+    """Magnitude of the analytic signal restricted to a band."""
+    return lambda x: np.abs(analytic_band(x, low, high, fs))
 
 
 def fft_resample_kernel(fs: float, out_fs: float) -> Callable:
@@ -313,6 +314,14 @@ def notch(
     return bordered.withColumn("values", _border_udf(run)("values", "left", "right")).drop("left", "right")
 
 
+def poly_taps(up: int, down: int) -> np.ndarray:
+    """Kaiser-windowed low-pass at the lower of both Nyquist limits, gain ``up``."""
+    half = 10 * max(up, down)
+    cutoff = 1.0 / max(up, down)
+    h = cutoff * np.sinc(cutoff * np.arange(-half, half + 1)) * np.kaiser(2 * half + 1, 5.0)
+    return h * (up / h.sum())
+
+
 def resample_poly(
     chunks: DataFrame, up: int, down: int, keys: Sequence[str] = ("subject", "channel")
 ) -> DataFrame:
@@ -325,11 +334,8 @@ def resample_poly(
     up, down = up // common, down // common
     if up == down:
         return chunks
-    half = 10 * max(up, down)
-    k = np.arange(-half, half + 1)
-    cutoff = 1.0 / max(up, down)
-    h = cutoff * np.sinc(cutoff * k) * np.kaiser(2 * half + 1, 5.0)
-    h *= up / h.sum()
+    h = poly_taps(up, down)
+    half = len(h) // 2
     reach = half // up + 1
 
     @F.pandas_udf("array<double>")
