@@ -117,3 +117,15 @@ def test_bad_trial_mask_expands(spark):
     mask = spark.createDataFrame([("s", 0, True), ("s", 1, False)], "subject string, trial long, is_good boolean")
     got = {r.phoneme: r.is_good for r in ep.expand_mask(phon, mask, 3, ["subject"]).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_average_over_channels_of_unequal_length(spark):
+    got = by_channel(sg.reference_average(chunks(spark, {"E1": [1, 2], "E2": [3, 6, 5]})))
+    assert got == {"E1": [-1.0, -2.0], "E2": [1.0, 2.0, 0.0]}
+
+
+def test_load_needs_every_subject(spark):
+    df = spark.createDataFrame([("s", "E1", 1e-6), ("s", "Trigger", 1.0)], "subject string, channel string, value double")
+    assert [round(r.value, 6) for r in sg.load_microvolts(df, ["s"]).collect()] == [1.0]
+    with pytest.raises(ValueError, match="x"):
+        sg.load_microvolts(df, ["s", "x"])

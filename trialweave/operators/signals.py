@@ -38,8 +38,16 @@ def to_long(chunks: DataFrame) -> DataFrame:
 
 
 def load_microvolts(samples: DataFrame, subjects: Sequence | None = None, value: str = "value") -> DataFrame:
-    """Volts to microvolts, trigger channel left out; ``subjects`` prunes the scan."""
+    """Volts to microvolts, trigger channel left out; ``subjects`` prunes the scan.
+
+    A requested subject without any data is an error.
+    """
     rows = samples if subjects is None else samples.filter(F.col("subject").isin(list(subjects)))
+    if subjects is not None:
+        found = {r.subject for r in rows.select("subject").distinct().limit(len(subjects)).collect()}
+        missing = [s for s in subjects if s not in found]
+        if missing:
+            raise ValueError(f"no data found for subjects: {missing}")
     scaled = (
         F.transform(value, lambda v: v * F.lit(1e6))
         if dict(rows.dtypes)[value].startswith("array")
@@ -52,12 +60,37 @@ def _subtract_reference(chunks: DataFrame, reference: DataFrame, target) -> Data
     """Subtract the element-wise mean of the ``reference`` rows of each (subject, chunk).
 
     The mean is one JVM aggregate over vectors with map-side combine, so a row is one
-    chunk and not one sample.
+    chunk and not one sample. Channels may differ in length (a recording cut off within a
+    chunk): sums are taken per length, of which there is one in nearly all chunks, and a
+    sample's mean runs over the channels that reach it.
     """
-    mean = Summarizer.mean(array_to_vector("values"))
-    means = reference.groupBy("subject", "chunk").agg(vector_to_array(mean).alias("__mean"))
+    sums = reference.groupBy("subject", "chunk", F.size("values").alias("__len")).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("values"))).alias("s"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    parts = sums.groupBy("subject", "chunk").agg(
+        F.collect_list(F.struct("s", "n")).alias("__parts"), F.max("__len").alias("__len")
+    )
+    zero = F.lit(0.0)
+
+    def mean_at(i):
+        total = F.aggregate("__parts", zero, lambda acc, p: acc + F.coalesce(F.get(p["s"], i), zero))
+        count = F.aggregate(
+            "__parts", F.lit(0).cast("long"),
+            lambda acc, p: acc + F.when(i < F.size(p["s"]), p["n"]).otherwise(F.lit(0)),
+        )
+        return total / count
+
+    places = F.transform(F.sequence(F.lit(0), F.col("__len") - 1), mean_at)
+    single = F.get("__parts", F.lit(0))
+    means = parts.select(
+        "subject", "chunk",
+        F.when(F.size("__parts") == 1, F.transform(single["s"], lambda v: v / single["n"]))
+        .otherwise(places)
+        .alias("__mean"),
+    )
     joined = join_keys(chunks, means, ["subject", "chunk"], "left")
-    changed = F.zip_with("values", "__mean", lambda v, m: v - m)
+    changed = F.slice(F.zip_with("values", "__mean", lambda v, m: v - m), F.lit(1), F.size("values"))
     return joined.withColumn(
         "values", F.when(target & F.col("__mean").isNotNull(), changed).otherwise(F.col("values"))
     ).drop("__mean")
@@ -110,20 +143,19 @@ def reference_laplacian(chunks: DataFrame) -> DataFrame:
     near = tagged.withColumn("__prev", F.lag("values").over(window)).withColumn(
         "__next", F.lead("values").over(window)
     )
-    halves = F.transform(
-        F.arrays_zip("values", "__prev", "__next"),
-        lambda s: s["values"] - F.lit(0.5) * (s["__prev"] + s["__next"]),
+
+    def referenced(v, i):  # a contact without a neighbour on one side turns bipolar
+        before, after = F.get("__prev", i), F.get("__next", i)
+        return (
+            F.when(before.isNotNull() & after.isNotNull(), v - F.lit(0.5) * (before + after))
+            .when(after.isNotNull(), v - after)
+            .when(before.isNotNull(), v - before)
+            .otherwise(v)
+        )
+
+    return near.withColumn("values", F.transform("values", referenced)).drop(
+        "__shaft", "__contact", "__prev", "__next"
     )
-    minus_prev = F.zip_with("values", "__prev", lambda v, p: v - p)
-    minus_next = F.zip_with("values", "__next", lambda v, n: v - n)
-    has_prev, has_next = F.col("__prev").isNotNull(), F.col("__next").isNotNull()
-    return near.withColumn(
-        "values",
-        F.when(has_prev & has_next, halves)
-        .when(has_next, minus_next)
-        .when(has_prev, minus_prev)
-        .otherwise(F.col("values")),
-    ).drop("__shaft", "__contact", "__prev", "__next")
 
 
 def set_reference(chunks: DataFrame, scheme: str, bad: DataFrame | None = None, channels: DataFrame | None = None):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window
 
 from .checkpoints import cut_lineage
-from .sizing import join_measured
+from .sizing import fits_broadcast, join_measured
 
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
@@ -201,12 +201,17 @@ def exact_quantiles(
     """
     keys = list(group)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__x"))
-    ends = rows.groupBy(*keys).agg(
-        F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__total")
+    ends = cut_lineage(
+        rows.groupBy(*keys).agg(
+            F.min("__x").alias("__lo"), F.max("__x").alias("__hi"), F.count(F.lit(1)).alias("__total")
+        )
     )
+    small = fits_broadcast(ends)
+    if small:
+        ends = F.broadcast(ends)
     width = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     place = F.floor((F.col("__x") - F.col("__lo")) / width * F.lit(bins))
-    binned = join_measured(rows, ends, keys).withColumn(
+    binned = join_keys(rows, ends, keys).withColumn(
         "__bin", F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0))
     )
     order = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,8 +225,11 @@ def exact_quantiles(
     wanted = F.lit(False)
     for rank in ranks:
         wanted = wanted | ((F.col("__lower") <= rank) & (rank < F.col("__lower") + F.col("__rows_at")))
+    # at most two bins per quantile and group: small whenever ``ends`` is
     chosen = counts.filter(wanted).select(*keys, "__bin", "__lower")
-    picked = join_measured(binned, chosen, [*keys, "__bin"])
+    if small:
+        chosen = F.broadcast(chosen)
+    picked = join_keys(binned, chosen, [*keys, "__bin"])
     by_value = picked.groupBy(*keys, "__bin", "__lower", "__total", "__x").agg(
         F.count(F.lit(1)).alias("__rows_at")
     )

@@ -23,6 +23,14 @@ def _bytes(field: T.StructField):
     return F.lit(16)
 
 
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table is small enough to broadcast."""
+    row = F.lit(0)
+    for field in table.schema.fields:
+        row = row + _bytes(field)
+    return (table.agg(F.sum(row).alias("size")).first().size or 0) <= limit
+
+
 def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Materialise an aggregate and mark it for broadcast if it is small enough.
 
@@ -31,11 +39,7 @@ def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     the mark and the join shuffles, with skewed keys split at run time.
     """
     table = cut_lineage(df)
-    row = F.lit(0)
-    for field in table.schema.fields:
-        row = row + _bytes(field)
-    size = table.agg(F.sum(row).alias("size")).first().size or 0
-    return F.broadcast(table) if size <= limit else table
+    return F.broadcast(table) if fits_broadcast(table, limit) else table
 
 
 def join_measured(
