@@ -9,7 +9,7 @@ from ..functions.numeric import rounded as R
 from ..operators import alignment as al, decoding as dc, epochs as ep, stats as st
 from .registry import query
 
-CHANNELS = STEPS = 8
+STEPS = 8
 
 
 def _trajectories(spark, sf):
@@ -51,12 +51,12 @@ def decode_linear(spark, sf):
 
 @query("pool_sep_pca")
 def pool_sep_pca(spark, sf):
-    out = al.pool_separate_pca(_trajectories(spark, sf), 0, CHANNELS)
+    out = al.pool_separate_pca(_trajectories(spark, sf), 0, STEPS)
     return out.withColumn("vec", F.transform("vec", lambda v: R(v)))
 
 
 def _sides(spark, sf):
-    steps = al.time_rows(_trajectories(spark, sf), CHANNELS)
+    steps = al.time_rows(_trajectories(spark, sf), STEPS)
     return steps.filter("subject = 0").drop("subject"), steps.filter("subject > 0")
 
 
@@ -84,5 +84,5 @@ def cca_transform(spark, sf):
 
 @query("decode_cross")
 def decode_cross(spark, sf):
-    predictions = al.decode_across(_trajectories(spark, sf), 0, CHANNELS, STEPS, k=5, n_iter=2)
+    predictions = al.decode_across(_trajectories(spark, sf), 0, STEPS, k=5, n_iter=2)
     return dc.decode_scores(predictions)

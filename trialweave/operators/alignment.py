@@ -137,18 +137,17 @@ def transform(rows: DataFrame, matrices: DataFrame, keys: Sequence[str], row_id:
 # --- time-resolved rows ------------------------------------------------------------
 
 
-def time_rows(rows: DataFrame, n_channels: int, first: int = 0, stop: int | None = None) -> DataFrame:
+def time_rows(rows: DataFrame, n_steps: int, first: int = 0, stop: int | None = None) -> DataFrame:
     """Trial vectors (time-major) to one row per time step with the channel vector.
 
-    ``first``/``stop`` select time steps (half-open).
+    ``first``/``stop`` select time steps (half-open). Subjects may differ in their number of
+    channels.
     """
-    steps = F.floor(F.size("vec") / F.lit(n_channels))
-    last = steps if stop is None else F.least(steps, F.lit(stop))
-    times = F.filter(F.sequence(F.lit(first).cast("long"), F.greatest(last - 1, F.lit(first))), lambda t: t < last)
+    times = F.array(*[F.lit(t) for t in range(first, n_steps if stop is None else min(stop, n_steps))])
+    channels = F.floor(F.size("vec") / F.lit(n_steps)).cast("int")
     others = [c for c in rows.columns if c != "vec"]
     return rows.withColumn("t", F.explode(times)).select(
-        *others, F.col("t").cast("int").alias("t"),
-        F.slice("vec", (F.col("t") * n_channels + 1).cast("int"), F.lit(n_channels)).alias("vec"),
+        *others, "t", F.slice("vec", F.col("t") * channels + 1, channels).alias("vec")
     )
 
 
@@ -165,21 +164,21 @@ def truncate_axes(models: DataFrame, k) -> DataFrame:
     return models.withColumn("comps", F.slice("comps", F.lit(1), (dim * k).cast("int")))
 
 
-def separate_pca(rows: DataFrame, n_channels: int, n_comp: float = 0.8) -> DataFrame:
+def separate_pca(rows: DataFrame, n_steps: int, n_comp: float = 0.8) -> DataFrame:
     """Channel PCA per subject, cut to the smallest number of axes any subject needs."""
-    models = dc.fit_pca(time_rows(rows, n_channels), ["subject"], n_comp)
+    models = dc.fit_pca(time_rows(rows, n_steps), ["subject"], n_comp)
     common = models.agg(F.min(F.size("eigen")).alias("__k"))
     return truncate_axes(join_keys(models, common, []), F.col("__k")).drop("__k")
 
 
-def pool_separate_pca(rows: DataFrame, target, n_channels: int, n_comp: float = 0.8) -> DataFrame:
+def pool_separate_pca(rows: DataFrame, target, n_steps: int, n_comp: float = 0.8) -> DataFrame:
     """Pooled trials of all subjects in their own axes, labels of the target only.
 
     Result: subject, trial, label, vec (time-major latent trajectory).
     """
-    models = separate_pca(rows, n_channels, n_comp)
+    models = separate_pca(rows, n_steps, n_comp)
     latent = dc.project(
-        time_rows(rows, n_channels), models, ["subject"], "trial", carry=["label", "t"]
+        time_rows(rows, n_steps), models, ["subject"], "trial", carry=["label", "t"]
     )
     parts = F.array_sort(F.collect_list(F.struct("t", "vec")))
     flat = latent.groupBy("subject", "trial", "label").agg(
@@ -222,39 +221,52 @@ def _axes_udf():
     return to_axes
 
 
-def cca_maps(target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame) -> DataFrame:
-    """Source maps into the target's axes by CCA of class-mean trajectories.
+FOLD = ["iter", "test_fold"]
 
-    Works on class means only (labels x times x channels). Result: subject, iter,
-    test_fold, ``lin_mean``, ``lin_matrix``.
+
+def _own_axes(pca: DataFrame) -> DataFrame:
+    """Linear maps that are nothing but a subject's own axes."""
+    return pca.select(
+        "subject", *FOLD, F.col("mean").alias("lin_mean"), _transpose_udf()("comps", "mean").alias("lin_matrix")
+    )
+
+
+def cca_maps(
+    target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame
+) -> DataFrame:
+    """The target in its own axes, the sources carried into them by CCA of class-mean trajectories.
+
+    Works on class means only (labels x times x channels).
     """
-    fold = ["iter", "test_fold"]
-    a = target_means.join(target_pca, fold).select(
-        *fold, "label", "t", _axes_udf()("vec", "mean", "comps").alias("vec_a")
+    a = target_means.join(target_pca.drop("subject"), FOLD).select(
+        *FOLD, "label", "t", _axes_udf()("vec", "mean", "comps").alias("vec_a")
     )
     b = source_means.join(source_pca, "subject").select(
         "subject", "label", "t", _axes_udf()("vec", "mean", "comps").alias("vec_b")
     )
-    fitted = cca_matrix(fit_cca(b.join(a, ["label", "t"]), ["subject", *fold]), "b_to_a")
-    return fitted.join(source_pca, "subject").select(
-        "subject", *fold, F.col("mean").alias("lin_mean"),
+    fitted = cca_matrix(fit_cca(b.join(a, ["label", "t"]), ["subject", *FOLD]), "b_to_a")
+    sources = fitted.join(source_pca, "subject").select(
+        "subject", *FOLD, F.col("mean").alias("lin_mean"),
         _map_udf()("comps", "mean", "matrix", "rows").alias("lin_matrix"),
     )
+    return sources.unionByName(_own_axes(target_pca))
 
 
-def separate_maps(target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame) -> DataFrame:
-    """Source maps without alignment: each source's own axes, as they are."""
-    folds = target_pca.select("iter", "test_fold")
-    return join_keys(source_pca, folds, []).select(
-        "subject", "iter", "test_fold", F.col("mean").alias("lin_mean"),
-        _transpose_udf()("comps", "mean").alias("lin_matrix"),
+def separate_maps(
+    target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame
+) -> DataFrame:
+    """Every subject in its own axes, cut to the smallest number of axes among them."""
+    every = join_keys(source_pca, target_pca.select(*FOLD), []).unionByName(
+        target_pca.select("subject", "mean", "comps", *FOLD)
     )
+    axes = F.floor(F.size("comps") / F.size("mean"))
+    common = every.groupBy(*FOLD).agg(F.min(axes).alias("__k"))
+    return _own_axes(truncate_axes(every.join(common, FOLD), F.col("__k")))
 
 
 def decode_across(
     rows: DataFrame,
     target,
-    n_channels: int,
     n_steps: int,
     full: tuple[float, float] = (-1.0, 1.0),
     align: tuple[float, float] = (-1.0, 1.0),
@@ -270,17 +282,18 @@ def decode_across(
 ) -> DataFrame:
     """Decode a target subject from its own and other subjects' trials.
 
-    ``rows``: subject, trial, label, vec (time-major, ``n_steps`` x ``n_channels``) and
-    optionally ``align_label``. Per fold, the channel PCA and the class means of the target
+    ``rows``: subject, trial, label, vec (time-major, ``n_steps`` x channels of the subject)
+    and optionally ``align_label``. Per fold, the channel PCA and the class means of the target
     come from its training folds, kept as sums per fold so that a training set is the
     total without one fold. ``fit_maps`` turns class means and PCA models into one linear
-    map per source (default CCA into the target's axes; any joint reducer of the same form
-    can be passed). Alignment and decoding use their own time windows.
+    map per subject and fold (subject, iter, test_fold, ``lin_mean``, ``lin_matrix``): by
+    default CCA into the target's axes; ``separate_maps`` pools without alignment; any
+    joint reducer of the same form can be passed. Alignment and decoding use their own time windows.
     Result: target, iter, trial, y, y_pred.
     """
     a0, a1 = window_steps(n_steps, full, align)
     d0, d1 = window_steps(n_steps, full, decode)
-    fold = ["iter", "test_fold"]
+    fold = FOLD
     align_label = F.col("align_label") if "align_label" in rows.columns else F.col("label")
     typed = rows.select(
         F.col("subject").cast("string").alias("subject"), "trial", F.col("label").cast("int").alias("label"),
@@ -293,7 +306,7 @@ def decode_across(
     classes = dc._training_classes(folded, k, ["subject"]).drop("subject")
 
     own = cut_lineage(own)  # rows with their folds, read by every statistic below
-    own_steps = time_rows(own, n_channels, a0, a1).select(
+    own_steps = time_rows(own, n_steps, a0, a1).select(
         "align_label", "t", "vec", F.posexplode("folds").alias("iter", "fold")
     )
     test_folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold")))
@@ -305,12 +318,15 @@ def decode_across(
     train = dc._sum_blocks(
         per_fold.withColumn("test_fold", test_folds).withColumn("target", F.lit(str(target)))
     )
-    d = n_channels
+    # length is 1 + d + d*d
+    d = ((F.sqrt(4 * F.size("acc") - F.lit(3)) - 1) / 2).cast("int")
     target_stats = train.select(
-        *fold, F.element_at("acc", 1).alias("n"), F.slice("acc", 2, d).alias("total"),
+        *fold, F.element_at("acc", 1).alias("n"), F.slice("acc", F.lit(2), d).alias("total"),
         F.slice("acc", d + 2, d * d).alias("gram"),
     )
-    target_pca = dc.pca(target_stats, n_comp_align).select(*fold, "mean", "comps")
+    target_pca = dc.pca(target_stats, n_comp_align).select(
+        F.lit(str(target)).alias("subject"), *fold, "mean", "comps"
+    )
 
     sums = (
         own_steps.select("iter", "fold", F.col("align_label").alias("label"), "t", F.posexplode("vec").alias("p", "v"))
@@ -323,20 +339,17 @@ def decode_across(
     ordered = F.array_sort(F.collect_list(F.struct("p", "v")))
     target_means = sums.groupBy(*fold, "label", "t").agg(F.transform(ordered, lambda s: s["v"]).alias("vec"))
 
-    other_steps = time_rows(others, n_channels, a0, a1).select(
+    other_steps = time_rows(others, n_steps, a0, a1).select(
         "subject", F.col("align_label").alias("label"), "t", "vec"
     )
     source_means = class_means(other_steps, ["subject"])
     source_pca = dc.fit_pca(other_steps, ["subject"], n_comp_align).select("subject", "mean", "comps")
 
-    maps = fit_maps(target_means, source_means, target_pca, source_pca).withColumn("trains", F.lit(True))
-    own_map = target_pca.select(
-        F.lit(str(target)).alias("subject"), *fold, F.col("mean").alias("lin_mean"),
-        _transpose_udf()("comps", "mean").alias("lin_matrix"), F.lit(target_trains).alias("trains"),
+    maps = fit_maps(target_means, source_means, target_pca, source_pca).withColumn(
+        "trains", F.lit(target_trains) | (F.col("subject") != F.lit(str(target)))
     )
     models = (
-        maps.unionByName(own_map)
-        .join(classes, fold)
+        maps.join(classes, fold)
         .select(
             F.lit(str(target)).alias("target"), "subject", *fold, "classes", "trains", "lin_mean", "lin_matrix",
             F.lit(d0).alias("t_first"), F.lit(d1).alias("t_stop"),

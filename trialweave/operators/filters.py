@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import check_band
-from ..plans.ordering import join_keys
+from ..plans import join_keys, join_measured
 
 
 # --- array UDFs ----------------------------------------------------------------
@@ -504,7 +504,7 @@ def align_cues(
             ]
         )
 
-    joined = cut.join(stimuli.select("stimulus", "wave"), "stimulus")
+    joined = join_measured(cut, stimuli.select("stimulus", "wave"), ["stimulus"])
     onset = (F.col("__lo") + best_lag("values", "wave")) / rate
     return (
         joined.withColumn("stim_onset", onset)
