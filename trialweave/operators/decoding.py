@@ -154,19 +154,35 @@ def _latent(x: np.ndarray, model) -> np.ndarray:
     return ((steps - mean) @ matrix).reshape(len(x), steps.shape[1] * matrix.shape[1])
 
 
-def _training(block: pd.DataFrame, model, k: int):
-    """Mask and labels of the block rows that train ``model``."""
-    if not model.trains:
-        return np.zeros(len(block), dtype=bool), block["label"].to_numpy()
-    known = np.array([f is not None for f in block["folds"]])
-    mask = np.array([f is None or f[model.iter] != model.test_fold for f in block["folds"]])
-    labels = block["label"].to_numpy()
-    if "shuffled" in block.columns:
-        place = model.iter * k + model.test_fold
-        labels = np.array(
-            [s[place] if own and s is not None else y for s, own, y in zip(block["shuffled"], known, labels)]
-        )
-    return mask & np.isin(labels, model.classes), labels
+class _Block:
+    """Arrays of one block: vectors, labels, folds per iteration (-1 = always trains), chance labels."""
+
+    def __init__(self, block: pd.DataFrame):
+        self.x = np.array(block["vec"].tolist())
+        self.labels = block["label"].to_numpy()
+        self.tested = block["folds"].notna().to_numpy()
+        self.folds = self._matrix(block["folds"])
+        self.shuffled = self._matrix(block["shuffled"]) if "shuffled" in block.columns else None
+
+    def _matrix(self, column: pd.Series) -> np.ndarray:
+        if not self.tested.any():
+            return np.full((len(column), 1), -1)
+        known = np.array(column[self.tested].tolist(), dtype=int)
+        out = np.full((len(column), known.shape[1]), -1)
+        out[self.tested] = known
+        return out
+
+    def training(self, model, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mask and labels of the rows that train ``model``."""
+        if not model.trains:
+            return np.zeros(len(self.x), dtype=bool), self.labels
+        if not self.tested.any():
+            return np.isin(self.labels, model.classes), self.labels
+        mask = self.folds[:, model.iter] != model.test_fold
+        labels = self.labels
+        if self.shuffled is not None:
+            labels = np.where(self.tested, self.shuffled[:, model.iter * k + model.test_fold], labels)
+        return mask & np.isin(labels, model.classes), labels
 
 
 def _sum_blocks(blocks: DataFrame) -> DataFrame:
@@ -204,11 +220,10 @@ def decode(
     models = cut_lineage(models)
 
     def shape_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(block["vec"].tolist())
-        out = []
+        rows_of, out = _Block(block), []
         for model in group.itertuples():
-            mask, labels = _training(block, model, k)
-            z = _latent(x[mask], model)
+            mask, labels = rows_of.training(model, k)
+            z = _latent(rows_of.x[mask], model)
             counts = np.array([(labels[mask] == c).sum() for c in model.classes], dtype=float)
             acc = np.concatenate([counts, z.sum(axis=0), (z.T @ z).ravel()])
             out.append((model.target, model.iter, model.test_fold, acc))
@@ -243,11 +258,10 @@ def decode(
         return _features((_latent(x, model) - mean) @ axes.T, model.gamma, size, seed)
 
     def fit_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(block["vec"].tolist())
-        out = []
+        rows_of, out = _Block(block), []
         for model in group.itertuples():
-            mask, labels = _training(block, model, k)
-            f = phi(x[mask], model)
+            mask, labels = rows_of.training(model, k)
+            f = phi(rows_of.x[mask], model)
             y = labels[mask]
             at = np.searchsorted(model.classes, y)
             weight = np.asarray(model.weights)[at]
