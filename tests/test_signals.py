@@ -1,7 +1,6 @@
 """References, quality, epochs: hand-made fixtures and invariants."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F

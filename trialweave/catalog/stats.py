@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import numeric
-from ..operators import epochs as ep, stats as st
+from ..operators import stats as st
 from .registry import query
 
 R = numeric.rounded
