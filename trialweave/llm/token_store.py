@@ -323,7 +323,7 @@ def read_documents(parts: DataFrame) -> DataFrame:
             [pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"]
         )
 
-    spread = placed.repartition(F.col("part"))
+    spread = placed.repartition(max(parts.count(), 1))  # a task per file
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
