@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -35,3 +35,28 @@ def token_store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
 
     return token_store.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def remainder(modulus: int):
+    """crc32 of doc_id as text, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+@query("op2_language")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder(4) == 2
+    model = langid.fit(documents, ~held_out)
+    return langid.identify(documents.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op5_personal_data")
+def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    documents = table(spark, sf_dir, "documents")
+    return pii.find(documents, pii.fit(documents))
