@@ -60,3 +60,42 @@ def personal_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     return pii.find(documents, pii.fit(documents))
+
+
+_ITEM_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+_DECONTAMINATE_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS m FROM (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS t
+       FROM (SELECT item_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s FROM i)),
+dw AS (SELECT doc_id, m, s, array_to_string(w[s:s + m - 1], ' ') AS t
+       FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS s
+             FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
+hits AS (SELECT doc_id, s, m, item_id FROM dw JOIN iw USING (m, t)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op1_decontaminate", _DECONTAMINATE_SQL)
+def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate as dc
+
+    judged = dc.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return judged.select(
+        "doc_id",
+        "n_words",
+        dc.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        dc.contaminated().alias("contaminated"),
+    )
