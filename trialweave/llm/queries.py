@@ -99,3 +99,10 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         dc.contaminated().alias("contaminated"),
     )
+
+
+@query("op9_jaccard_join")
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
