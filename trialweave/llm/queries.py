@@ -106,3 +106,13 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import jaccard
 
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder(5) == 0
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(documents, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
