@@ -116,3 +116,34 @@ def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(5) == 0
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(documents, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query("op3_mix_sources")
+def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(documents, mixing.tempered_weights(documents))
+    return mixed.select("doc_id", "source", "mix_slot", "mix_block", "mix_place")
+
+
+SHARD_LIMIT = 1 << 20
+_SHARD_SQL = f"""
+WITH d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes,
+                  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+sums AS (SELECT depth, h >> (60 - depth) AS prefix, sum(bytes) AS bytes
+         FROM d, (SELECT CAST(unnest(generate_series(0, 40)) AS INTEGER) AS depth) GROUP BY ALL),
+own AS (SELECT doc_id, min(depth) AS depth
+        FROM d, (SELECT CAST(unnest(generate_series(0, 40)) AS INTEGER) AS depth) AS s JOIN sums USING (depth)
+        WHERE sums.prefix = d.h >> (60 - depth) AND sums.bytes <= {SHARD_LIMIT} GROUP BY doc_id)
+SELECT doc_id, substr(lpad(bin(h), 60, '0'), 1, depth) AS shard, CAST(depth AS INTEGER) AS depth, CAST(0 AS BIGINT) AS page,
+       bytes, bytes > {SHARD_LIMIT} AS oversized
+FROM d JOIN own USING (doc_id)
+"""
+
+
+@query("op4_shard", _SHARD_SQL)
+def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_LIMIT).drop("text")
