@@ -147,3 +147,22 @@ def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import sharding
 
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_LIMIT).drop("text")
+
+
+_HAMMING_SQL = """
+WITH c AS (SELECT vec_id, list_sum(list_transform(generate_series(1, len(embedding)),
+                  lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS HUGEINT) ELSE CAST(0 AS HUGEINT) END)) AS code
+           FROM embeddings WHERE len(embedding) > 0),
+d AS (SELECT q.vec_id AS query_id, o.vec_id AS neighbour_id,
+             CAST(bit_count(xor(CAST(q.code AS HUGEINT), CAST(o.code AS HUGEINT))) AS INTEGER) AS distance
+      FROM c AS q JOIN c AS o ON q.vec_id <> o.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
+@query("op10_hamming_search", _HAMMING_SQL)
+def hamming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hamming
+
+    return hamming.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
