@@ -232,8 +232,18 @@ def digests(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
 
 
-def _key_rows(documents: DataFrame) -> DataFrame:
-    """key, set_id, kind: 0 alone in its task, 1 first of several there, 2 the others of several."""
+def keyed_sets(column: pa.Array):
+    """(set_id, keys) of the sets that can link with a different one."""
+    for tokens in shingle_sets(column):
+        if len(tokens) >= 6:
+            yield set_id(tokens), lambda tokens=tokens: np.unique(keys(tokens))
+
+
+def key_rows(documents: DataFrame, keyed) -> DataFrame:
+    """key, set_id, kind: 0 alone in its task, 1 first of several there, 2 the others of several.
+
+    ``keyed`` gives (id, function that makes the distinct keys) for the texts of a column.
+    """
     hold = 1 << 20
 
     def run(batches):
@@ -250,11 +260,11 @@ def _key_rows(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(kind)], names=["key", "set_id", "kind"])
 
         for batch in batches:
-            for tokens in shingle_sets(batch.column(0)):
-                if len(tokens) < 6 or (own := set_id(tokens)) in seen:
+            for own, made in keyed(batch.column(0)):
+                if own in seen:
                     continue
                 seen.add(own)
-                held.append((own, np.unique(keys(tokens))))
+                held.append((own, made()))
                 count += len(held[-1][1])
                 if count >= hold:
                     yield out()
@@ -265,7 +275,7 @@ def _key_rows(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "key long, set_id long, kind byte")
 
 
-def _shared_keys(rows: DataFrame) -> DataFrame:
+def shared_keys(rows: DataFrame) -> DataFrame:
     """(key, set_id) of keys that two classes or more hold."""
     home = F.when(F.col("kind") == 2, F.col("set_id")).otherwise(F.col("key"))
     laid = rows.withColumn("home", home).repartition("home").sortWithinPartitions("home", "set_id").drop("home")
@@ -304,13 +314,13 @@ def _without_twins(members: DataFrame) -> DataFrame:
     return members.join(chosen.select("key", F.col("held").alias("n")), "key")
 
 
-def _small(table: DataFrame) -> DataFrame:
+def small_side(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if fits_broadcast(table, BROADCAST_BYTES) else table
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """set_id, n, tokens, sketch of the wanted (doc_id, set_id)."""
-    rows = documents.select("doc_id", "text").join(_small(wanted), "doc_id").select("text", "set_id")
+    rows = documents.select("doc_id", "text").join(small_side(wanted), "doc_id").select("text", "set_id")
 
     def run(batches):
         for batch in batches:
@@ -405,7 +415,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def link_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes (set_id, doc_id), enough for their components."""
-    members = stored(_without_twins(stored(_shared_keys(_key_rows(documents)), "keys")), "buckets")
+    members = stored(_without_twins(stored(shared_keys(key_rows(documents, keyed_sets)), "keys")), "buckets")
     wanted = members.select("set_id").distinct().join(classes, "set_id").select("doc_id", "set_id")
     tokens = stored(_fetch(documents, stored(wanted, "wanted")), "sets")
     sized = tokens.select("set_id", F.col("n").alias("size"), "sketch")
@@ -432,6 +442,6 @@ def join(documents: DataFrame) -> DataFrame:
     labelled = classes.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stored(labelled.join(least, "component").select("set_id", "component_id"), "named")
-    return digest.join(_small(named), "set_id", "left").select(
+    return digest.join(small_side(named), "set_id", "left").select(
         "doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -166,3 +166,10 @@ def hamming_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hamming
 
     return hamming.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_passages")
+def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import passages
+
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
