@@ -11,7 +11,7 @@ from ..operators import filters as fl, signals as sg, triggers as tg
 from .registry import query
 
 FS = b.SIGNAL_FS
-LINE, TAPS = 12.0, 101
+LINE, TAPS = 12.0, fl.notch_length(b.SIGNAL_FS)
 
 
 def _long(chunks, digits=4):
@@ -23,19 +23,21 @@ def _values(numbers) -> str:
 
 
 _N = "n AS (SELECT subject, channel, max(sample) + 1 AS n FROM sig GROUP BY ALL)"
-_MIRROR = "CASE WHEN s.sample + k < 0 THEN -(s.sample + k) - 1 WHEN s.sample + k >= n THEN 2 * n - 1 - (s.sample + k) ELSE s.sample + k END"
+# reflection about both edges, as often as needed
+_FOLDED = "((s.sample + k) % (2 * n) + 2 * n) % (2 * n)"
+_MIRRORED = f"CASE WHEN {_FOLDED} < n THEN {_FOLDED} ELSE 2 * n - 1 - {_FOLDED} END"
 
 
 @query(
     "notch",
     f"""WITH {b.SIGNAL_SQL}, {_N}, h AS (SELECT i - {TAPS // 2} AS k, w FROM (VALUES
-      {_values(fl.notch_taps(FS, LINE, taps=TAPS))}) AS v(i, w))
+      {_values(fl.notch_taps(FS, LINE))}) AS v(i, w))
     SELECT s.subject, s.channel, s.sample, round(sum(w * x.value), 4) + 0.0 AS value
     FROM sig s JOIN n USING (subject, channel), h JOIN sig x ON x.subject = s.subject AND x.channel = s.channel
-      AND x.sample = {_MIRROR} GROUP BY ALL""",
+      AND x.sample = {_MIRRORED} GROUP BY ALL""",
 )
 def notch(spark, sf):
-    return _long(fl.notch(b.samples(spark, sf), FS, LINE, taps=TAPS))
+    return _long(fl.notch(b.samples(spark, sf), FS, LINE, chunk=b.CHUNK))
 
 
 _B, _A = fl.iir_notch_coefficients(FS, 12.0, 10.0)
@@ -76,20 +78,18 @@ def resample_poly(spark, sf):
 # Linear kernels are written out as matrices (response to each single sample) for SQL.
 
 
-def _matrix(m) -> str:
-    return ", ".join(
-        f"({i}, {j}, {float(x)!r}::DOUBLE)" for i, row in enumerate(m) for j, x in enumerate(row)
-    )
+# One matrix per trial length, since the end of a recording cuts trials short.
+_LENGTHS = range(1, b.TRIAL_SAMPLES + 1)
 
 
-_UNITS = np.eye(b.TRIAL_SAMPLES)
-_FULL_SQL = """fe AS (SELECT subject, channel, trial, t, value FROM dep JOIN (SELECT subject, channel, trial
-      FROM dep GROUP BY ALL HAVING count(*) = 25) USING (subject, channel, trial))"""
+def _matrices(kernel) -> str:
+    return ", ".join(
+        f"({n}, {i}, {j}, {float(x)!r}::DOUBLE)"
+        for n in _LENGTHS for i, row in enumerate(kernel(np.eye(n))) for j, x in enumerate(row)
+    )
 
 
-def _full_epochs(spark, sf):
-    """Complete trials; one cut off by the end of the recording is dropped."""
-    return b.epoch_arrays(spark, sf).filter(F.size("values") == b.TRIAL_SAMPLES)
+_FULL_SQL = """fe AS (SELECT subject, channel, trial, t, value, count(*) OVER (PARTITION BY subject, channel, trial) AS n FROM dep)"""
 
 
 def _array_rows(df):
@@ -101,11 +101,11 @@ def _array_rows(df):
 @query(
     "resample",
     f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
-    m AS (SELECT * FROM (VALUES {_matrix(fl.fft_resample_kernel(FS, 40.0)(_UNITS))}) AS v(i, j, w))
-    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM fe JOIN m ON t = i GROUP BY ALL""",
+    m AS (SELECT * FROM (VALUES {_matrices(fl.fft_resample_kernel(FS, 40.0))}) AS v(n, i, j, w))
+    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM fe JOIN m ON t = i AND fe.n = m.n GROUP BY ALL""",
 )
 def resample(spark, sf):
-    rows = _full_epochs(spark, sf)
+    rows = b.epoch_arrays(spark, sf)
     return _array_rows(rows.withColumn("values", fl.resample(F.col("values"), FS, 40.0)))
 
 
@@ -115,31 +115,31 @@ _BAND, _SMOOTH_MS = (10.0, 30.0), 20.0
 @query(
     "extract_band",
     f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
-    m AS (SELECT * FROM (VALUES {_matrix(fl.band_kernel(*_BAND, FS)(_UNITS))}) AS v(i, j, w)),
-    g AS (SELECT * FROM (VALUES {_matrix(fl.smooth_kernel(_SMOOTH_MS / 1000 * FS)(_UNITS))}) AS v(i, j, w)),
-    p AS (SELECT subject, trial, channel, j AS t, abs(sum(w * value)) AS value FROM fe JOIN m ON t = i GROUP BY ALL)
-    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM p JOIN g ON t = i GROUP BY ALL""",
+    m AS (SELECT * FROM (VALUES {_matrices(fl.band_kernel(*_BAND, FS))}) AS v(n, i, j, w)),
+    g AS (SELECT * FROM (VALUES {_matrices(fl.smooth_kernel(_SMOOTH_MS / 1000 * FS))}) AS v(n, i, j, w)),
+    p AS (SELECT subject, trial, channel, fe.n, j AS t, abs(sum(w * value)) AS value FROM fe JOIN m ON t = i AND fe.n = m.n GROUP BY ALL)
+    SELECT subject, trial, channel, j AS t, round(sum(w * value), 4) + 0.0 AS value FROM p JOIN g ON t = i AND p.n = g.n GROUP BY ALL""",
 )
 def extract_band(spark, sf):
-    return _array_rows(fl.extract_band(_full_epochs(spark, sf), FS, _BAND, "abs", _SMOOTH_MS))
+    return _array_rows(fl.extract_band(b.epoch_arrays(spark, sf), FS, _BAND, "abs", _SMOOTH_MS))
 
 
 @query(
     "band_envelope",
     f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL}, {_FULL_SQL},
-    re AS (SELECT * FROM (VALUES {_matrix(fl.analytic_band(_UNITS, *_BAND, FS).real)}) AS v(i, j, w)),
-    im AS (SELECT * FROM (VALUES {_matrix(fl.analytic_band(_UNITS, *_BAND, FS).imag)}) AS v(i, j, w)),
+    re AS (SELECT * FROM (VALUES {_matrices(lambda x: fl.analytic_band(x, *_BAND, FS).real)}) AS v(n, i, j, w)),
+    im AS (SELECT * FROM (VALUES {_matrices(lambda x: fl.analytic_band(x, *_BAND, FS).imag)}) AS v(n, i, j, w)),
     a AS (SELECT subject, trial, channel, re.j AS t, sum(re.w * value) AS x, sum(im.w * value) AS y
-      FROM fe JOIN re ON t = re.i JOIN im ON im.i = re.i AND im.j = re.j GROUP BY ALL)
+      FROM fe JOIN re ON t = re.i AND fe.n = re.n JOIN im ON im.n = re.n AND im.i = re.i AND im.j = re.j GROUP BY ALL)
     SELECT subject, trial, channel, t, round(sqrt(x * x + y * y), 4) + 0.0 AS value FROM a""",
 )
 def band_envelope(spark, sf):
-    return _array_rows(fl.extract_envelope(_full_epochs(spark, sf), FS, _BAND))
+    return _array_rows(fl.extract_envelope(b.epoch_arrays(spark, sf), FS, _BAND))
 
 
 @query("spectrogram")
 def spectrogram(spark, sf):
-    rows = _full_epochs(spark, sf)
+    rows = b.epoch_arrays(spark, sf)
     out = fl.spectrogram(rows, rows.filter("label = 0"), FS, range(5, 45, 4), pad_s=0.1)
     return out.withColumn("power", R(F.col("power")))
 
@@ -155,35 +155,35 @@ _GAUSS = fl.gaussian_weights(_SIGMA)
     s AS (SELECT subject, channel, trial, t AS sample FROM dep)
     SELECT s.subject, s.channel, s.trial, CAST(s.sample AS INTEGER) AS t, round(sum(w * x.value), 4) + 0.0 AS value
     FROM s JOIN n USING (subject, channel, trial), h JOIN dep x ON x.subject = s.subject AND x.channel = s.channel
-      AND x.trial = s.trial AND x.t = {_MIRROR} GROUP BY ALL HAVING max(n) = 25""",
+      AND x.trial = s.trial AND x.t = {_MIRRORED} GROUP BY ALL""",
 )
 def gauss_smooth(spark, sf):
-    rows = _full_epochs(spark, sf)
+    rows = b.epoch_arrays(spark, sf)
     return _array_rows(rows.withColumn("values", fl.smooth(F.col("values"), _SIGMA)))
 
 
 @query(
     "cue_align",
-    f"""WITH {b.SIGNAL_SQL}, tr AS (SELECT event_id, event_id % 3 AS subject, event_id % 4 AS stimulus,
+    f"""WITH {b.SIGNAL_SQL}, tr AS (SELECT event_id, event_id % 3 AS subject, event_id % 24 AS stimulus,
       greatest(CAST(trunc((event_id // 16 / 100.0::DOUBLE - 0.5) * 100) AS BIGINT), 0) AS lo,
       CAST(trunc((event_id // 16 / 100.0::DOUBLE + 0.7::DOUBLE) * 100) AS BIGINT) AS hi FROM events),
-    st AS (SELECT contact - 2 AS stimulus, sample AS i, value AS w FROM sig WHERE subject = 0 AND contact BETWEEN 2 AND 5 AND sample < 12),
-    c AS (SELECT event_id, tr.subject, tr.stimulus, lo, sample - lo - i AS lag, sum(value * w) AS corr FROM tr
+    st AS (SELECT 8 * subject + contact - 1 AS stimulus, sample AS i, value AS w,
+      count(*) OVER (PARTITION BY subject, contact) AS n FROM sig WHERE sample < {b.CHUNK}),
+    c AS (SELECT event_id, tr.subject, tr.stimulus, lo, n, sample - lo - i AS lag, sum(value * w) AS corr FROM tr
       JOIN sig ON sig.subject = tr.subject AND contact = 1 AND sample >= lo AND sample < hi
       JOIN st ON st.stimulus = tr.stimulus GROUP BY ALL)
-    SELECT event_id, subject, stimulus, (lo + lag) / 100.0::DOUBLE AS stim_onset, (lo + lag) / 100.0::DOUBLE + 0.12::DOUBLE AS stim_offset
-    FROM (SELECT event_id, subject, stimulus, lo, arg_max(lag, abs(corr)) AS lag FROM c GROUP BY ALL)""",
+    SELECT event_id, subject, stimulus, (lo + lag) / 100.0::DOUBLE AS stim_onset, (lo + lag) / 100.0::DOUBLE + n / 100.0::DOUBLE AS stim_offset
+    FROM (SELECT event_id, subject, stimulus, lo, n, arg_max(lag, abs(corr)) AS lag FROM c GROUP BY ALL)""",
 )
 def cue_align(spark, sf):
     key = F.col("event_id")
     trials = b.table(spark, sf, "events").select(
-        "event_id", F.pmod(key, F.lit(3)).alias("subject"), (key % 4).alias("stimulus"),
+        "event_id", F.pmod(key, F.lit(3)).alias("subject"), (key % 24).alias("stimulus"),
         (F.floor(key / 16) / F.lit(FS)).alias("onset"),
     )
     chunks = b.samples(spark, sf)
-    stimuli = chunks.filter("subject = 0 and chunk = 0 and channel in ('E2', 'E3', 'E4', 'E5')").select(
-        (F.substring("channel", 2, 1).cast("long") - 2).alias("stimulus"), F.slice("values", 1, 12).alias("wave")
-    )
+    contact = F.substring("channel", 2, 1).cast("long")
+    stimuli = chunks.filter("chunk = 0").select((F.col("subject") * 8 + contact - 1).alias("stimulus"), F.col("values").alias("wave"))
     out = fl.align_cues(trials, chunks.filter("channel = 'E1'"), stimuli, FS, b.CHUNK)
     return out.select("event_id", "subject", "stimulus", "stim_onset", "stim_offset")
 

@@ -47,19 +47,19 @@ def window_index(spark, sf):
 _M1 = """pk AS (SELECT channel, trial, max(abs(value)) AS peak FROM ep GROUP BY ALL),
     lim AS (SELECT channel, 1.7::DOUBLE * stddev_pop(abs(value)) + avg(abs(value)) AS lim FROM ep GROUP BY channel),
     good AS (SELECT channel, trial, peak < lim AND peak <> 0 AS is_good FROM pk JOIN lim USING (channel))"""
-_EP1 = b.EPOCHS_SQL.replace("FROM lineitem", "FROM lineitem WHERE l_tax > 0.07")
+_EP1 = b.EPOCHS_SQL.replace("l_suppkey", "l_partkey")
 
 
-def _epochs_tax(spark, sf):
-    rows = b.table(spark, sf, "lineitem").filter("l_tax > 0.07D")
+def _epochs_by_part(spark, sf):
+    rows = b.table(spark, sf, "lineitem")
     return rows.select(
         F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("channel"),
-        F.col("l_suppkey").alias("trial"), F.col("l_quantity").alias("value"),
+        F.col("l_partkey").alias("trial"), F.col("l_quantity").alias("value"),
     )
 
 
 def _mask(spark, sf):
-    return qc.good_trials_amplitude(_epochs_tax(spark, sf), 1.7)
+    return qc.good_trials_amplitude(_epochs_by_part(spark, sf), 1.7)
 
 
 @query("good_trials_m1", f"WITH {_EP1}, {_M1} SELECT * FROM good")

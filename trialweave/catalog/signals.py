@@ -39,13 +39,13 @@ def scale_analog(spark, sf):
 @query(
     "unpack_digital",
     """SELECT o_orderkey, bit, ((o_orderkey * 7919 % 65536) >> bit) & 1 = 1 AS level
-    FROM orders, (VALUES (0), (3), (5), (15)) AS c(bit)""",
+    FROM orders, (SELECT CAST(range AS INTEGER) AS bit FROM range(16)) AS c""",
 )
 def unpack_digital(spark, sf):
     rows = b.table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_orderkey") * 7919 % 65536).alias("word")
     )
-    bits = rows.withColumn("bit", F.explode(F.array(*[F.lit(k) for k in (0, 3, 5, 15)])))
+    bits = rows.withColumn("bit", F.explode(F.array(*[F.lit(k) for k in range(16)])))
     return bits.select("o_orderkey", "bit", numeric.digital_bit(F.col("word"), F.col("bit")).alias("level"))
 
 

@@ -82,8 +82,9 @@ def fdr_bh(spark, sf):
 
 _KFOLD = """big AS (SELECT subject, max(n) AS m FROM (SELECT subject, label, count(*) AS n FROM feat GROUP BY ALL)
       GROUP BY subject),
-    kf AS (SELECT subject, trial, label, CAST((row_number() OVER (PARTITION BY subject, CASE WHEN m >= 5 THEN label END
-      ORDER BY md5('42|' || trial), trial) - 1) % 5 AS INTEGER) AS fold FROM feat JOIN big USING (subject))"""
+    kf AS (SELECT subject, trial, label, CAST((row_number() OVER (PARTITION BY subject
+      ORDER BY CASE WHEN m >= 5 THEN label END, md5('42|' || trial), trial) - 1) % 5 AS INTEGER) AS fold
+      FROM feat JOIN big USING (subject))"""
 
 
 @query("kfold", f"WITH {b.FEATURES_SQL}, {_KFOLD} SELECT * FROM kf")
@@ -161,18 +162,23 @@ def score_summary(spark, sf):
     return out.withColumn("mean_score", R(F.col("mean_score"))).withColumn("std_score", R(F.col("std_score")))
 
 
-_CORR = """a AS (SELECT label, ch, t, avg(value) AS a FROM fl WHERE subject = 0 AND ch < 5 GROUP BY ALL),
-    o AS (SELECT subject AS source, label, ch, t, avg(value) AS v FROM fl WHERE subject > 0 AND ch < 5 GROUP BY ALL),
+_CORR = """a AS (SELECT label, ch, t, avg(value) AS a FROM fl WHERE subject = 0 GROUP BY ALL),
+    o AS (SELECT subject AS source, label, ch, t, avg(value) AS v FROM fl WHERE subject > 0 GROUP BY ALL),
     c AS (SELECT source, label, ch, corr(a, v) AS r FROM o JOIN a USING (label, ch, t) GROUP BY ALL)"""
 
 
+_CORR_ALL = """a AS (SELECT label, ch, t, avg(value) AS a FROM fl WHERE subject = 0 GROUP BY ALL),
+    o AS (SELECT label, ch, t, avg(value) AS v FROM fl WHERE subject > 0 GROUP BY ALL),
+    c AS (SELECT label, ch, corr(a, v) AS r FROM o JOIN a USING (label, ch, t) GROUP BY ALL)"""
+
+
 @query(
     "pt_corr",
-    f"WITH {b.FEATURES_SQL}, {_CORR} SELECT label, round(avg(r), 6) + 0.0 AS r FROM c WHERE source = 1 GROUP BY label",
+    f"WITH {b.FEATURES_SQL}, {_CORR_ALL} SELECT label, round(avg(r), 6) + 0.0 AS r FROM c GROUP BY label",
 )
 def pt_corr(spark, sf):
     rows = b.features_long(spark, sf)
-    out = st.class_correlation(rows.filter("subject = 0"), rows.filter("subject = 1"), 5)
+    out = st.class_correlation(rows.filter("subject = 0"), rows.filter("subject > 0"), 8)
     return out.withColumn("r", R(F.col("r")))
 
 
@@ -183,7 +189,7 @@ def pt_corr(spark, sf):
 def pt_corr_multi(spark, sf):
     rows = b.features_long(spark, sf)
     sources = rows.filter("subject > 0").withColumnRenamed("subject", "source")
-    out = st.class_correlation(rows.filter("subject = 0"), sources, 5, ["source"])
+    out = st.class_correlation(rows.filter("subject = 0"), sources, 8, ["source"])
     return out.withColumn("r", R(F.col("r")))
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans import apply_model, cut_lineage, moments, run_blocks, split_blocks
+from ..plans import apply_model, cut_lineage, join_measured, moments, run_blocks, split_blocks
 from . import stats as st
 
 MODEL_KEYS = ["target", "iter", "test_fold"]
@@ -352,7 +352,7 @@ def decode_scores(predictions: DataFrame, scorer: str = "balanced_accuracy") ->
     return st.SCORERS[scorer](predictions, ["target", "iter"])
 
 
-def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 10, row_id: str = "trial") -> DataFrame:
+def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 100, row_id: str = "trial") -> DataFrame:
     """One large linear one-against-rest model (distributed training), class-balanced.
 
     ``rows``: row id, label, vec, fold. For pools too large for cross-validated kernels.
@@ -360,11 +360,14 @@ def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 10, row_id: s
     from pyspark.ml.classification import LinearSVC, OneVsRest
 
     train = rows.filter(F.col("fold") != test_fold)
-    weighted = train.join(st.class_weights(train).select("label", "weight"), "label")
+    weighted = join_measured(train, st.class_weights(train).select("label", "weight"), ["label"])
+    # one class per label that occurs, numbered from 0
+    known = [r.label for r in train.select("label").distinct().orderBy("label").collect()]
+    number = F.array_position(F.array(*[F.lit(x) for x in known]), F.col("label")) - 1
     svc = LinearSVC(maxIter=max_iter, regParam=0.01)
     points = cut_lineage(  # read once per iteration
         weighted.select(
-            F.col("label").cast("double").alias("label"), "weight", array_to_vector("vec").alias("features")
+            number.cast("double").alias("label"), "weight", array_to_vector("vec").alias("features")
         )
     )
     model = OneVsRest(
@@ -374,4 +377,5 @@ def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 10, row_id: s
     test = rows.filter(F.col("fold") == test_fold).select(
         row_id, F.col("label").alias("y"), array_to_vector("vec").alias("features")
     )
-    return model.transform(test).select(row_id, "y", F.col("y_pred").cast("int").alias("y_pred"))
+    label = F.element_at(F.array(*[F.lit(x) for x in known]), F.col("y_pred").cast("int") + 1)
+    return model.transform(test).select(row_id, "y", label.cast("int").alias("y_pred"))

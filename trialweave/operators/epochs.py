@@ -16,9 +16,11 @@ def cut_windows(windows: DataFrame, chunks: DataFrame, chunk: int, low: str, hig
 
     A window is copied to the one or few chunks it touches, which makes the interval
     join an equi-join on (subject, chunk); the pieces are then put together per window
-    and channel. Parts outside the recording are missing from ``values``.
+    and channel. Parts outside the recording are missing from ``values``. Equal windows are
+    cut once and repeated in the result.
     """
-    looks = windows.withColumn(
+    distinct = windows.groupBy(*windows.columns).agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    looks = distinct.withColumn(
         "chunk",
         F.explode(
             F.sequence(F.floor(F.col(low) / F.lit(chunk)), F.floor((F.col(high) - 1) / F.lit(chunk)))
@@ -32,9 +34,11 @@ def cut_windows(windows: DataFrame, chunks: DataFrame, chunk: int, low: str, hig
     piece = F.slice("values", begin + 1, F.greatest(end - begin, F.lit(0)))
     pieces = joined.withColumn("__piece", F.struct("chunk", piece.alias("v")))
     parts = F.array_sort(F.collect_list("__piece"))
-    return pieces.groupBy(*windows.columns, "channel").agg(
-        F.flatten(F.transform(parts, lambda p: p["v"])).alias("values")
+    whole = pieces.groupBy(*windows.columns, "channel").agg(
+        F.flatten(F.transform(parts, lambda p: p["v"])).alias("values"), F.first("__times").alias("__times")
     )
+    again = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    return whole.withColumn("__again", again).drop("__times", "__again")
 
 
 def extract_epochs(

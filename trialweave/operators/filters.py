@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import check_band
-from ..plans import join_keys, join_measured
+from ..plans import cut_lineage, join_keys, join_measured
 
 
 # --- array UDFs ----------------------------------------------------------------
@@ -69,14 +69,32 @@ def convolve_rows(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return full[:, len(taps) - 1 : x.shape[1]]
 
 
+def convolve_full(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Full convolution of two arrays (FFT)."""
+    n = len(x) + len(y) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(y, size), size)[:n]
+
+
 def smooth_kernel(sigma: float) -> Callable:
     weights = gaussian_weights(sigma)
     radius = len(weights) // 2
     return lambda x: convolve_rows(mirror(x, radius, radius), weights)
 
 
-def notch_taps(fs: float, line: float, width: float = 2.0, harmonics: int = 3, taps: int = 101) -> np.ndarray:
-    """Zero-phase band-stop taps (Hamming-windowed) at the line frequency and multiples."""
+def notch_length(fs: float, transition: float = 1.0) -> int:
+    """Odd number of Hamming-windowed taps whose band edges are ``transition`` Hz wide."""
+    return int(3.3 * fs / transition) | 1
+
+
+def notch_taps(
+    fs: float, line: float, width: float = 2.0, harmonics: int = 3, taps: int | None = None
+) -> np.ndarray:
+    """Zero-phase band-stop taps (Hamming-windowed) at the line frequency and multiples.
+
+    Without ``taps`` their number follows from the rate, for band edges half as wide as the band.
+    """
+    taps = notch_length(fs, width / 2) if taps is None else taps
     if taps % 2 == 0:
         raise ValueError("taps must be odd")
     k = np.arange(taps) - taps // 2
@@ -258,25 +276,54 @@ def spectrogram(
 # --- continuous recordings -----------------------------------------------------
 
 
-def with_borders(chunks: DataFrame, keys: Sequence[str], before: int, after: int) -> DataFrame:
-    """Add ``left`` / ``right``: the last / first samples of the neighbouring chunks.
+def with_borders(
+    chunks: DataFrame, keys: Sequence[str], before: int, after: int, chunk: int | None = None
+) -> DataFrame:
+    """Add ``left`` / ``right``: the ``before`` / ``after`` samples next to a chunk.
 
-    NULL at the ends of a recording. Two equi-joins on (keys, chunk); the chunks
-    themselves are shuffled once for both.
+    NULL at the ends of a recording. Two equi-joins on (keys, chunk); a reach beyond one
+    chunk of ``chunk`` samples takes copies of several neighbours, put together per chunk.
+    Chunks that do not meet their neighbour are an error: a gap would shift all samples.
     """
     by = [*keys, "chunk"]
+    stop = F.col("start_sample") + F.size("values")
+
+    def side(reach: int, step: int, name: str) -> DataFrame:
+        count = 1 if chunk is None else -(-reach // chunk)
+        parts = chunks
+        if count > 1:
+            away = F.explode(F.sequence(F.lit(1), F.lit(count))).alias("__away")
+            parts = chunks.select("*", away)
+        else:
+            parts = chunks.withColumn("__away", F.lit(1))
+        edge = stop if step > 0 else F.col("start_sample")
+        # what is left of the reach at this distance
+        room = F.lit(reach) - (F.col("__away") - 1) * F.lit(chunk or 0)
+        take = F.least(F.size("values"), room)
+        piece = F.slice("values", -take, take) if step > 0 else F.slice("values", F.lit(1), take)
+        parts = parts.select(
+            *keys, (F.col("chunk") + step * F.col("__away")).alias("chunk"), "__away", piece.alias("__piece"), edge.alias("__edge")
+        )
+        if count > 1:
+            order = F.array_sort(F.collect_list(F.struct((-step * F.col("__away")).alias("p"), "__piece", "__edge")))
+            parts = parts.groupBy(*by).agg(order.alias("__parts"))
+            nearest = F.element_at("__parts", -1 if step > 0 else 1)
+            parts = parts.select(
+                *by, F.flatten(F.transform("__parts", lambda x: x["__piece"])).alias(name), nearest["__edge"].alias("__edge")
+            )
+        else:
+            parts = parts.select(*by, F.col("__piece").alias(name), "__edge")
+        own = F.col("start_sample") if step > 0 else stop
+        joined = chunks.select(*by, own.alias("__own")).join(parts, by)
+        gap = F.raise_error(F.lit("chunks of a recording do not meet"))
+        return joined.select(*by, F.when(F.col("__own") == F.col("__edge"), F.col(name)).otherwise(gap).alias(name))
+
     out = chunks
-    if before:
-        take = F.least(F.size("values"), F.lit(before))
-        tails = chunks.select(*keys, (F.col("chunk") + 1).alias("chunk"), F.slice("values", -take, take).alias("left"))
-        out = out.join(tails, by, "left")
-    else:
-        out = out.withColumn("left", F.lit(None).cast("array<double>"))
-    if after:
-        heads = chunks.select(*keys, (F.col("chunk") - 1).alias("chunk"), F.slice("values", 1, after).alias("right"))
-        out = out.join(heads, by, "left")
-    else:
-        out = out.withColumn("right", F.lit(None).cast("array<double>"))
+    for name, reach, step in (("left", before, 1), ("right", after, -1)):
+        if reach:
+            out = out.join(side(reach, step, name), by, "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast("array<double>"))
     return out
 
 
@@ -289,16 +336,16 @@ def _border_udf(fn: Callable[[np.ndarray, np.ndarray | None, np.ndarray | None],
 
 
 def notch(
-    chunks: DataFrame, fs: float, line: float = 60.0, width: float = 2.0, taps: int = 101,
-    keys: Sequence[str] = ("subject", "channel"),
+    chunks: DataFrame, fs: float, line: float = 60.0, width: float = 2.0, taps: int | None = None,
+    keys: Sequence[str] = ("subject", "channel"), chunk: int | None = None,
 ) -> DataFrame:
     """Remove the line frequency and its first harmonics, zero phase.
 
-    The filter reaches ``taps // 2`` samples, which a chunk (all but the last) must exceed.
-    A last chunk shorter than that is padded by mirroring what its own side holds.
+    The filter reaches ``taps // 2`` samples to both sides; pass ``chunk``, the length of all
+    chunks but the last, where that exceeds a chunk. Recordings are mirrored at their ends.
     """
     h = notch_taps(fs, line, width, taps=taps)
-    half = taps // 2
+    half = len(h) // 2
 
     def run(values, left, right):
         x = np.asarray(values, dtype=float)
@@ -310,7 +357,7 @@ def notch(
         row = mirror(row, half - have_left, half - have_right)
         return convolve_rows(row, h)[0][:own]
 
-    bordered = with_borders(chunks, keys, half, half)
+    bordered = with_borders(chunks, keys, half, half, chunk)
     return bordered.withColumn("values", _border_udf(run)("values", "left", "right")).drop("left", "right")
 
 
@@ -380,9 +427,10 @@ def iir_notch(
 
     The filter is linear, so its output in a chunk is the output from rest plus the
     response to the two outputs before the chunk. Every chunk is first filtered from rest.
-    The outputs before a chunk then follow from the rest outputs at the ends of the chunks
-    before it, each multiplied by a power of a fixed 2x2 matrix; the powers die out with the
-    pole radius, and terms below 1e-18 are left out. No filtering if ``freq`` is 0 or the
+    The outputs before a chunk then follow from the rest outputs at the ends of all chunks
+    before it, each multiplied by a power of a fixed 2x2 matrix. These sums are a scan over
+    chunks: in round k a chunk takes over the sum of the chunk 2**k before, so the number of
+    rounds is the logarithm of the number of chunks (fewer if a power is zero). No filtering if ``freq`` is 0 or the
     recording's major version is 3 or higher. ``chunk`` is the length of all chunks but the
     last. The first two outputs of a recording equal its input.
     """
@@ -400,10 +448,6 @@ def iir_notch(
             y1, y2 = y, y1
     # maps the state before a chunk to the state after it
     step = np.array([[answers[0, -1], answers[1, -1]], [answers[0, -2], answers[1, -2]]])
-    powers = [np.eye(2)]
-    while np.abs(powers[-1]).max() > 1e-18 and len(powers) < 10_000:
-        powers.append(step @ powers[-1])
-
     def from_rest(x: np.ndarray, x1: np.ndarray, x2: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows filtered together, sample by sample; ``first`` marks recording starts."""
         out = np.zeros_like(x)
@@ -444,28 +488,24 @@ def iir_notch(
 
     by = [*keys, "chunk"]
     rested = with_borders(chunks, keys, 2, 0).withColumn("values", rest("values", "left")).drop("left", "right")
-    ends = rested.select(
-        *by, F.element_at("values", -1).alias("e1"), F.element_at("values", -2).alias("e2")
-    ).filter(F.col("e2").isNotNull())
-    # the state before chunk c is the sum of powers[j] @ end(c - 1 - j)
-    lags = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(j + 1).alias("lag"), *[F.lit(float(m[r, c])).alias(f"m{r}{c}") for r in (0, 1) for c in (0, 1)]
-                )
-                for j, m in enumerate(powers[:-1] or powers)
-            ]
+    ends = rested.select(*by, F.element_at("values", -1).alias("y1"), F.get("values", F.size("values") - 2).alias("y2"))
+    states = cut_lineage(ends.filter("y2 IS NOT NULL"))  # a lone last sample has no successor
+    number = states.agg((F.max("chunk") - F.min("chunk")).alias("n")).first().n or 0
+    reach, power = 1, step
+    while reach <= number and power.any():
+        ahead = states.select(
+            *keys, (F.col("chunk") + reach).alias("chunk"),
+            (F.lit(float(power[0, 0])) * F.col("y1") + F.lit(float(power[0, 1])) * F.col("y2")).alias("__y1"),
+            (F.lit(float(power[1, 0])) * F.col("y1") + F.lit(float(power[1, 1])) * F.col("y2")).alias("__y2"),
         )
-    )
-    states = (
-        ends.select("*", lags.alias("p"))
-        .groupBy(*keys, (F.col("chunk") + F.col("p.lag")).alias("chunk"))
-        .agg(
-            F.sum(F.col("p.m00") * F.col("e1") + F.col("p.m01") * F.col("e2")).alias("y1"),
-            F.sum(F.col("p.m10") * F.col("e1") + F.col("p.m11") * F.col("e2")).alias("y2"),
+        states = cut_lineage(
+            states.join(ahead, by, "left").select(
+                *by, *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0.0))).alias(c) for c in ("y1", "y2")]
+            )
         )
-    )
+        reach, power = 2 * reach, power @ power
+    # the state after a chunk is the one before the next
+    states = states.withColumn("chunk", F.col("chunk") + 1)
     zero = F.lit(0.0)
     return (
         rested.join(states, by, "left")
@@ -499,7 +539,7 @@ def align_cues(
     def best_lag(window: pd.Series, wave: pd.Series) -> pd.Series:
         return pd.Series(
             [
-                int(np.argmax(np.abs(np.correlate(w, s, mode="full")))) - (len(s) - 1)
+                int(np.argmax(np.abs(convolve_full(np.asarray(w, float), np.asarray(s, float)[::-1])))) - (len(s) - 1)
                 for w, s in zip(window, wave)
             ]
         )

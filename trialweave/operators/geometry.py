@@ -151,11 +151,15 @@ def nearest_vertex(
     its nearest vertex found so is final once it lies within one cube edge. Points not
     settled go on with cubes twice as large. Vertices with equal coordinates count once.
     The first edge comes from the vertex density.
+    Points with a missing or infinite coordinate get NULL; such vertices are nobody's nearest.
     Result: keys, point id, vertex id, ``distance``.
     """
     xyz = ["x", "y", "z"]
     key_list = list(keys)
-    distinct = cut_lineage(vertices.groupBy(*key_list, *xyz).agg(F.min(vertex_id).alias(vertex_id)))
+    whole = vertices.dropna(subset=xyz)
+    for c in xyz:
+        whole = whole.filter(~F.isnan(c) & (F.abs(c) < float("inf")))
+    distinct = cut_lineage(whole.groupBy(*key_list, *xyz).agg(F.min(vertex_id).alias(vertex_id)))
     extent = distinct.agg(
         F.count(F.lit(1)).alias("n"),
         *[(F.max(c) - F.min(c)).alias(c) for c in xyz],
@@ -168,11 +172,21 @@ def nearest_vertex(
         for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
     ]
     cube = ["__cx", "__cy", "__cz"]
-    pending = points.select(*key_list, point_id, *xyz).join(
-        vertices.select(*key_list).distinct(), key_list, "left_semi"
+    placed = F.lit(True)
+    for c in xyz:
+        placed = placed & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    vertex_type = vertices.schema[vertex_id].dataType
+    known = points.select(*key_list, point_id, *xyz).join(
+        distinct.select(*key_list).distinct(), key_list, "left_semi"
     )
-    pending = cut_lineage(pending)
-    settled = []
+    known = cut_lineage(known.withColumn("__placed", F.coalesce(placed, F.lit(False))))
+    pending = known.filter("__placed").drop("__placed")
+    # a point with a missing coordinate has no nearest vertex
+    settled = [
+        known.filter("NOT __placed").select(
+            *key_list, point_id, F.lit(None).cast(vertex_type).alias(vertex_id), F.lit(None).cast("double").alias("distance")
+        )
+    ]
     while not pending.isEmpty():
         def cell(c: str):
             return F.floor(F.col(c) / F.lit(edge))
@@ -202,10 +216,6 @@ def nearest_vertex(
         settled.append(best)
         pending = cut_lineage(pending.join(best, [*key_list, point_id], "left_anti"))
         edge *= 2.0
-    if not settled:
-        return points.select(*key_list, point_id).limit(0).withColumn(
-            vertex_id, F.lit(None).cast("long")
-        ).withColumn("distance", F.lit(None).cast("double"))
     return reduce(lambda a, c: a.unionByName(c), settled)
 
 

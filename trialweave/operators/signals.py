@@ -15,8 +15,11 @@ from ..plans import join_keys, join_measured, measured, neighbours
 def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "value") -> DataFrame:
     """Long samples to one row per ``keys`` and run of ``chunk`` samples.
 
-    A group holds at most ``chunk`` rows, whatever the size of a recording.
+    A group holds at most ``chunk`` rows, whatever the size of a recording. Missing or repeated
+    samples within a chunk are an error, since they would shift all later ones.
     """
+    spans = F.element_at("__s", -1)["sample"] - F.element_at("__s", 1)["sample"] + 1
+    gap = F.raise_error(F.lit("a chunk has missing or repeated samples"))
     return (
         rows.groupBy(*keys, F.floor(F.col("sample") / F.lit(chunk)).alias("chunk"))
         .agg(F.array_sort(F.collect_list(F.struct("sample", value))).alias("__s"))
@@ -24,7 +27,7 @@ def to_chunks(rows: DataFrame, keys: Sequence[str], chunk: int, value: str = "va
             *keys,
             "chunk",
             F.element_at("__s", 1)["sample"].alias("start_sample"),
-            F.transform("__s", lambda s: s[value]).alias("values"),
+            F.when(F.size("__s") == spans, F.transform("__s", lambda s: s[value])).otherwise(gap).alias("values"),
         )
     )
 

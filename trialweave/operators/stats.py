@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import hashed_rank, join_keys, join_measured, measured, number_and_least
 
@@ -88,20 +88,27 @@ def stratified_folds(
 
     If every class of ``keys`` has fewer than ``k`` rows the classes are ignored and all
     rows are dealt together. ``salt`` columns (an iteration number) also group the rows.
+    A class is dealt on from where the class before it ended, so fold sizes differ by one at most.
     """
     by = [*keys, *salt]
-    sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).agg(
-        F.max("__n").alias("__largest")
-    )
-    tagged = join_measured(rows, sizes, by).withColumn(
+    every = Window.partitionBy(*by)
+    before = every.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per class
+    sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.withColumn("__largest", F.max("__n").over(every)).withColumn(
+        "__earlier", F.coalesce(F.sum("__n").over(before), F.lit(0))
+    )
+    sizes = sizes.select(*by, F.col(label).alias("__class"), "__largest", "__earlier")
+    tagged = join_measured(rows.withColumn("__class", F.col(label)), sizes, [*by, "__class"]).withColumn(
         "__stratum",
         F.when(F.col("__largest") >= k, F.concat(F.lit("="), F.col(label).cast("string"))).otherwise(""),
-    )
+    ).withColumn("__earlier", F.when(F.col("__largest") >= k, F.col("__earlier")).otherwise(F.lit(0)))
     ranked = hashed_rank(
         tagged, [*by, "__stratum"], _seed_text(F.lit(str(seed)), *salt, row_id), [row_id], "__rn"
     )
-    return ranked.withColumn("fold", F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop(
-        "__rn", "__stratum", "__largest"
+    place = F.col("__earlier") + F.col("__rn") - 1
+    return ranked.withColumn("fold", F.pmod(place, F.lit(k)).cast("int")).drop(
+        "__rn", "__stratum", "__largest", "__earlier", "__class"
     )
 
 

@@ -151,10 +151,12 @@ def trigger_onsets(
     """Trial onsets in seconds.
 
     The last wide pulse plus a buffer starts the task (the trace start if there is none);
-    baseline and noise are taken again from the rest; peaks above the new threshold keep
+    values below the first baseline are raised to it; baseline and noise are taken again from the rest; peaks above the new threshold keep
     a minimum distance; peaks with outlying height are dropped.
     """
     level = robust_level(trace, keys, factor)
+    raised = join_keys(trace, level.select(*keys, F.col("baseline").alias("__floor")), list(keys))
+    trace = raised.withColumn("value", F.greatest("value", "__floor")).drop("__floor")
     pulses = wide_pulses(trace, keys, level, int(min_width_s * fs))
     begin = cut_lineage(
         pulses.groupBy(*keys).agg((F.max("peak") + F.lit(int(start_buffer_s * fs))).alias("__begin"))

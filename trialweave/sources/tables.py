@@ -15,14 +15,6 @@ EVENTS_SCHEMA = (
 CHANMAP_SCHEMA = "row int, col int, channel_number int, name string, electrode_type string"
 
 # column descriptions written into the schema of event tables
-EVENT_COMMENTS = {
-    "trial": "Trial number within the task",
-    "onset": "Onset time of the event in seconds",
-    "duration": "Duration of the event in seconds",
-    "value": "Word or phoneme label of the event",
-    "trial_type": "Type of event; for phonemes with the position within the trial",
-    "sample": "Onset sample index in the recording",
-}
 EVENT_UNITS = {"onset": "s", "duration": "s"}
 
 
@@ -39,12 +31,9 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def describe_events(events: DataFrame) -> DataFrame:
     """Attach descriptions and units as column metadata."""
-    for name, comment in EVENT_COMMENTS.items():
+    for name, unit in EVENT_UNITS.items():
         if name in events.columns:
-            metadata = {"description": comment}
-            if name in EVENT_UNITS:
-                metadata["units"] = EVENT_UNITS[name]
-            events = events.withColumn(name, F.col(name).alias(name, metadata=metadata))
+            events = events.withColumn(name, F.col(name).alias(name, metadata={"units": unit}))
     return events
 
 
@@ -101,8 +90,8 @@ def missing_inputs(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(found.select("path").distinct(), "path", "left_anti")
 
 
-def require_inputs(expected: DataFrame, found: DataFrame, show: int = 20) -> None:
-    """Fail with the first missing paths, if there are any."""
-    missing = missing_inputs(expected, found).select("path").limit(show).collect()
+def require_inputs(expected: DataFrame, found: DataFrame) -> None:
+    """Fail with every missing path, if there are any."""
+    missing = [row.path for row in missing_inputs(expected, found).select("path").orderBy("path").toLocalIterator()]
     if missing:
-        raise FileNotFoundError("missing inputs: " + ", ".join(row.path for row in missing))
+        raise FileNotFoundError("missing inputs: " + ", ".join(missing))
