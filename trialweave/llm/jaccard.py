@@ -337,7 +337,7 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["set_id", "n", "tokens", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "set_id long, n long, tokens binary, sketch binary").dropDuplicates(["set_id"])
+    return rows.mapInArrow(run, "set_id long, n long, tokens binary, sketch binary")
 
 
 def _runs(batches, columns: int):

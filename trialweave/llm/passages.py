@@ -55,50 +55,61 @@ def shingle_rows(column: pa.Array):
             yield b - a, whole, grams[a : max(a, b - SHINGLE + 1)]
 
 
-def compact_windows(values: np.ndarray, least: int = SPAN) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree nodes that span ``least`` values or more; of equal values the middle one is above."""
-    out, open_ = [], [(0, len(values) - 1)]
+def compact_windows(values: np.ndarray, least: int = SPAN, repeats: bool = True) -> list[tuple[int, int, int]]:
+    """(l, c, r) of the Cartesian tree nodes that span ``least`` values or more; of equal values the middle one is above.
+
+    ``repeats``: whether a value may occur twice.
+    """
+    out, open_ = [], [(0, len(values))] if len(values) >= least else []
     while open_:
-        low, high = open_.pop()
-        if high - low + 1 < least:
-            continue
-        part = values[low : high + 1]
+        low, stop = open_.pop()
+        part = values[low:stop]
         c = int(part.argmin())
-        same = np.flatnonzero(part[c:] == part[c])
-        if len(same) > 1:
-            c += int(same[np.abs(same + c - len(part) // 2).argmin()])
-        c += low
-        out.append((low, c, high))
-        open_.append((low, c - 1))
-        open_.append((c + 1, high))
+        if repeats:
+            same = np.flatnonzero(part == part[c])
+            c = int(same[np.abs(same - len(part) // 2).argmin()])
+        out.append((low, low + c, stop - 1))
+        if c >= least:
+            open_.append((low, low + c))
+        if len(part) - c > least:
+            open_.append((low + c + 1, stop))
     return out
 
 
-def _anchors(tokens: np.ndarray) -> np.ndarray:
-    """Distinct keys of the compact windows; the two low bits name the hash function."""
-    out = []
+def _all_windows(tokens: np.ndarray):
+    """(hash of the least shingle with the function in its two low bits, l, c, r) over all functions, as arrays."""
+    repeats = len(np.unique(tokens)) < len(tokens)
+    keys, places = [], []
     for f, salt in enumerate(_SALTS):
         values = mix(tokens ^ salt)
-        at = np.array([c for _, c, _ in compact_windows(values)], np.int64)
-        out.append((values[at] & ~_U(3)) | _U(f))
-    return np.unique(np.concatenate(out))
+        windows = compact_windows(values, SPAN, repeats)
+        if windows:
+            found = np.array(windows, np.int64)
+            places.append(found)
+            keys.append((values[found[:, 1]] & ~_U(3)) | _U(f))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+#: What a pair needs of a window: a short hash, the place of the least shingle, and the passages of WORDS words that
+#: have it, from ``first`` to ``last``.
+_WINDOW = np.dtype([("value", "<u4"), ("c", "<i4"), ("first", "<i4"), ("last", "<i4")])
+
+
+def window_table(tokens: np.ndarray) -> np.ndarray:
+    keys, places = _all_windows(tokens)
+    out = np.zeros(len(keys), _WINDOW)
+    low, c, high = places.T if len(places) else np.zeros((3, 0), np.int64)
+    out["value"] = ((keys >> _U(32)) & ~_U(3)) | (keys & _U(3))
+    out["c"], out["first"], out["last"] = c, np.maximum(low, c - SPAN + 1), np.minimum(c, high - SPAN + 1)
+    return out[np.argsort(out["value"], kind="stable")]
 
 
 def keyed_texts(column: pa.Array):
     for _, own, tokens in shingle_rows(column):
         if len(tokens) >= SPAN:
-            yield own, lambda tokens=tokens: _anchors(tokens)
-
-
-def _window_table(tokens: np.ndarray) -> list[dict[int, list[tuple[int, int, int]]]]:
-    out = []
-    for salt in _SALTS:
-        values = mix(tokens ^ salt)
-        table: dict[int, list] = {}
-        for low, c, high in compact_windows(values):
-            table.setdefault(int(values[c]), []).append((low, c, high))
-        out.append(table)
-    return out
+            yield own, lambda tokens=tokens: np.unique(_all_windows(tokens)[0])
 
 
 def _matches(a: np.ndarray, b: np.ndarray, diagonal: int) -> np.ndarray:
@@ -123,20 +134,18 @@ def _merged(spans) -> list[tuple[int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def common_passages(a: np.ndarray, b: np.ndarray, table_a, table_b) -> list[tuple[int, int, int, int]]:
-    """(start, end in a, start, end in b) in words, of the verified passages of two texts."""
-    votes: list[tuple[int, int, int, int]] = []  # diagonal, first start, last start, function
-    for f in range(HASHES):
-        small, large, flip = (table_a[f], table_b[f], 1) if len(table_a[f]) <= len(table_b[f]) else (table_b[f], table_a[f], -1)
-        for value, own in small.items():
-            for x in own:
-                for y in large.get(value, ()):
-                    (la, ca, ra), (lb, cb, rb) = (x, y) if flip == 1 else (y, x)
-                    d = cb - ca
-                    first = max(la, ca - SPAN + 1, lb - d, cb - SPAN + 1 - d)
-                    last = min(ca, ra - SPAN + 1, rb - SPAN + 1 - d)
-                    if first <= last:
-                        votes.append((d, first, last, f))
+def common_passages(a: np.ndarray, b: np.ndarray, windows_a, windows_b) -> list[tuple[int, int, int, int]]:
+    """(start, end in a, start, end in b) in words, of the verified passages of two texts (short shingle hashes)."""
+    low = np.searchsorted(windows_b["value"], windows_a["value"], "left")
+    many = np.searchsorted(windows_b["value"], windows_a["value"], "right") - low
+    x = windows_a[np.repeat(np.arange(len(windows_a)), many)]
+    y = windows_b[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    d = y["c"] - x["c"]
+    first = np.maximum(x["first"], y["first"] - d)
+    last = np.minimum(x["last"], y["last"] - d)
+    meet = np.flatnonzero(first <= last)
+    # diagonal, first start, last start, function
+    votes = list(zip(d[meet].tolist(), first[meet].tolist(), last[meet].tolist(), (x["value"][meet] & 3).tolist()))
     votes.sort()
     out, i = [], 0
     while i < len(votes):
@@ -182,46 +191,46 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """text_id and its shingles in order, for the wanted (doc_id, text_id)."""
+    """text_id, shingles in order and compact windows, for the wanted (doc_id, text_id).
+
+    Shingles are compared place by place from here on, for which 16 bits of their hashes are enough: of the
+    ``SPAN`` comparisons of a passage, a wrong one has a chance of 1 in 13 000.
+    """
     rows = documents.select("doc_id", "text").join(small_side(wanted), "doc_id").select("text", "text_id")
 
     def run(batches):
+        def out(rows):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["text_id", "tokens", "windows"])
+
         for batch in batches:
-            ids, found, held = [], [], 0
+            rows, held = [], 0
             for want, (_, own, tokens) in zip(batch.column(1).to_pylist(), shingle_rows(batch.column(0))):
                 if own == want:
-                    ids.append(own)
-                    found.append(tokens.tobytes())
-                    held += len(found[-1])
+                    rows.append((own, (tokens & _U(0xFFFF)).astype("<u2").tobytes(), window_table(tokens).tobytes()))
+                    held += 4 * len(tokens)
                 if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["text_id", "tokens"])
-                    ids, found, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["text_id", "tokens"])
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
 
-    return rows.mapInArrow(run, "text_id long, tokens binary").dropDuplicates(["text_id"])
+    return rows.mapInArrow(run, "text_id long, tokens binary, windows binary")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(text_id, start, end, partner) spans of both sides of the pairs, merged within a task."""
-    left = tokens.select(F.col("text_id").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("text_id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    left = tokens.select(F.col("text_id").alias("a"), F.col("tokens").alias("ta"), F.col("windows").alias("wa"))
+    right = tokens.select(F.col("text_id").alias("b"), F.col("tokens").alias("tb"), F.col("windows").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "wa", "wb")
 
     def run(batches):
         spans: dict[int, list] = {}
-        tables: dict[int, tuple] = {}
-
-        def table(own, raw):
-            if own not in tables:
-                if len(tables) > 200:
-                    tables.clear()
-                x = np.frombuffer(raw.as_buffer(), np.uint64)
-                tables[own] = (x, _window_table(x))
-            return tables[own]
-
         for batch in batches:
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                (xa, wa), (xb, wb) = table(a, ta), table(b, tb)
+            columns = [batch.column(i) for i in range(2, 6)]
+            for a, b, *raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *columns):
+                xa, xb = (np.frombuffer(x.as_buffer(), "<u2") for x in raw[:2])
+                wa, wb = (np.frombuffer(x.as_buffer(), _WINDOW) for x in raw[2:])
                 for s, e, s2, e2 in common_passages(xa, xb, wa, wb):
                     spans.setdefault(a, []).append((s, e, b))
                     spans.setdefault(b, []).append((s2, e2, a))
