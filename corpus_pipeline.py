@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import decontaminate, jaccard, langid, mixing, token_store
 from trialweave.llm.queries import remainder, tokenizer_path
-from trialweave.llm.store import stored
+from trialweave.llm.store import stored, written
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Documents without a language (null or letterless text) are rejected."""
     model = langid.fit(docs, remainder(4) != 2)
-    judged = langid.identify(docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}), model)
-    return judged.filter(F.col("lang_pred") != "und").select(docs.columns)
+    judged = langid.identify(docs, model, ("__lang", "__score"))
+    return judged.filter(F.col("__lang") != "und").select(docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,5 +69,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -180,13 +180,13 @@ class Parser:
         return names, np.where(letters, score, 0.0).tolist()
 
 
-def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """Add lang_pred string and score double to ``documents``; columns of these names are replaced."""
+def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add lang_pred string and score double (under ``names``) to ``documents``; columns of these names are replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in documents.columns if c not in names]
     frame = documents.select(*[F.col(f"`{c}`") for c in kept])
     where = kept.index("text")
-    schema = frame.withColumns({"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0)}).schema
+    schema = frame.withColumns({names[0]: F.lit("").cast("string"), names[1]: F.lit(0.0)}).schema
 
     def run(batches):
         parser = None
@@ -194,13 +194,13 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
             if parser is None:
                 parser = Parser(shared.value)
             texts = [(t or "").replace("\0", " ") for t in batch.column(where).to_pylist()]
-            names, scores, first, held = [], [], 0, 0
+            found, scores, first, held = [], [], 0, 0
             for i, text in enumerate(texts):
                 held += len(text)
                 if held >= SLICE_LETTERS or i == len(texts) - 1:
                     a, b = parser.predict(texts[first : i + 1])
-                    names, scores, first, held = names + a, scores + b, i + 1, 0
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+                    found, scores, first, held = found + a, scores + b, i + 1, 0
+            columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
     return frame.mapInArrow(run, schema)

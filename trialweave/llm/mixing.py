@@ -26,6 +26,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ordering import number_rows, running_sum
+from .jaccard import small_side
 from .store import stored
 
 SLOTS = 4096
@@ -134,7 +135,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float], block_chars: int = 1
         F.col("source").alias("__s"), F.col("place").alias("__p"), "mix_slot", F.col("block").alias("mix_block")
     )
     tagged = rows.withColumns({"__s": key, "__p": hashed})
-    return tagged.join(found, ["__s", "__p"]).withColumn("mix_place", F.col("__p")).drop("__s", "__p")
+    return tagged.join(small_side(stored(found, "mix-slots")), ["__s", "__p"]).withColumn("mix_place", F.col("__p")).drop("__s", "__p")
 
 
 def _starts(spark, table):

@@ -8,19 +8,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only local sessions without it get a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def _root(spark: SparkSession) -> str:
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trialweave-llm-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; only local sessions without it get a temporary folder."""
+    return f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later readers see one and the same run."""
+    """Reliable checkpoint of ``df`` (``name`` labels its job): later readers see one and the same run.
+
+    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when nothing refers to them any more.
+    """
+    _root(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    context.setJobDescription(name)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        context.setJobDescription(None)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, to stay, and read it back."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.parquet(path)
