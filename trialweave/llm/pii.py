@@ -232,7 +232,7 @@ def fit(documents: DataFrame, sample_docs: int = 2000) -> Potentials:
     return estimate([r["text"] for r in picked])
 
 
-def tag(texts: list[str], p: Potentials, min_marginal: float = 0.5) -> list[tuple[list, list]]:
+def tag(texts: list[str], p: Potentials, min_marginal: float = 0.8) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, both by kind, then start."""
     base = [base_spans(t) for t in texts]
     graph = Graph()
@@ -253,7 +253,7 @@ def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(documents: DataFrame, p: Potentials, min_marginal: float = 0.5) -> DataFrame:
+def find(documents: DataFrame, p: Potentials, min_marginal: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, as kind:start:end in code points)."""
     shared = documents.sparkSession.sparkContext.broadcast(p)
     frame = documents.select("doc_id", "text")
