@@ -210,7 +210,7 @@ def write_tokens(
 ) -> DataFrame:
     """Write token files to ``folder`` (a path or URI that all executors reach).
 
-    Documents follow each other by ``order`` (default: ``doc_id``). Returns one row per file: part long,
+    Documents follow each other by rising values of ``order`` (default: ``doc_id``). Returns one row per file: part long,
     path string, docs long, tokens long.
     """
     keys = order or ["doc_id"]

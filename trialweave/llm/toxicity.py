@@ -121,12 +121,12 @@ def measure(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         of_digits = digit[ends] - digit[starts]
         mixed = (of_digits > 0) & (of_digits < ends - starts)
         punct = _PUNCT[data]
-        inside = np.zeros(len(data), bool)
+        inside, again = np.zeros(len(data), bool), np.zeros(len(data), bool)
         if len(data) > 2:
-            inside[1:-1] = punct[1:-1] & _LETTER[data[:-2]] & _LETTER[data[2:]]
-        again = np.zeros(len(data), bool)
-        if len(data) > 2:
-            again[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~_SPACE[data[2:]] & (data[2:] < 128)
+            owner = np.repeat(np.arange(len(n)), np.diff(offsets))
+            one_text = owner[2:] == owner[:-2]
+            inside[1:-1] = punct[1:-1] & _LETTER[data[:-2]] & _LETTER[data[2:]] & one_text
+            again[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & ~_SPACE[data[2:]] & (data[2:] < 128) & one_text
         out.append(
             np.stack(
                 [
