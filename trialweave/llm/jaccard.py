@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..plans.sizing import BROADCAST_BYTES, fits_broadcast
 from .components import components
 from .kernels import FOLDED_VALUES, NONSPACE, gram_hashes, mix, span_hashes, text_slices, words
-from .store import stored
+from .store import Scratch, stored
 
 SHINGLE = 4
 PERCENT = 85
@@ -240,24 +240,24 @@ def keyed_sets(column: pa.Array):
 
 
 def key_rows(documents: DataFrame, keyed) -> DataFrame:
-    """key, set_id, kind: 0 alone in its task, 1 first of several there, 2 the others of several.
+    """key, set_id; the two low bits of the key are 0: alone in its task, 1: first of several there, 2: another one.
 
     ``keyed`` gives (id, function that makes the distinct keys) for the texts of a column.
     """
-    hold = 1 << 20
+    hold = 1 << 18
 
     def run(batches):
         seen, held, count = set(), [], 0
 
         def out():
-            key = np.concatenate([k for _, k in held])
+            key = np.concatenate([k for _, k in held]) & ~_U(3)
             own = np.repeat(np.array([s for s, _ in held], np.int64), [len(k) for _, k in held])
             order = np.argsort(key, kind="stable")
             key, own = key[order], own[order]
             first = np.append(True, key[1:] != key[:-1])
             several = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))) > 1, np.diff(np.append(np.flatnonzero(first), len(key))))
-            kind = np.where(several, np.where(first, 1, 2), 0).astype(np.int8)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(kind)], names=["key", "set_id", "kind"])
+            key |= np.where(several, np.where(first, 1, 2), 0).astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own)], names=["key", "set_id"])
 
         for batch in batches:
             for own, made in keyed(batch.column(0)):
@@ -272,19 +272,22 @@ def key_rows(documents: DataFrame, keyed) -> DataFrame:
         if held:
             yield out()
 
-    return documents.select("text").mapInArrow(run, "key long, set_id long, kind byte")
+    return documents.select("text").mapInArrow(run, "key long, set_id long")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """(key, set_id) of keys that two classes or more hold."""
-    home = F.when(F.col("kind") == 2, F.col("set_id")).otherwise(F.col("key"))
-    laid = rows.withColumn("home", home).repartition("home").sortWithinPartitions("home", "set_id").drop("home")
+    bare = F.col("key").bitwiseAND(F.lit(-4))
+    # rows that need no partner any more are spread by their class
+    home = F.when(F.col("key").bitwiseAND(F.lit(3)) == 2, F.col("set_id")).otherwise(bare)
+    laid = rows.repartition(home).sortWithinPartitions(home, "set_id")
 
     def run(batches):
         # the last row stays open until the next key: (key, set, kind, already given out)
         held = None
         for batch in batches:
-            key, own, kind = (batch.column(i).to_numpy() for i in range(3))
+            marked, own = (batch.column(i).to_numpy() for i in range(2))
+            key, kind = marked & ~np.int64(3), (marked & 3).astype(np.int8)
             direct = kind == 2
             out_key, out_own = [key[direct]], [own[direct]]
             key, own, kind = key[~direct], own[~direct], kind[~direct]
@@ -415,28 +418,34 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def link_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes (set_id, doc_id), enough for their components."""
-    members = stored(_without_twins(stored(shared_keys(key_rows(documents, keyed_sets)), "keys")), "buckets")
+    with Scratch(documents.sparkSession) as scratch:
+        return _links(documents, classes, scratch)
+
+
+def _links(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    members = scratch.stored(shared_keys(key_rows(documents, keyed_sets)), "keys", 4000)
+    members = scratch.stored(_without_twins(members), "buckets")
     wanted = members.select("set_id").distinct().join(classes, "set_id").select("doc_id", "set_id")
-    tokens = stored(_fetch(documents, stored(wanted, "wanted")), "sets")
+    tokens = scratch.stored(_fetch(documents, scratch.stored(wanted, "wanted")), "sets", 1000)
     sized = tokens.select("set_id", F.col("n").alias("size"), "sketch")
     buckets = members.join(sized, "set_id")
-    tried = stored(_verified(_pairs(buckets, True), tokens), "links")
+    tried = stored(_verified(_pairs(buckets, True), tokens), "links", 1000)
     links = tried.filter("linked").select("a", "b")
     if tried.filter("NOT linked").isEmpty():
         return links
     # what is still apart in a bucket is compared as a whole
     found = components(links)
     labelled = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    labelled = stored(labelled, "labelled")
+    labelled = scratch.stored(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     pairs = _pairs(labelled.join(mixed, "key").join(sized, "set_id"), False)
     again = _verified(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), tokens)
-    return links.union(stored(again.filter("linked").select("a", "b"), "links"))
+    return links.unionByName(stored(again.filter("linked").select("a", "b"), "more-links", 1000))
 
 
 def join(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles long, set_id long (class), component_id (least linked doc_id)."""
-    digest = stored(digests(documents), "digests")
+    digest = stored(digests(documents), "digests", 2000)
     classes = stored(digest.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "classes")
     found = components(link_classes(documents, classes)).withColumnRenamed("node", "set_id")
     labelled = classes.join(found, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .jaccard import key_rows, shared_keys, small_side
 from .kernels import FOLDED_VALUES, NONSPACE, gram_hashes, mix, span_hashes, text_slices, words
-from .store import stored
+from .store import Scratch, stored
 
 SHINGLE = 5
 WORDS = 50
@@ -77,7 +77,7 @@ def compact_windows(values: np.ndarray, least: int = SPAN, repeats: bool = True)
 
 
 def _all_windows(tokens: np.ndarray):
-    """(hash of the least shingle with the function in its two low bits, l, c, r) over all functions, as arrays."""
+    """(hash of the least shingle with the function in bits 2 and 3, l, c, r) over all functions, as arrays."""
     repeats = len(np.unique(tokens)) < len(tokens)
     keys, places = [], []
     for f, salt in enumerate(_SALTS):
@@ -86,7 +86,7 @@ def _all_windows(tokens: np.ndarray):
         if windows:
             found = np.array(windows, np.int64)
             places.append(found)
-            keys.append((values[found[:, 1]] & ~_U(3)) | _U(f))
+            keys.append((values[found[:, 1]] & ~_U(15)) | _U(f << 2))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
     return np.concatenate(keys), np.concatenate(places)
@@ -101,7 +101,7 @@ def window_table(tokens: np.ndarray) -> np.ndarray:
     keys, places = _all_windows(tokens)
     out = np.zeros(len(keys), _WINDOW)
     low, c, high = places.T if len(places) else np.zeros((3, 0), np.int64)
-    out["value"] = ((keys >> _U(32)) & ~_U(3)) | (keys & _U(3))
+    out["value"] = ((keys >> _U(32)) & ~_U(3)) | ((keys >> _U(2)) & _U(3))
     out["c"], out["first"], out["last"] = c, np.maximum(low, c - SPAN + 1), np.minimum(c, high - SPAN + 1)
     return out[np.argsort(out["value"], kind="stable")]
 
@@ -247,23 +247,24 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, partner_doc_id) for every span that is repeated in another document."""
-    texts = stored(_texts(documents), "texts")
+    texts = stored(_texts(documents), "texts", 2000)
     classes = stored(
         texts.groupBy("text_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("n_words").alias("n_words")), "text-classes"
     )
-    members = stored(shared_keys(key_rows(documents.filter(F.col("doc_id").isNotNull()), keyed_texts)).withColumnRenamed("set_id", "text_id"), "anchors")
-    ends = members.groupBy("key").agg(F.min("text_id").alias("first"), F.max("text_id").alias("last"))
-    met = members.join(ends, "key")
-    bit = F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(F.lit(3)).cast("int"))
-    other = F.explode(F.array_distinct(F.array("first", "last"))).alias("other")
-    pairs = met.select("text_id", bit.alias("bit"), other).filter("text_id <> other")
-    pairs = pairs.select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"), "bit")
-    pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).filter(F.bit_count("bits") >= ENOUGH)
-    pairs = stored(pairs.select("a", "b"), "passage-pairs")
-    wanted = pairs.select(F.col("a").alias("text_id")).union(pairs.select("b")).distinct()
-    wanted = stored(wanted.join(classes, "text_id").select(F.col("low").alias("doc_id"), "text_id"), "wanted")
-    tokens = stored(_fetch(documents, wanted), "shingles")
-    found = stored(_verified(pairs, tokens), "spans")
+    with Scratch(documents.sparkSession) as scratch:
+        members = scratch.stored(shared_keys(key_rows(documents.filter(F.col("doc_id").isNotNull()), keyed_texts)).withColumnRenamed("set_id", "text_id"), "anchors", 4000)
+        ends = members.groupBy("key").agg(F.min("text_id").alias("first"), F.max("text_id").alias("last"))
+        met = members.join(ends, "key")
+        bit = F.call_function("shiftleft", F.lit(1), F.shiftright("key", 2).bitwiseAND(F.lit(3)).cast("int"))
+        other = F.explode(F.array_distinct(F.array("first", "last"))).alias("other")
+        pairs = met.select("text_id", bit.alias("bit"), other).filter("text_id <> other")
+        pairs = pairs.select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"), "bit")
+        pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).filter(F.bit_count("bits") >= ENOUGH)
+        pairs = scratch.stored(pairs.select("a", "b"), "passage-pairs")
+        wanted = pairs.select(F.col("a").alias("text_id")).union(pairs.select("b")).distinct()
+        wanted = scratch.stored(wanted.join(classes, "text_id").select(F.col("low").alias("doc_id"), "text_id"), "wanted")
+        tokens = scratch.stored(_fetch(documents, wanted), "shingles", 1000)
+        found = stored(_verified(pairs, tokens), "spans", 1000)
     partner = classes.select(F.col("text_id").alias("partner"), F.col("low").alias("partner_doc"))
     found = found.join(partner, "partner").select("text_id", F.struct("start", "end", F.col("partner_doc").alias("partner")).alias("span"))
     # a task gives a text's spans merged, so this gathers a few spans a task

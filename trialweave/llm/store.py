@@ -24,22 +24,45 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Reliable checkpoint of ``df`` (``name`` labels its job): later readers see one and the same run.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    With spark.cleaner.referenceTracking.cleanCheckpoints the files go when nothing refers to them any more.
+
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: later readers see one and the same run.
+
+    ``batch_rows`` bounds the Arrow batches of this job, for rows that hold texts or long arrays.
     """
-    _root(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    context.setJobDescription(name)
+    return _write(df, shared_folder(df.sparkSession, name), batch_rows)
+
+
+def _write(df: DataFrame, path: str, batch_rows: int | None) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
     try:
-        return df.checkpoint(eager=True)
+        df.write.parquet(path)
     finally:
-        context.setJobDescription(None)
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Stored tables that only the steps inside need: leaving the block removes their files.
+
+    Whatever is used afterwards has to be stored elsewhere before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark, "scratch")
+
+    def stored(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        return _write(df, f"{self.folder}/{name}-{uuid.uuid4().hex}", batch_rows)
 
+    def __enter__(self) -> Scratch:
+        return self
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder, to stay, and read it back."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

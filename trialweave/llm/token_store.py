@@ -256,7 +256,7 @@ def write_tokens(
                 fs.move(d, f)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "docs": [docs], "tokens": [tokens]})
 
-    return stored(laid.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-parts")
+    return stored(laid.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-parts", 2000)
 
 
 def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
