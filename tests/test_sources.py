@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.catalog.sources import encode_recording
+from recording_bytes import encode_recording
 from trialweave.operators import channels as ch, geometry as geo
 from trialweave.sources import recordings as rec, tables as tb
 

@@ -398,3 +398,43 @@ def nearest_vertex(spark, sf):
     )
     out = geo.nearest_vertex(points, vertices, ["hemi"], "name")
     return out.withColumn("distance", rounded(F.col("distance")))
+
+
+_SURFACES = """v AS (SELECT vec_id AS vertex, label % 2 AS hemi, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+      CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS sx, CAST(embedding[5] AS DOUBLE) AS sy,
+      CAST(embedding[6] AS DOUBLE) AS sz FROM embeddings),
+    pial AS (SELECT s AS subject, vertex, hemi, x + s / 50 AS x, y, z FROM v, range(3) r(s)),
+    sphere AS (SELECT s AS subject, vertex, hemi, sx, sy + s / 50 AS sy, sz FROM v, range(3) r(s)),
+    e AS (SELECT p_partkey % 3 AS subject, p_partkey AS name, p_partkey // 3 % 2 AS hemi, sin(p_partkey) / 5 AS x,
+      cos(p_partkey) / 5 AS y, sin(p_partkey * 3) / 5 AS z FROM part)"""
+
+
+@query(
+    "project_electrodes",
+    f"""WITH {_SURFACES}, a AS (SELECT e.subject, e.hemi, e.name, arg_min(p.vertex, struct_pack(d := (e.x-p.x)*(e.x-p.x)
+        + (e.y-p.y)*(e.y-p.y) + (e.z-p.z)*(e.z-p.z), v := p.vertex)) AS vertex
+      FROM e JOIN pial p USING (subject, hemi) GROUP BY ALL),
+    s AS (SELECT a.subject, a.hemi, a.name, sx, sy, sz FROM a JOIN sphere USING (subject, hemi, vertex)),
+    t AS (SELECT s.subject, s.hemi, s.name, arg_min(v.vertex, struct_pack(d := (s.sx-v.sx)*(s.sx-v.sx)
+        + (s.sy-v.sy)*(s.sy-v.sy) + (s.sz-v.sz)*(s.sz-v.sz), v := v.vertex)) AS vertex
+      FROM s JOIN v USING (hemi) GROUP BY ALL)
+    SELECT t.subject, t.name, t.hemi, t.vertex, x, y, z FROM t JOIN v USING (hemi, vertex)""",
+)
+def project_electrodes(spark, sf):
+    """Subject surfaces are shifted copies of the template, which is cut from the vectors."""
+    e = F.col("embedding")
+    v = b.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("vertex"), (F.col("label") % 2).cast("long").alias("hemi"),
+        *[F.element_at(e, i).cast("double").alias(n) for i, n in enumerate(("x", "y", "z", "sx", "sy", "sz"), 1)],
+    )
+    each = v.withColumn("subject", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    place = ["subject", "hemi", "vertex"]
+    pial = each.select(*place, (F.col("x") + F.col("subject") / 50).alias("x"), "y", "z")
+    sphere = each.select(*place, F.col("sx").alias("x"), (F.col("sy") + F.col("subject") / 50).alias("y"), F.col("sz").alias("z"))
+    template_sphere = v.select("hemi", "vertex", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"))
+    key = F.col("p_partkey")
+    electrodes = b.table(spark, sf, "part").select(
+        (key % 3).alias("subject"), key.alias("name"), F.pmod(F.floor(key / 3), F.lit(2)).alias("hemi"),
+        (F.sin(key) / 5).alias("x"), (F.cos(key) / 5).alias("y"), (F.sin(key * 3) / 5).alias("z"),
+    )
+    return geo.project_electrodes(electrodes, pial, sphere, template_sphere, v.select("hemi", "vertex", "x", "y", "z"))

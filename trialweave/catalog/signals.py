@@ -71,6 +71,22 @@ def timestamp_gaps(spark, sf):
     return sg.timestamp_gaps(rows, ["file"], 30000.0)
 
 
+@query(
+    "time_axes",
+    f"""WITH {_STAMPS}, k AS (SELECT * FROM (VALUES ('amplifier', 1), ('adc', 1), ('digital', 1), ('aux', 4), ('supply', 128),
+      ('temperature', 128)) AS v(kind, step))
+    SELECT file, kind, idx // step AS idx, timestamp / 30000.0::DOUBLE AS t FROM st JOIN k ON idx % step = 0""",
+)
+def time_axes(spark, sf):
+    key = F.col("o_orderkey")
+    idx = F.floor(key / 4)
+    rows = b.table(spark, sf, "orders").select(
+        F.pmod(key, F.lit(4)).alias("file"), idx.alias("idx"),
+        (idx + F.when(F.col("o_custkey") % 50 == 0, 1).otherwise(0)).alias("timestamp"),
+    )
+    return sg.time_axes(rows, ["file"], 30000.0)
+
+
 @query(
     "file_range",
     """WITH f AS (SELECT source AS subject, 'sub' || source || '_' || printf('%08d', doc_id) || '.rhd' AS path

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -13,103 +9,6 @@ from ..functions.numeric import rounded
 from ..sources import recordings as rec, tables as tb
 from .registry import query
 
-PER_FILE = 1000
-
-
-def encode_recording(samples: list, cut: bool) -> bytes:
-    """A recording with 2 amplifier, 2 ADC and 1 digital channel from rows (a0, a1, adc0, adc1, word)."""
-
-    def text(value: str) -> bytes:
-        raw = value.encode("utf-16-le")
-        return struct.pack("<I", len(raw)) + raw
-
-    out = struct.pack("<Ihhf", rec.MAGIC, 2, 0, 2000.0) + struct.pack("<hffffff", 1, 1, 1, 7500, 1, 1, 7500)
-    out += struct.pack("<hff", 2, 1000.0, 1000.0) + text("") * 3 + struct.pack("<hh", 0, 1) + text("ref")
-    channels = [("A-000", 0, 0), ("A-001", 1, 0), ("ANALOG-0", 0, 3), ("ANALOG-1", 1, 3), ("DIN-05", 5, 4)]
-    out += struct.pack("<h", 1) + text("Port A") + text("A") + struct.pack("<hhh", 1, len(channels), 2)
-    for name, order, kind in channels:
-        out += text(name) + text(name)
-        out += struct.pack(rec.CHANNEL_RECORD, order, order, kind, 1, order, 0, 0, 0, 0, 0, 1e5 * (order + 1), 10.0)
-    table = np.array(samples, dtype=np.int64).reshape(-1, 5)
-    n_blocks = -(-len(table) // 128)
-    padded = np.zeros((n_blocks * 128, 5), dtype=np.int64)
-    padded[: len(table)] = table
-    blocks = np.zeros(n_blocks, dtype=rec.block_type(rec.parse_header(out)))
-    shaped = padded.reshape(n_blocks, 128, 5).transpose(0, 2, 1)
-    blocks["timestamp"] = np.arange(n_blocks * 128).reshape(n_blocks, 1, 128)
-    blocks["amplifier"], blocks["adc"], blocks["digital_in"] = shaped[:, :2], shaped[:, 2:4], shaped[:, 4:]
-    out += blocks.tobytes()
-    return out[:-1] if cut else out
-
-
-def recording_files(spark, sf):
-    """Recording files whose samples are the rows of ``orders``, 1000 to a file; some are cut short."""
-    key = F.col("o_orderkey")
-    row = F.array(
-        key * 7919 % 65536, F.col("o_custkey") * 31 % 65536, F.floor("o_totalprice") % 65536,
-        key % 65536, F.col("o_custkey") % 65536,
-    )
-
-    @F.pandas_udf("binary")
-    def encode(rows: pd.Series, cut: pd.Series) -> pd.Series:
-        return pd.Series([encode_recording([list(x) for x in r], c) for r, c in zip(rows, cut)])
-
-    grouped = b.table(spark, sf, "orders").groupBy(F.floor(key / PER_FILE).alias("file")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((key % PER_FILE).alias("i"), row.alias("v")))),
-            lambda s: s["v"],
-        ).alias("rows")
-    )
-    content = encode("rows", F.col("file") % 5 == 3)
-    return grouped.select(F.concat(F.lit("rec"), F.col("file").cast("string")).alias("path"), content.alias("content"))
-
-
-@query(
-    "ingest_rhd",
-    """WITH o AS (SELECT 'rec' || o_orderkey // 1000 AS path, o_orderkey % 1000 AS sample, o_orderkey, o_custkey,
-      CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_orderkey // 1000 % 5 <> 3)
-    SELECT path, 'amplifier' AS kind, 0 AS channel, sample, round(0.195::DOUBLE * (o_orderkey * 7919 % 65536 - 32768), 9) + 0.0 AS value FROM o
-    UNION ALL SELECT path, 'amplifier', 1, sample, round(0.195::DOUBLE * (o_custkey * 31 % 65536 - 32768), 9) + 0.0 FROM o
-    UNION ALL SELECT path, 'adc', 0, sample, round(152.59e-6 * (price % 65536 - 32768), 9) + 0.0 FROM o
-    UNION ALL SELECT path, 'adc', 1, sample, round(152.59e-6 * (o_orderkey % 65536 - 32768), 9) + 0.0 FROM o""",
-)
-def ingest_rhd(spark, sf):
-    chunks = rec.scaled_samples(rec.decode_recordings(recording_files(spark, sf), blocks_per_chunk=2))
-    long = chunks.select("path", "kind", "channel", "start_sample", F.posexplode("values").alias("i", "value"))
-    sample = F.col("start_sample") + F.col("i")
-    rows = long.select("path", "kind", "channel", sample.alias("sample"), rounded(F.col("value"), 9).alias("value"))
-    # files are padded to whole blocks
-    counts = b.table(spark, sf, "orders").groupBy(
-        F.concat(F.lit("rec"), F.floor(F.col("o_orderkey") / PER_FILE).cast("string")).alias("path")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(counts, "path").filter(F.col("sample") < F.col("n")).drop("n")
-
-
-@query(
-    "ingest_rejects",
-    """SELECT DISTINCT 'rec' || o_orderkey // 1000 AS path, 'not a whole number of data blocks' AS reason
-    FROM orders WHERE o_orderkey // 1000 % 5 = 3""",
-)
-def ingest_rejects(spark, sf):
-    return rec.rejected_recordings(recording_files(spark, sf))
-
-
-@query(
-    "ingest_digital",
-    """SELECT 'rec' || o_orderkey // 1000 AS path, o_orderkey % 1000 AS sample, (o_custkey % 65536 >> 5) & 1 = 1 AS level
-    FROM orders WHERE o_orderkey // 1000 % 5 <> 3""",
-)
-def ingest_digital(spark, sf):
-    files = recording_files(spark, sf)
-    lines = rec.digital_lines(rec.decode_recordings(files), rec.recording_channels(files))
-    long = lines.select("path", "start_sample", F.posexplode("levels").alias("i", "level"))
-    rows = long.select("path", (F.col("start_sample") + F.col("i")).alias("sample"), "level")
-    counts = b.table(spark, sf, "orders").groupBy(
-        F.concat(F.lit("rec"), F.floor(F.col("o_orderkey") / PER_FILE).cast("string")).alias("path")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(counts, "path").filter(F.col("sample") < F.col("n")).drop("n")
-
-
 _STORED = """stored AS (SELECT p_brand AS subject, p_type AS period,
       CASE WHEN p_size % 2 = 0 THEN 'highGamma' ELSE 'spikeBand' END AS suffix,
       CASE WHEN p_size > 25 THEN 'sig' ELSE 'all' END AS datatype, printf('%08d', p_partkey) || '.fif' AS path

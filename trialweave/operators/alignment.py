@@ -256,9 +256,12 @@ def separate_maps(
     target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame
 ) -> DataFrame:
     """Every subject in its own axes, cut to the smallest number of axes among them."""
-    every = join_keys(source_pca, target_pca.select(*FOLD), []).unionByName(
-        target_pca.select("subject", "mean", "comps", *FOLD)
+    # the folds are a short list that the target's models spell out: one array for all
+    folds = target_pca.agg(F.collect_set(F.struct(*FOLD)).alias("__folds"))
+    spread = join_keys(source_pca, folds, []).select("*", F.explode("__folds").alias("__f")).select(
+        *source_pca.columns, *[F.col(f"__f.{c}").alias(c) for c in FOLD]
     )
+    every = spread.unionByName(target_pca.select("subject", "mean", "comps", *FOLD))
     axes = F.floor(F.size("comps") / F.size("mean"))
     common = every.groupBy(*FOLD).agg(F.min(axes).alias("__k"))
     return _own_axes(truncate_axes(every.join(common, FOLD), F.col("__k")))

@@ -233,6 +233,22 @@ def timestamp_gaps(rows: DataFrame, keys: Sequence[str], fs: float, block: int =
     )
 
 
+def time_axes(rows: DataFrame, keys: Sequence[str], fs: float, block: int = 128) -> DataFrame:
+    """Times in seconds of every sample per signal kind.
+
+    ``rows`` holds ``idx`` (0-based sample position) and ``timestamp``. Amplifier, board ADC and digital
+    lines have every sample, auxiliary inputs every 4th, supply voltage and temperature the first of
+    every block. Result: keys, ``kind``, ``idx`` (position on that axis), ``t``.
+    """
+    every = {"amplifier": 1, "adc": 1, "digital": 1, "aux": 4, "supply": block, "temperature": block}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("step")) for k, n in every.items()]))
+    spread = rows.select(*keys, "idx", "timestamp", kinds.alias("axis")).filter(F.pmod("idx", F.col("axis.step")) == 0)
+    return spread.select(
+        *keys, F.col("axis.kind").alias("kind"), F.floor(F.col("idx") / F.col("axis.step")).alias("idx"),
+        (F.col("timestamp") / F.lit(float(fs))).alias("t"),
+    )
+
+
 def resolve_rate(recordings: DataFrame, sources: Sequence[str], name: str = "fs") -> DataFrame:
     """First known sampling rate among ``sources``; none known is an error."""
     missing = F.raise_error(F.lit("no sampling rate known for a recording")).cast("double")

@@ -35,7 +35,10 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     if keys:
         return left.join(right, list(keys), how)
     one = F.lit(1)
-    return left.withColumn("__all", one).join(right.withColumn("__all", one), "__all", how).drop("__all")
+    single = F.broadcast(right.limit(2).withColumn("__all", one))
+    if right.limit(2).count() > 1:
+        raise ValueError("without keys the right side must be one row")
+    return left.withColumn("__all", one).join(single, "__all", how).drop("__all")
 
 
 def _place(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
