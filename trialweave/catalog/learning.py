@@ -34,6 +34,18 @@ def decode_cv(spark, sf):
     return dc.decode_scores(predictions)
 
 
+@query(
+    "decode_grid",
+    f"""WITH {b.FEATURES_SQL}, c AS (SELECT subject, trial // 4 % 2 AS period, count(*) AS n FROM feat GROUP BY ALL)
+    SELECT subject, period, CAST(iter AS INTEGER) AS iter, n FROM c, range(2) AS r(iter)""",
+)
+def decode_grid(spark, sf):
+    """Rows predicted per cell of subject x period and iteration: each once."""
+    rows = b.features(spark, sf).withColumn("period", F.pmod(F.floor(F.col("trial") / 4), F.lit(2)))
+    predictions = dc.decode_within(rows, k=5, n_iter=2, keys=["subject", "period"])
+    return predictions.groupBy("subject", "period", "iter").agg(F.countDistinct("trial").alias("n"))
+
+
 @query("decode_chance")
 def decode_chance(spark, sf):
     predictions = dc.decode_within(b.features(spark, sf), k=5, n_iter=2, chance=True)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import hashed_rank, join_keys, join_measured, measured, number_and_least
@@ -13,6 +16,33 @@ def _seed_text(*parts) -> F.Column:
     return F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 
 
+#: Permutations that one task runs over the observations of a key, and the most observations for that.
+PERMUTATIONS, OBSERVATIONS = 256, 100_000
+
+
+def _extremes_in_blocks(valid: DataFrame, key_list: list[str], obs_id: str, n_perm: int, seed: int) -> DataFrame:
+    """Keys and ``__extreme`` of one block of permutations per row."""
+    tail = _seed_text(*key_list, obs_id)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // PERMUTATIONS) - 1)))
+    rows = valid.select(*key_list, obs_id, tail.alias("__tail"), "value", "n_interest", "difference", blocks.alias("__block"))
+    kinds = ", ".join(f"`{c}` {valid.schema[c].dataType.simpleString()}" for c in key_list)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(obs_id)
+        values = pdf["value"].to_numpy(float)
+        tails = [t.encode() for t in pdf["__tail"]]
+        taken, observed, block = int(pdf["n_interest"].iloc[0]), pdf["difference"].iloc[0], int(pdf["__block"].iloc[0])
+        total, extreme = values.sum(), 0
+        for perm in range(block * PERMUTATIONS + 1, min((block + 1) * PERMUTATIONS, n_perm) + 1):
+            head = f"{seed}|{perm}|".encode()
+            ranks = np.frombuffer(b"".join([md5(head + t).digest() for t in tails]), ">u8").reshape(-1, 2)
+            chosen = values[np.lexsort((ranks[:, 1], ranks[:, 0]))[:taken]].sum()
+            extreme += chosen / taken - (total - chosen) / (len(values) - taken) >= observed - 1e-9
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in key_list}, "__extreme": [int(extreme)]})
+
+    return rows.groupBy(*key_list, "__block").applyInPandas(run, ", ".join(x for x in (kinds, "__extreme long") if x))
+
+
 def permutation_test(
     observations: DataFrame,
     keys: Sequence[str],
@@ -23,7 +53,9 @@ def permutation_test(
     """One-sided permutation test of a mean difference per ``keys``.
 
     ``observations``: keys, ``obs_id`` (unique per key), ``interest`` (BOOLEAN), ``value``.
-    In each permutation the observations are dealt by hash rank. The p-value counts the
+    In each permutation the observations are dealt by hash rank. A task takes the observations of a key
+    and ``PERMUTATIONS`` permutations and returns one count; keys of more than ``OBSERVATIONS`` rows
+    are ranked as tables instead, with the same result. The p-value counts the
     permuted differences at least as large as the observed one; with fewer than two values
     on a side it is 1.
     """
@@ -37,7 +69,10 @@ def permutation_test(
     )
     observed = measured(observed)  # one row per channel
     testable = observed.filter((F.col("n_interest") >= 2) & (F.col("n_baseline") >= 2))
-    dealt = join_keys(valid, testable.select(*key_list, "n_interest"), key_list).withColumn(
+    known = join_keys(valid, testable.select(*key_list, "n_interest", "n_baseline", "difference"), key_list)
+    few = F.col("n_interest") + F.col("n_baseline") <= OBSERVATIONS
+    in_blocks = _extremes_in_blocks(known.filter(few), key_list, obs_id, n_perm, seed)
+    dealt = known.filter(~few).select(*key_list, obs_id, "value", "n_interest").withColumn(
         "perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
     )
     ranked = hashed_rank(
@@ -51,6 +86,7 @@ def permutation_test(
     extreme = join_keys(null, testable.select(*key_list, "difference"), key_list).groupBy(*key_list).agg(
         F.count_if(F.col("__d") >= F.col("difference") - F.lit(1e-9)).alias("__extreme")
     )
+    extreme = extreme.unionByName(in_blocks).groupBy(*key_list).agg(F.sum("__extreme").alias("__extreme"))
     joined = join_keys(observed, extreme, key_list, "left")
     p = (F.col("__extreme") + 1) / F.lit(float(n_perm + 1))
     return joined.select(
