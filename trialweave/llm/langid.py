@@ -193,13 +193,13 @@ def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str]
         for batch in batches:
             if parser is None:
                 parser = Parser(shared.value)
-            texts = [(t or "").replace("\0", " ") for t in batch.column(where).to_pylist()]
-            found, scores, first, held = [], [], 0, 0
-            for i, text in enumerate(texts):
-                held += len(text)
-                if held >= SLICE_LETTERS or i == len(texts) - 1:
-                    a, b = parser.predict(texts[first : i + 1])
-                    found, scores, first, held = found + a, scores + b, i + 1, 0
+            found, scores, part, held = [], [], [], 0
+            for i, text in enumerate(batch.column(where)):
+                part.append((text.as_py() or "").replace("\0", " "))
+                held += len(part[-1])
+                if held >= SLICE_LETTERS or i == batch.num_rows - 1:
+                    a, b = parser.predict(part)
+                    found, scores, part, held = found + a, scores + b, [], 0
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 

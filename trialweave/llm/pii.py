@@ -261,12 +261,11 @@ def find(documents: DataFrame, p: Potentials, min_marginal: float = 0.8) -> Data
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             rows, part, held = [], [], 0
-            for i, text in enumerate(texts):
-                part.append(text or "")
+            for i, text in enumerate(batch.column(1)):
+                part.append(text.as_py() or "")
                 held += len(part[-1])
-                if held >= SLICE_CHARS or i == len(texts) - 1:
+                if held >= SLICE_CHARS or i == batch.num_rows - 1:
                     rows += tag(part, shared.value, min_marginal)
                     part, held = [], 0
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in rows], pa.int64()) for k in KINDS]
