@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = 256
-SLICE_LETTERS = 1 << 20
+SLICE_LETTERS = 1 << 19
 
 
 @dataclass
@@ -92,7 +92,7 @@ def build(samples: dict[str, str]) -> LanguageModel:
 
 
 def fit(
-    documents: DataFrame, usable: Column, sample_docs: int = 300, doc_letters: int = 1000, letters: int = 60_000
+    documents: DataFrame, usable: Column, sample_docs: int = 300, doc_letters: int = 1000, letters: int = 25_000
 ) -> LanguageModel:
     """Learn from the rows of ``documents`` where ``usable`` holds and text and lang are not null."""
     rows = documents.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
