@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions import numeric
+from ..functions import codes, numeric
 from ..operators import epochs as ep, quality as qc, stats as st
 from .registry import query
 
@@ -259,7 +259,7 @@ def multi_subject(spark, sf):
 @query(
     "features_by_position",
     f"""WITH {b.FEATURES_SQL} SELECT subject, trial, trial // 4 % 3 + 1 AS position,
-      ([1, 1, 2, 2, 3, 3, 3, 4, 4])[label % 9 + 1] AS label FROM feat WHERE trial // 4 % 3 + 1 = 2""",
+      ({list(codes.ARTICULATORS.values())})[label % 9 + 1] AS label FROM feat WHERE trial // 4 % 3 + 1 = 2""",
 )
 def features_by_position(spark, sf):
     rows = b.features(spark, sf).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions import numeric, text
+from ..functions import codes, numeric, text
 from ..operators import events as ev
 from .registry import query
 
@@ -59,10 +59,10 @@ def word_events(spark, sf):
     return ev.word_events(ev.parse_alignment(lines, "line"), 2000.0)
 
 
-PHON_VALUE_SQL = """CASE regexp_replace(label, '[0-9]', '', 'g')
-  WHEN 'a' THEN 'AA' WHEN 'ae' THEN 'EH' WHEN 'i' THEN 'IY' WHEN 'u' THEN 'UW' WHEN 'b' THEN 'B'
-  WHEN 'p' THEN 'P' WHEN 'v' THEN 'V' WHEN 'g' THEN 'G' WHEN 'k' THEN 'K' WHEN 'UH' THEN 'UW'
-  WHEN 'AE' THEN 'EH' ELSE regexp_replace(label, '[0-9]', '', 'g') END"""
+_PLAIN = "regexp_replace(label, '[0-9]', '', 'g')"
+PHON_VALUE_SQL = (
+    f"CASE {_PLAIN} " + " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in codes.INGEST_SYMBOLS.items()) + f" ELSE {_PLAIN} END"
+)
 
 PHON_EVENTS_SQL = f"""pev AS (
   SELECT subject, (rn - 1) // 3 + 1 AS trial, onset, "offset" - onset AS duration,
@@ -112,18 +112,18 @@ def map_phoneme(spark, sf):
     )
 
 
-_SYMBOLS = ["a", "ae", "i", "u", "b", "p", "v", "g", "k", "AE", "T", "Z"]
+_SYMBOLS = [*codes.DECODE_SYMBOLS, *codes.TARGET_CODES]
 
 
 @query(
     "map_target_code",
-    """SELECT event_id, (['a','ae','i','u','b','p','v','g','k','AE','T','Z'])[event_id % 12 + 1] AS label,
-      ([1, 8, 14, 25, 6, 21, 26, 11, 16, 2, 24, 28])[event_id % 12 + 1] AS code FROM events""",
+    f"""SELECT event_id, ({_SYMBOLS})[event_id % {len(_SYMBOLS)} + 1] AS label,
+      ({[codes.TARGET_CODES[codes.DECODE_SYMBOLS.get(x, x)] for x in _SYMBOLS]})[event_id % {len(_SYMBOLS)} + 1] AS code FROM events""",
 )
 def map_target_code(spark, sf):
     symbols = F.array(*[F.lit(x) for x in _SYMBOLS])
     rows = b.table(spark, sf, "events").select(
-        "event_id", F.get(symbols, (F.col("event_id") % 12).cast("int")).alias("label")
+        "event_id", F.get(symbols, (F.col("event_id") % len(_SYMBOLS)).cast("int")).alias("label")
     )
     return rows.withColumn("code", text.target_code(F.col("label")))
 
@@ -143,7 +143,7 @@ def _sequences(spark, sf):
 @query(
     "phoneme_to_artic",
     f"""WITH {_SEQ_SQL} SELECT vec_id, array_to_string(list_transform(seq,
-      lambda x: ([1, 1, 2, 2, 3, 3, 3, 4, 4])[x]), ',') AS artic FROM seq""",
+      lambda x: ({list(codes.ARTICULATORS.values())})[x]), ',') AS artic FROM seq""",
 )
 def phoneme_to_artic(spark, sf):
     artic = text.articulator_sequence(F.col("seq"))
