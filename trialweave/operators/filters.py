@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import check_band
@@ -260,15 +262,23 @@ def spectrogram(
     udf = array_udf(spectrogram_kernel(freqs, fs, cycles, int(round(pad_s * fs))))
     grid = F.array(*[F.lit(f) for f in freqs])
 
-    def long(rows: DataFrame) -> DataFrame:
-        powers = rows.select(*keys, F.size("values").alias("__n"), F.posexplode(udf("values")).alias("__i", "power"))
-        return powers.select(
+    def summed(rows: DataFrame) -> DataFrame:
+        """Sums over the trials of a length, added up as vectors in the tasks, then one row per value."""
+        powers = rows.filter(F.col("values").isNotNull()).select(
+            *keys, F.size("values").alias("__n"), array_to_vector(udf("values")).alias("__p")
+        )
+        sums = powers.groupBy(*keys, "__n").agg(
+            vector_to_array(Summarizer.sum(F.col("__p"))).alias("__sum"), F.count(F.lit(1)).alias("__rows")
+        )
+        spread = sums.select(*keys, "__n", "__rows", F.posexplode("__sum").alias("__i", "__sum"))
+        return spread.select(
             *keys, F.get(grid, F.floor(F.col("__i") / F.col("__n")).cast("int")).alias("freq"),
-            F.pmod("__i", "__n").alias("t"), "power",
+            F.pmod("__i", "__n").alias("t"), "__sum", "__rows",
         )
 
-    base = long(baseline).groupBy(*keys, "freq").agg(F.avg("power").alias("__base"))
-    averaged = long(epochs).groupBy(*keys, "freq", "t").agg(F.avg("power").alias("power"))
+    mean = F.sum("__sum") / F.sum("__rows")
+    base = summed(baseline).groupBy(*keys, "freq").agg(mean.alias("__base"))
+    averaged = summed(epochs).groupBy(*keys, "freq", "t").agg(mean.alias("power"))
     joined = join_keys(averaged, base, [*keys, "freq"])
     return joined.withColumn("power", F.col("power") / F.nullif(F.col("__base"), F.lit(0.0))).drop("__base")
 
