@@ -6,6 +6,8 @@ describes the token files. ``run`` writes every result to the shared folder and
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialweave.llm import decontaminate, jaccard, langid, mixing, token_store
@@ -13,6 +15,22 @@ from trialweave.llm.queries import remainder, tokenizer_path
 from trialweave.llm.store import stored
 
 
+#: Documents in an Arrow batch: whole texts pass through Python workers, so this bounds their memory.
+BATCH_ROWS = 2000
+
+
+def _stage(function):
+    """A stage whose session hands documents to Python workers in batches of ``BATCH_ROWS``."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Documents without a language (null or letterless text) are rejected."""
     model = langid.fit(docs, remainder(4) != 2)
@@ -20,6 +38,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter(F.col("__lang") != "und").select(docs.columns)
 
 
+@_stage
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join. Of a group of linked documents the one with the least doc_id stays.
 
@@ -33,6 +52,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Winnowing. Documents that hold a benchmark window and have a twentieth of their words in such windows go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -42,12 +62,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 _MIX_ORDER = ("mix_slot", "mix_place", "doc_id")
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pfair mixing. All documents stay; the rows of the result stand in mixed order, file by file."""
     placed = mixing.mix(docs, mixing.tempered_weights(docs))
     return placed.repartitionByRange(*_MIX_ORDER).sortWithinPartitions(*_MIX_ORDER).select(docs.columns)
 
 
+@_stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in mixed order. The order is a function of the rows, so it is the one ``mixed`` gave them."""
     placed = mixing.mix(docs, mixing.tempered_weights(docs))
