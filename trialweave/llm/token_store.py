@@ -36,7 +36,7 @@ from .store import shared_folder, stored
 #: Pieces a task remembers; the memory is emptied when full, which costs time only.
 REMEMBERED = 2_000_000
 #: Bytes of text encoded at a time.
-ENCODED_BYTES = 1 << 22
+ENCODED_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
