@@ -423,7 +423,7 @@ def link_classes(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _links(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    members = scratch.stored(shared_keys(key_rows(documents, keyed_sets)), "keys", 4000)
+    members = scratch.stored(shared_keys(key_rows(documents, keyed_sets)), "keys", 2000)
     members = scratch.stored(_without_twins(members), "buckets")
     wanted = members.select("set_id").distinct().join(classes, "set_id").select("doc_id", "set_id")
     tokens = scratch.stored(_fetch(documents, scratch.stored(wanted, "wanted")), "sets", 1000)
