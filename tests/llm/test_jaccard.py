@@ -90,6 +90,23 @@ def test_buckets_in_blocks_give_the_same(spark, monkeypatch):
     assert joined(spark, docs) == plain(docs)
 
 
+def test_copies_in_opposite_order_in_several_partitions(spark):
+    # every key of a pair is given out by both partitions, for both texts
+    random.seed(7)
+    pairs = []
+    for _ in range(12):
+        base = [f"w{random.randrange(10**6)}" for _ in range(120)]
+        pairs.append((" ".join(base), " ".join(edited(base, 2))))
+    first = [t for x, y in pairs for t in (x, y)]
+    second = [t for x, y in pairs for t in (y, x)]
+    docs = list(enumerate(first + second))
+    table = spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(table).collect()}
+    assert got == plain(docs)
+    members = jaccard.shared_keys(jaccard.key_rows(table, jaccard.keyed_sets))
+    assert members.count() == members.distinct().count()
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(3000):

@@ -276,7 +276,7 @@ def key_rows(documents: DataFrame, keyed) -> DataFrame:
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, set_id) of keys that two classes or more hold."""
+    """Distinct (key, set_id) of keys that two classes or more hold; a class comes in once a task that holds it."""
     bare = F.col("key").bitwiseAND(F.lit(-4))
     # rows that need no partner any more are spread by their class
     home = F.when(F.col("key").bitwiseAND(F.lit(3)) == 2, F.col("set_id")).otherwise(bare)
@@ -307,14 +307,17 @@ def shared_keys(rows: DataFrame) -> DataFrame:
                 held = (key[-1], own[-1], kind[first[-1] :].max(), bool(several[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_own))], names=["key", "set_id"])
 
-    return laid.mapInArrow(run, "key long, set_id long")
+    return laid.mapInArrow(run, "key long, set_id long").distinct()
 
 
 def _without_twins(members: DataFrame) -> DataFrame:
-    """One bucket of those with the same members."""
-    marks = members.groupBy("key").agg(F.bit_xor(F.xxhash64("set_id")).alias("mark"), F.count(F.lit(1)).alias("n"))
-    chosen = marks.groupBy("mark", "n").agg(F.min("key").alias("key"), F.min("n").alias("held"))
-    return members.join(chosen.select("key", F.col("held").alias("n")), "key")
+    """One bucket of those with the same members (distinct rows): equal counts and equal sums of two hashes of theirs."""
+    half = F.lit((1 << 32) - 1)
+    hashes = F.xxhash64("set_id"), F.xxhash64("set_id", F.lit(1))
+    sums = [F.sum(x) for h in hashes for x in (h.bitwiseAND(half), F.shiftrightunsigned(h, 32))]
+    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"mark{i}") for i, x in enumerate(sums)])
+    chosen = marks.groupBy("n", *[f"mark{i}" for i in range(len(sums))]).agg(F.min("key").alias("key"))
+    return members.join(chosen.select("key", "n"), "key")
 
 
 def small_side(table: DataFrame) -> DataFrame:
