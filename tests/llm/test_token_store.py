@@ -74,3 +74,20 @@ def test_other_orders_and_empty_table(spark, tmp_path):
     out = ts.encode_corpus(docs, PATH, [-F.col("doc_id")], length=32).orderBy("start").collect()
     assert [r.doc_id for r in out] == sorted((r[0] for r in ROWS), reverse=True)
     assert ts.encode_corpus(docs.limit(0), PATH).count() == 0
+
+
+def test_corpus_ids_are_those_of_the_unmodified_tokenizer(spark):
+    texts = ["end<|endoftext|>start", "a <|endoftext|> b, c", "<|endoftext|><|endoftext|>'s", "x\n<|endoftext|>\ny", "<|endoftext <|endoftext|", "no such string", None]
+    unmodified = tokenizers.Tokenizer.from_file(PATH)
+    random.seed(12)
+    parts = ["<|endoftext|>", "<|end", "oftext|>", "|>", "<", " ", "\n", "word", "'s", ",", "é", "  ", "A"]
+    texts += ["".join(random.choice(parts) for _ in range(random.randint(0, 12))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in ts.encode_corpus(docs, PATH).collect()}
+    want, start = {}, 0
+    for i, text in enumerate(texts):
+        ids = np.array(unmodified.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert want[0][1] == 4
+    assert got == want

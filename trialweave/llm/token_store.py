@@ -15,6 +15,10 @@ Encoding: texts are cut where a token border must be (a single space, line feed
 known neighbours; see ``cut_points``), equal pieces are encoded once, and results are put together by
 position. Cuts only spare work: the ids are those of the whole text.
 
+Added tokens (as ``<|endoftext|>``): with ``added_tokens`` the tokenizer stays at its defaults, so their strings in a text
+become their ids, and no cut lies inside one. ``encode_corpus`` does so. Without it, the default of ``Encoder`` and
+``write_tokens``, such strings are encoded as ordinary text (``encode_special_tokens`` of the library).
+
 Null texts are empty and give the end id alone; repeated rows are documents of their own; an empty table
 gives no files; other columns are ignored. Rows with equal order values stand next to each other in
 arbitrary but fixed order; null order values come first.
@@ -71,24 +75,31 @@ def cut_points(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes slices of texts; one per Python worker and tokenizer."""
+    """Encodes slices of texts; one per Python worker, tokenizer and way to take added tokens."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, added_tokens: bool = False) -> Encoder:
+        if (path, added_tokens) not in cls._made:
+            cls._made[path, added_tokens] = cls(path, added_tokens)
+        return cls._made[path, added_tokens]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if not added_tokens:
+            self.tokenizer.encode_special_tokens = True
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        if not added_tokens:
+            added = [t for t in added if not t.special]
+        changed = self.tokenizer.normalizer is not None and any(t.normalized for t in added)  # their strings are not those of the text
+        self.uncut = changed or any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.added = [t.content.encode() for t in added]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self._forget()
 
@@ -98,6 +109,20 @@ class Encoder:
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """The cut points outside added tokens; none if what is around an added token counts."""
+        if self.uncut:
+            return np.zeros(0, np.int64)
+        cuts, raw = cut_points(data), data.tobytes() if self.added else b""
+        inside = None
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                inside = np.zeros(len(data), bool) if inside is None else inside
+                inside[at + 1 : at + len(content)] = True
+                at = raw.find(content, at + 1)
+        return cuts if inside is None else cuts[~inside[cuts]]
+
     def _learn(self, hashes, data, starts, ends):
         raw = data.tobytes()
         found = self.tokenizer.encode_batch_fast(
@@ -118,7 +143,7 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         border = np.zeros(len(data) + 1, bool)
-        border[cut_points(data)] = True
+        border[self._cuts(data)] = True
         border[offsets] = True
         border[0] = border[-1] = True
         at = np.flatnonzero(border)
@@ -207,6 +232,7 @@ def write_tokens(
     end_id: int = 2,
     length: int = 2048,
     rows: int = 64,
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Write token files to ``folder`` (a path or URI that all executors reach).
 
@@ -228,7 +254,7 @@ def write_tokens(
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = Encoder.of(tokenizer)
+                encoder = Encoder.of(tokenizer, added_tokens)
                 fs, base = pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
                 fs.create_dir(base, recursive=True)
                 final = [f"{base}/part-{part:06d}.{kind}.arrow" for kind in ("tokens", "docs")]
@@ -328,6 +354,9 @@ def read_documents(parts: DataFrame) -> DataFrame:
 
 
 def encode_corpus(documents: DataFrame, tokenizer: str, order: list[str | Column] | None = None, end_id: int = 2, length: int = 2048) -> DataFrame:
-    """Write the token files of ``documents`` to a new shared folder and describe each document from them."""
+    """Write the token files of ``documents`` to a new shared folder and describe each document from them.
+
+    Ids are those of the tokenizer at its defaults: the string of an added token becomes its id.
+    """
     folder = shared_folder(documents.sparkSession, "tokens")
-    return read_documents(write_tokens(documents, tokenizer, folder, order, end_id, length))
+    return read_documents(write_tokens(documents, tokenizer, folder, order, end_id, length, added_tokens=True))
