@@ -76,6 +76,52 @@ def test_planted_passages_are_found_and_nothing_else(spark):
         assert a - 9 <= start <= a + 9 and b - 9 <= end <= b + 9, (i, a, b, start, end)
 
 
+def hot_passages(seed=8, texts=12):
+    """Edited versions of one passage, each near to the unedited one alone."""
+    random.seed(seed)
+    docs = []
+    for p in range(6):
+        base = [f"p{p}x{k}" for k in range(52)]
+        for i in range(texts):
+            own = list(base)
+            if i:
+                own[8 + 3 * i % 36] = f"edit{p}x{i}"
+            side = [f"s{random.randrange(10**7)}" for _ in range(60)]
+            docs.append((len(docs), " ".join(side[:30] + own + side[30:])))
+    return docs
+
+
+def near_texts(docs):
+    """Ids of the texts with a verified candidate passage, from all pairs."""
+    rows = {i: next(passages.shingle_rows(passages.pa.array([t])))[2] for i, t in docs}
+    tables = {i: passages.window_table(t) for i, t in rows.items()}
+    short = {i: (t & np.uint64(0xFFFF)).astype("<u2") for i, t in rows.items()}
+    return {i for i in rows for j in rows if i != j and passages.common_passages(short[i], short[j], tables[i], tables[j])}
+
+
+def test_edited_versions_around_one_unedited_passage(spark, monkeypatch):
+    docs = hot_passages()
+    want = near_texts(docs)
+    assert len(want) > 40
+    got = found(spark, docs)
+    assert set(got) >= want
+    for i, spans in got.items():
+        for start, end, _ in spans:
+            assert 20 <= start and end <= 92, (i, start, end)
+    monkeypatch.setattr(passages, "BLOCK", 3)
+    assert set(found(spark, docs)) == set(got)
+
+
+def test_every_passage_has_a_key_for_two_functions():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        tokens = rng.integers(0, 2**63, int(rng.integers(46, 300))).astype(np.uint64)
+        _, first, last, c = passages.occurrences(passages.window_table(tokens))
+        for s in range(len(tokens) - 45):
+            inside = (first <= s) & (s <= last)
+            assert inside.sum() == 6 and ((s <= c[inside]) & (c[inside] <= s + 45)).all()
+
+
 def test_copies_short_texts_and_edge_rows(spark):
     text = " ".join(f"x{i}" for i in range(60))
     docs = [(1, text), (2, text), (2, text), (3, text.upper()), (4, " ".join(text.split()[:49])), (5, None), (6, ""), (None, text),

@@ -5,12 +5,16 @@ shingle hashes is built from the root down, as long as a subtree spans ``SPAN``
 subtree is a *compact window* (l, c, r), and all passages that start in l..c and end in c..r share the least hash,
 that of shingle c. A text has about 2 / SPAN of them per shingle and function, whatever its passages.
 
-* Least hashes that occur in one text only are dropped. In every bucket that remains, each text is paired with the
-  bucket's least and greatest text, so pairs grow with the rows, not with their square.
-* For a pair the compact windows with equal hash are joined as intervals: passages of ``WORDS`` words on nearly the
-  same diagonal that share at least ``ENOUGH`` functions are candidates.
+* A key is a pair of least hashes under two functions that one passage of ``WORDS`` words has (``occurrences``), so all
+  texts that can hold a candidate together meet in a bucket. Keys of one text only are dropped.
+* First round: in every bucket each text is paired with the least and the greatest text, so pairs grow with the rows,
+  not with their square. For a pair the compact windows with equal hash are joined as intervals: passages of ``WORDS``
+  words on nearly the same diagonal that share at least ``ENOUGH`` functions are candidates.
 * Candidates are verified: the Jaccard similarity of the shingles of both passages, matched on the diagonal with up
   to ``SLACK`` words of drift, must be 0.8 or more. Overlapping verified passages join to maximal spans.
+* Second round: in buckets of four texts or more, what is still outside the verified spans is compared with the whole
+  bucket, block by block inside tasks, so the choice of partners loses nothing. K texts that share two least hashes in
+  a passage without repeating it cost K^2 comparisons there; they give no rows.
 
 Texts with equal words are one text; its copies repeat each other in full length. Result: a row per document and
 span, in words (split at white space, A-Z lower-cased), with a document that holds the other passage. Documents
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .jaccard import key_rows, shared_keys, small_side
+from .jaccard import BLOCK, _runs, key_rows, shared_keys, small_side
 from .kernels import FOLDED_VALUES, NONSPACE, gram_hashes, mix, span_hashes, text_slices, words
 from .store import Scratch, stored
 
@@ -106,10 +110,37 @@ def window_table(tokens: np.ndarray) -> np.ndarray:
     return out[np.argsort(out["value"], kind="stable")]
 
 
+_F, _G = (np.array(x) for x in zip(*((f, g) for f in range(HASHES) for g in range(f + 1, HASHES))))
+
+
+def occurrences(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last, c): runs of passages of ``WORDS`` words, by first word, whose least shingles under two functions
+    are the same; c is the place of that of the first function. The two low bits of a key are 0."""
+    if not len(windows):
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    # every passage lies in one window per function
+    function = windows["value"] & 3
+    edges = np.unique(windows["first"])
+    value, at = np.empty((HASHES, len(edges)), np.uint64), np.empty((HASHES, len(edges)), np.int64)
+    for f in range(HASHES):
+        own = windows[function == f]
+        own = own[np.argsort(own["first"])]
+        place = np.searchsorted(own["first"], edges, "right") - 1
+        value[f], at[f] = own["value"][place], own["c"][place]
+    fresh = np.ones((len(_F), len(edges)), bool)
+    fresh[:, 1:] = (at[_F, 1:] != at[_F, :-1]) | (at[_G, 1:] != at[_G, :-1])
+    pair, edge = np.nonzero(fresh)
+    key = mix((value[_F[pair], edge] << _U(32)) | value[_G[pair], edge]) & ~_U(3)
+    first = edges[edge].astype(np.int64)
+    last = np.append(first[1:], 0) - 1
+    last[np.append(pair[1:] != pair[:-1], True)] = windows["last"].max()
+    return key, first, last, at[_F[pair], edge]
+
+
 def keyed_texts(column: pa.Array):
     for _, own, tokens in shingle_rows(column):
         if len(tokens) >= SPAN:
-            yield own, lambda tokens=tokens: np.unique(_all_windows(tokens)[0])
+            yield own, lambda tokens=tokens: np.unique(occurrences(window_table(tokens))[0])
 
 
 def _matches(a: np.ndarray, b: np.ndarray, diagonal: int) -> np.ndarray:
@@ -245,6 +276,112 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "text_id long, start long, end long, partner long")
 
 
+#: Places around the least shingle that its passages can reach, with drift.
+_REACH = SPAN - 1 + SLACK
+_OCCURRENCE = "key long, n long, text_id long, open boolean, first long, last long, c long, around binary"
+
+
+def _hot_occurrences(held: DataFrame, tokens: DataFrame, spans: DataFrame, open_only: bool) -> DataFrame:
+    """The occurrences of the (key, n, text_id) in ``held``; ``open``: some passage of it lies in no span of its text."""
+    wanted = held.groupBy("text_id").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+    rows = wanted.join(tokens, "text_id").join(spans, "text_id", "left").select("text_id", "keys", "tokens", "windows", "spans")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own, listed, tokens, windows, spans in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5))):
+                wanted, sizes = (listed.values.field(i).to_numpy() for i in range(2))
+                order = np.argsort(wanted)
+                wanted, sizes = wanted[order], sizes[order]
+                tokens = np.frombuffer(tokens.as_buffer(), "<u2")
+                key, first, last, c = occurrences(np.frombuffer(windows.as_buffer(), _WINDOW))
+                key = key.view(np.int64)
+                place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                outside = np.ones(len(tokens), np.int64)  # passages by first word
+                for s, e, _ in _merged((x["start"], x["end"], 0) for x in spans.as_py() or ()):
+                    outside[s : max(s, e - WORDS + 1)] = 0
+                upto = np.append(0, np.cumsum(outside))
+                is_open = upto[last + 1] > upto[first]
+                take = (wanted[place] == key) & (is_open | (not open_only))
+                padded = np.pad(tokens, _REACH)
+                for i in np.flatnonzero(take):
+                    around = b"" if open_only else padded[c[i] : c[i] + 2 * _REACH + 1].tobytes()
+                    out.append((key[i], sizes[place[i]], own, is_open[i], first[i], last[i], c[i], around))
+                if len(out) > 10_000:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    return rows.mapInArrow(run, _OCCURRENCE)
+
+
+def uncovered_spans(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """(text_id, start, end, partner) of the open occurrences of a bucket, or of two blocks of one, against the others.
+
+    Rows: text_id, block, open, first, last, c, around. Rows of two blocks are compared across the blocks alone.
+    """
+    ids, blocks = (np.array([r[i] for r in rows], np.int64) for i in range(2))
+    two = len(np.unique(blocks)) > 1
+    around = np.stack([np.frombuffer(r[6], "<u2") for r in rows])
+    width, out = 2 * SPAN - 1, []
+    for i, (own, block, is_open, first, last, c, _) in enumerate(rows):
+        if not is_open:
+            continue
+        rest = np.flatnonzero((ids != own) & (blocks != block) if two else ids != own)
+        match = np.zeros((len(rest), width), bool)
+        for drift in range(2 * SLACK + 1):
+            match |= around[rest, drift : drift + width] == around[i, SLACK : SLACK + width]
+        near = match.sum(axis=1) >= MATCHING
+        if not near.any():
+            continue
+        rest, sums = rest[near], np.zeros((int(near.sum()), width + 1), np.int16)
+        np.cumsum(match[near], axis=1, out=sums[:, 1:])
+        low = first - c + SPAN - 1
+        good = (sums[:, SPAN:] - sums[:, : width + 1 - SPAN] >= MATCHING)[:, low : low + last - first + 1]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], good.any(axis=0).astype(np.int8), [0]])))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            out.append((own, first + s, first + e - 1 + WORDS, int(ids[rest[good[:, s:e].any(axis=1)]].min())))
+    return out
+
+
+def _second_round(found: DataFrame, members: DataFrame, ends: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """(text_id, start, end, partner) spans of what ``found`` leaves uncovered in buckets of four texts or more."""
+    spans = found.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = scratch.stored(spans, "span-lists")
+    hot = scratch.stored(members.join(ends.filter("n > 3").select("key", "n"), "key"), "hot")
+    left = scratch.stored(_hot_occurrences(hot, tokens, spans, True).select("key").distinct(), "open-keys", 1000)
+    rows = _hot_occurrences(hot.join(left, "key"), tokens, spans, False)
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("text_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("group", F.least("block", "__o")).withColumn("other", F.greatest("block", "__o"))
+    rows = rows.select("key", "group", "other", "text_id", "block", "open", "first", "last", "c", "around")
+    laid = rows.repartition("key", "group", "other").sortWithinPartitions("key", "group", "other", "text_id", "first")
+
+    def run(batches):
+        spans = []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in spans], pa.int64()) for i in range(4)], names=["text_id", "start", "end", "partner"])
+
+        for group in _runs(batches, 3):
+            # one of two blocks may be empty
+            if group[0][1] == group[0][2] or len({r[4] for r in group}) > 1:
+                spans += uncovered_spans([r[3:] for r in group])
+            if len(spans) > 50_000:
+                yield made()
+                spans = []
+        yield made()
+
+    return laid.mapInArrow(run, "text_id long, start long, end long, partner long")
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, partner_doc_id) for every span that is repeated in another document."""
     texts = stored(_texts(documents), "texts", 2000)
@@ -253,18 +390,16 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     )
     with Scratch(documents.sparkSession) as scratch:
         members = scratch.stored(shared_keys(key_rows(documents.filter(F.col("doc_id").isNotNull()), keyed_texts)).withColumnRenamed("set_id", "text_id"), "anchors", 4000)
-        ends = members.groupBy("key").agg(F.min("text_id").alias("first"), F.max("text_id").alias("last"))
-        met = members.join(ends, "key")
-        bit = F.call_function("shiftleft", F.lit(1), F.shiftright("key", 2).bitwiseAND(F.lit(3)).cast("int"))
+        ends = members.groupBy("key").agg(F.min("text_id").alias("first"), F.max("text_id").alias("last"), F.count(F.lit(1)).alias("n"))
         other = F.explode(F.array_distinct(F.array("first", "last"))).alias("other")
-        pairs = met.select("text_id", bit.alias("bit"), other).filter("text_id <> other")
-        pairs = pairs.select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b"), "bit")
-        pairs = pairs.groupBy("a", "b").agg(F.bit_or("bit").alias("bits")).filter(F.bit_count("bits") >= ENOUGH)
-        pairs = scratch.stored(pairs.select("a", "b"), "passage-pairs")
+        pairs = members.join(ends, "key").select("text_id", other).filter("text_id <> other")
+        pairs = pairs.select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b")).distinct()
+        pairs = scratch.stored(pairs, "passage-pairs")
         wanted = pairs.select(F.col("a").alias("text_id")).union(pairs.select("b")).distinct()
         wanted = scratch.stored(wanted.join(classes, "text_id").select(F.col("low").alias("doc_id"), "text_id"), "wanted")
         tokens = scratch.stored(_fetch(documents, wanted), "shingles", 1000)
         found = stored(_verified(pairs, tokens), "spans", 1000)
+        found = found.unionByName(stored(_second_round(found, members, ends, tokens, scratch), "more-spans", 1000))
     partner = classes.select(F.col("text_id").alias("partner"), F.col("low").alias("partner_doc"))
     found = found.join(partner, "partner").select("text_id", F.struct("start", "end", F.col("partner_doc").alias("partner")).alias("span"))
     # a task gives a text's spans merged, so this gathers a few spans a task
