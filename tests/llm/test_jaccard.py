@@ -107,6 +107,21 @@ def test_copies_in_opposite_order_in_several_partitions(spark):
     assert members.count() == members.distinct().count()
 
 
+def test_far_blocks_of_a_bucket_meet_without_a_refuted_pair(spark, monkeypatch):
+    def one_key(column):
+        for tokens in jaccard.shingle_sets(column):
+            yield jaccard.set_id(tokens), lambda: np.array([1 << 40], np.uint64)
+
+    monkeypatch.setattr(jaccard, "keyed_sets", one_key)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    random.seed(9)
+    docs = []
+    for i in range(20):
+        base = [f"w{random.randrange(10**6)}" for _ in range(100)]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + ["more"]))]
+    assert joined(spark, docs) == plain(docs)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(1)
     for _ in range(3000):

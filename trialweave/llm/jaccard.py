@@ -17,8 +17,9 @@ joined as follows, and components are taken over the links found.
   the shuffle gets at most one row per key and task; a bucket with the same members as another is dropped.
 * **Forest.** In a bucket, pairs are held against a one-bit-per-shingle parity sketch, whose Hamming distance
   is a lower bound on |A ^ B|. Of the pairs that pass only a spanning forest is verified. Buckets of more than
-  ``BLOCK`` members are split, a block meeting the next. If verification refutes an edge, a second round
-  compares what is still apart in the same bucket, block by block, so no link between components is lost.
+  ``BLOCK`` members are split, a block meeting the next. If verification refutes an edge, or a bucket has blocks that
+  did not meet (four or more), a second round compares what is still apart in the same bucket, block by block, so no
+  link between components is lost.
 
 Shingles are 64-bit hashes; a class is known by a 64-bit hash of its set.
 
@@ -434,7 +435,8 @@ def _links(documents: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFr
     buckets = members.join(sized, "set_id")
     tried = stored(_verified(_pairs(buckets, True), tokens), "links", 1000)
     links = tried.filter("linked").select("a", "b")
-    if tried.filter("NOT linked").isEmpty():
+    unmet = F.col("n") > 3 * BLOCK  # in the ring of the first round not every block meets every other
+    if tried.filter("NOT linked").isEmpty() and members.filter(unmet).isEmpty():
         return links
     # what is still apart in a bucket is compared as a whole
     found = components(links)
