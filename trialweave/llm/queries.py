@@ -173,3 +173,59 @@ def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import passages
 
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), "
+    "lambda acc, byte: list_reduce([xor(acc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+)
+_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, g, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS pos
+      FROM (SELECT *, md5(length(r) || ':' || r || x) AS g FROM t)),
+ids AS (SELECT c, c - c % 20 AS b, h FROM (SELECT c, {_CRC32.format("c")} % 4 AS h FROM (SELECT DISTINCT c FROM t))),
+rebuilt AS (SELECT ids.c, 0 AS part, pos, g, w FROM ids JOIN o ON o.c = ids.b WHERE pos <= h
+            UNION ALL SELECT ids.c, 1, pos, g, w FROM ids JOIN o ON o.c = ids.c WHERE pos > h),
+steps AS (SELECT c, w, row_number() OVER s AS d, array_to_string(list(g) OVER s, '') AS k FROM rebuilt WINDOW s AS (PARTITION BY c ORDER BY part, pos)),
+p AS (SELECT c, d, k, w FROM steps UNION ALL SELECT c, 0, '', 0 FROM ids),
+ends AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS e
+         FROM (SELECT c, max(d) AS d, max_by(k, d) AS k FROM p GROUP BY c) GROUP BY d, k),
+n AS (SELECT d, k, min(c) AS m, count(*) AS n, any_value(w) AS w FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, left(k, CAST(32 * (d - 1) AS INTEGER)) AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+sums AS (SELECT a.d, a.k, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+         FROM n LEFT JOIN kids USING (d, k) JOIN p AS a ON a.c = n.m AND a.d <= n.d GROUP BY a.d, a.k)
+SELECT n.m AS conv_id, n.d AS depth, up.m AS parent_conv_id, n.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(e, '')) AS ends_sha256
+FROM n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN ends USING (d, k)
+LEFT JOIN n AS up ON up.d = n.d - 1 AND up.k = left(n.k, CAST(32 * (n.d - 1) AS INTEGER))
+"""
+
+
+def rebuilt_turns(spark: SparkSession, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns and conversations of op12's contract: c takes the first h turns of c - c % 20 in place of its own."""
+    from ..plans.ordering import join_keys
+    from ..plans.sizing import measured
+
+    head = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    counts = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    known = counts.select("conv_id", "n", (F.col("conv_id") - F.col("conv_id") % 20).alias("base"), head.alias("h"))
+    bases = counts.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    taken = F.least("h", F.coalesce("n_base", F.lit(0).cast("long")))
+    known = known.join(bases, "base", "left").select(
+        "conv_id", "base", "h", taken.alias("taken"), (taken + F.greatest(F.col("n") - F.col("h"), F.lit(0))).alias("n_turns")
+    )
+    known = measured(known)
+    own = join_keys(turns, known, ["conv_id"]).filter("pos > h")
+    own = own.select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "digest", "n_words")
+    # a base has at most 39 conversations and gives each three turns
+    first = turns.filter("pos <= 3 AND conv_id % 20 = 0").withColumnRenamed("conv_id", "base")
+    heads = first.join(known, "base").filter("pos <= h").select("conv_id", "pos", "digest", "n_words")
+    return own.unionByName(heads), known
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import trie
+
+    rows, conversations = rebuilt_turns(spark, trie.turns(table(spark, sf_dir, "conversations")))
+    return trie.trie(rows, conversations)
