@@ -229,3 +229,11 @@ def prefix_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows, conversations = rebuilt_turns(spark, trie.turns(table(spark, sf_dir, "conversations")))
     return trie.trie(rows, conversations)
+
+
+@query("op11_alignment")
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import align
+
+    documents = table(spark, sf_dir, "documents")
+    return align.measured_documents(documents, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
