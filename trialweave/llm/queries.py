@@ -237,3 +237,13 @@ def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     return align.measured_documents(documents, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
+@query("op13_quality")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder(5) == 0
+    model = quality.fit(documents, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(documents, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
