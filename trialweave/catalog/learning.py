@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.numeric import rounded as R
-from ..operators import alignment as al, decoding as dc, epochs as ep, stats as st
+from ..operators import alignment as al, decoding as dc, epochs as ep, multiset as ms, stats as st
 from .registry import query
 
 STEPS = 8
@@ -101,3 +101,74 @@ def cca_transform(spark, sf):
 def decode_cross(spark, sf):
     predictions = al.decode_across(_trajectories(spark, sf), 0, STEPS, k=5, n_iter=2)
     return dc.decode_scores(predictions)
+
+
+def _class_means(spark, sf):
+    """Class-mean trajectories of the four subjects, under one key."""
+    steps = al.time_rows(_trajectories(spark, sf), STEPS)
+    return al.class_means(steps, ["subject"]).withColumn("all", F.lit(0))
+
+
+MCCA_REG = 0.3
+
+
+@query(
+    "mcca_invariants",
+    """SELECT CAST(c AS INTEGER) AS component, 1.0 AS norm, 0.0 AS mixed, 0.0 AS residual FROM range(5) AS r(c)""",
+)
+def mcca_invariants(spark, sf):
+    """What makes the components canonical, measured on the data.
+
+    ``norm``: sum over the sets of (1 - reg) times the variate's squares plus reg times the weights' squares; ``mixed``: the
+    greatest such product of two components; ``residual``: squares of the summed variates against the eigenvalue.
+    """
+    rows = _class_means(spark, sf)
+    maps = ms.fit_sets(rows, ["all"], ["label", "t"], ms.mcca(5, MCCA_REG))
+    y = ms.variates(rows, maps, ["all"]).select("subject", "label", "t", F.col("vec").alias("y"))
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda a: F.transform(
+        F.sequence(F.lit(0), F.lit(4)), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    products = y.select(pairs.alias("p"), "y").select("p.*", (F.get("y", F.col("p.a")) * F.get("y", F.col("p.b"))).alias("v"))
+    places = F.sequence(F.lit(0), (F.size("matrix") / 5 - 1).cast("int"))
+    weights = maps.select("matrix", F.explode(places).alias("d")).select(pairs.alias("p"), "matrix", "d").select(
+        "p.*", (F.get("matrix", F.col("d") * 5 + F.col("p.a")) * F.get("matrix", F.col("d") * 5 + F.col("p.b"))).alias("v")
+    )
+    terms = products.withColumn("v", F.col("v") * (1 - MCCA_REG)).unionByName(weights.withColumn("v", F.col("v") * MCCA_REG))
+    form = terms.groupBy("a", "b").agg(F.sum("v").alias("v")).groupBy("a").agg(
+        R(F.max(F.when(F.col("a") == F.col("b"), F.col("v")))).alias("norm"),
+        R(F.abs(F.max(F.when(F.col("a") != F.col("b"), F.abs("v"))))).alias("mixed"),
+    )
+    summed = y.select("label", "t", F.posexplode("y").alias("a", "v")).groupBy("label", "t", "a").agg(F.sum("v").alias("v"))
+    power = summed.groupBy("a").agg(F.sum(F.col("v") * F.col("v")).alias("power"))
+    eigen = maps.select(F.posexplode("eigen").alias("a", "eigen")).distinct()
+    return form.join(power, "a").join(eigen, "a").select(
+        F.col("a").alias("component"), "norm", "mixed", R(F.abs(F.col("power") / F.col("eigen") - 1)).alias("residual")
+    )
+
+
+@query(
+    "joint_variance",
+    f"""WITH {b.FEATURES_SQL}, m AS (SELECT subject, label, t, ch, avg(value) AS v FROM fl GROUP BY ALL),
+    c AS (SELECT subject, ch, v - avg(v) OVER (PARTITION BY subject, ch) AS v FROM m
+          WHERE (label, t) IN (SELECT (label, t) FROM m GROUP BY label, t HAVING count(DISTINCT subject) = (SELECT count(DISTINCT subject) FROM m)))
+    SELECT round(sum(v * v), 6) AS total, (SELECT count(*) FROM (SELECT DISTINCT subject, ch FROM m)) AS axes FROM c""",
+)
+def joint_variance(spark, sf):
+    """Variance that the joint axes of all subjects hold together: all of it."""
+    axes = 32
+    maps = ms.fit_sets(_class_means(spark, sf), ["all"], ["label", "t"], ms.joint_axes(axes))
+    one = maps.select("eigen").limit(1)
+    return one.select(R(F.aggregate("eigen", F.lit(0.0), lambda a, x: a + x)).alias("total"), F.size("eigen").cast("long").alias("axes"))
+
+
+@query("decode_mcca")
+def decode_mcca(spark, sf):
+    """Class means aligned by multi-set CCA; the target trains too."""
+    options = dict(k=5, n_iter=2, n_comp_align=0.99, fit_maps=al.mean_maps(ms.mcca(5, 0.5)))
+    return dc.decode_scores(al.decode_across(_trajectories(spark, sf), 0, STEPS, **options))
+
+
+@query("decode_joint")
+def decode_joint(spark, sf):
+    """Joint axes of the trials of all subjects; only the others train."""
+    options = dict(k=5, n_iter=2, target_trains=False, joint=ms.joint_axes(0.8))
+    return dc.decode_scores(al.decode_across(_trajectories(spark, sf), 0, STEPS, **options))

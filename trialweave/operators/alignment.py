@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans import apply_model, cut_lineage, join_keys, moments
-from . import decoding as dc, stats as st
+from ..plans.blocks import gram_tiles
+from . import decoding as dc, multiset as ms, stats as st
 
 CCA_SCHEMA = "m_a array<double>, m_b array<double>, corr array<double>, dim_a int, dim_b int"
 
@@ -267,6 +268,58 @@ def separate_maps(
     return _own_axes(truncate_axes(every.join(common, FOLD), F.col("__k")))
 
 
+def mean_maps(solver: ms.Solver) -> Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]:
+    """``fit_maps`` of a joint solver (see ``multiset``) over class-mean trajectories in the subjects' own axes."""
+
+    def fit(target_means: DataFrame, source_means: DataFrame, target_pca: DataFrame, source_pca: DataFrame) -> DataFrame:
+        folds = target_pca.agg(F.collect_set(F.struct(*FOLD)).alias("__folds"))
+        own = target_means.join(target_pca, FOLD)
+        others = join_keys(source_means.join(source_pca, "subject"), folds, []).withColumn("__f", F.explode("__folds"))
+        others = others.withColumns({c: F.col(f"__f.{c}") for c in FOLD})
+        columns = ["subject", *FOLD, "label", "t", _axes_udf()("vec", "mean", "comps").alias("vec")]
+        fitted = ms.fit_sets(own.select(*columns).unionByName(others.select(*columns)), FOLD, ["label", "t"], solver)
+        pca = target_pca.select("subject", *FOLD, "mean", "comps").unionByName(
+            join_keys(source_pca, folds, []).withColumn("__f", F.explode("__folds")).select(
+                "subject", *[F.col(f"__f.{c}").alias(c) for c in FOLD], "mean", "comps"
+            )
+        )
+        maps = fitted.withColumnsRenamed({"set": "subject", "mean": "__shift"}).join(pca, ["subject", *FOLD])
+
+        @F.pandas_udf("lin_mean array<double>, lin_matrix array<double>")
+        def combine(comps: pd.Series, mean: pd.Series, shift: pd.Series, matrix: pd.Series) -> pd.DataFrame:
+            out = []
+            for c, m, s, x in zip(comps, mean, shift, matrix):
+                axes = np.asarray(c).reshape(-1, len(m)).T
+                out.append((np.asarray(m) + axes @ np.asarray(s), (axes @ np.asarray(x).reshape(len(s), -1)).ravel()))
+            return pd.DataFrame(out, columns=["lin_mean", "lin_matrix"])
+
+        return maps.withColumn("__m", combine("comps", "mean", "__shift", "matrix")).select("subject", *FOLD, "__m.*")
+
+    return fit
+
+
+def trial_maps(rows: DataFrame, target, k: int, n_steps: int, window: tuple[int, int], solver: ms.Solver, seed: int = 42) -> DataFrame:
+    """Linear maps of a joint solver fitted on the trials of all subjects at once, per iteration and test fold.
+
+    ``rows``: subject, trial, align_label, vec, ``folds`` (of the target's trials, NULL elsewhere). Trials are aligned
+    by label and rank within it; a row belongs to the fold of the target's trial in it. Sums are kept per fold, and a
+    training set is their total without its test fold.
+    """
+    aligned = cut_lineage(ms.aligned_trials(rows, seed, label="align_label"))
+    folds = aligned.filter(F.col("subject") == F.lit(str(target))).select("align_label", "pick", "folds")
+    steps = time_rows(aligned.drop("folds"), n_steps, *window).withColumn("__all", F.lit(0))
+    joined, layout = ms.join_sets(steps, ["__all"], ["align_label", "pick", "t"])
+    dealt = joined.join(folds, ["align_label", "pick"]).select("vec", F.posexplode("folds").alias("iter", "fold"))
+    per_fold = gram_tiles(dealt, ["iter", "fold"], "vec")
+    test_folds = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold")))
+    spread = per_fold.withColumn("test_fold", test_folds).withColumn("__v", dc.array_to_vector("acc"))
+    train = spread.groupBy(*FOLD, "i", "j").agg(dc.Summarizer.sum(F.col("__v")).alias("__v"))
+    train = train.select(*FOLD, "i", "j", dc.vector_to_array("__v").alias("acc"), F.lit(0).alias("__all"))
+    wide = join_keys(train, layout, ["__all"])
+    fitted = ms.solve_sets(wide.drop("sets", "dims", "__all"), wide.select(*FOLD, "sets", "dims").distinct(), FOLD, solver)
+    return fitted.select(F.col("set").alias("subject"), *FOLD, F.col("mean").alias("lin_mean"), F.col("matrix").alias("lin_matrix"))
+
+
 def decode_across(
     rows: DataFrame,
     target,
@@ -282,6 +335,7 @@ def decode_across(
     fit_maps: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame] = cca_maps,
     seed: int = 42,
     size: int = 128,
+    joint: ms.Solver | None = None,
 ) -> DataFrame:
     """Decode a target subject from its own and other subjects' trials.
 
@@ -290,8 +344,9 @@ def decode_across(
     come from its training folds, kept as sums per fold so that a training set is the
     total without one fold. ``fit_maps`` turns class means and PCA models into one linear
     map per subject and fold (subject, iter, test_fold, ``lin_mean``, ``lin_matrix``): by
-    default CCA into the target's axes; ``separate_maps`` pools without alignment; any
-    joint reducer of the same form can be passed. Alignment and decoding use their own time windows.
+    default CCA into the target's axes; ``separate_maps`` pools without alignment, and ``mean_maps`` takes a
+    joint solver of ``multiset`` (MCCA, stacked axes) to the class means. A solver passed as ``joint`` is fitted on the trials of all
+    subjects at once instead. Alignment and decoding use their own time windows.
     Result: target, iter, trial, y, y_pred.
     """
     a0, a1 = window_steps(n_steps, full, align)
@@ -309,6 +364,18 @@ def decode_across(
     classes = dc._training_classes(folded, k, ["subject"]).drop("subject")
 
     own = cut_lineage(own)  # rows with their folds, read by every statistic below
+    pooled = own.unionByName(others.withColumn("folds", F.lit(None).cast("array<int>")))
+
+    def decoded(maps: DataFrame) -> DataFrame:
+        maps = maps.withColumn("trains", F.lit(target_trains) | (F.col("subject") != F.lit(str(target))))
+        models = maps.join(classes, fold).select(
+            F.lit(str(target)).alias("target"), "subject", *fold, "classes", "trains", "lin_mean", "lin_matrix",
+            F.lit(d0).alias("t_first"), F.lit(d1).alias("t_stop"),
+        )
+        return dc.decode(pooled.drop("align_label"), models, k, n_comp_decode, size=size, seed=seed)
+
+    if joint is not None:
+        return decoded(trial_maps(pooled, target, k, n_steps, (a0, a1), joint, seed))
     own_steps = time_rows(own, n_steps, a0, a1).select(
         "align_label", "t", "vec", F.posexplode("folds").alias("iter", "fold")
     )
@@ -348,17 +415,4 @@ def decode_across(
     source_means = class_means(other_steps, ["subject"])
     source_pca = dc.fit_pca(other_steps, ["subject"], n_comp_align).select("subject", "mean", "comps")
 
-    maps = fit_maps(target_means, source_means, target_pca, source_pca).withColumn(
-        "trains", F.lit(target_trains) | (F.col("subject") != F.lit(str(target)))
-    )
-    models = (
-        maps.join(classes, fold)
-        .select(
-            F.lit(str(target)).alias("target"), "subject", *fold, "classes", "trains", "lin_mean", "lin_matrix",
-            F.lit(d0).alias("t_first"), F.lit(d1).alias("t_stop"),
-        )
-    )
-    pooled = own.drop("align_label").unionByName(
-        others.drop("align_label").withColumn("folds", F.lit(None).cast("array<int>"))
-    )
-    return dc.decode(pooled, models, k, n_comp_decode, size=size, seed=seed)
+    return decoded(fit_maps(target_means, source_means, target_pca, source_pca))

@@ -71,6 +71,64 @@ def moments(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     )
 
 
+def gram_tiles(df: DataFrame, keys: Sequence[str], vec: str, tile: int = 256) -> DataFrame:
+    """Gram matrix of ``[1, vec]`` per key as tiles: keys, ``i``, ``j`` (``i <= j``), ``acc`` (row-major).
+
+    Like ``moments``, for vectors whose whole Gram matrix would not fit one row: a shuffled row holds at most
+    ``tile * tile`` doubles, and only the upper half is summed. ``whole_gram`` puts the tiles of one key together.
+    """
+    key_list = list(keys)
+    partial_schema = T.StructType(
+        [
+            *[df.schema[k] for k in key_list], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+            T.StructField("acc", T.ArrayType(T.DoubleType(), False)),
+        ]
+    )
+
+    def partials(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        doubles = 0
+
+        def emit():
+            for key, gram in held.items():
+                steps = range(0, len(gram), tile)
+                rows = [
+                    (*key, a // tile, b // tile, gram[a : a + tile, b : b + tile].ravel()) for a in steps for b in steps if a <= b
+                ]
+                yield pd.DataFrame(rows, columns=[*key_list, "i", "j", "acc"])
+
+        for batch in batches:
+            for key, part in batch.groupby(key_list, dropna=False, sort=False):
+                x = np.array(part[vec].tolist(), dtype=float)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                gram = x.T @ x
+                if key in held:
+                    held[key] += gram
+                else:
+                    held[key] = gram
+                    doubles += gram.size
+                if doubles > _FLUSH_DOUBLES:
+                    yield from emit()
+                    held.clear()
+                    doubles = 0
+        yield from emit()
+
+    parts = df.select(*key_list, vec).filter(F.col(vec).isNotNull()).mapInPandas(partials, partial_schema)
+    summed = parts.withColumn("__v", array_to_vector("acc")).groupBy(*key_list, "i", "j").agg(Summarizer.sum(F.col("__v")).alias("__v"))
+    return summed.select(*key_list, "i", "j", vector_to_array("__v").alias("acc"))
+
+
+def whole_gram(tiles: pd.DataFrame, size: int, tile: int = 256) -> np.ndarray:
+    """The Gram matrix of order ``size`` from the tiles of one key."""
+    gram = np.zeros((size, size))
+    for i, j, acc in zip(tiles["i"], tiles["j"], tiles["acc"]):
+        height = min(tile, size - i * tile)
+        block = np.asarray(acc).reshape(height, -1)
+        gram[i * tile : i * tile + height, j * tile : j * tile + block.shape[1]] = block
+        gram[j * tile : j * tile + block.shape[1], i * tile : i * tile + height] = block.T
+    return gram
+
+
 def split_blocks(
     rows: DataFrame, keys: Sequence[str], row_id: str, rows_per_block: int = 20_000
 ) -> DataFrame:
