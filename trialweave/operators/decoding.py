@@ -329,25 +329,31 @@ def _plain_models(models: DataFrame) -> DataFrame:
 def decode_within(
     rows: DataFrame, k: int = 10, n_iter: int = 50, n_comp: float = 0.8, chance: bool = False,
     row_id: str = "trial", seed: int = 42, size: int = 128, penalty: float = 1.0,
-    keys: Sequence[str] = ("subject",),
+    keys: Sequence[str] = ("subject",), rank: int | None = None,
 ) -> DataFrame:
     """Repeated cross-validated decoding within each subject, or within each combination of ``keys``.
 
     ``rows``: keys, row id, label, vec. ``chance`` trains on labels shuffled inside each
-    training set. Result: ``target`` (the subject) or the keys, iter, row id, y, y_pred. A grid of
+    training set. ``rank`` is for long vectors: they are written in a basis of up to so many directions of their
+    subject's rows (see ``sketches``) before anything else, which changes nothing where the subject has no more rows. Result: ``target`` (the subject) or the keys, iter, row id, y, y_pred. A grid of
     subjects, periods and positions is one plan: its cells are models of their own.
     """
     if tuple(keys) != ("subject",):
         # cells are carried as one text and taken apart again
         cell = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
         packed = rows.select(cell.alias("subject"), row_id, "label", "vec")
-        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty)
+        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty, rank=rank)
         fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
         cells = out.withColumn("target", F.from_json("target", fields))
         return cells.select(*[F.col(f"target.{c}").alias(c) for c in keys], *[c for c in out.columns if c != "target"])
     typed = rows.select(
         F.col("subject").cast("string").alias("subject"), row_id, F.col("label").cast("int").alias("label"), "vec"
     )
+    if rank is not None:
+        from . import sketches
+
+        bases = sketches.basis(typed, ["subject"], row_id, rank)
+        typed = cut_lineage(sketches.compress(typed, bases, ["subject"], row_id, ["label"]))
     folded = fold_table(typed, row_id, k, n_iter, seed)
     tagged = typed.join(_fold_arrays(folded, row_id, ["subject"]), ["subject", row_id])
     if chance:
