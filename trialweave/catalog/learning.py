@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions.numeric import rounded as R
-from ..operators import alignment as al, decoding as dc, epochs as ep, multiset as ms, stats as st
+from ..operators import alignment as al, decoding as dc, epochs as ep, multiset as ms, sketches as sk, stats as st
 from .registry import query
 
 STEPS = 8
@@ -172,3 +172,36 @@ def decode_joint(spark, sf):
     """Joint axes of the trials of all subjects; only the others train."""
     options = dict(k=5, n_iter=2, target_trains=False, joint=ms.joint_axes(0.8))
     return dc.decode_scores(al.decode_across(_trajectories(spark, sf), 0, STEPS, **options))
+
+
+@query("decode_margin")
+def decode_margin(spark, sf):
+    """The maximum-margin classifier; every row predicted once."""
+    return dc.decode_within(b.features(spark, sf), k=5, n_iter=1, classifier="margin")
+
+
+def _long_trials(spark, sf):
+    """Sixty-four feature vectors one after another as one trial of 4096 values; two subjects."""
+    rows = b.features(spark, sf).withColumn("long", F.floor(F.col("trial") / 64))
+    parts = F.array_sort(F.collect_list(F.struct("trial", "vec")))
+    whole = rows.groupBy("long").agg(parts.alias("p")).filter(F.size("p") == 64)
+    return whole.select(
+        F.col("long").alias("trial"), F.pmod("long", F.lit(2)).alias("subject"), F.flatten(F.transform("p", lambda s: s["vec"])).alias("vec")
+    )
+
+
+@query(
+    "pca_long",
+    f"""WITH {b.FEATURES_SQL}, l AS (SELECT trial // 64 AS long, trial % 64 AS step, vec FROM feat
+      WHERE trial // 64 IN (SELECT trial // 64 FROM feat GROUP BY 1 HAVING count(*) = 64)),
+    v AS (SELECT long % 2 AS subject, long, step, i, CAST(vec[i + 1] AS DOUBLE) AS x FROM l, range(64) AS r(i)),
+    s AS (SELECT subject, step, i, var_samp(x) AS v FROM v GROUP BY ALL)
+    SELECT subject, (SELECT count(DISTINCT long) FROM v AS o WHERE o.subject = s.subject) AS n, round(sum(v), 6) AS variance, 1.0 AS explained
+    FROM s GROUP BY subject""",
+)
+def pca_long(spark, sf):
+    """All axes of long trials hold their whole variance."""
+    models = sk.fit_pca(_long_trials(spark, sf), ["subject"], "trial", 256, rank=256)
+    def total(name):
+        return F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+    return models.select("subject", "n", R(total("eigen")).alias("variance"), R(total("ratio")).alias("explained"))

@@ -336,6 +336,7 @@ def decode_across(
     seed: int = 42,
     size: int = 128,
     joint: ms.Solver | None = None,
+    classifier: str = "least_squares",
 ) -> DataFrame:
     """Decode a target subject from its own and other subjects' trials.
 
@@ -372,7 +373,7 @@ def decode_across(
             F.lit(str(target)).alias("target"), "subject", *fold, "classes", "trains", "lin_mean", "lin_matrix",
             F.lit(d0).alias("t_first"), F.lit(d1).alias("t_stop"),
         )
-        return dc.decode(pooled.drop("align_label"), models, k, n_comp_decode, size=size, seed=seed)
+        return dc.decode(pooled.drop("align_label"), models, k, n_comp_decode, size=size, seed=seed, classifier=classifier)
 
     if joint is not None:
         return decoded(trial_maps(pooled, target, k, n_steps, (a0, a1), joint, seed))

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans import apply_model, cut_lineage, join_measured, moments, run_blocks, split_blocks
-from . import stats as st
+from . import margin, stats as st
 
 MODEL_KEYS = ["target", "iter", "test_fold"]
 
@@ -204,6 +204,8 @@ def decode(
     size: int = 128,
     seed: int = 42,
     row_id: str = "trial",
+    classifier: str = "least_squares",
+    rows_per_block: int = 20_000,
 ) -> DataFrame:
     """Cross-validated predictions of a class-balanced RBF classifier on PCA features.
 
@@ -212,11 +214,16 @@ def decode(
     classes, ``trains`` and the linear map columns ``lin_mean, lin_matrix, t_first, t_stop``
     (NULL = none). The kernel is expanded in random Fourier features and solved as a
     least-squares classifier, one against the rest. Three passes over blocks of rows: PCA
-    statistics, classifier statistics, predictions. Result: target, iter, row id, y, y_pred.
+    statistics, classifier statistics, predictions. With ``classifier="margin"`` the kernel itself is used, and the
+    second step is the hinge-loss problem of every class pair (see ``margin``). Result: target, iter, row id, y, y_pred.
     """
+    if classifier not in ("least_squares", "margin"):
+        raise ValueError(f"unknown classifier: {classifier}")
+    if classifier == "margin":
+        rows_per_block = min(rows_per_block, 2000)
 
     # read by three passes; the models by all of them too
-    tagged = cut_lineage(split_blocks(rows, ["subject"], row_id))
+    tagged = cut_lineage(split_blocks(rows, ["subject"], row_id, rows_per_block))
     models = cut_lineage(models)
 
     def shape_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
@@ -252,10 +259,13 @@ def decode(
     )
     shaped = cut_lineage(models.join(fitted, MODEL_KEYS))
 
-    def phi(x: np.ndarray, model) -> np.ndarray:
+    def reduced(x: np.ndarray, model) -> np.ndarray:
         mean = np.asarray(model.mean)
         axes = np.asarray(model.comps).reshape(-1, len(mean))
-        return _features((_latent(x, model) - mean) @ axes.T, model.gamma, size, seed)
+        return (_latent(x, model) - mean) @ axes.T
+
+    def phi(x: np.ndarray, model) -> np.ndarray:
+        return _features(reduced(x, model), model.gamma, size, seed)
 
     def fit_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         rows_of, out = _Block(block), []
@@ -271,7 +281,6 @@ def decode(
             out.append((model.target, model.iter, model.test_fold, np.concatenate([gram.ravel(), sums.ravel()])))
         return pd.DataFrame(out, columns=[*MODEL_KEYS, "acc"])
 
-    fit_stats = _sum_blocks(run_blocks(tagged, shaped, ["subject"], fit_pass, ACC_SCHEMA))
     width = size + 1
 
     @F.pandas_udf("array<double>")
@@ -286,8 +295,16 @@ def decode(
             out.append(np.linalg.solve(gram + ridge, right.T).ravel())
         return pd.Series(out)
 
-    weights = fit_stats.select(*MODEL_KEYS, solve("acc").alias("coef"))
-    final = shaped.filter(F.col("subject") == F.col("target")).join(weights, MODEL_KEYS)
+    own = F.col("subject") == F.col("target")
+    if classifier == "margin":
+        fitted = margin.fit(
+            tagged, shaped, lambda block, model: _Block(block).training(model, k),
+            lambda block, mask, model: reduced(np.array(block["vec"].tolist())[mask], model), penalty, row_id,
+        )
+        final = fitted.filter(own)
+    else:
+        fit_stats = _sum_blocks(run_blocks(tagged, shaped, ["subject"], fit_pass, ACC_SCHEMA))
+        final = shaped.filter(own).join(fit_stats.select(*MODEL_KEYS, solve("acc").alias("coef")), MODEL_KEYS)
     tested = tagged.filter(F.col("folds").isNotNull())
     id_type = rows.schema[row_id].dataType.simpleString()
 
@@ -299,13 +316,17 @@ def decode(
             mask = folds[:, model.iter] == model.test_fold
             if not mask.any():
                 continue
-            scores = phi(x[mask], model) @ np.asarray(model.coef).reshape(width, -1)
+            if classifier == "margin":
+                chosen = margin.votes(reduced(x[mask], model), model)
+            else:
+                scores = phi(x[mask], model) @ np.asarray(model.coef).reshape(width, -1)
+                chosen = np.asarray(model.classes)[scores.argmax(axis=1)]
             parts.append(
                 pd.DataFrame(
                     {
                         "target": model.target, "iter": model.iter, row_id: block[row_id].to_numpy()[mask],
                         "y": block["label"].to_numpy()[mask],
-                        "y_pred": np.asarray(model.classes)[scores.argmax(axis=1)],
+                        "y_pred": chosen,
                     }
                 )
             )
@@ -329,7 +350,7 @@ def _plain_models(models: DataFrame) -> DataFrame:
 def decode_within(
     rows: DataFrame, k: int = 10, n_iter: int = 50, n_comp: float = 0.8, chance: bool = False,
     row_id: str = "trial", seed: int = 42, size: int = 128, penalty: float = 1.0,
-    keys: Sequence[str] = ("subject",), rank: int | None = None,
+    keys: Sequence[str] = ("subject",), rank: int | None = None, classifier: str = "least_squares", rows_per_block: int = 20_000,
 ) -> DataFrame:
     """Repeated cross-validated decoding within each subject, or within each combination of ``keys``.
 
@@ -342,7 +363,7 @@ def decode_within(
         # cells are carried as one text and taken apart again
         cell = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
         packed = rows.select(cell.alias("subject"), row_id, "label", "vec")
-        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty, rank=rank)
+        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty, ("subject",), rank, classifier, rows_per_block)
         fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
         cells = out.withColumn("target", F.from_json("target", fields))
         return cells.select(*[F.col(f"target.{c}").alias(c) for c in keys], *[c for c in out.columns if c != "target"])
@@ -360,7 +381,7 @@ def decode_within(
         shuffled = _shuffled_arrays(folded, row_id, k, n_iter, seed, ["subject"])
         tagged = tagged.join(shuffled, ["subject", row_id])
     models = _plain_models(_training_classes(folded, k, ["subject"]))
-    return decode(tagged, models, k, n_comp, penalty, size, seed, row_id)
+    return decode(tagged, models, k, n_comp, penalty, size, seed, row_id, classifier, rows_per_block)
 
 
 def decode_scores(predictions: DataFrame, scorer: str = "balanced_accuracy") -> DataFrame:
