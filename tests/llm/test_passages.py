@@ -25,14 +25,65 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
     for _ in range(200):
         values = rng.permutation(int(rng.integers(1, 150))).astype(np.uint64)
         for least in (1, 5, 46):
-            assert sorted(passages.compact_windows(values, least)) == plain_windows(values, least)
-            assert sorted(passages.compact_windows(values, least, False)) == plain_windows(values, least)
+            assert sorted(map(tuple, passages.compact_windows(values, least=least).tolist())) == plain_windows(values, least)
+
+
+def test_trees_of_many_texts_grow_like_single_ones():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 60, int(n)).astype(np.uint64) for n in rng.integers(1, 300, 60)]  # with ties
+    borders = np.append(0, np.cumsum([len(t) for t in texts]))
+    together = passages.compact_windows(np.concatenate(texts), borders)
+    alone = [passages.compact_windows(t) + b for t, b in zip(texts, borders)]
+    assert sorted(map(tuple, together.tolist())) == sorted(tuple(x) for t in alone for x in t.tolist())
+    for table, text in zip(passages.window_tables(np.concatenate(texts), borders), texts):
+        assert np.sort(table).tobytes() == np.sort(passages.window_table(text)).tobytes()
+
+
+def test_keys_of_many_texts_are_those_of_single_ones():
+    import pyarrow as pa
+
+    docs, _ = corpus(n=40)
+    texts = [None, "", "few words", *(t for _, t in docs), "same " * 80]
+    found = dict((own, made()) for own, made in passages.keyed_texts(pa.array(texts)))
+    for _, own, tokens in passages.shingle_rows(pa.array(texts)):
+        if len(tokens) >= passages.SPAN:
+            assert np.array_equal(found.pop(own), np.unique(passages.occurrences(passages.window_table(tokens))[0]))
+    assert not found
+
+
+def test_recall_against_all_pairs_of_windows(spark):
+    """Every 50-word window with a window of another text at similarity 0.8 or more, by brute force over all pairs."""
+    rng = random.Random(12)
+    passage = [[f"p{i}_{k}" for k in range(60)] for i in range(6)]
+    texts = []
+    for i in range(60):
+        own = list(rng.choice(passage))
+        for _ in range(rng.randint(0, 1)):
+            own[rng.randrange(len(own))] = f"edit{i}"
+        head, tail = ([f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 40))] for _ in range(2))
+        texts.append([*head, *own, *tail])
+    windows = [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)]
+    number = {}
+    flags = np.zeros((len(windows), 20_000), np.float32)
+    for row, (i, s) in enumerate(windows):
+        for k in range(s, s + 46):
+            flags[row, number.setdefault(tuple(texts[i][k : k + 5]), len(number))] = 1
+    common = flags @ flags.T
+    text = np.array([i for i, _ in windows])
+    near = (common >= 0.8 * (92 - common)) & (text[:, None] != text)
+    wanted = [w for w, hit in zip(windows, near.any(axis=1)) if hit]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {}
+    for r in passages.repeated_passages(frame).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    caught = sum(any(a <= s and s + 50 <= b for a, b in spans.get(i, [])) for i, s in wanted)
+    assert len(wanted) > 500 and caught / len(wanted) > 0.97
 
 
 def test_every_passage_lies_in_one_window_per_function():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 40, 200).astype(np.uint64)  # with ties
-    windows = passages.compact_windows(values, 46)
+    windows = passages.compact_windows(values, least=46).tolist()
     for s in range(200):
         for e in range(s + 45, 200):
             assert sum(low <= s <= c <= e <= high for low, c, high in windows) == 1

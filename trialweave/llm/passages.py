@@ -59,40 +59,44 @@ def shingle_rows(column: pa.Array):
             yield b - a, whole, grams[a : max(a, b - SHINGLE + 1)]
 
 
-def compact_windows(values: np.ndarray, least: int = SPAN, repeats: bool = True) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree nodes that span ``least`` values or more; of equal values the middle one is above.
+def compact_windows(values: np.ndarray, borders: np.ndarray | None = None, least: int = SPAN) -> np.ndarray:
+    """Rows (l, c, r) of the Cartesian tree nodes that span ``least`` values or more; of equal values the middle one is above.
 
-    ``repeats``: whether a value may occur twice.
+    ``borders`` cuts the values into sequences with a tree each. All trees grow together, a level at a time: one minimum
+    per open stretch.
     """
-    out, open_ = [], [(0, len(values))] if len(values) >= least else []
-    while open_:
-        low, stop = open_.pop()
-        part = values[low:stop]
-        c = int(part.argmin())
-        if repeats:
-            same = np.flatnonzero(part == part[c])
-            c = int(same[np.abs(same - len(part) // 2).argmin()])
-        out.append((low, low + c, stop - 1))
-        if c >= least:
-            open_.append((low, low + c))
-        if len(part) - c > least:
-            open_.append((low + c + 1, stop))
-    return out
-
-
-def _all_windows(tokens: np.ndarray):
+    borders = np.array([0, len(values)]) if borders is None else borders
+    low, stop = borders[:-1].astype(np.int64), borders[1:].astype(np.int64)
+    levels = []
+    while True:
+        wide = stop - low >= least
+        low, stop = low[wide], stop[wide]
+        if not len(low):
+            break
+        size = stop - low
+        begin = np.cumsum(size) - size
+        place = np.repeat(low - begin, size) + np.arange(int(size.sum()))
+        part = values[place]
+        hit = np.flatnonzero(part == np.repeat(np.minimum.reduceat(part, begin), size))
+        c = place[hit]
+        if len(c) > len(low):
+            owner = np.searchsorted(begin, hit, "right") - 1
+            away = np.abs(c - low[owner] - size[owner] // 2)
+            order = np.lexsort((c, away, owner))
+            c = c[order[np.append(True, np.diff(owner[order]) > 0)]]
+        levels.append(np.stack([low, c, stop - 1], axis=1))
+        low, stop = np.stack([low, c + 1], axis=1).ravel(), np.stack([c, stop], axis=1).ravel()
+    return np.concatenate(levels) if levels else np.zeros((0, 3), np.int64)
+
+
+def _all_windows(tokens: np.ndarray, borders: np.ndarray | None = None):
     """(hash of the least shingle with the function in bits 2 and 3, l, c, r) over all functions, as arrays."""
-    repeats = len(np.unique(tokens)) < len(tokens)
     keys, places = [], []
     for f, salt in enumerate(_SALTS):
         values = mix(tokens ^ salt)
-        windows = compact_windows(values, SPAN, repeats)
-        if windows:
-            found = np.array(windows, np.int64)
-            places.append(found)
-            keys.append((values[found[:, 1]] & ~_U(15)) | _U(f << 2))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
+        found = compact_windows(values, borders)
+        places.append(found)
+        keys.append((values[found[:, 1]] & ~_U(15)) | _U(f << 2))
     return np.concatenate(keys), np.concatenate(places)
 
 
@@ -101,21 +105,41 @@ def _all_windows(tokens: np.ndarray):
 _WINDOW = np.dtype([("value", "<u4"), ("c", "<i4"), ("first", "<i4"), ("last", "<i4")])
 
 
-def window_table(tokens: np.ndarray) -> np.ndarray:
-    keys, places = _all_windows(tokens)
+def _windows(tokens: np.ndarray, borders: np.ndarray | None = None) -> np.ndarray:
+    keys, places = _all_windows(tokens, borders)
     out = np.zeros(len(keys), _WINDOW)
-    low, c, high = places.T if len(places) else np.zeros((3, 0), np.int64)
+    low, c, high = places.T
     out["value"] = ((keys >> _U(32)) & ~_U(3)) | ((keys >> _U(2)) & _U(3))
     out["c"], out["first"], out["last"] = c, np.maximum(low, c - SPAN + 1), np.minimum(c, high - SPAN + 1)
+    return out
+
+
+def window_table(tokens: np.ndarray) -> np.ndarray:
+    out = _windows(tokens)
     return out[np.argsort(out["value"], kind="stable")]
 
 
+def window_tables(tokens: np.ndarray, borders: np.ndarray) -> list[np.ndarray]:
+    """``window_table`` of every sequence between the borders."""
+    out = _windows(tokens, borders)
+    text = np.searchsorted(borders, out["c"], "right") - 1
+    for name in ("c", "first", "last"):
+        out[name] -= borders[text].astype(np.int32)
+    order = np.lexsort((out["value"], text))
+    at = np.searchsorted(text[order], np.arange(len(borders)))
+    out = out[order]
+    return [out[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 _F, _G = (np.array(x) for x in zip(*((f, g) for f in range(HASHES) for g in range(f + 1, HASHES))))
 
 
-def occurrences(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def occurrences(windows: np.ndarray, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first, last, c): runs of passages of ``WORDS`` words, by first word, whose least shingles under two functions
-    are the same; c is the place of that of the first function. The two low bits of a key are 0."""
+    are the same; c is the place of that of the first function. The two low bits of a key are 0.
+
+    ``windows`` are those of one text, or of all sequences between ``borders`` with places over all of them.
+    """
     if not len(windows):
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     # every passage lies in one window per function
@@ -134,13 +158,39 @@ def occurrences(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first = edges[edge].astype(np.int64)
     last = np.append(first[1:], 0) - 1
     last[np.append(pair[1:] != pair[:-1], True)] = windows["last"].max()
+    if borders is not None:
+        text = np.searchsorted(borders, first, "right") - 1
+        ends = borders[text + 1] - SPAN  # the last passage of a text
+        last = np.minimum(last, ends)
     return key, first, last, at[_F[pair], edge]
 
 
+def shingled(column: pa.Array):
+    """(rows, ids, shingle hashes of the texts that hold a passage, borders) of a slice of texts."""
+    for i, _, data, offsets in text_slices(column):
+        starts, ends, at = words(data, offsets, NONSPACE)
+        hashes = span_hashes(data, starts, ends, FOLDED_VALUES)
+        grams = gram_hashes(hashes, SHINGLE)
+        long = np.flatnonzero(np.diff(at) >= WORDS)
+        if not len(long):
+            continue
+        count = at[long + 1] - at[long] - SHINGLE + 1
+        borders = np.append(0, np.cumsum(count))
+        own = [int(mix(gram_hashes(hashes[at[k] : at[k + 1]], int(at[k + 1] - at[k]))).view(np.int64)[0]) for k in long]
+        yield i + long, own, grams[np.repeat(at[long] - borders[:-1], count) + np.arange(borders[-1])], borders
+
+
 def keyed_texts(column: pa.Array):
-    for _, own, tokens in shingle_rows(column):
-        if len(tokens) >= SPAN:
-            yield own, lambda tokens=tokens: np.unique(occurrences(window_table(tokens))[0])
+    for _, ids, tokens, borders in shingled(column):
+        key, first, _, _ = occurrences(_windows(tokens, borders), borders)
+        text = np.searchsorted(borders, first, "right") - 1
+        order = np.lexsort((key, text))
+        key, text = key[order], text[order]
+        fresh = np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))
+        key, text = key[fresh], text[fresh]
+        at = np.searchsorted(text, np.arange(len(ids) + 1))
+        for k, own in enumerate(ids):
+            yield own, lambda part=key[at[k] : at[k + 1]]: part
 
 
 def _matches(a: np.ndarray, b: np.ndarray, diagonal: int) -> np.ndarray:
@@ -235,14 +285,17 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["text_id", "tokens", "windows"])
 
         for batch in batches:
-            rows, held = [], 0
-            for want, (_, own, tokens) in zip(batch.column(1).to_pylist(), shingle_rows(batch.column(0))):
-                if own == want:
-                    rows.append((own, (tokens & _U(0xFFFF)).astype("<u2").tobytes(), window_table(tokens).tobytes()))
-                    held += 4 * len(tokens)
-                if held > 1 << 24:
-                    yield out(rows)
-                    rows, held = [], 0
+            rows, held, wanted = [], 0, batch.column(1).to_numpy()
+            for places, ids, tokens, borders in shingled(batch.column(0)):
+                short = (tokens & _U(0xFFFF)).astype("<u2")
+                tables = window_tables(tokens, borders)
+                for want, own, windows, i, j in zip(wanted[places], ids, tables, borders[:-1], borders[1:]):
+                    if own == want:
+                        rows.append((own, short[i:j].tobytes(), windows.tobytes()))
+                        held += 4 * int(j - i)
+                    if held > 1 << 24:
+                        yield out(rows)
+                        rows, held = [], 0
             if rows:
                 yield out(rows)
 
