@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from test_filters import joined, recording
 from trialweave.operators import epochs as ep, filters as fl, geometry as geo, signals as sg, stats as st
@@ -95,3 +96,17 @@ def test_key_less_join_needs_one_row(spark):
 def test_fft_convolution():
     x, y = np.arange(7.0), np.array([1.0, -2.0, 3.0])
     np.testing.assert_allclose(fl.convolve_full(x, y), np.convolve(x, y), atol=1e-12)
+
+
+@pytest.mark.parametrize("lost", [1, 3, 6])
+def test_lost_chunks_are_errors_whatever_the_reach(spark, lost):
+    rows = spark.createDataFrame([("s", "a", i, float(i % 7)) for i in range(8 * 16)], "subject string, channel string, sample long, value double")
+    whole = sg.to_chunks(rows, ["subject", "channel"], 16)
+    chunks = whole.filter(F.col("chunk") != lost)
+    for run in (
+        lambda c: fl.notch(c, 100.0, 20.0, taps=5), lambda c: fl.notch(c, 100.0, 20.0, taps=81, chunk=16),
+        lambda c: fl.iir_notch(c, 100.0, 20.0, 16), lambda c: fl.resample_poly(c, 1, 2),
+    ):
+        assert run(whole).count() == 8 and len(run(whole.filter("chunk > 1")).collect()) == 6  # a cropped recording is whole
+        with pytest.raises(PySparkException, match="missing|do not meet"):
+            run(chunks).collect()

@@ -293,7 +293,8 @@ def with_borders(
 
     NULL at the ends of a recording. Two equi-joins on (keys, chunk); a reach beyond one
     chunk of ``chunk`` samples takes copies of several neighbours, put together per chunk.
-    Chunks that do not meet their neighbour are an error: a gap would shift all samples.
+    Chunks that do not meet their neighbour are an error, and so is a chunk without a neighbour that is neither the first
+    nor the last of its recording: a gap would shift all samples.
     """
     by = [*keys, "chunk"]
     stop = F.col("start_sample") + F.size("values")
@@ -334,7 +335,13 @@ def with_borders(
             out = out.join(side(reach, step, name), by, "left")
         else:
             out = out.withColumn(name, F.lit(None).cast("array<double>"))
-    return out
+    ends = chunks.groupBy(*keys).agg(F.min("chunk").alias("__left"), F.max("chunk").alias("__right"))
+    out = join_measured(out, ends, keys)
+    lost = F.raise_error(F.lit("a chunk of a recording is missing"))
+    for name, reach in (("left", before), ("right", after)):
+        if reach:
+            out = out.withColumn(name, F.when(F.col(name).isNull() & (F.col("chunk") != F.col(f"__{name}")), lost).otherwise(F.col(name)))
+    return out.drop("__left", "__right")
 
 
 def _border_udf(fn: Callable[[np.ndarray, np.ndarray | None, np.ndarray | None], np.ndarray]):
