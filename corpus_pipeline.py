@@ -17,14 +17,18 @@ from trialweave.llm.store import stored
 
 #: Documents in an Arrow batch: whole texts pass through Python workers, so this bounds their memory.
 BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _stage(function):
-    """A stage whose session hands documents to Python workers in batches of ``BATCH_ROWS``."""
+    """A stage whose session hands documents to Python workers in batches of ``BATCH_ROWS``.
+
+    The result is evaluated after the stage returns, so the setting outlasts it; ``run`` puts the caller's back.
+    """
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
         return function(spark, docs, sf_dir)
 
     return run_stage
@@ -42,13 +46,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join. Of a group of linked documents the one with the least doc_id stays.
 
-    Rows that repeat a doc_id are one document; rows without doc_id link with nothing and stay.
+    Rows that repeat a doc_id with equal text are one document; different texts under one doc_id all stay if any of them
+    does, so no text is lost to a clash of ids. Rows without doc_id link with nothing and stay.
     """
     joined = jaccard.join(docs)
     ids = stored(joined.filter(F.col("doc_id") == F.col("component_id")).select("doc_id"), "kept")
     kept = docs.join(jaccard.small_side(ids.distinct()), "doc_id", "left_semi")
     if ids.count() > ids.distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
@@ -89,7 +94,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
