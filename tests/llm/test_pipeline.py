@@ -74,3 +74,20 @@ def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_texts_that_share_an_id_all_stay(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["".join(f"{w}{k} " for w in ("alpha", "beta", "gamma", "delta", "omega")) for k in "abc"]
+    docs = spark.createDataFrame([(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1), (1, texts[1], "en", "a", 1), (2, texts[2], "en", "a", 1)], schema)
+    kept = corpus_pipeline.deduplicated(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (1, texts[1]), (2, texts[2])]
+
+
+def test_run_puts_the_session_back(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "1234")
+    try:
+        assert corpus_pipeline.run(spark, sf_dir).count() > 0 and spark.conf.get(key) == "1234"
+    finally:
+        spark.conf.unset(key)
