@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.sizing import BROADCAST_BYTES, fits_broadcast
 from .components import components
-from .kernels import FOLDED_VALUES, NONSPACE, gram_hashes, mix, span_hashes, text_slices, words
+from .kernels import FOLDED_VALUES, NONSPACE, gram_hashes, mix, release, span_hashes, text_slices, words
 from .store import Scratch, stored
 
 SHINGLE = 4
@@ -229,6 +229,7 @@ def digests(documents: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.int64())],
                 names=["doc_id", "n_shingles", "set_id"],
             )
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_id long")
 
@@ -272,6 +273,8 @@ def key_rows(documents: DataFrame, keyed) -> DataFrame:
                     held, count = [], 0
         if held:
             yield out()
+        seen, held = set(), []
+        release()
 
     return documents.select("text").mapInArrow(run, "key long, set_id long")
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .kernels import release
+
 BLOCK = 256
 SLICE_LETTERS = 1 << 19
 
@@ -202,5 +204,7 @@ def identify(documents: DataFrame, model: LanguageModel, names: tuple[str, str]
                     found, scores, part, held = found + a, scores + b, [], 0
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
+        parser = None
+        release()
 
     return frame.mapInArrow(run, schema)

@@ -34,11 +34,13 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .kernels import BYTE_VALUES, span_hashes, text_slices
+from .kernels import BYTE_VALUES, release, span_hashes, text_slices
 from .store import shared_folder, stored
 
 #: Pieces a task remembers; the memory is emptied when full, which costs time only.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Pieces given to the tokenizer in one call; its answers take far more room than the ids.
+LEARNED_AT_ONCE = 4096
 #: Bytes of text encoded at a time.
 ENCODED_BYTES = 1 << 20
 
@@ -124,13 +126,13 @@ class Encoder:
         return cuts if inside is None else cuts[~inside[cuts]]
 
     def _learn(self, hashes, data, starts, ends):
-        raw = data.tobytes()
-        found = self.tokenizer.encode_batch_fast(
-            [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False
-        )
-        lists = [e.ids for e in found]
+        raw, lists = data.tobytes(), []
+        for k in range(0, len(starts), LEARNED_AT_ONCE):
+            spans = zip(starts[k : k + LEARNED_AT_ONCE].tolist(), ends[k : k + LEARNED_AT_ONCE].tolist())
+            found = self.tokenizer.encode_batch_fast([raw[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)
+            lists += [np.array(e.ids, np.uint32) for e in found]
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum()))
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.uint32)
         first = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, flat])
         place = np.searchsorted(self.keys, hashes)
@@ -246,6 +248,7 @@ def write_tokens(
     laid = laid.repartitionByRange(*names).sortWithinPartitions(*names).select(*columns)
 
     def write(batches):
+        release()
         part = TaskContext.get().partitionId()
         attempt = TaskContext.get().taskAttemptId()
         encoder = out = None
@@ -280,6 +283,7 @@ def write_tokens(
             for sink, d, f in zip(sinks, draft, final):
                 sink.close()
                 fs.move(d, f)
+            release()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/part-{part:06d}"], "docs": [docs], "tokens": [tokens]})
 
     return stored(laid.mapInArrow(write, "part long, path string, docs long, tokens long"), "token-parts", 2000)
