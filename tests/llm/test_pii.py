@@ -79,3 +79,19 @@ def test_edge_rows(spark):
     assert out[(1, 0)].base_sha256 == hashlib.sha256(b"").hexdigest() and out[(1, 0)].spans == ""
     assert out[(None, 1)].spans == "email:2:8"
     assert pii.find(docs.limit(0), pii.fit(docs.limit(0))).count() == 0
+
+
+def test_runs_around_an_at_sign_in_linear_time():
+    import random
+    import re
+    import time
+
+    plain = re.compile(r"[^\s<>()\[\],;:\"']*@[^\s<>()\[\],;:\"']+")
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab@@. <,\n'") for _ in range(rng.randint(0, 30)))
+        assert [m.span() for m in pii._AROUND_AT.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    start = time.perf_counter()
+    for text in ("@ " + "a" * 1_000_000, "a" * 1_000_000 + "@", "@" * 1_000_000, "a@" * 500_000):
+        list(pii._AROUND_AT.finditer(text))
+    assert time.perf_counter() - start < 2

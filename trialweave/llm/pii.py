@@ -41,7 +41,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NUMBER = re.compile(r"\+?[0-9](?:[\x20().-]{0,2}[0-9])+")
-_AROUND_AT = re.compile(r"[^\s<>()\[\],;:\"']*@[^\s<>()\[\],;:\"']+")
+# A run with an @ before its last character; only run starts are tried, and up to the first @ nothing is given back.
+_AROUND_AT = re.compile(r"(?<![^\s<>()\[\],;:\"'])[^\s<>()\[\],;:\"'@]*+@[^\s<>()\[\],;:\"']+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
