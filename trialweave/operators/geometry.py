@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import is_close
 from ..plans import cut_lineage, join_keys, join_measured
+from . import octree
 from .channels import NEIGHBOUR_STEPS
 
 
@@ -91,50 +92,69 @@ def flood_fill(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFr
     """Extend macro electrodes over the empty cells they reach (8-connected).
 
     Filling macro after macro in channel order gives every connected empty region to
-    the lowest macro channel that touches it, so the result is the minimum of the
-    touching channels spread through the region. Each round is one equi-join of the
-    newly labelled cells with the empty cells around them; the number of rounds is
-    bounded by the largest region of any grid, not by the number of grids.
+    the lowest macro channel that touches it, so the regions are found first (see
+    ``empty_regions``), each takes the minimum of its touching channels, and its cells read it.
     Columns: keys, row, col, channel_number (NULL = empty), is_macro.
     """
     cells = [*keys, "row", "col"]
-    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in NEIGHBOUR_STEPS])
+    regions = empty_regions(chanmap, keys)
+    around = _around(
+        chanmap.filter(F.col("is_macro") & F.col("channel_number").isNotNull()), keys, ["channel_number"]
+    )
+    owners = (
+        around.join(regions, cells)
+        .groupBy(*keys, "region")
+        .agg(F.min("channel_number").cast("int").alias("channel_number"))
+    )
+    filled = join_measured(regions, owners, [*keys, "region"], "left").select(*cells, "channel_number")
+    occupied = chanmap.filter(F.col("channel_number").isNotNull()).select(*cells, "channel_number")
+    return occupied.unionByName(filled)
 
-    def spread(frontier: DataFrame) -> DataFrame:
-        return (
-            frontier.select(*cells, "channel_number", F.explode(steps).alias("s"))
-            .select(
-                *keys,
-                (F.col("row") + F.col("s.dr")).alias("row"),
-                (F.col("col") + F.col("s.dc")).alias("col"),
-                "channel_number",
-            )
-            .groupBy(*cells)
-            .agg(F.min("channel_number").alias("__new"))
-        )
 
-    empty = chanmap.filter(F.col("channel_number").isNull()).select(
-        *cells, F.lit(None).cast("int").alias("channel_number")
+def _around(cells: DataFrame, keys: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """The eight cells around each cell, with ``carry`` of the cell in the middle."""
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in NEIGHBOUR_STEPS])
+    return cells.select(*keys, "row", "col", *carry, F.explode(steps).alias("__s")).select(
+        *keys, (F.col("row") + F.col("__s.dr")).alias("row"), (F.col("col") + F.col("__s.dc")).alias("col"), *carry
     )
-    frontier = chanmap.filter(F.col("is_macro") & F.col("channel_number").isNotNull()).select(
-        *cells, "channel_number"
+
+
+def empty_regions(chanmap: DataFrame, keys: Sequence[str] = ("subject",)) -> DataFrame:
+    """Connected regions of empty cells (8-connected): keys, row, col, ``region``.
+
+    Pointer jumping: every cell points at a lower cell of its region, at first itself. In a round it reads where its
+    pointer's pointer and those of the cells around it go; the least of them becomes the pointer of the cell and of
+    the cell it pointed at. Distances to the root halve, so rounds grow with the logarithm of the region's size.
+    The region is the place of its least cell. Pointers within one region lead to ever fewer cells, whose rows
+    Spark splits where a join meets them.
+    """
+    place = F.struct("row", "col")
+    empty = chanmap.filter(F.col("channel_number").isNull()).select(*keys, place.alias("cell")).distinct()
+    up = cut_lineage(empty.select("*", F.col("cell").alias("up")))
+    flat = up.select(*keys, "cell.row", "cell.col", "cell")
+    links = cut_lineage(
+        _around(flat, keys, ["cell"]).select(*keys, place.alias("beside"), "cell").join(
+            up.select(*keys, F.col("cell").alias("beside")), [*keys, "beside"]
+        )
     )
-    labels = empty
     while True:
-        better = F.col("__new") < F.coalesce("channel_number", F.lit(2**31 - 1))
-        labels = cut_lineage(
-            join_keys(labels, spread(frontier), cells, "left").select(
-                *cells,
-                F.least("channel_number", "__new").alias("channel_number"),
-                F.coalesce(better, F.lit(False)).alias("__changed"),
-            )
+        ends = up.select(*keys, F.col("cell").alias("up"), F.col("up").alias("top"))
+        tops = cut_lineage(join_keys(up, ends, [*keys, "up"]).select(*keys, "cell", "up", "top"))
+        least = (
+            links.join(tops.select(*keys, F.col("cell").alias("beside"), "top"), [*keys, "beside"])
+            .groupBy(*keys, "cell").agg(F.min("top").alias("least"))
         )
-        frontier = labels.filter("__changed").select(*cells, "channel_number")
-        labels = labels.drop("__changed")
-        if frontier.isEmpty():
-            break
-    occupied = chanmap.filter(F.col("channel_number").isNotNull()).select(*cells, "channel_number")
-    return occupied.unionByName(labels)
+        seen = join_keys(tops, least, [*keys, "cell"], "left").withColumn("least", F.least("top", "least"))
+        told = seen.select(*keys, F.explode(F.array("cell", "up")).alias("cell"), "least")
+        following = cut_lineage(
+            told.groupBy(*keys, "cell").agg(F.min("least").alias("least"))
+            .join(tops, [*keys, "cell"])
+            .select(*keys, "cell", F.col("least").alias("up"), (F.col("least") != F.col("top")).alias("__moved"))
+        )
+        up = following.drop("__moved")
+        # still once every pointer is a root and no cell beside has a lower one
+        if following.filter("__moved").isEmpty():
+            return up.select(*keys, "cell.row", "cell.col", F.col("up").alias("region"))
 
 
 def nearest_vertex(
@@ -146,77 +166,35 @@ def nearest_vertex(
 ) -> DataFrame:
     """The vertex nearest to each point within ``keys`` (ties: lowest vertex).
 
-    Exact, without comparing every point with every vertex: space is cut into cubes, a
-    point meets the vertices of its own and the 26 cubes around it by an equi-join, and
-    its nearest vertex found so is final once it lies within one cube edge. Points not
-    settled go on with cubes twice as large. Vertices with equal coordinates count once.
-    The first edge comes from the vertex density.
-    Points with a missing or infinite coordinate get NULL; such vertices are nobody's nearest.
+    Exact, without comparing every point with every vertex: the vertices of a key form an octree, and the points
+    descend it by branch and bound (see ``octree``), in as many rounds as the tree is deep. Vertices with equal
+    coordinates count once. Points with a missing or infinite coordinate get NULL; such vertices are nobody's nearest.
     Result: keys, point id, vertex id, ``distance``.
     """
-    xyz = ["x", "y", "z"]
+    xyz = octree.XYZ
     key_list = list(keys)
-    whole = vertices.dropna(subset=xyz)
-    for c in xyz:
-        whole = whole.filter(~F.isnan(c) & (F.abs(c) < float("inf")))
+
+    def finite() -> Column:
+        return reduce(
+            lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in xyz]
+        )
+
+    whole = vertices.filter(finite()).select(*key_list, vertex_id, *[F.col(c).cast("double").alias(c) for c in xyz])
     distinct = cut_lineage(whole.groupBy(*key_list, *xyz).agg(F.min(vertex_id).alias(vertex_id)))
-    extent = distinct.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[(F.max(c) - F.min(c)).alias(c) for c in xyz],
-    ).first()
-    spans = [s for s in (extent[c] for c in xyz) if s] or [1.0]
-    volume = reduce(lambda a, s: a * s, spans, 1.0)
-    edge = (volume * 4.0 / max(extent["n"], 1)) ** (1.0 / len(spans))
-    around = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"))
-        for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)
-    ]
-    cube = ["__cx", "__cy", "__cz"]
-    placed = F.lit(True)
-    for c in xyz:
-        placed = placed & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     vertex_type = vertices.schema[vertex_id].dataType
-    known = points.select(*key_list, point_id, *xyz).join(
+    known = points.select(*key_list, point_id, *[F.col(c).cast("double").alias(c) for c in xyz]).join(
         distinct.select(*key_list).distinct(), key_list, "left_semi"
     )
-    known = cut_lineage(known.withColumn("__placed", F.coalesce(placed, F.lit(False))))
-    pending = known.filter("__placed").drop("__placed")
+    known = cut_lineage(known.withColumn("__placed", F.coalesce(finite(), F.lit(False))))
     # a point with a missing coordinate has no nearest vertex
-    settled = [
-        known.filter("NOT __placed").select(
-            *key_list, point_id, F.lit(None).cast(vertex_type).alias(vertex_id), F.lit(None).cast("double").alias("distance")
-        )
-    ]
-    while not pending.isEmpty():
-        def cell(c: str):
-            return F.floor(F.col(c) / F.lit(edge))
-
-        binned = distinct.select(
-            *key_list, *[F.col(c).alias(f"__v{c}") for c in xyz], vertex_id,
-            *[cell(c).alias(n) for c, n in zip(xyz, cube)],
-        )
-        looks = pending.withColumn("__d", F.explode(F.array(*around))).select(
-            *key_list, point_id, *xyz,
-            *[(cell(c) + F.col(f"__d.{o}")).alias(n) for c, n, o in zip(xyz, cube, "ijk")],
-        )
-        square = sum(
-            ((F.col(c) - F.col(f"__v{c}")) * (F.col(c) - F.col(f"__v{c}")) for c in xyz[1:]),
-            (F.col("x") - F.col("__vx")) * (F.col("x") - F.col("__vx")),
-        )
-        best = (
-            looks.join(binned, [*key_list, *cube])
-            .groupBy(*key_list, point_id)
-            .agg(F.min(F.struct(square.alias("d2"), F.col(vertex_id).alias("v"))).alias("__best"))
-            .select(
-                *key_list, point_id,
-                F.col("__best.v").alias(vertex_id), F.sqrt("__best.d2").alias("distance"),
-            )
-        )
-        best = cut_lineage(best.filter(F.col("distance") <= F.lit(edge)))
-        settled.append(best)
-        pending = cut_lineage(pending.join(best, [*key_list, point_id], "left_anti"))
-        edge *= 2.0
-    return reduce(lambda a, c: a.unionByName(c), settled)
+    nowhere = known.filter("NOT __placed").select(
+        *key_list, point_id, F.lit(None).cast(vertex_type).alias(vertex_id), F.lit(None).cast("double").alias("distance")
+    )
+    if distinct.isEmpty():
+        return nowhere
+    tree = octree.build(distinct, key_list)
+    placed = known.filter("__placed").drop("__placed")
+    return octree.nearest(tree, placed, key_list, point_id, vertex_id).unionByName(nowhere)
 
 
 def project_electrodes(
