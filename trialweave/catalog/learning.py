@@ -180,6 +180,35 @@ def decode_margin(spark, sf):
     return dc.decode_within(b.features(spark, sf), k=5, n_iter=1, classifier="margin")
 
 
+_FOLDS_SQL = """n AS (SELECT subject, label, count(*) AS n FROM feat GROUP BY ALL),
+    big AS (SELECT subject, max(n) AS m FROM n GROUP BY subject),
+    kf AS (SELECT subject, iter, trial, label, (row_number() OVER (PARTITION BY subject, iter
+      ORDER BY CASE WHEN m >= 5 THEN label END, md5('42|' || iter || '|' || trial), trial) - 1) % 5 AS fold
+      FROM feat JOIN big USING (subject), range(2) AS i(iter))"""
+
+
+@query(
+    "decode_nearest_mean",
+    f"""WITH {b.FEATURES_SQL}, {_FOLDS_SQL},
+    s AS (SELECT subject, iter, fold, kf.label, ch * 8 + t AS i, sum(value) AS s, count(*) AS n
+          FROM kf JOIN fl USING (subject, trial) GROUP BY ALL),
+    m AS (SELECT subject, iter, f.fold, label, i, sum(s) / sum(n) AS v FROM s JOIN range(5) AS f(fold) ON f.fold <> s.fold GROUP BY ALL),
+    d AS (SELECT subject, iter, trial, kf.label AS y, m.label, sum((value - v) * (value - v)) AS d
+          FROM kf JOIN m USING (subject, iter, fold) JOIN fl USING (subject, trial) WHERE fl.ch * 8 + fl.t = m.i GROUP BY ALL)
+    SELECT CAST(subject AS VARCHAR) AS target, CAST(iter AS INTEGER) AS iter, trial, CAST(y AS INTEGER) AS y,
+      CAST(arg_min(label, d) AS INTEGER) AS y_pred FROM d GROUP BY subject, iter, trial, y""",
+)
+def decode_nearest_mean(spark, sf):
+    """Nearest class mean of the whole vectors: registered estimators by name."""
+    return dc.decode_within(b.features(spark, sf), k=5, n_iter=2, reducer="none", classifier="nearest_mean")
+
+
+@query("decode_discriminant")
+def decode_discriminant(spark, sf):
+    """Linear discriminant analysis on principal components, chosen by name."""
+    return dc.decode_scores(dc.decode_within(b.features(spark, sf), k=5, n_iter=2, classifier="discriminant"))
+
+
 def _long_trials(spark, sf):
     """Sixty-four feature vectors one after another as one trial of 4096 values; two subjects."""
     rows = b.features(spark, sf).withColumn("long", F.floor(F.col("trial") / 64))

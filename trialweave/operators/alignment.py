@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans import apply_model, cut_lineage, join_keys, moments
 from ..plans.blocks import gram_tiles
-from . import decoding as dc, multiset as ms, stats as st
+from . import decoding as dc, estimators as es, multiset as ms, stats as st
 
 CCA_SCHEMA = "m_a array<double>, m_b array<double>, corr array<double>, dim_a int, dim_b int"
 
@@ -320,6 +320,15 @@ def trial_maps(rows: DataFrame, target, k: int, n_steps: int, window: tuple[int,
     return fitted.select(F.col("set").alias("subject"), *FOLD, F.col("mean").alias("lin_mean"), F.col("matrix").alias("lin_matrix"))
 
 
+# ways to bring subjects together, by name
+Aligner = Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]
+ALIGNERS: dict[str, Aligner] = {"cca": cca_maps, "separate": separate_maps}
+
+
+def register_aligner(name: str, fit_maps: Aligner) -> None:
+    ALIGNERS[name] = fit_maps
+
+
 def decode_across(
     rows: DataFrame,
     target,
@@ -332,11 +341,12 @@ def decode_across(
     n_comp_align: float = 0.9,
     n_comp_decode: float = 0.8,
     target_trains: bool = True,
-    fit_maps: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame] = cca_maps,
+    fit_maps: str | Aligner = cca_maps,
     seed: int = 42,
     size: int = 128,
     joint: ms.Solver | None = None,
-    classifier: str = "least_squares",
+    classifier: str | es.Decoder = "least_squares",
+    reducer: str | es.Reducer = "pca",
 ) -> DataFrame:
     """Decode a target subject from its own and other subjects' trials.
 
@@ -347,9 +357,11 @@ def decode_across(
     map per subject and fold (subject, iter, test_fold, ``lin_mean``, ``lin_matrix``): by
     default CCA into the target's axes; ``separate_maps`` pools without alignment, and ``mean_maps`` takes a
     joint solver of ``multiset`` (MCCA, stacked axes) to the class means. A solver passed as ``joint`` is fitted on the trials of all
-    subjects at once instead. Alignment and decoding use their own time windows.
+    subjects at once instead. ``fit_maps`` may be the name of a registered aligner, ``reducer`` and ``classifier`` a
+    caller's own (see ``estimators``). Alignment and decoding use their own time windows.
     Result: target, iter, trial, y, y_pred.
     """
+    fit_maps = es.found(fit_maps, ALIGNERS, ())
     a0, a1 = window_steps(n_steps, full, align)
     d0, d1 = window_steps(n_steps, full, decode)
     fold = FOLD
@@ -373,7 +385,7 @@ def decode_across(
             F.lit(str(target)).alias("target"), "subject", *fold, "classes", "trains", "lin_mean", "lin_matrix",
             F.lit(d0).alias("t_first"), F.lit(d1).alias("t_stop"),
         )
-        return dc.decode(pooled.drop("align_label"), models, k, n_comp_decode, size=size, seed=seed, classifier=classifier)
+        return dc.decode(pooled.drop("align_label"), models, k, n_comp_decode, size=size, seed=seed, classifier=classifier, reducer=reducer)
 
     if joint is not None:
         return decoded(trial_maps(pooled, target, k, n_steps, (a0, a1), joint, seed))

@@ -10,7 +10,7 @@ subject nor the number of folds decides how much one task holds.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans import apply_model, cut_lineage, join_measured, moments, run_blocks, split_blocks
-from . import margin, stats as st
+from . import estimators as es, margin, stats as st
 
 MODEL_KEYS = ["target", "iter", "test_fold"]
 
@@ -204,8 +204,9 @@ def decode(
     size: int = 128,
     seed: int = 42,
     row_id: str = "trial",
-    classifier: str = "least_squares",
+    classifier: str | es.Decoder = "least_squares",
     rows_per_block: int = 20_000,
+    reducer: str | es.Reducer = "pca",
 ) -> DataFrame:
     """Cross-validated predictions of a class-balanced RBF classifier on PCA features.
 
@@ -215,11 +216,13 @@ def decode(
     (NULL = none). The kernel is expanded in random Fourier features and solved as a
     least-squares classifier, one against the rest. Three passes over blocks of rows: PCA
     statistics, classifier statistics, predictions. With ``classifier="margin"`` the kernel itself is used, and the
-    second step is the hinge-loss problem of every class pair (see ``margin``). Result: target, iter, row id, y, y_pred.
+    second step is the hinge-loss problem of every class pair (see ``margin``). A ``Reducer`` or ``Decoder`` of
+    ``estimators``, or the name of a registered one, takes the place of the PCA or of the classifier.
+    Result: target, iter, row id, y, y_pred.
     """
-    if classifier not in ("least_squares", "margin"):
-        raise ValueError(f"unknown classifier: {classifier}")
-    if classifier == "margin":
+    own_decoder = es.found(classifier, es.DECODERS, ("least_squares", "margin"))
+    own_reducer = es.found(reducer, es.REDUCERS, ("pca",))
+    if own_decoder is None and classifier == "margin":
         rows_per_block = min(rows_per_block, 2000)
 
     # read by three passes; the models by all of them too
@@ -236,7 +239,6 @@ def decode(
             out.append((model.target, model.iter, model.test_fold, acc))
         return pd.DataFrame(out, columns=[*MODEL_KEYS, "acc"])
 
-    shape_stats = _sum_blocks(run_blocks(tagged, models, ["subject"], shape_pass, ACC_SCHEMA))
     classes = models.select(*MODEL_KEYS, F.size("classes").alias("n_classes")).distinct()
 
     @F.pandas_udf(PCA_SCHEMA + ", gamma double, weights array<double>")
@@ -254,12 +256,53 @@ def decode(
             out.append((mean, axes.ravel(), eigen, ratio, gamma, weights))
         return pd.DataFrame(out, columns=["mean", "comps", "eigen", "ratio", "gamma", "weights"])
 
-    fitted = shape_stats.join(classes, MODEL_KEYS).withColumn("__f", shape_fit("acc", "n_classes")).select(
-        *MODEL_KEYS, "__f.mean", "__f.comps", "__f.gamma", "__f.weights"
-    )
-    shaped = cut_lineage(models.join(fitted, MODEL_KEYS))
+    def own_pass(estimator, reduce: Callable):
+        """Partials of a caller's estimator over the training rows of a block."""
+        partial = estimator.partial
+
+        def run(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+            rows_of, out = _Block(block), []
+            for model in group.itertuples():
+                mask, labels = rows_of.training(model, k)
+                if mask.any():
+                    acc = partial(reduce(rows_of.x[mask], model), labels[mask], np.asarray(model.classes))
+                    out.append((model.target, model.iter, model.test_fold, np.asarray(acc, dtype=float).ravel()))
+            return pd.DataFrame(out, columns=[*MODEL_KEYS, "acc"])
+
+        return run
+
+    def own_fit(estimator, group: DataFrame, reduce: Callable, name: str) -> DataFrame:
+        """The models of ``group`` with the estimator's parameters as column ``name``."""
+        partials = run_blocks(tagged, group, ["subject"], own_pass(estimator, reduce), ACC_SCHEMA)
+        sums = es.merged(partials, MODEL_KEYS, estimator.merge)
+        listed = models.select(*MODEL_KEYS, "classes").distinct()
+        return group.join(es.solved(sums.join(listed, MODEL_KEYS), estimator, name).drop("classes"), MODEL_KEYS)
+
+    def spread_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        rows_of, out = _Block(block), []
+        for model in group.itertuples():
+            mask, labels = rows_of.training(model, k)
+            if not mask.any():
+                continue
+            z = reduced(rows_of.x[mask], model)
+            counts = np.array([(labels[mask] == c).sum() for c in model.classes], dtype=float)
+            acc = np.concatenate([counts, z.sum(axis=0), (z * z).sum(axis=0)])
+            out.append((model.target, model.iter, model.test_fold, acc))
+        return pd.DataFrame(out, columns=[*MODEL_KEYS, "acc"])
+
+    @F.pandas_udf("gamma double, weights array<double>")
+    def spread_fit(acc: pd.Series, n_classes: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, c in zip(acc, n_classes):
+            counts, rest = np.asarray(a[:c]), np.asarray(a[c:]).reshape(2, -1)
+            n = counts.sum()
+            spread = (rest[1] / n - (rest[0] / n) ** 2).sum()
+            out.append((1.0 / spread if spread > 0 else 1.0, n / ((counts > 0).sum() * np.maximum(counts, 1.0))))
+        return pd.DataFrame(out, columns=["gamma", "weights"])
 
     def reduced(x: np.ndarray, model) -> np.ndarray:
+        if own_reducer is not None:
+            return own_reducer.apply(_latent(x, model), np.asarray(model.axes))
         mean = np.asarray(model.mean)
         axes = np.asarray(model.comps).reshape(-1, len(mean))
         return (_latent(x, model) - mean) @ axes.T
@@ -281,6 +324,18 @@ def decode(
             out.append((model.target, model.iter, model.test_fold, np.concatenate([gram.ravel(), sums.ravel()])))
         return pd.DataFrame(out, columns=[*MODEL_KEYS, "acc"])
 
+    if own_reducer is not None:
+        shaped = cut_lineage(own_fit(own_reducer, models, _latent, "axes"))
+        if own_decoder is None:  # the kernels want the spread of the reduced rows
+            spreads = _sum_blocks(run_blocks(tagged, shaped, ["subject"], spread_pass, ACC_SCHEMA))
+            fitted = spreads.join(classes, MODEL_KEYS).withColumn("__f", spread_fit("acc", "n_classes"))
+            shaped = cut_lineage(shaped.join(fitted.select(*MODEL_KEYS, "__f.gamma", "__f.weights"), MODEL_KEYS))
+    else:
+        shape_stats = _sum_blocks(run_blocks(tagged, models, ["subject"], shape_pass, ACC_SCHEMA))
+        fitted = shape_stats.join(classes, MODEL_KEYS).withColumn("__f", shape_fit("acc", "n_classes")).select(
+            *MODEL_KEYS, "__f.mean", "__f.comps", "__f.gamma", "__f.weights"
+        )
+        shaped = cut_lineage(models.join(fitted, MODEL_KEYS))
     width = size + 1
 
     @F.pandas_udf("array<double>")
@@ -296,7 +351,9 @@ def decode(
         return pd.Series(out)
 
     own = F.col("subject") == F.col("target")
-    if classifier == "margin":
+    if own_decoder is not None:
+        final = own_fit(own_decoder, shaped, reduced, "coef").filter(own)
+    elif classifier == "margin":
         fitted = margin.fit(
             tagged, shaped, lambda block, model: _Block(block).training(model, k),
             lambda block, mask, model: reduced(np.array(block["vec"].tolist())[mask], model), penalty, row_id,
@@ -316,7 +373,9 @@ def decode(
             mask = folds[:, model.iter] == model.test_fold
             if not mask.any():
                 continue
-            if classifier == "margin":
+            if own_decoder is not None:
+                chosen = own_decoder.predict(reduced(x[mask], model), np.asarray(model.coef), np.asarray(model.classes))
+            elif classifier == "margin":
                 chosen = margin.votes(reduced(x[mask], model), model)
             else:
                 scores = phi(x[mask], model) @ np.asarray(model.coef).reshape(width, -1)
@@ -350,7 +409,8 @@ def _plain_models(models: DataFrame) -> DataFrame:
 def decode_within(
     rows: DataFrame, k: int = 10, n_iter: int = 50, n_comp: float = 0.8, chance: bool = False,
     row_id: str = "trial", seed: int = 42, size: int = 128, penalty: float = 1.0,
-    keys: Sequence[str] = ("subject",), rank: int | None = None, classifier: str = "least_squares", rows_per_block: int = 20_000,
+    keys: Sequence[str] = ("subject",), rank: int | None = None, classifier: str | es.Decoder = "least_squares", rows_per_block: int = 20_000,
+    reducer: str | es.Reducer = "pca",
 ) -> DataFrame:
     """Repeated cross-validated decoding within each subject, or within each combination of ``keys``.
 
@@ -358,12 +418,13 @@ def decode_within(
     training set. ``rank`` is for long vectors: they are written in a basis of up to so many directions of their
     subject's rows (see ``sketches``) before anything else, which changes nothing where the subject has no more rows. Result: ``target`` (the subject) or the keys, iter, row id, y, y_pred. A grid of
     subjects, periods and positions is one plan: its cells are models of their own.
+    ``reducer`` and ``classifier`` may be a caller's own (see ``estimators``).
     """
     if tuple(keys) != ("subject",):
         # cells are carried as one text and taken apart again
         cell = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
         packed = rows.select(cell.alias("subject"), row_id, "label", "vec")
-        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty, ("subject",), rank, classifier, rows_per_block)
+        out = decode_within(packed, k, n_iter, n_comp, chance, row_id, seed, size, penalty, ("subject",), rank, classifier, rows_per_block, reducer)
         fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
         cells = out.withColumn("target", F.from_json("target", fields))
         return cells.select(*[F.col(f"target.{c}").alias(c) for c in keys], *[c for c in out.columns if c != "target"])
@@ -381,7 +442,7 @@ def decode_within(
         shuffled = _shuffled_arrays(folded, row_id, k, n_iter, seed, ["subject"])
         tagged = tagged.join(shuffled, ["subject", row_id])
     models = _plain_models(_training_classes(folded, k, ["subject"]))
-    return decode(tagged, models, k, n_comp, penalty, size, seed, row_id, classifier, rows_per_block)
+    return decode(tagged, models, k, n_comp, penalty, size, seed, row_id, classifier, rows_per_block, reducer)
 
 
 def decode_scores(predictions: DataFrame, scorer: str = "balanced_accuracy") -> DataFrame:
