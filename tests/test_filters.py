@@ -104,6 +104,28 @@ def test_tapers_are_orthonormal():
     np.testing.assert_allclose(tapers @ tapers.T, np.eye(3), atol=1e-10)
 
 
+@pytest.mark.parametrize("n", [3, 4, 51, 400])
+def test_tapers_equal_the_dense_solution(n):
+    i, count = np.arange(n), min(3, n - 1)
+    diagonal, off = ((n - 1 - 2 * i) / 2.0) ** 2 * np.cos(4 * np.pi / n), i[1:] * (n - i[1:]) / 2.0
+    values, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+    got, rows = fl.largest_eigen(diagonal, off, count)
+    np.testing.assert_allclose(got, values[::-1][:count], rtol=1e-12, atol=1e-12 * np.abs(values).max())
+    np.testing.assert_allclose(np.abs(rows @ vectors[:, ::-1][:, :count]), np.eye(count), atol=1e-10)
+
+
+def test_long_tapers_are_orthonormal():
+    tapers = fl.slepian_tapers(4000, 2.0, 3)
+    np.testing.assert_allclose(tapers @ tapers.T, np.eye(3), atol=1e-9)
+    assert fl.slepian_tapers(4000, 2.0, 3) is tapers
+
+
+def test_equal_eigenvalues_have_orthonormal_vectors():
+    values, rows = fl.largest_eigen(np.array([2.0, 2.0, 1.0, 2.0]), np.zeros(3), 3)
+    np.testing.assert_allclose(values, 2.0)
+    np.testing.assert_allclose(rows @ rows.T, np.eye(3), atol=1e-10)
+
+
 def test_spectrogram_peaks_at_the_frequency(spark):
     t = np.arange(400) / 200.0
     rows = [("s", "a", (np.sin(2 * np.pi * 30 * t + p)).tolist()) for p in (0.0, 1.0)]

@@ -137,10 +137,46 @@ def band_envelope(spark, sf):
     return _array_rows(fl.extract_envelope(b.epoch_arrays(spark, sf), FS, _BAND))
 
 
-@query("spectrogram")
+_FREQS = range(5, 45, 4)
+
+
+def _wavelet_values(freqs, fs: float, count: int = 3) -> str:
+    """Rows (freq, taper, offset, re, im), with tapers from the whole eigenproblem."""
+    rows = []
+    for f in freqs:
+        n = max(3, int(f / 2 / f * fs) | 1)
+        i = np.arange(n)
+        off = i[1:] * (n - i[1:]) / 2.0
+        diagonal = ((n - 1 - 2 * i) / 2.0) ** 2 * np.cos(4 * np.pi / n)
+        _, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1))
+        for j in range(count):
+            wave = vectors[:, n - 1 - j] * np.exp(2j * np.pi * f * (i - n // 2) / fs)
+            rows += [f"({f}, {j}, {k - n // 2}, {x.real!r}::DOUBLE, {x.imag!r}::DOUBLE)" for k, x in enumerate(wave.tolist())]
+    return ", ".join(rows)
+
+
+@query(
+    "spectrogram",
+    # power is a quadratic form of a trial, so sums over trials need the sums of products of its samples only
+    f"""WITH {b.SIGNAL_SQL}, {b.DENSE_EPOCHS_SQL},
+    k AS (SELECT * FROM (VALUES {_wavelet_values(_FREQS, FS)}) AS v(freq, taper, k, re, im) WHERE abs(k) < 25),
+    w AS (SELECT freq, t, t - a.k AS t1, t - c.k AS t2, sum(a.re * c.re + a.im * c.im) / 3 AS w
+      FROM k AS a JOIN k AS c USING (freq, taper), range(25) AS r(t)
+      WHERE t - a.k BETWEEN 0 AND 24 AND t - c.k BETWEEN 0 AND 24 GROUP BY ALL),
+    len AS (SELECT subject, channel, trial, label = 0 AS is_base, count(*) AS n FROM dep GROUP BY ALL),
+    r AS (SELECT subject, channel, is_base, n, count(*) AS trials FROM len GROUP BY ALL),
+    s AS (SELECT subject, channel, is_base, n, a.t AS t1, c.t AS t2, sum(a.value * c.value) AS s
+      FROM dep AS a JOIN dep AS c USING (subject, channel, trial) JOIN len USING (subject, channel, trial) GROUP BY ALL),
+    p AS (SELECT subject, channel, is_base, n, freq, t, sum(w * s) AS p FROM s JOIN w USING (t1, t2) WHERE t < n GROUP BY ALL),
+    q AS (SELECT * FROM p JOIN r USING (subject, channel, is_base, n)),
+    base AS (SELECT subject, channel, freq, sum(p) / sum(trials) AS m FROM q WHERE is_base GROUP BY ALL),
+    mean AS (SELECT subject, channel, freq, t, sum(p) / sum(trials) AS m FROM q GROUP BY ALL)
+    SELECT subject, channel, CAST(freq AS DOUBLE) AS freq, CAST(t AS INTEGER) AS t, round(mean.m / nullif(base.m, 0), 6) AS power
+    FROM mean JOIN base USING (subject, channel, freq)""",
+)
 def spectrogram(spark, sf):
     rows = b.epoch_arrays(spark, sf)
-    out = fl.spectrogram(rows, rows.filter("label = 0"), FS, range(5, 45, 4), pad_s=0.1)
+    out = fl.spectrogram(rows, rows.filter("label = 0"), FS, _FREQS, pad_s=0.1)
     return out.withColumn("power", R(F.col("power")))
 
 
