@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as b
 from ..functions import numeric
-from ..operators import epochs as ep, signals as sg
+from ..operators import epochs as ep, signals as sg, table_functions as tf
 from ..sources import recordings as rec
 from .registry import query
 
@@ -280,13 +280,13 @@ def epoch_channel_outliers(spark, sf):
     return out.withColumn("spread", R(F.col("spread") / 1e9))
 
 
-@query(
-    "epoch_extract",
-    f"""WITH {b.SIGNAL_SQL}, e AS (SELECT event_id, event_id % 3 AS subject, event_id // 16 AS s0 FROM events)
+_EPOCH_SQL = f"""WITH {b.SIGNAL_SQL}, e AS (SELECT event_id, event_id % 3 AS subject, event_id // 16 AS s0 FROM events)
     SELECT event_id, e.subject, channel, round(sum(value), 4) AS total, arg_min(value, sample) AS first,
       arg_max(value, sample) AS last FROM e JOIN sig ON sig.subject = e.subject
-      AND sample BETWEEN s0 - 10 AND s0 + 20 GROUP BY ALL HAVING count(*) = 31""",
-)
+      AND sample BETWEEN s0 - 10 AND s0 + 20 GROUP BY ALL HAVING count(*) = 31"""
+
+
+@query("epoch_extract", _EPOCH_SQL)
 def epoch_extract(spark, sf):
     events = b.table(spark, sf, "events").select(
         "event_id", F.pmod("event_id", F.lit(3)).alias("subject"),
@@ -298,3 +298,19 @@ def epoch_extract(spark, sf):
         R(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"),
         F.element_at("values", 1).alias("first"), F.element_at("values", -1).alias("last"),
     )
+
+
+@query("epochs_table_function", _EPOCH_SQL)
+def epochs_table_function(spark, sf):
+    """The same epochs by the table function, called from SQL."""
+    tf.register(spark)
+    low = F.floor(F.col("event_id") / 16) - 10
+    windows = b.table(spark, sf, "events").select(
+        "event_id", F.pmod("event_id", F.lit(3)).alias("subject"), low.alias("lo"), (low + 31).alias("hi")
+    )
+    pieces = tf.window_pieces(windows.filter("lo >= 0"), b.samples(spark, sf), b.CHUNK)
+    return spark.sql(
+        """SELECT event_id, subject, channel, round(aggregate(values, 0.0D, (a, v) -> a + v), 4) AS total,
+        element_at(values, 1) AS first, element_at(values, -1) AS last FROM epochs(TABLE({pieces}))""",
+        pieces=pieces,
+    )
