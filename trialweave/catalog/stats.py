@@ -45,7 +45,7 @@ def _observations(spark, sf):
       round(difference, 6) + 0.0 AS difference, round(p, 6) AS p FROM pv""",
 )
 def perm_test(spark, sf):
-    out = st.permutation_test(_observations(spark, sf), ["channel"], "obs", N_PERM)
+    out = st.permutation_test(_observations(spark, sf), ["channel"], "obs", N_PERM, draws="md5")
     return out.withColumn("difference", R(F.col("difference"))).withColumn("p", R(F.col("p")))
 
 
@@ -58,7 +58,7 @@ _FDR = """rp AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER ()
     f"""WITH {b.EPOCHS_SQL}, {_OBS}, {_PERM}, {_FDR} SELECT channel, round(q, 6) AS q FROM fdr WHERE q < 0.9""",
 )
 def sig_channels(spark, sf):
-    pvalues = st.permutation_test(_observations(spark, sf), ["channel"], "obs", N_PERM)
+    pvalues = st.permutation_test(_observations(spark, sf), ["channel"], "obs", N_PERM, draws="md5")
     return st.significant_channels(pvalues, alpha=0.9).select("channel", R(F.col("q")).alias("q"))
 
 

@@ -241,8 +241,9 @@ def time_axes(rows: DataFrame, keys: Sequence[str], fs: float, block: int = 128)
     every block. Result: keys, ``kind``, ``idx`` (position on that axis), ``t``.
     """
     every = {"amplifier": 1, "adc": 1, "digital": 1, "aux": 4, "supply": block, "temperature": block}
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("step")) for k, n in every.items()]))
-    spread = rows.select(*keys, "idx", "timestamp", kinds.alias("axis")).filter(F.pmod("idx", F.col("axis.step")) == 0)
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("step")) for k, n in every.items()])
+    held = F.filter(kinds, lambda axis: F.pmod(F.col("idx"), axis["step"]) == 0)  # only axes that have the sample
+    spread = rows.select(*keys, "idx", "timestamp", F.explode(held).alias("axis"))
     return spread.select(
         *keys, F.col("axis.kind").alias("kind"), F.floor(F.col("idx") / F.col("axis.step")).alias("idx"),
         (F.col("timestamp") / F.lit(float(fs))).alias("t"),

@@ -20,8 +20,61 @@ def _seed_text(*parts) -> F.Column:
 PERMUTATIONS, OBSERVATIONS = 256, 100_000
 
 
-def _extremes_in_blocks(valid: DataFrame, key_list: list[str], obs_id: str, n_perm: int, seed: int) -> DataFrame:
+#: Scores that a task draws at a time.
+SCORES = 4_000_000
+
+
+def _scores(observations: np.ndarray, perms: np.ndarray, seed: int) -> np.ndarray:
+    """Random 64-bit scores (permutations x observations): a counter run through a mixing function.
+
+    A score depends on the seed, the permutation and the observation's hash only, not on the task or the other rows.
+    The multipliers are the fixed values of the SplitMix64 generator.
+    """
+    step = np.uint64(0x9E3779B97F4A7C15)
+
+    def mix(z: np.ndarray) -> np.ndarray:
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    start = mix(perms.astype(np.uint64) * step + mix(np.array([seed % 2**64], dtype=np.uint64)))
+    return mix((start[:, None] ^ observations[None]) * step + step)
+
+
+def _counted_extremes(values: np.ndarray, hashes: np.ndarray, taken: int, observed: float, perms: range, seed: int) -> int:
+    """Permutations whose difference is at least the observed one."""
+    total, extreme, n = values.sum(), 0, len(values)
+    some = max(1, SCORES // n)
+    for low in range(perms.start, perms.stop, some):
+        scores = _scores(hashes, np.arange(low, min(low + some, perms.stop)), seed)
+        chosen = values[np.argpartition(scores, taken - 1, axis=1)[:, :taken]].sum(axis=1)
+        extreme += int((chosen / taken - (total - chosen) / (n - taken) >= observed - 1e-9).sum())
+    return extreme
+
+
+def _extremes_in_blocks(
+    valid: DataFrame, key_list: list[str], obs_id: str, n_perm: int, seed: int, draws: str
+) -> DataFrame:
     """Keys and ``__extreme`` of one block of permutations per row."""
+    if draws == "counter":
+        hashed = F.xxhash64(*[F.col(c).cast("string") for c in (*key_list, obs_id)])
+        rows = valid.select(
+            *key_list, obs_id, hashed.alias("__hash"), "value", "n_interest", "difference",
+            F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // PERMUTATIONS) - 1))).alias("__block"),
+        )
+
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(obs_id)
+            block = int(pdf["__block"].iloc[0])
+            perms = range(block * PERMUTATIONS + 1, min((block + 1) * PERMUTATIONS, n_perm) + 1)
+            extreme = _counted_extremes(
+                pdf["value"].to_numpy(float), pdf["__hash"].to_numpy(np.int64).view(np.uint64),
+                int(pdf["n_interest"].iloc[0]), pdf["difference"].iloc[0], perms, seed,
+            )
+            return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in key_list}, "__extreme": [extreme]})
+
+        fields = ", ".join([*[f"`{c}` {valid.schema[c].dataType.simpleString()}" for c in key_list], "__extreme long"])
+        return rows.groupBy(*key_list, "__block").applyInPandas(count, fields)
     tail = _seed_text(*key_list, obs_id)
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-n_perm // PERMUTATIONS) - 1)))
     rows = valid.select(*key_list, obs_id, tail.alias("__tail"), "value", "n_interest", "difference", blocks.alias("__block"))
@@ -49,16 +102,20 @@ def permutation_test(
     obs_id: str,
     n_perm: int = 9999,
     seed: int = 42,
+    draws: str = "counter",
 ) -> DataFrame:
     """One-sided permutation test of a mean difference per ``keys``.
 
     ``observations``: keys, ``obs_id`` (unique per key), ``interest`` (BOOLEAN), ``value``.
-    In each permutation the observations are dealt by hash rank. A task takes the observations of a key
+    In each permutation the observations are dealt by random scores: ``counter`` draws them in numpy, a matrix at a
+    time; ``md5`` takes the md5 order that SQL can repeat. A task takes the observations of a key
     and ``PERMUTATIONS`` permutations and returns one count; keys of more than ``OBSERVATIONS`` rows
-    are ranked as tables instead, with the same result. The p-value counts the
+    are ranked as tables instead, in md5 order. The p-value counts the
     permuted differences at least as large as the observed one; with fewer than two values
     on a side it is 1.
     """
+    if draws not in ("counter", "md5"):
+        raise ValueError(f"draws must be 'counter' or 'md5', got {draws!r}")
     key_list = list(keys)
     valid = observations.filter(F.col("value").isNotNull()).select(*key_list, obs_id, "interest", "value")
     inside, outside = F.col("interest"), ~F.col("interest")
@@ -71,7 +128,7 @@ def permutation_test(
     testable = observed.filter((F.col("n_interest") >= 2) & (F.col("n_baseline") >= 2))
     known = join_keys(valid, testable.select(*key_list, "n_interest", "n_baseline", "difference"), key_list)
     few = F.col("n_interest") + F.col("n_baseline") <= OBSERVATIONS
-    in_blocks = _extremes_in_blocks(known.filter(few), key_list, obs_id, n_perm, seed)
+    in_blocks = _extremes_in_blocks(known.filter(few), key_list, obs_id, n_perm, seed, draws)
     dealt = known.filter(~few).select(*key_list, obs_id, "value", "n_interest").withColumn(
         "perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
     )
