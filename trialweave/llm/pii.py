@@ -4,7 +4,8 @@ Base spans come from four patterns (below). A document's *mentions* are its base
 expression of similar shape: digit groups with at least ``MIN_DIGITS`` digits and tokens around an @ sign. They
 are the nodes of a conditional random field with labels other, email, ip, card, phone:
 
-* a node potential from the shape of the mention (multinomial logistic regression),
+* a node potential from the shape of the mention and the word before it (multinomial logistic regression); a label
+  whose digit count or @ sign the mention does not have is ruled out,
 * a chain potential between neighbouring mentions,
 * a skip potential between mentions, however distant, that are equal or similar: the same letters and
   digits without separators, the same last eight digits, or the same name before the @ sign. Each mention is
@@ -12,8 +13,12 @@ are the nodes of a conditional random field with labels other, email, ip, card,
 
 Base spans are observed. Loopy sum-product message passing, run on all documents of a slice at once, gives
 the other mentions' marginals; those whose best label is not *other* with at least ``min_marginal`` become spans.
-Potentials are fitted piecewise on a bounded sample (``sample_docs`` documents by hash order) with the
-base labels as supervision.
+
+Potentials are fitted by expectation maximisation on a bounded sample (``sample_docs`` documents by hash order, of each
+the first ``MENTIONS_A_DOC`` mentions). Labels of base spans are known, those of all other mentions are hidden: message
+passing gives their marginals, potentials are fitted piecewise to these, and so on. What a pattern misses looks like what
+it finds but for the pattern's own tests, so base spans also count without those features, by the weight of the share
+``PATTERN_RECALL`` leaves to be found. ``hidden_found`` hides a share of base spans and measures what comes back.
 
 Null text is empty text. Rows are treated one by one; a table without rows gives none.
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from zlib import crc32
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 7
+MIN_DIGITS, MAX_DIGITS = 7, 19
+MENTIONS_A_DOC = 500
+#: Share of the true mentions that the patterns are taken to find.
+PATTERN_RECALL = 0.9
+#: Pairs of neighbours that a fit is taken to have seen before, with independent labels.
+CHAIN_PRIOR = 200
+#: Buckets of the word before a mention.
+WORDS = 32
 SLICE_CHARS = 1 << 21
 
 # A possessive quantifier or a look-behind below never changes the match: a digit run that cannot start
@@ -93,7 +106,9 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
     """(start, end, label) in text order; label -1 where nothing was observed."""
     found = [(a, b, KINDS.index(k) + 1) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    others = [m.span() for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m[0]) >= MIN_DIGITS] if _DIGIT.search(text) else []
+    others = []
+    if _DIGIT.search(text):
+        others = [m.span() for m in _NUMBER.finditer(text) if MIN_DIGITS <= sum(c.isdigit() for c in m[0]) <= MAX_DIGITS]
     if "@" in text:
         others += [m.span() for m in _AROUND_AT.finditer(text)]
     others.sort()
@@ -107,26 +122,44 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int
     return sorted(found)
 
 
-def shape(mention: str) -> list[float]:
-    digits = sum(c.isdigit() for c in mention)
+def _traits(mention: str) -> tuple[int, bool, bool]:
+    """Digits, whether an @ occurs, whether the mention is four dotted numbers."""
     at = "@" in mention
-    dotted = at and "." in mention.split("@", 1)[1]
-    groups = re.split(r"\D+", mention.strip("+ "))
-    quad = not at and mention.count(".") == 3 and len(groups) == 4 and all(0 < len(g) <= 3 for g in groups)
+    groups = re.split(r"\D+", mention.strip("+ ")) if not at and mention.count(".") == 3 else ()
+    return sum(c.isdigit() for c in mention), at, len(groups) == 4 and all(0 < len(g) <= 3 for g in groups)
+
+
+def shape(mention: str, before: str = "") -> list[float]:
+    """Features of a mention behind the text ``before``; those at ``PATTERN_TESTS`` are what the patterns ask for."""
+    digits, at, quad = _traits(mention)
+    word = before.split()[-1:]
+    near = [0.0] * WORDS
+    if word:
+        near[crc32(word[0].lower().strip(".,:;!?()").encode("utf-8", "replace")) % WORDS] = 1.0
     return [
         1.0,
         at,
-        dotted,
+        at and "." in mention.split("@", 1)[1],
         mention.startswith("+"),
         quad,
         8 <= digits <= 15 and not at,
         16 <= digits <= 19 and not at,
         16 <= digits <= 19 and not at and luhn("".join(c for c in mention if c in "0123456789")),
-        digits > 19,
         "(" in mention,
+        *near,
     ]
 
 
+PATTERN_TESTS = [2, 3, 7]
+
+
+def fits(mention: str, glued: bool = False) -> list[bool]:
+    """Which labels the mention may have at all: other, email, ip, card, phone. Digits ``glued`` to a letter are part of a word."""
+    digits, at, quad = _traits(mention)
+    number = not at and not glued
+    return [True, at, number and quad, number and 16 <= digits <= 19, number and not quad and MIN_DIGITS <= digits <= 15]
+
+
 def likeness(mention: str) -> list[str]:
     """Keys; mentions that share one are equal or similar."""
     bare = "".join(c for c in mention.lower() if c.isalnum())
@@ -142,25 +175,36 @@ class Potentials:
     skip: float  # log-odds of equal labels
 
 
+def described(text: str, found: list[tuple[int, int, int]]) -> tuple[list, list, list]:
+    """Features, fitting labels and likeness keys of the mentions of a text."""
+    spans = [(text[a:b], text[max(0, a - 24) : a], text[b : b + 1]) for a, b, _ in found]
+    fitting = [fits(m, before[-1:].isalnum() or after.isalnum()) for m, before, after in spans]
+    return [shape(m, before) for m, before, _ in spans], fitting, [likeness(m) for m, *_ in spans]
+
+
 class Graph:
     """Mentions of many documents with their chain and skip edges."""
 
     def __init__(self):
-        self.owner, self.spans, self.labels, self.shapes = [], [], [], []
+        self.owner, self.spans, self.labels, self.shapes, self.fits = [], [], [], [], []
         self.chain, self.skip = [], []
 
     def add(self, owner: int, text: str, found: list[tuple[int, int, int]]):
-        last: dict[str, int] = {}
+        self.add_described(owner, found, *described(text, found))
+
+    def add_described(self, owner: int, found: list[tuple[int, int, int]], shapes: list, fitting: list, keys: list):
+        last: dict = {}
         for k, (a, b, label) in enumerate(found):
             node = len(self.spans)
             self.owner.append(owner)
             self.spans.append((a, b))
             self.labels.append(label)
-            self.shapes.append(shape(text[a:b]))
+            self.shapes.append(shapes[k])
+            self.fits.append(fitting[k])
             if k:
                 self.chain.append((node - 1, node))
             linked = set()
-            for key in likeness(text[a:b]):
+            for key in keys[k]:
                 if key in last and last[key] not in linked:
                     self.skip.append((last[key], node))
                     linked.add(last[key])
@@ -168,7 +212,7 @@ class Graph:
 
     def marginals(self, p: Potentials, rounds: int = 20, damping: float = 0.3) -> np.ndarray:
         n, k = len(self.spans), len(KINDS) + 1
-        unary = np.asarray(self.shapes, float) @ p.weights
+        unary = np.where(np.asarray(self.fits, bool).reshape(n, k), np.asarray(self.shapes, float).reshape(n, -1) @ p.weights, -50.0)
         labels = np.asarray(self.labels)
         seen = np.flatnonzero(labels >= 0)
         unary[seen] = -50.0
@@ -201,36 +245,131 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def estimate(texts: list[str], rounds: int = 400, ridge: float = 1e-2) -> Potentials:
-    """Piecewise estimates: logistic regression of shapes, counts of neighbours and of similar pairs."""
-    graph, k = Graph(), len(KINDS) + 1
+def learned(graph: Graph, recall: float = PATTERN_RECALL, rounds: int = 10, ridge: float = 1e-3) -> Potentials:
+    """Expectation maximisation: labels of base spans, a share ``recall`` of the true ones, are known, all others hidden."""
+    n, k = len(graph.spans), len(KINDS) + 1
+    x = np.asarray(graph.shapes, float).reshape(n, len(shape("")))
+    allowed = np.asarray(graph.fits, bool).reshape(n, k)
+    labels = np.asarray(graph.labels, int)
+    seen, hidden = labels >= 0, np.flatnonzero(labels < 0)
+    y = np.zeros((n, k))
+    y[seen, labels[seen]] = 1
+    allowed[seen, labels[seen]] = True
+    missed = (1 - recall) / recall
+    # at first a hidden mention carries a label as often as the patterns are taken to miss it
+    expected = missed * y[seen].sum(0)
+    y[hidden] = np.minimum(expected / np.maximum(allowed[hidden].sum(0), 1), 0.5 / k) * allowed[hidden]
+    y[hidden, 0] = 1 - y[hidden, 1:].sum(1)
+    penalty = np.full((x.shape[1], 1), ridge)
+    penalty[-WORDS:] = 10 * ridge
+    plain = x[seen].copy()
+    plain[:, PATTERN_TESTS] = 0
+    features, allows = np.concatenate([x, plain]), np.concatenate([allowed, allowed[seen]])
+    share = np.concatenate([np.ones(n), np.full(len(plain), missed)])[:, None]
+    chain, skips = np.asarray(graph.chain, int).reshape(-1, 2), np.asarray(graph.skip, int).reshape(-1, 2)
+    known = skips[seen[skips].any(1)]
+    p = Potentials(np.zeros((x.shape[1], k)), np.zeros((k, k)), 0.0)
+    for _ in range(rounds if n else 1):
+        target = np.concatenate([y, y[seen]])
+        for _ in range(200 if n else 0):
+            error = _soft(np.where(allows, features @ p.weights, -50.0)) - target
+            p.weights -= 1.0 * (features.T @ (share * error) / share.sum() + penalty * p.weights)
+        # shrunk towards independent neighbours by as many pairs as CHAIN_PRIOR
+        pairs = np.ones((k, k)) + y[chain[:, 0]].T @ y[chain[:, 1]]
+        pairs += CHAIN_PRIOR * pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum() ** 2
+        p.chain = np.log(pairs / (pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum()))
+        same = (y[known[:, 0]] * y[known[:, 1]]).sum()
+        # a prior of eight agreeing pairs: similar mentions carry one label unless the sample says otherwise
+        p.skip = float(max(np.log((same + 8) / (len(known) - same + 1)) + np.log(k - 1), 0.0))
+        if not len(hidden):
+            break
+        new = graph.marginals(p)[hidden]
+        # no kind gets more hidden mentions than the patterns are taken to miss, or the labels drift to what is frequent
+        new[:, 1:] *= np.minimum(1, expected[1:] / np.maximum(new[:, 1:].sum(0), 1e-9))
+        new[:, 0] = 1 - new[:, 1:].sum(1)
+        change, y[hidden] = np.abs(new - y[hidden]).max(), new
+        if change < 1e-3:
+            break
+    return p
+
+
+def estimate(texts: list[str]) -> Potentials:
+    """Potentials learned from whole texts."""
+    graph = Graph()
     for i, text in enumerate(texts):
         graph.add(i, text, mentions(text, base_spans(text)))
-    x = np.asarray(graph.shapes, float).reshape(-1, len(shape("")))
-    y = np.maximum(np.asarray(graph.labels, int), 0)
-    weights = np.zeros((x.shape[1], k))
-    target = np.eye(k)[y]
-    for _ in range(rounds if len(x) else 0):
-        weights -= 0.5 * (x.T @ (_soft(x @ weights) - target) / len(x) + ridge * weights)
-    pairs = np.ones((k, k))
-    for a, b in graph.chain:
-        pairs[y[a], y[b]] += 1
-    independent = pairs.sum(1, keepdims=True) * pairs.sum(0, keepdims=True) / pairs.sum()
-    same = sum(y[a] == y[b] for a, b in graph.skip if graph.labels[a] >= 0 or graph.labels[b] >= 0)
-    every = sum(graph.labels[a] >= 0 or graph.labels[b] >= 0 for a, b in graph.skip)
-    # a prior of eight agreeing pairs: similar mentions carry one label unless the sample says otherwise
-    skip = np.log((same + 8) / (every - same + 1)) + np.log(k - 1)
-    return Potentials(weights, np.log(pairs / independent), float(max(skip, 0.0)))
+    return learned(graph)
+
+
+def sampled(documents: DataFrame, sample_docs: int = 2000) -> Graph:
+    """The mentions of up to ``sample_docs`` documents that have any, by hash order of the text.
+
+    One scan: tasks describe the mentions of documents whose hash is low enough for 16 times the sample, and only
+    descriptions, without the words themselves, leave them.
+    """
+    n = documents.count()
+    share = min(1.0, 16 * sample_docs / n) if n else 1.0
+    place = F.xxhash64("text")
+    low = F.pmod(place, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    rows = documents.filter(low & F.col("text").rlike("[0-9@]")).select(place.alias("place"), "text")
+
+    def run(batches):
+        for batch in batches:
+            out = {"place": [], "spans": [], "shapes": [], "fits": [], "keys": []}
+            for place, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                found = mentions(text, base_spans(text))[:MENTIONS_A_DOC]
+                if found:
+                    shapes, fitting, keys = described(text, found)
+                    out["place"].append(place)
+                    out["spans"].append([v for span in found for v in span])
+                    out["shapes"].append([float(v) for row in shapes for v in row])
+                    out["fits"].append([v for row in fitting for v in row])
+                    out["keys"].append([[hash_key(key) for key in row] for row in keys])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+
+    schema = "place long, spans array<long>, shapes array<float>, fits array<boolean>, keys array<array<long>>"
+    graph, width, k = Graph(), len(shape("")), len(KINDS) + 1
+    for i, row in enumerate(rows.mapInArrow(run, schema).orderBy("place", "spans").limit(sample_docs).collect()):
+        found = [tuple(row["spans"][j : j + 3]) for j in range(0, len(row["spans"]), 3)]
+        shapes = [row["shapes"][j : j + width] for j in range(0, len(row["shapes"]), width)]
+        fitting = [row["fits"][j : j + k] for j in range(0, len(row["fits"]), k)]
+        graph.add_described(i, found, shapes, fitting, row["keys"])
+    return graph
+
+
+def hash_key(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def fit(documents: DataFrame, sample_docs: int = 2000) -> Potentials:
-    """Estimate potentials from ``sample_docs`` documents with digits or @ signs, by hash order of the text."""
-    rows = documents.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("place"))
-    n = rows.count()
-    share = min(1.0, 2 * sample_docs / n) if n else 1.0
-    low = F.pmod("place", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
-    picked = rows.filter(low).orderBy("place", "text").limit(sample_docs).collect()
-    return estimate([r["text"] for r in picked])
+    """Estimate potentials from the mentions of a bounded sample."""
+    return learned(sampled(documents, sample_docs))
+
+
+def hidden_found(graph: Graph, one_in: int = 4, plain: bool = False, skip: bool = True, min_marginal: float = 0.8) -> tuple[int, int, int]:
+    """Hide one in ``one_in`` base spans while fitting: (hidden, found again with their kind, found in all).
+
+    With ``plain`` the hidden ones also lose the features that the patterns test, as if a pattern had missed them. All
+    that is found beyond the hidden spans counts as wrong.
+    """
+    truth = np.asarray(graph.labels, int)
+    picked = np.array([t >= 0 and crc32(f"{o}:{s[0]}".encode()) % one_in == 0 for t, o, s in zip(truth, graph.owner, graph.spans)], bool)
+    test = Graph()
+    test.__dict__.update(graph.__dict__)
+    test.labels = np.where(picked, -1, truth).tolist()
+    p = learned(test, PATTERN_RECALL * (1 - 1 / one_in))
+    if not skip:
+        test.skip = []
+    if plain:
+        shapes = np.asarray(graph.shapes, float)
+        shapes[np.ix_(picked, PATTERN_TESTS)] = 0
+        test.shapes = shapes.tolist()
+    marginal = test.marginals(p)
+    best = np.where(marginal.max(1) >= min_marginal, marginal.argmax(1), 0)
+    found = (np.asarray(test.labels) < 0) & (best > 0)
+    return int(picked.sum()), int((found & picked & (best == truth)).sum()), int(found.sum())
 
 
 def tag(texts: list[str], p: Potentials, min_marginal: float = 0.8) -> list[tuple[list, list]]:
