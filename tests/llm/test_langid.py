@@ -73,3 +73,26 @@ def test_held_out_accuracy(spark, sf_dir):
     truth = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = LLM_QUERIES["op2_language"](spark, sf_dir).join(truth, "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_packed_transitions_are_those_of_the_automaton():
+    rng = np.random.default_rng(3)
+    for letters, n in ((2, 400), (26, 3000), (3000, 5000)):
+        step = langid.suffix_automaton((rng.zipf(1.3, n) % letters).tolist())
+        table = langid.packed(step, letters + 2)
+        for state, row in enumerate(step):
+            codes = np.array([*row, *rng.integers(0, letters + 2, 5)])
+            ahead, ended = table.step(np.full(len(codes), state), codes)
+            assert [None if e else a for a, e in zip(ahead.tolist(), ended)] == [row.get(c) for c in codes.tolist()]
+
+
+def test_size_follows_the_sample_not_the_alphabet():
+    rng = np.random.default_rng(4)
+    sample = "".join(chr(0x4E00 + c) for c in rng.zipf(1.2, 60_000) % 3000)
+    table = langid.build({"zh": sample}).tables[0]
+    assert sum(a.nbytes for a in (table.base, table.owner, table.target, table.start)) < 20 << 20
+
+
+def test_languages_that_tie_go_to_the_first_name():
+    model = langid.build({"b": "the cat", "a": "the cat"})
+    assert langid.Parser(model).predict(["the cat", "dog"])[0] == ["a", "a"]

@@ -9,9 +9,10 @@ Texts are lower-cased; every run of non-letters counts as one space. Parsing res
 ``BLOCK`` letters, which adds at most one phrase per block for every language and lets all blocks of a slice
 of texts step through the automata side by side. Whole texts are parsed.
 
-The labelled text is a bounded sample: ``sample_docs`` documents a language by hash order, of each the
-first ``doc_letters`` letters, ``letters`` in all. These three are the only bounds, and they hold for
-fitting alone. Languages are assumed to be a closed list that fits the driver, as labels are.
+The labelled text is a bounded sample: ``sample_docs`` documents a language by hash order, of each a piece of
+``doc_letters`` characters that begins at a hashed place. These two are the only bounds, and they hold for
+fitting alone. An automaton is a double array: the transitions of all states share one array of about as many
+entries as there are transitions, so its size follows the sample, not the alphabet. Languages are assumed to be a closed list that fits the driver, as labels are.
 
 ``lang_pred`` is ``und`` with score 0 for null or letterless text and wherever no language was learned.
 Rows are judged one by one, so repeated rows get equal results; other columns are kept.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,65 @@ BLOCK = 256
 SLICE_LETTERS = 1 << 19
 
 
+@dataclass
+class Automaton:
+    """Transitions as a double array: the one of state s by code c is at ``base[s] + c`` if ``owner`` there is s."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+    start: np.ndarray  # state after each code alone; 0 is the start state
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and where there is none."""
+        at = self.base[state] + codes
+        return self.target[at], self.owner[at] != state
+
+
+def packed(step: list[dict[int, int]], width: int, tries: int = 32) -> Automaton:
+    """Rows with most transitions are placed first; the search begins at a cursor that leaves dense parts behind.
+
+    Single transitions, which fit anywhere, fill the holes.
+    """
+    size = sum(map(len, step)) + width
+    owner = [-1] * (3 * size + 2 * width)
+    target, base = [0] * len(owner), [0] * len(step)
+    free = cursor = width  # the least slot that may be free (a base is not negative), and where longer rows are tried
+    for state in sorted(range(len(step)), key=lambda s: -len(step[s])):
+        row = sorted(step[state].items())
+        if not row:
+            continue
+        low, at, tried = row[0][0], cursor if len(row) > 1 else free, 0
+        while any(owner[at - low + c] >= 0 for c, _ in row):
+            at, tried = at + 1, tried + 1
+            if tried > tries:
+                cursor = at
+            if at + 2 * width > len(owner):
+                owner += [-1] * size
+                target += [0] * size
+        base[state] = at - low
+        for c, to in row:
+            owner[at - low + c], target[at - low + c] = state, to
+        while owner[free] >= 0:
+            free += 1
+    reach = max(base) + width
+    owner += [-1] * max(0, reach - len(owner))
+    target += [0] * max(0, reach - len(target))
+    start = np.array([step[0].get(c, 0) for c in range(width)], np.int32)
+    return Automaton(np.array(base, np.int32), np.array(owner[:reach], np.int32), np.array(target[:reach], np.int32), start)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters; found once in a worker."""
+    return np.array([unicodedata.category(chr(point))[0] == "L" for point in range(0x110000)])
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     alphabet: str  # letters seen in the samples; code 0 is space, codes follow the string
-    tables: list[np.ndarray]  # [states, codes] next states; state 1 is the start, 0 means no match
+    tables: list[Automaton]
     sizes: list[int]
 
 
@@ -82,19 +138,13 @@ def build(samples: dict[str, str]) -> LanguageModel:
     code = {c: i + 1 for i, c in enumerate(alphabet)} | {" ": 0}
     tables = []
     for text in texts.values():
-        step = suffix_automaton([code[c] for c in text])
-        # two more codes: a letter never seen (no match), and padding (stays where it is)
-        table = np.zeros((len(step) + 1, len(alphabet) + 3), np.int32)
-        for state, to in enumerate(step):
-            for c, target in to.items():
-                table[state + 1, c] = target + 1
-        table[:, -1] = np.arange(len(table))
-        tables.append(table)
+        # two more codes: a letter never seen (no match), and padding
+        tables.append(packed(suffix_automaton([code[c] for c in text]), len(alphabet) + 3))
     return LanguageModel(list(texts), alphabet, tables, [len(t) for t in texts.values()])
 
 
 def fit(
-    documents: DataFrame, usable: Column, sample_docs: int = 300, doc_letters: int = 1000, letters: int = 25_000
+    documents: DataFrame, usable: Column, sample_docs: int = 300, doc_letters: int = 200
 ) -> LanguageModel:
     """Learn from the rows of ``documents`` where ``usable`` holds and text and lang are not null."""
     rows = documents.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -107,11 +157,13 @@ def fit(
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(scale, 2 * scale * sample_docs // n + 1))).otherwise(share)
-    picked = rows.filter(place < share).select("lang", place.alias("place"), F.substring("text", 1, doc_letters).alias("text"))
+    first = F.pmod(F.xxhash64("doc_id", F.lit(18)), F.greatest(F.length("text") - doc_letters, F.lit(0)) + 1).cast("int") + 1
+    piece = F.col("text").substr(first, F.lit(doc_letters)).alias("text")
+    picked = rows.filter(place < share).select("lang", place.alias("place"), piece)
     texts: dict[str, list[str]] = {}
     for row in sorted(picked.distinct().collect()):
         texts.setdefault(row["lang"], []).append(row["text"])
-    return build({k: " ".join(dict.fromkeys(v[:sample_docs]))[:letters] for k, v in texts.items()})
+    return build({k: " ".join(dict.fromkeys(v[:sample_docs])) for k, v in texts.items()})
 
 
 class Parser:
@@ -120,10 +172,7 @@ class Parser:
     def __init__(self, model: LanguageModel):
         self.model = model
         unknown, self.pad = len(model.alphabet) + 1, len(model.alphabet) + 2
-        code = np.zeros(0x110000, np.int16)
-        for point in range(0x110000):
-            if unicodedata.category(chr(point))[0] == "L":
-                code[point] = unknown
+        code = _letters() * np.int32(unknown)
         for i, c in enumerate(model.alphabet):
             code[ord(c)] = i + 1
         self.code = code
@@ -149,16 +198,14 @@ class Parser:
         out[inside % BLOCK, lane_of_text[text_of] + inside // BLOCK] = codes
         return out, np.repeat(np.arange(len(texts)), n_blocks), length
 
-    def phrases(self, blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def phrases(self, blocks: np.ndarray, table: Automaton) -> np.ndarray:
         """Phrases of each lane."""
-        flat, width, start = table.ravel(), table.shape[1], np.maximum(table[1], 1)
-        state = np.ones(blocks.shape[1], np.int32)
+        state = np.zeros(blocks.shape[1], np.int32)
         count = np.ones(blocks.shape[1], np.int32)
         for codes in blocks:
-            ahead = flat[state * width + codes]
-            ended = ahead == 0
-            count += ended
-            state = np.where(ended, start[codes], ahead)
+            ahead, ended = table.step(state, codes)
+            count += ended & (codes < self.pad)  # padding stands at the end of a lane
+            state = np.where(ended, table.start[codes], ahead)
         return count
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
