@@ -125,7 +125,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float], block_chars: int = 1
         base = table[-1][0] + table[-1][1] if table else 0
         for first, length, order, before in phases({s: counts[s] for s in part}, part, slots):
             table.append((base + first, length, order, before))
-    numbered = dense.join(F.broadcast(_starts(spark, table)), "source")  # a row per source and phase
+    numbered = dense.join(small_side(_starts(spark, table)), "source")  # a row per source and phase
     numbered = numbered.filter((F.col("block") >= F.col("before")) & (F.col("block") < F.col("before") + F.col("taken")))
     inside = F.col("block") - F.col("before")
     numbered = numbered.withColumn("turn", F.floor(inside / F.col("share")).cast("long")).withColumn("nth", (inside % F.col("share")).cast("int"))
