@@ -14,31 +14,26 @@ from ..plans import join_measured
 def cut_windows(windows: DataFrame, chunks: DataFrame, chunk: int, low: str, high: str) -> DataFrame:
     """Samples ``[low, high)`` of every window from chunked recordings, as ``values``.
 
-    A window is copied to the one or few chunks it touches, which makes the interval
-    join an equi-join on (subject, chunk); the pieces are then put together per window
-    and channel. Parts outside the recording are missing from ``values``. Equal windows are
-    cut once and repeated in the result.
+    The interval join is an equi-join on (subject, chunk). A window within one chunk is sliced where it meets the chunk
+    and moves no further. A window that touches several is copied to each of them; the pieces of equal spans are put
+    together once per channel, and the windows take them up. Parts outside the recording are missing from ``values``.
     """
-    distinct = windows.groupBy(*windows.columns).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    looks = distinct.withColumn(
-        "chunk",
-        F.explode(
-            F.sequence(F.floor(F.col(low) / F.lit(chunk)), F.floor((F.col(high) - 1) / F.lit(chunk)))
-        ),
-    )
-    joined = looks.join(
-        chunks.select("subject", "channel", "chunk", "start_sample", "values"), ["subject", "chunk"]
-    )
+    first, last = F.floor(F.col(low) / F.lit(chunk)), F.floor((F.col(high) - 1) / F.lit(chunk))
+    held = chunks.select("subject", "channel", "chunk", "start_sample", "values")
     begin = F.greatest(F.col(low) - F.col("start_sample"), F.lit(0)).cast("int")
     end = F.least(F.col(high) - F.col("start_sample"), F.size("values").cast("long")).cast("int")
     piece = F.slice("values", begin + 1, F.greatest(end - begin, F.lit(0)))
-    pieces = joined.withColumn("__piece", F.struct("chunk", piece.alias("v")))
-    parts = F.array_sort(F.collect_list("__piece"))
-    whole = pieces.groupBy(*windows.columns, "channel").agg(
-        F.flatten(F.transform(parts, lambda p: p["v"])).alias("values"), F.first("__times").alias("__times")
+    inside = windows.withColumn("chunk", first).filter(F.col("chunk") == last).join(held, ["subject", "chunk"])
+    inside = inside.select(*windows.columns, "channel", piece.alias("values"))
+
+    across = windows.filter(first != last)
+    span = ["subject", low, high]
+    looks = across.select(*span).distinct().withColumn("chunk", F.explode(F.sequence(first, last)))
+    pieces = looks.join(held, ["subject", "chunk"]).select(*span, "channel", F.struct("chunk", piece.alias("v")).alias("__piece"))
+    whole = pieces.groupBy(*span, "channel").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("__piece")), lambda p: p["v"])).alias("values")
     )
-    again = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return whole.withColumn("__again", again).drop("__times", "__again")
+    return inside.unionByName(across.join(whole, span).select(*windows.columns, "channel", "values"))
 
 
 def extract_epochs(
