@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.operators import epochs as ep, signals as sg
+from trialweave.operators import epochs as ep, signals as sg, table_functions as tf
 
 FS, CHUNK = 100.0, 16
 
@@ -38,3 +38,15 @@ def test_samples_of_a_window_are_not_dealt_by_event(spark, events, chunks):
             if None not in cut:
                 want.append((e.subject, e.trial, channel, cut))
     assert sorted((r.subject, r.trial, r.channel, r["values"]) for r in out.collect()) == sorted(want)
+
+
+def test_epochs_argument_holds_no_more_than_the_windows(spark, events, chunks):
+    low = F.round(F.col("onset") * FS).cast("long")
+    windows = events.withColumn("lo", low).withColumn("hi", low + 5).withColumn("note", F.lit(float("nan")))
+    pieces = tf.window_pieces(windows, chunks, CHUNK)
+    held = pieces.groupBy("subject", "trial", "channel").agg(F.sum(F.size("values")).alias("n"))
+    assert held.agg(F.max("n")).first()[0] == 5
+    # windows of one deal come one after another: equal keys, NaN too, are one window
+    tf.register(spark)
+    cut = spark.sql("SELECT * FROM epochs(TABLE({p}))", p=pieces).collect()
+    assert len(cut) == 2 * events.count() and {len(r["values"]) for r in cut} == {5}

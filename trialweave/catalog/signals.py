@@ -308,9 +308,12 @@ def epochs_table_function(spark, sf):
     windows = b.table(spark, sf, "events").select(
         "event_id", F.pmod("event_id", F.lit(3)).alias("subject"), low.alias("lo"), (low + 31).alias("hi")
     )
-    pieces = tf.window_pieces(windows.filter("lo >= 0"), b.samples(spark, sf), b.CHUNK)
+    windows = windows.filter("lo >= 0")
+    # events with one and the same window share its epochs
+    pieces = tf.window_pieces(windows.drop("event_id").distinct(), b.samples(spark, sf), b.CHUNK)
     return spark.sql(
-        """SELECT event_id, subject, channel, round(aggregate(values, 0.0D, (a, v) -> a + v), 4) AS total,
-        element_at(values, 1) AS first, element_at(values, -1) AS last FROM epochs(TABLE({pieces}))""",
-        pieces=pieces,
+        """SELECT event_id, subject, channel, total, first, last FROM {windows} JOIN (
+          SELECT subject, lo, channel, round(aggregate(values, 0.0D, (a, v) -> a + v), 4) AS total,
+          element_at(values, 1) AS first, element_at(values, -1) AS last FROM epochs(TABLE({pieces}))) USING (subject, lo)""",
+        pieces=pieces, windows=windows,
     )

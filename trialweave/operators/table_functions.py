@@ -5,8 +5,8 @@
                                FROM looks e JOIN chunks c USING (subject, chunk)))
     SELECT * FROM spectra(TABLE(SELECT subject, trial, channel, values FROM epoch_arrays), 200.0D, array(10.0D, 20.0D))
 
-Columns that a function does not use are carried, so the result's columns follow the argument's. ``epochs`` partitions
-its argument by window and channel itself: a partition holds the samples of one window, never a recording.
+Columns that a function does not use are carried, so the result's columns follow the argument's. ``epochs`` deals and
+sorts its argument by window and channel itself and holds the samples of one window at a time, never a recording.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, Par
 
 VALUES = T.ArrayType(T.DoubleType())
 BATCH = 64  # rows of one length that go through a kernel together
+DEALS = 4096  # hashes of windows; an instance of ``Epochs`` reads the windows of one hash, one after another
 
 
 def _argument(table: AnalyzeArgument, name: str, needed: tuple[str, ...]) -> T.StructType:
@@ -43,46 +44,52 @@ class Epochs:
     def analyze(table: AnalyzeArgument) -> AnalyzeResult:
         fields = _argument(table, "epochs", Epochs.USED)
         kept = [f for f in fields if f.name not in Epochs.USED]
-        by = [*[f.name for f in kept], "lo", "hi"]
+        by = [f"`{c}`" for c in (*[f.name for f in kept], "lo", "hi")]
         return AnalyzeResult(
             schema=T.StructType([*kept, T.StructField("lo", T.LongType()), T.StructField("values", VALUES)]),
-            partitionBy=[PartitioningColumn(f"`{c}`") for c in by],
-            orderBy=[OrderingColumn("start_sample")],
+            partitionBy=[PartitioningColumn(f"pmod(xxhash64({', '.join(by)}), {DEALS})")],
+            orderBy=[*[OrderingColumn(c) for c in by], OrderingColumn("start_sample")],
         )
 
     def __init__(self):
-        self.head = None
+        self.keys = None
+        self._start(None)
+
+    def _start(self, head: list | None) -> None:
+        self.head = head
         self.last = None
         self.times = 0
-        self.pieces: list[np.ndarray] = []
+        self.pieces: list[list] = []
 
     def eval(self, row: T.Row) -> Iterator[tuple]:
-        if row["lo"] is None or row["hi"] is None or row["start_sample"] is None or row["values"] is None:
+        low, high, start, values = row["lo"], row["hi"], row["start_sample"], row["values"]
+        if low is None or high is None or start is None or values is None:
             return
-        if self.head is None:
-            self.head = [row[c] for c in row.__fields__ if c not in self.USED], row["lo"], row["hi"]
-        start, values = row["start_sample"], row["values"]
+        if self.keys is None:
+            self.keys = [i for i, c in enumerate(row.__fields__) if c not in self.USED]
+        head = [*[row[i] for i in self.keys], low, high]
+        if self.head is None or not all(a == b or (a != a and b != b) for a, b in zip(head, self.head)):
+            yield from self.terminate()
+            self._start(head)
         if self.last is not None and start == self.last[0]:
             self.times += len(self.pieces) == 1  # the window itself is repeated
             return
-        piece = values[max(row["lo"] - start, 0) : max(row["hi"] - start, 0)]
+        piece = values[max(low - start, 0) : max(high - start, 0)]
         if not piece:
             return
         if self.last is not None and start != self.last[1]:
             raise ValueError("chunks of a window do not meet")
         self.times = max(self.times, 1)
         self.last = start, start + len(values)
-        self.pieces.append(np.array(piece, dtype=float))
-        return
-        yield
+        self.pieces.append(piece)
 
     def terminate(self) -> Iterator[tuple]:
         if self.head is not None and self.pieces:
-            keys, low, high = self.head
-            whole = np.concatenate(self.pieces)
+            *keys, low, high = self.head
+            whole = [float("nan") if v is None else float(v) for piece in self.pieces for v in piece]
             if len(whole) == high - low:
                 for _ in range(self.times):
-                    yield (*keys, low, whole.tolist())
+                    yield (*keys, low, whole)
 
 
 class Spectra:
@@ -134,14 +141,19 @@ class Spectra:
 
 def register(spark: SparkSession) -> None:
     """Makes ``epochs`` and ``spectra`` known to the session's SQL."""
-    spark.udtf.register("epochs", F.udtf(Epochs, useArrow=True))
+    # rows one by one: Arrow would make a table of every call's result
+    spark.udtf.register("epochs", F.udtf(Epochs, useArrow=False))
     spark.udtf.register("spectra", F.udtf(Spectra, useArrow=True))
 
 
 def window_pieces(windows: DataFrame, chunks: DataFrame, chunk: int) -> DataFrame:
-    """The argument of ``epochs``: each window (subject, ``lo``, ``hi`` and others) with the chunks it touches."""
+    """The argument of ``epochs``: each window (subject, ``lo``, ``hi`` and others) with what it needs of the chunks it touches."""
     touched = F.sequence(F.floor(F.col("lo") / F.lit(chunk)), F.floor((F.col("hi") - 1) / F.lit(chunk)))
     looks = windows.filter(F.col("hi") > F.col("lo")).withColumn("chunk", F.explode(touched))
-    return looks.join(
-        chunks.select("subject", "channel", "chunk", "start_sample", "values"), ["subject", "chunk"]
-    ).drop("chunk")
+    joined = looks.join(chunks.select("subject", "channel", "chunk", "start_sample", "values"), ["subject", "chunk"])
+    begin = F.greatest(F.col("lo") - F.col("start_sample"), F.lit(0)).cast("int")
+    count = F.greatest(F.least(F.col("hi") - F.col("start_sample"), F.size("values")).cast("int") - begin, F.lit(0))
+    return joined.select(
+        *windows.columns, "channel", (F.col("start_sample") + begin).alias("start_sample"),
+        F.slice("values", begin + 1, count).alias("values"),
+    ).filter(F.size("values") > 0)
