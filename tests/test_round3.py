@@ -3,9 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from trialweave.catalog import QUERIES
 from trialweave.operators import epochs as ep, signals as sg, table_functions as tf
 
 FS, CHUNK = 100.0, 16
@@ -50,3 +53,17 @@ def test_epochs_argument_holds_no_more_than_the_windows(spark, events, chunks):
     tf.register(spark)
     cut = spark.sql("SELECT * FROM epochs(TABLE({p}))", p=pieces).collect()
     assert len(cut) == 2 * events.count() and {len(r["values"]) for r in cut} == {5}
+
+
+def test_all_axes_of_many_long_trials(spark, tmp_path):
+    n = 2 * 258 * 64  # 258 long trials a subject
+    vec = np.random.default_rng(1).normal(size=(n, 64)).astype("f4")
+    pq.write_table(
+        pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(vec), pa.list_(pa.float32())), "label": pa.array(np.arange(n) % 10, pa.int32())}),
+        str(tmp_path / "embeddings.parquet"),
+    )
+    long = vec.astype(float).reshape(-1, 4096)
+    got = {r.subject: r for r in QUERIES["pca_long"](spark, str(tmp_path)).collect()}
+    for subject in (0, 1):
+        assert got[subject].n == 258 and got[subject].explained == 1.0
+        assert abs(got[subject].variance - long[subject::2].var(axis=0, ddof=1).sum()) < 1e-5

@@ -209,6 +209,9 @@ def decode_discriminant(spark, sf):
     return dc.decode_scores(dc.decode_within(b.features(spark, sf), k=5, n_iter=2, classifier="discriminant"))
 
 
+LONG = 4096
+
+
 def _long_trials(spark, sf):
     """Sixty-four feature vectors one after another as one trial of 4096 values; two subjects."""
     rows = b.features(spark, sf).withColumn("long", F.floor(F.col("trial") / 64))
@@ -230,7 +233,7 @@ def _long_trials(spark, sf):
 )
 def pca_long(spark, sf):
     """All axes of long trials hold their whole variance."""
-    models = sk.fit_pca(_long_trials(spark, sf), ["subject"], "trial", 256, rank=256)
+    models = sk.fit_pca(_long_trials(spark, sf), ["subject"], "trial", LONG, rank=None)
     def total(name):
         return F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
     return models.select("subject", "n", R(total("eigen")).alias("variance"), R(total("ratio")).alias("explained"))

@@ -64,11 +64,11 @@ def _rows_per_block(sizes: DataFrame) -> int:
 
 
 def basis(
-    rows: DataFrame, keys: Sequence[str], row_id: str, rank: int = 256, power: int = 3, vec: str = "vec", seed: int = 42
+    rows: DataFrame, keys: Sequence[str], row_id: str, rank: int | None = 256, power: int = 3, vec: str = "vec", seed: int = 42
 ) -> DataFrame:
     """An orthonormal basis of each key's vectors (at least one key): keys, ``d``, ``q``, ``n``, ``squares``.
 
-    Of up to ``rank`` directions and the mean. ``n`` counts the rows, ``squares`` is the sum of all squared values.
+    Of up to ``rank`` directions (None: of all, the rows or the length of the vectors, whichever is less) and the mean. ``n`` counts the rows, ``squares`` is the sum of all squared values.
     Rows with a NULL vector are left out; a key's vectors have one length.
     """
     key_list = list(keys)
@@ -77,7 +77,8 @@ def basis(
     sizes = cut_lineage(
         valid.groupBy(*key_list).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.sum(square).alias("squares"))
     )
-    sizes = sizes.withColumn("r", F.least("n", "d", F.lit(rank)).cast("int"))
+    every = F.least("n", "d").cast("int")
+    sizes = sizes.withColumn("r", every if rank is None else F.least(every, F.lit(rank)))
     schema = f"{_fields(valid, key_list)}, strip int, acc array<double>"
 
     def draw(d: int, r: int) -> np.ndarray:
@@ -109,6 +110,10 @@ def basis(
         yield from emit()
 
     ranked = join_measured(valid.drop(row_id), sizes.select(*key_list, "r"), key_list)
+    if rank is None:
+        # a task's d x r sums are no larger than its r rows
+        tasks = sizes.agg(F.max(F.ceil(F.col("n") / F.col("r")))).first()[0] or 1
+        ranked = ranked.repartition(int(tasks), *key_list, F.pmod(F.xxhash64("vec"), F.lit(int(tasks))))
     found = _orthonormal(_added(ranked.mapInPandas(first_pass, schema), key_list), sizes, key_list)
     if power and not sizes.filter(F.col("r") < F.least("n", "d")).isEmpty():
         tagged = cut_lineage(split_blocks(valid, key_list, row_id, _rows_per_block(sizes)))
@@ -144,12 +149,12 @@ def compress(
 
 
 def fit_pca(
-    rows: DataFrame, keys: Sequence[str], row_id: str, n_comp: float = 0.8, rank: int = 256, power: int = 3, vec: str = "vec", seed: int = 42
+    rows: DataFrame, keys: Sequence[str], row_id: str, n_comp: float = 0.8, rank: int | None = 256, power: int = 3, vec: str = "vec", seed: int = 42
 ) -> DataFrame:
     """``decoding.fit_pca`` for long vectors: keys, ``n``, ``mean``, ``comps``, ``eigen``, ``ratio``.
 
     ``ratio`` is of the whole variance, also where the basis holds only a part of it; a share ``n_comp`` that the basis
-    does not reach gives all its axes.
+    does not reach gives all its axes. ``rank`` None takes all directions: d x d numbers of a key at most.
     """
     key_list = list(keys)
     bases = basis(rows, key_list, row_id, rank, power, vec, seed)
