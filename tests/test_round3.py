@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.catalog import QUERIES
-from trialweave.operators import epochs as ep, signals as sg, table_functions as tf
+from trialweave.operators import epochs as ep, signals as sg, stats as st, table_functions as tf
 
 FS, CHUNK = 100.0, 16
 
@@ -67,3 +67,19 @@ def test_all_axes_of_many_long_trials(spark, tmp_path):
     for subject in (0, 1):
         assert got[subject].n == 258 and got[subject].explained == 1.0
         assert abs(got[subject].variance - long[subject::2].var(axis=0, ddof=1).sum()) < 1e-5
+
+
+@pytest.mark.parametrize("deviations", [8.0, 0.0])
+def test_large_keys_are_not_copied_for_every_permutation(spark, monkeypatch, deviations):
+    rng = np.random.default_rng(8)
+    rows = [(c, i, bool(i % 3 == 0), float(rng.normal() + 0.1 * (i % 3 == 0))) for c in ("x", "y") for i in range(700)]
+    table = spark.createDataFrame(rows, "channel string, obs long, interest boolean, value double")
+    want = {r.channel: r.p for r in st.permutation_test(table, ["channel"], "obs", 49, draws="md5").collect()}
+    ranked = []
+    hashed_rank = st.hashed_rank
+    monkeypatch.setattr(st, "hashed_rank", lambda *a, **k: ranked.append(1) or hashed_rank(*a, **k))
+    monkeypatch.setattr(st, "OBSERVATIONS", 100)
+    monkeypatch.setattr(st, "PART", 150, raising=False)
+    monkeypatch.setattr(st, "DEVIATIONS", deviations, raising=False)
+    got = {r.channel: r.p for r in st.permutation_test(table, ["channel"], "obs", 49, draws="md5").collect()}
+    assert got == want and len(ranked) == (deviations == 0)

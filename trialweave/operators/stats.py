@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans import hashed_rank, join_keys, join_measured, measured, number_and_least
+from ..plans import cut_lineage, hashed_rank, join_keys, join_measured, measured, number_and_least
 
 
 def _seed_text(*parts) -> F.Column:
@@ -96,6 +96,75 @@ def _extremes_in_blocks(
     return rows.groupBy(*key_list, "__block").applyInPandas(run, ", ".join(x for x in (kinds, "__extreme long") if x))
 
 
+#: Observations of a large key that one task hashes, and half the width, in deviations, of the hashes it passes on.
+PART, DEVIATIONS = 50_000, 8.0
+
+
+def _extremes_in_parts(
+    valid: DataFrame, key_list: list[str], obs_id: str, n_perm: int, seed: int
+) -> DataFrame:
+    """Keys and ``__extreme`` of one permutation per row, for keys of many observations, in md5 order.
+
+    Hashes are uniform, so the one that parts the first ``n_interest`` from the rest is known up to a few deviations. A
+    task adds up its values below that range and passes on those within: of n observations some square roots of n.
+    ``__extreme`` is NULL where the range missed.
+    """
+    part = F.pmod(F.xxhash64(obs_id), F.ceil((F.col("n_interest") + F.col("n_baseline")) / F.lit(PART)))
+    sizes = ["n_interest", "n_baseline", "difference", "__total"]
+    rows = valid.select(*key_list, _seed_text(*key_list, obs_id).alias("__tail"), "value", *sizes, part.alias("__part"))
+    deviations = DEVIATIONS
+    kinds = "".join(f"`{c}` {valid.schema[c].dataType.simpleString()}, " for c in key_list)
+
+    def hashed(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf["value"].to_numpy(float)
+        tails = [t.encode() for t in pdf["__tail"]]
+        head = tuple(pdf[c].iloc[0] for c in key_list)
+        size = tuple(pdf[c].iloc[0] for c in sizes)
+        n = int(size[0] + size[1])
+        share = size[0] / n
+        spread = deviations * np.sqrt(share * (1 - share) / n)
+        low, high = (np.uint64(min(max(int(x * 2.0**64), 0), 2**64 - 1)) for x in (share - spread, share + spread))
+        out = []
+        for perm in range(1, n_perm + 1):
+            start = f"{seed}|{perm}|".encode()
+            digests = np.frombuffer(b"".join([md5(start + t).digest() for t in tails]), ">u8").reshape(-1, 2)
+            first = digests[:, 0].astype(np.uint64)
+            below = first < low
+            near = ~below & (first <= high)
+            out.append((*head, perm, *size, int(below.sum()), values[below].sum(), digests[near].tobytes(), values[near]))
+        return pd.DataFrame(out, columns=[*key_list, "perm", *sizes, "__below", "__sum", "__near", "__values"])
+
+    def parted(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, others = int(pdf["n_interest"].iloc[0]), int(pdf["n_baseline"].iloc[0])
+        ranks = np.frombuffer(b"".join(pdf["__near"]), ">u8").reshape(-1, 2)
+        needed = taken - int(pdf["__below"].sum())
+        extreme = None
+        if 0 <= needed <= len(ranks):
+            order = np.lexsort((ranks[:, 1], ranks[:, 0]))[:needed]
+            chosen = pdf["__sum"].sum() + np.concatenate(pdf["__values"].tolist())[order].sum()
+            null = chosen / taken - (pdf["__total"].iloc[0] - chosen) / others
+            extreme = int(null >= pdf["difference"].iloc[0] - 1e-9)
+        return pd.DataFrame([(*[pdf[c].iloc[0] for c in key_list], pdf["perm"].iloc[0], extreme)], columns=[*key_list, "perm", "__extreme"]).astype({"__extreme": "Int64"})
+
+    near = "perm int, n_interest long, n_baseline long, difference double, `__total` double, `__below` long, `__sum` double, `__near` binary, `__values` array<double>"
+    parts = rows.groupBy(*key_list, "__part").applyInPandas(hashed, kinds + near)
+    return parts.groupBy(*key_list, "perm").applyInPandas(parted, kinds + "perm int, `__extreme` long")
+
+
+def _extremes_ranked(valid: DataFrame, perms: DataFrame, key_list: list[str], obs_id: str, seed: int) -> DataFrame:
+    """Keys and ``__extreme`` of the permutations ``perms`` (keys, ``perm``), whose observations are ranked as a table."""
+    dealt = join_measured(valid, perms, key_list) if key_list else valid.crossJoin(F.broadcast(perms))
+    ranked = hashed_rank(
+        dealt, [*key_list, "perm"], _seed_text(F.lit(str(seed)), "perm", *key_list, obs_id), [obs_id], "__rn",
+        digits=2,
+    )
+    chosen = F.col("__rn") <= F.col("n_interest")
+    null = ranked.groupBy(*key_list, "perm", "difference").agg(
+        (F.avg(F.when(chosen, F.col("value"))) - F.avg(F.when(~chosen, F.col("value")))).alias("__d")
+    )
+    return null.select(*key_list, (F.col("__d") >= F.col("difference") - F.lit(1e-9)).cast("long").alias("__extreme"))
+
+
 def permutation_test(
     observations: DataFrame,
     keys: Sequence[str],
@@ -110,7 +179,7 @@ def permutation_test(
     In each permutation the observations are dealt by random scores: ``counter`` draws them in numpy, a matrix at a
     time; ``md5`` takes the md5 order that SQL can repeat. A task takes the observations of a key
     and ``PERMUTATIONS`` permutations and returns one count; keys of more than ``OBSERVATIONS`` rows
-    are ranked as tables instead, in md5 order. The p-value counts the
+    are hashed in parts instead, in md5 order (see ``_extremes_in_parts``). The p-value counts the
     permuted differences at least as large as the observed one; with fewer than two values
     on a side it is 1.
     """
@@ -123,27 +192,22 @@ def permutation_test(
         F.count_if(inside).alias("n_interest"),
         F.count_if(outside).alias("n_baseline"),
         (F.avg(F.when(inside, F.col("value"))) - F.avg(F.when(outside, F.col("value")))).alias("difference"),
+        F.sum(F.col("value").cast("double")).alias("__total"),
     )
     observed = measured(observed)  # one row per channel
     testable = observed.filter((F.col("n_interest") >= 2) & (F.col("n_baseline") >= 2))
-    known = join_keys(valid, testable.select(*key_list, "n_interest", "n_baseline", "difference"), key_list)
-    few = F.col("n_interest") + F.col("n_baseline") <= OBSERVATIONS
-    in_blocks = _extremes_in_blocks(known.filter(few), key_list, obs_id, n_perm, seed, draws)
-    dealt = known.filter(~few).select(*key_list, obs_id, "value", "n_interest").withColumn(
-        "perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))
-    )
-    ranked = hashed_rank(
-        dealt, [*key_list, "perm"], _seed_text(F.lit(str(seed)), "perm", *key_list, obs_id), [obs_id], "__rn",
-        digits=2,
-    )
-    chosen = F.col("__rn") <= F.col("n_interest")
-    null = ranked.groupBy(*key_list, "perm").agg(
-        (F.avg(F.when(chosen, F.col("value"))) - F.avg(F.when(~chosen, F.col("value")))).alias("__d")
-    )
-    extreme = join_keys(null, testable.select(*key_list, "difference"), key_list).groupBy(*key_list).agg(
-        F.count_if(F.col("__d") >= F.col("difference") - F.lit(1e-9)).alias("__extreme")
-    )
-    extreme = extreme.unionByName(in_blocks).groupBy(*key_list).agg(F.sum("__extreme").alias("__extreme"))
+    known = join_keys(valid, testable.select(*key_list, "n_interest", "n_baseline", "difference", "__total"), key_list)
+    size = F.col("n_interest") + F.col("n_baseline")
+    few = size <= OBSERVATIONS
+    extreme = _extremes_in_blocks(known.filter(few), key_list, obs_id, n_perm, seed, draws)
+    if not testable.filter(~few).isEmpty():
+        many = known.filter(~few)
+        parts = cut_lineage(_extremes_in_parts(many, key_list, obs_id, n_perm, seed))
+        extreme = extreme.unionByName(parts.filter("__extreme IS NOT NULL").drop("perm"))
+        missed = parts.filter("__extreme IS NULL").select(*key_list, "perm")
+        if not missed.isEmpty():
+            extreme = extreme.unionByName(_extremes_ranked(many, missed, key_list, obs_id, seed))
+    extreme = extreme.groupBy(*key_list).agg(F.sum("__extreme").alias("__extreme"))
     joined = join_keys(observed, extreme, key_list, "left")
     p = (F.col("__extreme") + 1) / F.lit(float(n_perm + 1))
     return joined.select(
