@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.catalog import QUERIES
-from trialweave.operators import epochs as ep, signals as sg, stats as st, table_functions as tf
+from trialweave.operators import decoding as dc, epochs as ep, margin as mg, signals as sg, stats as st, table_functions as tf
 
 FS, CHUNK = 100.0, 16
 
@@ -83,3 +83,22 @@ def test_large_keys_are_not_copied_for_every_permutation(spark, monkeypatch, dev
     monkeypatch.setattr(st, "DEVIATIONS", deviations, raising=False)
     got = {r.channel: r.p for r in st.permutation_test(table, ["channel"], "obs", 49, draws="md5").collect()}
     assert got == want and len(ranked) == (deviations == 0)
+
+
+def test_support_vectors_of_pairs_lie_in_rows_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [("s", i, i % 3, (rng.normal(size=4) + 2 * np.eye(4)[i % 3]).tolist()) for i in range(150)]
+    table = spark.createDataFrame(rows, "subject string, trial long, label int, vec array<double>")
+    seen, fit = [], mg.fit
+    monkeypatch.setattr(mg, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    predicted = [
+        sorted(map(tuple, dc.decode_within(table, k=3, n_iter=1, classifier="margin", rows_per_block=n).collect()))
+        for n in (1000, 40)
+    ]
+    assert len(predicted[0]) == 150
+    assert sum(a == b for a, b in zip(*predicted)) >= 147
+    for pairs in seen:
+        assert "pairs" not in pairs.columns
+        assert sorted(tuple(r) for r in pairs.select("test_fold", "first", "second").collect()) == [
+            (f, a, b) for f in range(3) for a, b in ((0, 1), (0, 2), (1, 2))
+        ]

@@ -354,16 +354,20 @@ def decode(
     if own_decoder is not None:
         final = own_fit(own_decoder, shaped, reduced, "coef").filter(own)
     elif classifier == "margin":
-        fitted = margin.fit(
-            tagged, shaped, lambda block, model: _Block(block).training(model, k),
-            lambda block, mask, model: reduced(np.array(block["vec"].tolist())[mask], model), penalty, row_id,
-        )
-        final = fitted.filter(own)
+        def points(block: pd.DataFrame, mask: np.ndarray, model) -> np.ndarray:
+            return reduced(np.array(block["vec"].tolist())[mask], model)
+
+        pairs = margin.fit(tagged, shaped, lambda block, model: _Block(block).training(model, k), points, penalty, row_id)
     else:
         fit_stats = _sum_blocks(run_blocks(tagged, shaped, ["subject"], fit_pass, ACC_SCHEMA))
         final = shaped.filter(own).join(fit_stats.select(*MODEL_KEYS, solve("acc").alias("coef")), MODEL_KEYS)
     tested = tagged.filter(F.col("folds").isNotNull())
     id_type = rows.schema[row_id].dataType.simpleString()
+    if own_decoder is None and classifier == "margin":
+        return margin.predict(
+            tested, shaped.filter(own), pairs,
+            lambda block, model: np.array(block["folds"].tolist())[:, model.iter] == model.test_fold, points, row_id, id_type,
+        )
 
     def predict_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         x = np.array(block["vec"].tolist())
@@ -375,8 +379,6 @@ def decode(
                 continue
             if own_decoder is not None:
                 chosen = own_decoder.predict(reduced(x[mask], model), np.asarray(model.coef), np.asarray(model.classes))
-            elif classifier == "margin":
-                chosen = margin.votes(reduced(x[mask], model), model)
             else:
                 scores = phi(x[mask], model) @ np.asarray(model.coef).reshape(width, -1)
                 chosen = np.asarray(model.classes)[scores.argmax(axis=1)]

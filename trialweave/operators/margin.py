@@ -5,11 +5,14 @@ the problems of all models of its subject (``solve_dual``) and passes on the row
 two, solve again and pass on, as many times as the logarithm of their number. Then every block compares all its rows
 with the result; rows that violate its conditions join the support vectors and the problem is solved once more, until no
 row does. So the result is the optimum over all rows, while a task holds a block or the support vectors of a pair.
+Rows of a pair lie packed per block (``problems``), rows to predict packed per model and block; both meet one pair at a
+time, so no row of a table holds the support vectors of several pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,8 @@ from ..plans import cut_lineage, run_blocks
 MODEL_KEYS = ["target", "iter", "test_fold"]
 PAIR = [*MODEL_KEYS, "first", "second"]
 TOLERANCE = 1e-3
+#: Blocks of rows that meet a pair's support vectors in one task, and doubles of a kernel matrix at a time.
+BLOCKS_PER_TASK, KERNEL_DOUBLES = 16, 8_000_000
 #: Most doubles of kernel columns that a problem keeps.
 KEPT_DOUBLES = 16_000_000
 
@@ -89,6 +94,16 @@ def solve_dual(
     return a, float((value[up].max(initial=-np.inf) + value[down].min(initial=np.inf)) / 2)
 
 
+def _sides(x: np.ndarray, pair) -> np.ndarray:
+    """Signed distances of rows to a pair's border."""
+    points = np.asarray(pair.points).reshape(-1, int(pair.width))
+    weight, squares = np.asarray(pair.y) * np.asarray(pair.weight), (points * points).sum(axis=1)
+    out, some = np.full(len(x), float(pair.bias)), max(1, KERNEL_DOUBLES // max(len(points), 1))
+    for a in range(0, len(x), some):
+        out[a : a + some] += weight @ rbf(points, x[a : a + some], pair.gamma, squares)
+    return out
+
+
 _SV = "ids array<string>, width int, points array<double>, y array<double>, cost array<double>, weight array<double>, bias double"
 _COLUMNS = ["ids", "width", "points", "y", "cost", "weight", "bias"]
 
@@ -109,7 +124,7 @@ def _unpacked(rows) -> tuple:
 def fit(
     tagged: DataFrame, models: DataFrame, training: Callable, points: Callable, penalty: float = 1.0, row_id: str = "trial"
 ) -> DataFrame:
-    """Support vectors per model and class pair: target, iter, test_fold, first, second, the support vectors and the bias.
+    """Support vectors of every class pair of a model: target, iter, test_fold, first, second, the support vectors, the bias.
 
     ``tagged``: blocks of rows (``split_blocks``); ``models``: rows with ``classes``, ``weights`` and ``gamma``.
     ``training(block, model)`` gives the mask and labels of the rows that train it, ``points(block, mask, model)`` their
@@ -157,44 +172,96 @@ def fit(
         halves = parts.withColumn("__half", F.shiftright("block", 1))
         parts = cut_lineage(halves.groupBy(*PAIR, "__half").applyInPandas(meet, schema))
         last //= 2
-    while split:
-        found = collected(parts, models)
-
-        def check(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for model in group.itertuples():
-                pairs = {(p["first"], p["second"]): p for p in model.pairs}
-                for a, b, ids, x, y, cost in problems(block, model):
-                    p = pairs[a, b]
-                    sv = np.asarray(p["points"]).reshape(-1, int(p["width"]))
-                    side = y * (rbf(x, sv, model.gamma) @ (np.asarray(p["y"]) * np.asarray(p["weight"])) + p["bias"])
-                    new = (side < 1 - 2 * TOLERANCE) & ~np.isin(ids.astype(str), np.asarray(p["ids"], dtype=str))
-                    if new.any():
-                        zero = np.zeros(int(new.sum()))
-                        out.append((model.target, model.iter, model.test_fold, a, b, 1, model.gamma, *_packed(ids[new], x[new], y[new], cost[new], zero, np.nan)))
-            return pd.DataFrame(out, columns=names)
-
-        violators = cut_lineage(run_blocks(tagged, found, ["subject"], check, schema))
+    if not split:
+        return parts
+
+    def pack(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        out, number = [], int(block["__block"].iloc[0])
+        for model in group.itertuples():
+            for a, b, ids, x, y, cost in problems(block, model):
+                if len(y):
+                    out.append((model.target, model.iter, model.test_fold, a, b, number, model.gamma, *_packed(ids, x, y, cost, np.zeros(len(y)), np.nan)))
+        return pd.DataFrame(out, columns=names)
+
+    def check(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        pair = next(found.itertuples(), None)
+        for row in rows.itertuples() if pair is not None else ():
+            x, y = np.asarray(row.points).reshape(-1, int(row.width)), np.asarray(row.y)
+            ids, cost = np.asarray(row.ids, dtype=object), np.asarray(row.cost)
+            new = (y * _sides(x, pair) < 1 - 2 * TOLERANCE) & ~np.isin(ids.astype(str), np.asarray(pair.ids, dtype=str))
+            if new.any():
+                out.append((*[getattr(row, c) for c in PAIR], 1, row.gamma, *_packed(ids[new], x[new], y[new], cost[new], np.zeros(int(new.sum())), np.nan)))
+        return pd.DataFrame(out, columns=names)
+
+    packed = cut_lineage(run_blocks(tagged, models, ["subject"], pack, schema))
+    finished, left = [], parts.withColumn("block", F.lit(0))
+    while True:
+        rows = packed.join(F.broadcast(left.select(*PAIR)), PAIR, "left_semi")
+        violators = cut_lineage(_meet_pairs(rows, left, PAIR, check, schema))
         if violators.isEmpty():
-            break
-        parts = cut_lineage(parts.withColumn("block", F.lit(0)).unionByName(violators).groupBy(*PAIR).applyInPandas(meet, schema))
-    return collected(parts, models)
-
-
-def collected(parts: DataFrame, models: DataFrame) -> DataFrame:
-    """``models`` with the array ``pairs`` of their class pairs."""
-    pair = F.struct("first", "second", *_COLUMNS)
-    pairs = parts.groupBy(*MODEL_KEYS).agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return models.join(pairs, MODEL_KEYS)
-
-
-def votes(x: np.ndarray, model) -> np.ndarray:
-    """Class of each row: most votes of the pairs, the first of equal ones."""
-    classes = list(model.classes)
-    count = np.zeros((len(x), len(classes)), int)
-    for p in model.pairs:
-        sv = np.asarray(p["points"]).reshape(-1, int(p["width"]))
-        side = rbf(x, sv, model.gamma) @ (np.asarray(p["y"]) * np.asarray(p["weight"])) + p["bias"]
-        a, b = classes.index(p["first"]), classes.index(p["second"])
-        count[np.arange(len(x)), np.where(side > 0, a, b)] += 1
-    return np.asarray(classes)[count.argmax(axis=1)]
+            return reduce(lambda a, b: a.unionByName(b), [*finished, left])
+        # pairs without violators are done: only the others are solved again and checked again
+        again = F.broadcast(violators.select(*PAIR).distinct())
+        finished.append(left.join(again, PAIR, "left_anti"))
+        solved = left.join(again, PAIR, "left_semi").unionByName(violators)
+        left = cut_lineage(solved.groupBy(*PAIR).applyInPandas(meet, schema))
+
+
+def _meet_pairs(packed: DataFrame, pairs: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """``fn(packed rows, pair)`` for ``BLOCKS_PER_TASK`` blocks at a time; ``packed`` has ``block`` and the pair's keys."""
+    group = F.floor(F.col("block") / F.lit(BLOCKS_PER_TASK)).cast("int")
+    dealt = packed.withColumn("__group", group)
+    copies = pairs.join(dealt.select(*keys, "__group").distinct(), keys)
+    copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
+    by = [*keys, "__group"]
+    return dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(fn, schema)
+
+
+def predict(
+    tagged: DataFrame, models: DataFrame, pairs: DataFrame, tested: Callable, points: Callable, row_id: str, id_type: str
+) -> DataFrame:
+    """Class of each tested row: most votes of the pairs, the first of equal ones (target, iter, row id, y, y_pred).
+
+    ``tested(block, model)`` gives the mask of the rows that ``model`` predicts.
+    """
+    head = f"target string, iter int, test_fold int, block int, ids array<{id_type}>, y array<int>"
+    rows_schema = f"{head}, width int, points array<double>"
+    votes_schema = f"{head}, `first` int, `second` int, won array<int>"
+
+    def pack(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        out, number = [], int(block["__block"].iloc[0])
+        for model in group.itertuples():
+            mask = tested(block, model)
+            if mask.any():
+                x = points(block, mask, model)
+                out.append((
+                    model.target, model.iter, model.test_fold, number, block[row_id].to_numpy()[mask],
+                    block["label"].to_numpy()[mask], x.shape[1], x.ravel(),
+                ))
+        return pd.DataFrame(out, columns=[*MODEL_KEYS, "block", "ids", "y", "width", "points"])
+
+    def vote(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        pair = next(found.itertuples(), None)
+        for row in rows.itertuples() if pair is not None else ():
+            won = np.where(_sides(np.asarray(row.points).reshape(-1, int(row.width)), pair) > 0, pair.first, pair.second)
+            out.append((row.target, row.iter, row.test_fold, row.block, row.ids, row.y, pair.first, pair.second, won))
+        return pd.DataFrame(out, columns=[*MODEL_KEYS, "block", "ids", "y", "first", "second", "won"])
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        classes = np.unique(frame[["first", "second"]].to_numpy())
+        first = frame.iloc[0]
+        won = np.zeros((len(first["ids"]), len(classes)), int)
+        for w in frame["won"]:
+            won[np.arange(len(won)), np.searchsorted(classes, w)] += 1
+        return pd.DataFrame({
+            "target": first["target"], "iter": first["iter"], row_id: first["ids"], "y": first["y"],
+            "y_pred": classes[won.argmax(axis=1)],
+        })
+
+    rows = cut_lineage(run_blocks(tagged, models, ["subject"], pack, rows_schema))
+    dealt = rows.join(pairs.select(*PAIR), MODEL_KEYS)
+    cells = _meet_pairs(dealt, pairs.drop("block"), PAIR, vote, votes_schema)
+    schema = f"target string, iter int, `{row_id}` {id_type}, y int, y_pred int"
+    return cells.groupBy(*MODEL_KEYS, "block").applyInPandas(count, schema)
