@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.ml.classification import OneVsRest
 from pyspark.sql import functions as F
 
 from trialweave.catalog import QUERIES
@@ -102,3 +103,15 @@ def test_support_vectors_of_pairs_lie_in_rows_of_their_own(spark, monkeypatch):
         assert sorted(tuple(r) for r in pairs.select("test_fold", "first", "second").collect()) == [
             (f, a, b) for f in range(3) for a, b in ((0, 1), (0, 2), (1, 2))
         ]
+
+
+def test_linear_folds_take_one_task_an_iteration(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, i // 3 % 2, (rng.normal(size=4) + 3 * np.eye(4)[i % 3]).tolist()) for i in range(90)]
+    table = spark.createDataFrame(rows, "trial long, label int, fold int, vec array<double>").repartition(6)
+    trained, fit = [], OneVsRest.fit
+    monkeypatch.setattr(OneVsRest, "fit", lambda self, points: trained.append(points.rdd.getNumPartitions()) or fit(self, points))
+    got = sorted(map(tuple, dc.decode_linear_folds(table, 2, 20).collect()))
+    assert trained == [1, 1] and [r[0] for r in got] == list(range(90))
+    alone = [r for fold in (0, 1) for r in map(tuple, dc.decode_linear(table, fold, 20).collect())]
+    assert got == sorted(alone)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -60,8 +58,7 @@ def decode_rbf(spark, sf):
 @query("decode_linear")
 def decode_linear(spark, sf):
     rows = st.stratified_folds(b.features(spark, sf).drop("subject"), "trial", 5)
-    parts = [dc.decode_linear(rows, fold) for fold in range(5)]
-    return reduce(lambda a, c: a.unionByName(c), parts)
+    return dc.decode_linear_folds(rows, 5)
 
 
 @query("pool_sep_pca")

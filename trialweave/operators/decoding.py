@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -452,6 +455,25 @@ def decode_scores(predictions: DataFrame, scorer: str = "balanced_accuracy") ->
     return st.SCORERS[scorer](predictions, ["target", "iter"])
 
 
+#: Doubles of training vectors in one partition: an iteration is a job, and small tasks cost more than their sums.
+POINT_DOUBLES = 2_000_000
+
+
+def decode_linear_folds(rows: DataFrame, k: int, max_iter: int = 100, row_id: str = "trial") -> DataFrame:
+    """``decode_linear`` for each of ``k`` folds; the folds are trained at the same time."""
+    rows = cut_lineage(rows)  # read by every fold
+    parts: list = [None] * k
+
+    def train(fold: int) -> None:
+        parts[fold] = decode_linear(rows, fold, max_iter, row_id)
+
+    with ThreadPoolExecutor(k) as pool:
+        # each thread takes on the caller's job group and tags
+        for done in [pool.submit(inheritable_thread_target(rows.sparkSession)(train), fold) for fold in range(k)]:
+            done.result()
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 100, row_id: str = "trial") -> DataFrame:
     """One large linear one-against-rest model (distributed training), class-balanced.
 
@@ -470,6 +492,8 @@ def decode_linear(rows: DataFrame, test_fold: int, max_iter: int = 100, row_id:
             number.cast("double").alias("label"), "weight", array_to_vector("vec").alias("features")
         )
     )
+    doubles = train.agg(F.sum(F.size("vec"))).first()[0] or 0
+    points = points.coalesce(max(1, -(-doubles // POINT_DOUBLES)))
     model = OneVsRest(
         classifier=svc, featuresCol="features", labelCol="label", weightCol="weight", predictionCol="y_pred",
         parallelism=4,
