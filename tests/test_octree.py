@@ -53,6 +53,28 @@ def test_nearest_equals_all_pairs_and_meets_few(spark, clouds):
     assert met.agg(F.max("count")).first()[0] < len(vertices) // 8
 
 
+def test_points_are_shuffled_once_whatever_the_depth(spark, clouds, monkeypatch):
+    vertices, points = clouds
+    tree = octree.build(cut_lineage(table(spark, vertices, "vertex")), ["hemi"], leaf=16)
+    assert max(tree.counts) >= 8
+    rounds = []
+    monkeypatch.setattr(octree, "cut_lineage", lambda df: rounds.append(1) or cut_lineage(df))
+    plan = octree.descend(tree, table(spark, points, "name"), ["hemi"], "name")._jdf.queryExecution().executedPlan().toString()
+    assert not rounds
+    assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
+
+
+def test_points_equally_far_from_all_and_leaves_of_many_vertices(spark):
+    rng = np.random.default_rng(3)
+    sphere = rng.normal(size=(1500, 3))
+    sphere *= 50 / np.linalg.norm(sphere, axis=1, keepdims=True)
+    vertices = np.vstack([sphere, [50.0, 50.0, 50.0] + rng.normal(size=(5000, 3)) * 1e-6])
+    points = np.vstack([rng.normal(size=(8000, 3)) * 1e-3, [50.0, 50.0, 50.0] + rng.normal(size=(20, 3)) * 1e-6])
+    best = np.concatenate([((p[:, None] - vertices[None]) ** 2).sum(axis=2).argmin(axis=1) for p in np.array_split(points, 40)])
+    out = geo.nearest_vertex(table(spark, points, "name"), table(spark, vertices, "vertex"), ["hemi"], "name").collect()
+    assert {r.name: r.vertex for r in out} == dict(enumerate(best.tolist()))
+
+
 def test_points_closer_than_the_finest_cell_share_a_leaf(spark):
     rng = np.random.default_rng(9)
     vertices = np.vstack([rng.normal(size=(80, 3)) * 1e-9, [[100.0, 100.0, 100.0]]])

@@ -167,8 +167,8 @@ def nearest_vertex(
     """The vertex nearest to each point within ``keys`` (ties: lowest vertex).
 
     Exact, without comparing every point with every vertex: the vertices of a key form an octree, and the points
-    descend it by branch and bound (see ``octree``), in as many rounds as the tree is deep. Vertices with equal
-    coordinates count once. Points with a missing or infinite coordinate get NULL; such vertices are nobody's nearest.
+    descend it by branch and bound inside tasks (see ``octree``). Vertices with equal coordinates count once.
+    Points with a missing or infinite coordinate get NULL; such vertices are nobody's nearest.
     Result: keys, point id, vertex id, ``distance``.
     """
     xyz = octree.XYZ
