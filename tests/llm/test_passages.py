@@ -28,6 +28,20 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree():
             assert sorted(map(tuple, passages.compact_windows(values, least=least).tolist())) == plain_windows(values, least)
 
 
+def test_trees_are_grown_over_the_places_that_can_be_least():
+    rng = np.random.default_rng(2)
+    for top in (2, 9, 2**60):  # with and without ties
+        borders = np.append(0, np.cumsum(rng.integers(0, 120, 12)))
+        values = rng.integers(1, top, borders[-1]).astype(np.uint64)
+        runs = [range(i, i + 46) for a, b in zip(borders[:-1], borders[1:]) for i in range(a, b - 45)]
+        expected = {k for run in runs for k in run if values[k] == min(values[j] for j in run)}
+        assert passages._least_places(values, borders, 46).tolist() == sorted(expected)
+    values = rng.integers(1, 2**60, 20_000).astype(np.uint64)
+    places = passages._least_places(values, np.array([0, len(values)]), 46)
+    assert len(places) < len(values) // 20
+    assert set(passages.compact_windows(values)[:, 1]) == set(places)
+
+
 def test_trees_of_many_texts_grow_like_single_ones():
     rng = np.random.default_rng(6)
     texts = [rng.integers(0, 60, int(n)).astype(np.uint64) for n in rng.integers(1, 300, 60)]  # with ties

@@ -59,29 +59,55 @@ def shingle_rows(column: pa.Array):
             yield b - a, whole, grams[a : max(a, b - SHINGLE + 1)]
 
 
+def _least_places(values: np.ndarray, borders: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the least value of some ``width`` values in a row of one sequence, equal ones included."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def slid(x, fn):
+        """``fn`` over each ``width`` values in a row, from runs twice as long in every step."""
+        k = 1
+        while 2 * k <= width:
+            x, k = fn(x[:-k], x[k:]), 2 * k
+        return fn(x[: len(x) - width + k], x[width - k :]) if k < width else x
+
+    # 0 where the values cross a border, so that no place holds it
+    padded = np.zeros(n + 2 * (width - 1), values.dtype)
+    inner = padded[width - 1 : width - 1 + n]
+    inner[:] = slid(values, np.minimum)
+    crossing = borders[1:-1, None] - np.arange(1, width)
+    inner[crossing[(crossing >= 0) & (crossing < n)]] = 0
+    return np.flatnonzero(values == slid(padded, np.maximum))
+
+
 def compact_windows(values: np.ndarray, borders: np.ndarray | None = None, least: int = SPAN) -> np.ndarray:
     """Rows (l, c, r) of the Cartesian tree nodes that span ``least`` values or more; of equal values the middle one is above.
 
     ``borders`` cuts the values into sequences with a tree each. All trees grow together, a level at a time: one minimum
-    per open stretch.
+    per open stretch. An open stretch is as long as ``least``, so its minimum is one of ``_least_places``, and only
+    those are read.
     """
     borders = np.array([0, len(values)]) if borders is None else borders
     low, stop = borders[:-1].astype(np.int64), borders[1:].astype(np.int64)
+    places = _least_places(values, borders.astype(np.int64), least)
+    values = values[places]
     levels = []
     while True:
         wide = stop - low >= least
         low, stop = low[wide], stop[wide]
         if not len(low):
             break
-        size = stop - low
+        first = np.searchsorted(places, low)
+        size = np.searchsorted(places, stop) - first
         begin = np.cumsum(size) - size
-        place = np.repeat(low - begin, size) + np.arange(int(size.sum()))
+        place = np.repeat(first - begin, size) + np.arange(int(size.sum()))
         part = values[place]
         hit = np.flatnonzero(part == np.repeat(np.minimum.reduceat(part, begin), size))
-        c = place[hit]
+        c = places[place[hit]]
         if len(c) > len(low):
             owner = np.searchsorted(begin, hit, "right") - 1
-            away = np.abs(c - low[owner] - size[owner] // 2)
+            away = np.abs(c - low[owner] - (stop - low)[owner] // 2)
             order = np.lexsort((c, away, owner))
             c = c[order[np.append(True, np.diff(owner[order]) > 0)]]
         levels.append(np.stack([low, c, stop - 1], axis=1))
@@ -91,13 +117,14 @@ def compact_windows(values: np.ndarray, borders: np.ndarray | None = None, least
 
 def _all_windows(tokens: np.ndarray, borders: np.ndarray | None = None):
     """(hash of the least shingle with the function in bits 2 and 3, l, c, r) over all functions, as arrays."""
-    keys, places = [], []
-    for f, salt in enumerate(_SALTS):
-        values = mix(tokens ^ salt)
-        found = compact_windows(values, borders)
-        places.append(found)
-        keys.append((values[found[:, 1]] & ~_U(15)) | _U(f << 2))
-    return np.concatenate(keys), np.concatenate(places)
+    # all functions in one go: their values stand one after the other
+    n = len(tokens)
+    values = np.concatenate([mix(tokens ^ salt) for salt in _SALTS])
+    ends = np.array([n]) if borders is None else borders[1:].astype(np.int64)
+    found = compact_windows(values, np.append(0, (ends + n * np.arange(HASHES)[:, None]).ravel()))
+    function = found[:, 1] // max(n, 1)
+    keys = (values[found[:, 1]] & ~_U(15)) | (function.astype(np.uint64) << _U(2))
+    return keys, found - n * function[:, None]
 
 
 #: What a pair needs of a window: a short hash, the place of the least shingle, and the passages of WORDS words that
