@@ -195,3 +195,84 @@ def test_copies_short_texts_and_edge_rows(spark):
     assert {i: v for i, v in got.items() if i < 7} == {1: [(0, 60, 3)], 2: [(0, 60, 1)], 3: [(0, 60, 1)]}
     assert 9 not in got
     assert found(spark, []) == {}
+
+
+def plain_common(a, b, windows_a, windows_b):
+    """Verified passages of two texts, vote by vote and passage by passage."""
+    votes = []
+    for x in windows_a.tolist():
+        for y in windows_b.tolist():
+            d = y[1] - x[1]
+            first, last = max(x[2], y[2] - d), min(x[3], y[3] - d)
+            if x[0] == y[0] and first <= last:
+                votes.append((d, first, last, x[0] & 3))
+    votes.sort()
+    cuts = [0, *(i for i in range(1, len(votes)) if votes[i][0] - votes[i - 1][0] > passages.SLACK), len(votes)]
+    out = []
+    for group in (votes[i:j] for i, j in zip(cuts[:-1], cuts[1:]) if i < j):
+        middle, places = group[len(group) // 2][0], []
+        for s in range(min(v[1] for v in group), max(v[2] for v in group) + 1):
+            near = [
+                sum(any(0 <= k + d + e < len(b) and a[k] == b[k + d + e] for e in range(-2, 3)) for k in range(s, s + passages.SPAN))
+                for d in {v[0] for v in group}
+            ]
+            if len({f for _, i, j, f in group if i <= s <= j}) >= passages.ENOUGH and max(near) >= passages.MATCHING:
+                places.append(s)
+        while places:
+            n = next((k for k in range(1, len(places)) if places[k] != places[0] + k), len(places))
+            s, e = places[0], places[n - 1] + passages.WORDS
+            out.append((s, e, max(0, s + middle), min(len(b) + passages.SHINGLE - 1, e + middle)))
+            places = places[n:]
+    return out
+
+
+def test_pairs_compared_together_give_what_each_gives_alone(monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(14):  # copies of a text with edits, insertions and repeated lines
+        own = rng.integers(0, 2**63, 230) if k % 7 == 0 else own.copy()
+        own[rng.integers(0, len(own), 4)] = rng.integers(0, 2**63, 4)
+        if k % 3 == 1:
+            own = np.insert(own, int(rng.integers(0, len(own))), rng.integers(0, 2**63, 1 + k % 2))
+        texts.append(np.concatenate([own[:60], own[:55], own[60:]]) if k % 4 == 2 else own)
+    rows = [((t & 0xFFFF).astype("<u2"), passages.window_table(t.astype(np.uint64))) for t in texts]
+    pairs = [(a, b, x, y) for a, x in rows[::2] for b, y in rows]
+    want = [plain_common(*p) for p in pairs]
+    assert sum(len(x) > 1 for x in want) > 10 and not all(want)
+    assert passages.passages_of_pairs(pairs) == want
+    assert [passages.common_passages(*p) for p in pairs] == want
+    for name, value in (("PLACES", 50), ("WINDOWS", 20)):
+        monkeypatch.setattr(passages, name, value)
+        assert passages.passages_of_pairs(pairs) == want
+
+
+def test_open_occurrences_are_compared_many_at_once(monkeypatch):
+    rng = np.random.default_rng(12)
+    base, size, rows = rng.integers(0, 2**16, 95), passages.SPAN, []
+    for k in range(40):
+        own = base.copy()
+        own[rng.integers(0, 95, 7)] = rng.integers(0, 2**16, 7)
+        first = int(rng.integers(-45, 1))
+        rows.append((k // 2, k % 2, k % 3 > 0, 300 + first, 300 + int(rng.integers(first, 1)), 300, own.astype("<u2").tobytes()))
+
+    def plain(rows):
+        out, two = set(), len({r[1] for r in rows}) > 1
+        words = [np.frombuffer(r[6], "<u2").tolist() for r in rows]
+        for mine, r in zip(words, rows):
+            for s in range(r[3], r[4] + 1) if r[2] else ():
+                i = s - r[5] + passages._REACH
+                for theirs, o in zip(words, rows):
+                    same = sum(mine[k] in theirs[k - 2 : k + 3] for k in range(i, i + size))
+                    if o[0] != r[0] and (o[1] != r[1] or not two) and same >= passages.MATCHING:
+                        out.add((r[0], r[3], s, o[0]))
+        return out
+
+    for some in (rows, rows[::2]):
+        want = plain(some)
+        covered = {(own, s) for own, _, s, _ in want}
+        for pairs in (1, 100, passages.PAIRS):
+            monkeypatch.setattr(passages, "PAIRS", pairs)
+            got = passages.uncovered_spans(some)
+            assert {(own, s) for own, a, b, _ in got for s in range(a, b - passages.WORDS + 1)} == covered
+            assert all(any((own, p) == (w[0], w[3]) for w in want) for own, _, _, p in got)
+        assert covered

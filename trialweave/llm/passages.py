@@ -220,8 +220,16 @@ def keyed_texts(column: pa.Array):
             yield own, lambda part=key[at[k] : at[k + 1]]: part
 
 
+#: Compact windows of pairs, and first words of passages, that a task compares at once.
+WINDOWS, PLACES = 1 << 14, 1 << 16
+
+
 def _matches(a: np.ndarray, b: np.ndarray, diagonal: int) -> np.ndarray:
     """Per shingle of ``a``: whether ``b`` has it at the diagonal, give or take ``SLACK``."""
+    start = diagonal - SLACK
+    if start >= 0 and start + len(a) + 2 * SLACK <= len(b):  # all drifts in one go
+        size = b.itemsize
+        return (np.ndarray((2 * SLACK + 1, len(a)), b.dtype, b, start * size, (size, size)) == a).any(axis=0)
     out = np.zeros(len(a), bool)
     for drift in range(-SLACK, SLACK + 1):
         d = diagonal + drift
@@ -244,42 +252,82 @@ def _merged(spans) -> list[tuple[int, int, int]]:
 
 def common_passages(a: np.ndarray, b: np.ndarray, windows_a, windows_b) -> list[tuple[int, int, int, int]]:
     """(start, end in a, start, end in b) in words, of the verified passages of two texts (short shingle hashes)."""
-    low = np.searchsorted(windows_b["value"], windows_a["value"], "left")
-    many = np.searchsorted(windows_b["value"], windows_a["value"], "right") - low
-    x = windows_a[np.repeat(np.arange(len(windows_a)), many)]
-    y = windows_b[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-    d = y["c"] - x["c"]
-    first = np.maximum(x["first"], y["first"] - d)
-    last = np.minimum(x["last"], y["last"] - d)
+    return passages_of_pairs([(a, b, windows_a, windows_b)])[0]
+
+
+def passages_of_pairs(texts: list[tuple]) -> list[list[tuple[int, int, int, int]]]:
+    """``common_passages`` of every (a, b, windows of a, windows of b)."""
+    out: list[list] = [[] for _ in texts]
+    sides = []
+    for side in (2, 3):
+        windows = np.concatenate([t[side] for t in texts])
+        pair = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t[side]) for t in texts])
+        sides += [windows, (pair << _U(32)) | windows["value"]]
+    x, keys_a, y, keys_b = sides
+    low = np.searchsorted(keys_b, keys_a, "left")
+    many = np.searchsorted(keys_b, keys_a, "right") - low
+    if len(texts) > 1 and many.sum() > 16 * WINDOWS:  # lines that repeat within texts
+        half = len(texts) // 2
+        return passages_of_pairs(texts[:half]) + passages_of_pairs(texts[half:])
+    at_a = np.repeat(np.arange(len(x)), many)
+    at_b = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(at_a))
+    d = y["c"][at_b] - x["c"][at_a]
+    first = np.maximum(x["first"][at_a], y["first"][at_b] - d)
+    last = np.minimum(x["last"][at_a], y["last"][at_b] - d)
     meet = np.flatnonzero(first <= last)
-    # diagonal, first start, last start, function
-    votes = list(zip(d[meet].tolist(), first[meet].tolist(), last[meet].tolist(), (x["value"][meet] & 3).tolist()))
-    votes.sort()
-    out, i = [], 0
-    while i < len(votes):
-        j = i
-        while j + 1 < len(votes) and votes[j + 1][0] - votes[j][0] <= SLACK:
-            j += 1
-        group = votes[i : j + 1]
-        i = j + 1
-        low, high = min(v[1] for v in group), max(v[2] for v in group)
-        seen = np.zeros((HASHES, high - low + 2), np.int32)
-        for _, first, last, f in group:
-            seen[f, first - low] += 1
-            seen[f, last - low + 1] -= 1
-        enough = (np.cumsum(seen, axis=1)[:, :-1] > 0).sum(axis=0) >= ENOUGH
-        if not enough.any():
-            continue
-        good = np.zeros(len(enough), bool)
-        for d in sorted({v[0] for v in group}):
-            sums = np.append(0, np.cumsum(_matches(a[low : high + SPAN], b, d + low)))
-            good |= enough & (sums[SPAN:][: len(enough)] - sums[: len(enough)] >= MATCHING)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
-        middle = group[len(group) // 2][0]
-        for s, e in zip(edge[::2], edge[1::2]):
-            start, end = int(low + s), int(low + e - 1 + WORDS)
-            n = len(b) + SHINGLE - 1
-            out.append((start, end, max(0, start + middle), min(n, end + middle)))
+    if not len(meet):
+        return out
+    place = ((keys_a[at_a[meet]] >> _U(32)).astype(np.int64) << 32) + d[meet]  # by pair and diagonal
+    order = np.argsort(place, kind="stable")
+    place, meet = place[order], meet[order]
+    d, first, last = (v[meet].astype(np.int64) for v in (d, first, last))
+    function = (x["value"][at_a[meet]] & 3).astype(np.int64)
+    # groups of near diagonals of a pair
+    group = np.append(0, np.cumsum(np.diff(place) > SLACK))
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stop = np.append(start[1:], len(d))
+    pair = (place[start] - d[start]) >> 32
+    low = np.minimum.reduceat(first, start)
+    width = np.maximum.reduceat(last, start) - low + 2
+    reach = np.cumsum(width)
+    k = 0
+    while k < len(start):
+        # the first words of the passages of some groups, one group after the other
+        m = max(k + 1, int(np.searchsorted(reach, reach[k] - width[k] + PLACES, "right")))
+        begin, votes = reach[k:m] - width[k:m] - (reach[k] - width[k]), slice(start[k], stop[m - 1])
+        total = int(reach[m - 1] - reach[k] + width[k])
+        at = function[votes] * total + (begin - low[k:m])[group[votes] - k]
+        seen = np.bincount(at + first[votes], minlength=HASHES * total)
+        seen -= np.bincount(at + last[votes] + 1, minlength=HASHES * total)
+        enough = np.count_nonzero(np.cumsum(seen.reshape(HASHES, total), axis=1), axis=0) >= ENOUGH
+        for i in np.flatnonzero(np.logical_or.reduceat(enough, begin)).tolist():
+            a, b = texts[pair[k + i]][:2]
+            own = d[start[k + i] : stop[k + i]]
+            held = enough[begin[i] : begin[i] + width[k + i]]
+            out[pair[k + i]] += _agreeing(a, b, int(low[k + i]), held, own)
+        k = m
+    return out
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, low: int, held: np.ndarray, votes: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The verified ones of the passages that start at ``held`` places from ``low`` on, along some of the sorted diagonals."""
+    inner = np.flatnonzero(held)
+    low, held = low + int(inner[0]), held[inner[0] : inner[-1] + 1]
+    middle = int(votes[len(votes) // 2])
+    others = [v for v in votes[np.append(True, votes[1:] != votes[:-1])].tolist() if v != middle]
+    good, sums = np.zeros(len(held), bool), np.zeros(len(held) + SPAN, np.int32)
+    part = a[low : low + len(held) + SPAN - 1]
+    for diagonal in [middle, *others]:
+        np.cumsum(_matches(part, b, diagonal + low), out=sums[1:])
+        good |= sums[SPAN:] - sums[:-SPAN] >= MATCHING
+        if diagonal == middle and (good | ~held).all():
+            break
+    good &= held
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(np.int8), [0]])))
+    n, out = len(b) + SHINGLE - 1, []
+    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        start, end = low + s, low + e - 1 + WORDS
+        out.append((start, end, max(0, start + middle), min(n, end + middle)))
     return out
 
 
@@ -338,13 +386,21 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     def run(batches):
         spans: dict[int, list] = {}
         for batch in batches:
+            ids, texts, held = [], [], 0
             columns = [batch.column(i) for i in range(2, 6)]
-            for a, b, *raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *columns):
+            for k, (a, b, *raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *columns), 1):
                 xa, xb = (np.frombuffer(x.as_buffer(), "<u2") for x in raw[:2])
                 wa, wb = (np.frombuffer(x.as_buffer(), _WINDOW) for x in raw[2:])
-                for s, e, s2, e2 in common_passages(xa, xb, wa, wb):
-                    spans.setdefault(a, []).append((s, e, b))
-                    spans.setdefault(b, []).append((s2, e2, a))
+                ids.append((a, b))
+                texts.append((xa, xb, wa, wb))
+                held += len(wa) + len(wb)
+                if held < WINDOWS and k < batch.num_rows:
+                    continue
+                for (own, other), found in zip(ids, passages_of_pairs(texts)):
+                    if found:
+                        spans.setdefault(own, []).extend((s, e, other) for s, e, _, _ in found)
+                        spans.setdefault(other, []).extend((s, e, own) for _, _, s, e in found)
+                ids, texts, held = [], [], 0
             for own, found in spans.items():
                 if len(found) > 100:
                     spans[own] = _merged(found)
@@ -358,6 +414,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 #: Places around the least shingle that its passages can reach, with drift.
 _REACH = SPAN - 1 + SLACK
+#: Pairs of occurrences that a task compares at once.
+PAIRS = 1 << 10
 _OCCURRENCE = "key long, n long, text_id long, open boolean, first long, last long, c long, around binary"
 
 
@@ -408,25 +466,41 @@ def uncovered_spans(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
     """
     ids, blocks = (np.array([r[i] for r in rows], np.int64) for i in range(2))
     two = len(np.unique(blocks)) > 1
-    around = np.stack([np.frombuffer(r[6], "<u2") for r in rows])
-    width, out = 2 * SPAN - 1, []
-    for i, (own, block, is_open, first, last, c, _) in enumerate(rows):
-        if not is_open:
-            continue
-        rest = np.flatnonzero((ids != own) & (blocks != block) if two else ids != own)
-        match = np.zeros((len(rest), width), bool)
+    around = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), -1)
+    first, last, c = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
+    low, many = first - c + SPAN - 1, last - first + 1
+    opened, out = np.flatnonzero([r[2] for r in rows]), []
+    step = max(1, PAIRS // len(rows))
+    for k in range(0, len(opened), step):
+        part = opened[k : k + step]
+        other = ids[part, None] != ids
+        if two:
+            other &= blocks[part, None] != blocks
+        own, rest = np.nonzero(other)
+        own = part[own]
+        # the shingles of all passages of this part
+        begin, starts = int(low[part].min()), int((low + many)[part].max() - low[part].min())
+        width = starts + SPAN - 1
+        match = np.zeros((len(own), width), bool)
+        mine, theirs = around[own, begin + SLACK : begin + SLACK + width], around[rest, begin : begin + width + 2 * SLACK]
         for drift in range(2 * SLACK + 1):
-            match |= around[rest, drift : drift + width] == around[i, SLACK : SLACK + width]
-        near = match.sum(axis=1) >= MATCHING
-        if not near.any():
-            continue
-        rest, sums = rest[near], np.zeros((int(near.sum()), width + 1), np.int16)
+            match |= theirs[:, drift : drift + width] == mine
+        near = np.flatnonzero(np.count_nonzero(match, axis=1) >= MATCHING)
+        own, rest = own[near], rest[near]
+        sums = np.zeros((len(near), width + 1), np.int16)
         np.cumsum(match[near], axis=1, out=sums[:, 1:])
-        low = first - c + SPAN - 1
-        good = (sums[:, SPAN:] - sums[:, : width + 1 - SPAN] >= MATCHING)[:, low : low + last - first + 1]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], good.any(axis=0).astype(np.int8), [0]])))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            out.append((own, first + s, first + e - 1 + WORDS, int(ids[rest[good[:, s:e].any(axis=1)]].min())))
+        good = sums[:, SPAN:] - sums[:, :starts] >= MATCHING
+        inside = np.arange(begin, begin + starts) - low[own, None]
+        good &= (inside >= 0) & (inside < many[own, None])
+        hit = np.flatnonzero(good.any(axis=1))
+        own, rest, good = own[hit], rest[hit], good[hit]
+        border = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)) if len(own) else [0]
+        for i, j in zip(border[:-1], border[1:]):
+            r, g, others = int(own[i]), good[i:j], ids[rest[i:j]]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], g.any(axis=0).astype(np.int8), [0]])))
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                at = int(c[r]) - SPAN + 1 + begin
+                out.append((int(ids[r]), at + s, at + e - 1 + WORDS, int(others[g[:, s:e].any(axis=1)].min())))
     return out
 
 
