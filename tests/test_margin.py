@@ -96,3 +96,86 @@ def test_cascade_of_blocks_gives_the_whole_optimum(spark):
     many = dc.decode_within(df, k=3, n_iter=1, classifier="margin", rows_per_block=25)
     both = one.join(many, ["target", "iter", "trial"])
     assert both.count() == 300 and both.filter(F.col("p") == F.col("y_pred")).count() >= 298
+
+
+@pytest.mark.parametrize("gap", [0.2, 1.0, 3.0])
+def test_some_rows_at_a_time_reach_the_optimum(monkeypatch, gap):
+    x, y, cost = problem(300, gap=gap)
+    whole, bias = mg.solve_dual(x, y, cost, 0.5)
+    monkeypatch.setattr(mg, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(mg, "WORKING_ROWS", 16)
+    q = mg.rbf(x, x, 0.5)
+    for start in (None, whole):
+        a, other = mg.solve_dual(x, y, cost, 0.5, start=start)
+        assert abs((a * y).sum()) < 1e-9 and (a >= 0).all() and (a <= cost).all()
+        np.testing.assert_allclose(q @ (a * y) + other, q @ (whole * y) + bias, atol=5e-3)
+
+
+def test_kernel_columns_are_computed_many_at_a_time(monkeypatch):
+    x, y, cost = problem(640, gap=0.0)
+    calls, rbf = [], mg.rbf
+    monkeypatch.setattr(mg, "rbf", lambda *a: calls.append(1) or rbf(*a))
+    a, _ = mg.solve_dual(x, y, cost, 0.5)
+    assert (a > 0).sum() > 320 and len(calls) <= 20
+
+
+def classes(spark, n=300, k=3, subject="s"):
+    rng = np.random.default_rng(6)
+    rows = [(subject, i, i % k, (rng.normal(size=5) + 1.5 * np.eye(5)[i % k]).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "subject string, trial long, label int, vec array<double>")
+
+
+def test_blocks_of_a_pair_are_solved_in_one_round(spark, monkeypatch):
+    """Many blocks take no more rounds than one, and a found pair carries places and weights, not rows."""
+    df, rounds, found = classes(spark), [], []
+    cut, fit = mg.cut_lineage, mg.fit
+    monkeypatch.setattr(mg, "cut_lineage", lambda d: rounds.append(1) or cut(d))
+    monkeypatch.setattr(mg, "fit", lambda *a: found.append(fit(*a)) or found[-1])
+    got = []
+    for size in (1000, 20):
+        rounds.clear()
+        got.append({r.trial: r.y_pred for r in dc.decode_within(df, k=3, n_iter=1, classifier="margin", rows_per_block=size).collect()})
+        got.append(len(rounds))
+    one, few, many, more = got
+    assert few == more and len(one) == 300 and sum(one[t] == many[t] for t in one) >= 297
+    assert all("points" not in f.columns for f in found)
+
+
+@pytest.mark.parametrize("rows", [100, 30])
+def test_pairs_of_many_rows_are_solved_in_parts(spark, monkeypatch, rows):
+    df, met = classes(spark), []
+    whole = {r.trial: r.y_pred for r in dc.decode_within(df, k=3, n_iter=1, classifier="margin").collect()}
+    meet = mg._meet_pairs
+    monkeypatch.setattr(mg, "_meet_pairs", lambda *a: met.append(1) or meet(*a))
+    monkeypatch.setattr(mg, "PAIR_ROWS", rows)
+    parts = {r.trial: r.y_pred for r in dc.decode_within(df, k=3, n_iter=1, classifier="margin", rows_per_block=15).collect()}
+    assert met and parts.keys() == whole.keys() and sum(parts[t] == whole[t] for t in whole) >= 297
+
+
+def test_support_vectors_of_several_parts_add_up(spark, monkeypatch):
+    df = classes(spark)
+    whole = {r.trial: r.y_pred for r in dc.decode_within(df, k=3, n_iter=1, classifier="margin", rows_per_block=20).collect()}
+    monkeypatch.setattr(mg, "BLOCKS_PER_TASK", 2)
+    parts = {r.trial: r.y_pred for r in dc.decode_within(df, k=3, n_iter=1, classifier="margin", rows_per_block=20).collect()}
+    assert len(whole) == 300 and parts == whole
+
+
+@pytest.mark.parametrize("size", [1000, 30])
+def test_all_subjects_of_a_model_train_it(spark, size):
+    """Rows of another subject weigh as much as rows of one's own that are never tested."""
+    folded = F.when(F.col("trial") < 100, F.array((F.col("trial") % 2).cast("int")))
+    rows = classes(spark).withColumn("folds", folded)
+    models = spark.range(2).select(
+        F.lit("s").alias("target"), F.lit("s").alias("subject"), F.lit(0).alias("iter"), F.col("id").cast("int").alias("test_fold"),
+        F.array(*[F.lit(c) for c in range(3)]).alias("classes"), F.lit(True).alias("trains"),
+        F.lit(None).cast("array<double>").alias("lin_mean"), F.lit(None).cast("array<double>").alias("lin_matrix"),
+        F.lit(None).cast("int").alias("t_first"), F.lit(None).cast("int").alias("t_stop"),
+    )
+    other = F.when(F.col("trial") >= 100, F.lit("t")).otherwise(F.col("subject"))
+    apart = rows.withColumn("subject", other).withColumn("trial", F.when(F.col("trial") < 100, F.col("trial")).otherwise(F.col("trial") - 100))
+    both = models.unionByName(models.withColumn("subject", F.lit("t")))
+    want, got = (
+        {r.trial: r.y_pred for r in dc.decode(r, m, 2, classifier="margin", rows_per_block=size).collect()}
+        for r, m in ((rows, models), (apart, both))
+    )
+    assert len(want) == 100 and want.keys() == got.keys() and sum(want[t] == got[t] for t in want) >= 99

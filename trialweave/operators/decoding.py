@@ -357,20 +357,33 @@ def decode(
     if own_decoder is not None:
         final = own_fit(own_decoder, shaped, reduced, "coef").filter(own)
     elif classifier == "margin":
-        def points(block: pd.DataFrame, mask: np.ndarray, model) -> np.ndarray:
-            return reduced(np.array(block["vec"].tolist())[mask], model)
+        def training(block: pd.DataFrame) -> Callable:
+            rows_of = _Block(block)
 
-        pairs = margin.fit(tagged, shaped, lambda block, model: _Block(block).training(model, k), points, penalty, row_id)
+            def rows(model):
+                mask, labels = rows_of.training(model, k)
+                return mask, labels[mask], reduced(rows_of.x[mask], model)
+
+            return rows
+
+        packed = margin.training_rows(tagged, shaped, training, penalty)
+        pairs = margin.fit(packed, shaped)
     else:
         fit_stats = _sum_blocks(run_blocks(tagged, shaped, ["subject"], fit_pass, ACC_SCHEMA))
         final = shaped.filter(own).join(fit_stats.select(*MODEL_KEYS, solve("acc").alias("coef")), MODEL_KEYS)
     tested = tagged.filter(F.col("folds").isNotNull())
     id_type = rows.schema[row_id].dataType.simpleString()
     if own_decoder is None and classifier == "margin":
-        return margin.predict(
-            tested, shaped.filter(own), pairs,
-            lambda block, model: np.array(block["folds"].tolist())[:, model.iter] == model.test_fold, points, row_id, id_type,
-        )
+        def predicted(block: pd.DataFrame) -> Callable:
+            x, folds = np.array(block["vec"].tolist()), np.array(block["folds"].tolist())
+
+            def rows(model):
+                mask = folds[:, model.iter] == model.test_fold
+                return mask, reduced(x[mask], model)
+
+            return rows
+
+        return margin.predict(tested, shaped.filter(own), packed, pairs, predicted, row_id, id_type)
 
     def predict_pass(block: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         x = np.array(block["vec"].tolist())
